@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from colloquy.llm.mixing import op8_mixing
+from colloquy.llm.sharding import op5_sharding
 from colloquy.llm.simhash_dedup import op9_simhash_dedup
 
 QUERIES = {
+    "op5_sharding": op5_sharding,
+    "op8_mixing": op8_mixing,
     "op9_simhash_dedup": op9_simhash_dedup,
 }
 
