@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+from colloquy.llm.decontamination import OP4_SQL, op4_decontamination
 from colloquy.llm.language_id import op3_language_id
 from colloquy.llm.mixing import op8_mixing
 from colloquy.llm.quality_classifier import op1_quality_classifier
 from colloquy.llm.sharding import op5_sharding
 from colloquy.llm.simhash_dedup import op9_simhash_dedup
+from colloquy.llm.toxicity import op10_toxicity
 
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op3_language_id": op3_language_id,
+    "op4_decontamination": op4_decontamination,
     "op5_sharding": op5_sharding,
     "op8_mixing": op8_mixing,
     "op9_simhash_dedup": op9_simhash_dedup,
+    "op10_toxicity": op10_toxicity,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_decontamination": OP4_SQL,
+}
