@@ -6,6 +6,7 @@ from colloquy.llm.decontamination import OP4_SQL, op4_decontamination
 from colloquy.llm.language_id import op3_language_id
 from colloquy.llm.mixing import op8_mixing
 from colloquy.llm.quality_classifier import op1_quality_classifier
+from colloquy.llm.secret_scan import op6_secret_scan
 from colloquy.llm.sharding import op5_sharding
 from colloquy.llm.simhash_dedup import op9_simhash_dedup
 from colloquy.llm.toxicity import op10_toxicity
@@ -15,6 +16,7 @@ QUERIES = {
     "op3_language_id": op3_language_id,
     "op4_decontamination": op4_decontamination,
     "op5_sharding": op5_sharding,
+    "op6_secret_scan": op6_secret_scan,
     "op8_mixing": op8_mixing,
     "op9_simhash_dedup": op9_simhash_dedup,
     "op10_toxicity": op10_toxicity,
