@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from colloquy.llm.decontamination import OP4_SQL, op4_decontamination
+from colloquy.llm.embedding_dedup import OP7_SQL, op7_embedding_dedup
 from colloquy.llm.language_id import op3_language_id
 from colloquy.llm.mixing import op8_mixing
 from colloquy.llm.quality_classifier import op1_quality_classifier
@@ -17,6 +18,7 @@ QUERIES = {
     "op4_decontamination": op4_decontamination,
     "op5_sharding": op5_sharding,
     "op6_secret_scan": op6_secret_scan,
+    "op7_embedding_dedup": op7_embedding_dedup,
     "op8_mixing": op8_mixing,
     "op9_simhash_dedup": op9_simhash_dedup,
     "op10_toxicity": op10_toxicity,
@@ -24,4 +26,5 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op4_decontamination": OP4_SQL,
+    "op7_embedding_dedup": OP7_SQL,
 }
