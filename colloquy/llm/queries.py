@@ -5,6 +5,7 @@ from __future__ import annotations
 from colloquy.llm.decontamination import OP4_SQL, op4_decontamination
 from colloquy.llm.embedding_dedup import OP7_SQL, op7_embedding_dedup
 from colloquy.llm.language_id import op3_language_id
+from colloquy.llm.lm_scoring import op2_lm_scoring
 from colloquy.llm.mixing import op8_mixing
 from colloquy.llm.quality_classifier import op1_quality_classifier
 from colloquy.llm.secret_scan import op6_secret_scan
@@ -14,6 +15,7 @@ from colloquy.llm.toxicity import op10_toxicity
 
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
+    "op2_lm_scoring": op2_lm_scoring,
     "op3_language_id": op3_language_id,
     "op4_decontamination": op4_decontamination,
     "op5_sharding": op5_sharding,
