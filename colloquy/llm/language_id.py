@@ -117,7 +117,9 @@ def fit(rows: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
 
     def counted(batches):
         for batch in batches:
-            yield term_counts(batch)
+            found = term_counts(batch)
+            if len(found):
+                yield found
 
     terms = chosen.mapInPandas(counted, "lang string, size int, term string, n long").groupBy("lang", "size", "term").agg(F.sum("n").alias("n"))
     order = W.partitionBy("lang", "size").orderBy(F.desc("n"), "term")
