@@ -35,6 +35,7 @@ SURE_CHARS = 300
 MIN_WORDS = 20
 EM_ROUNDS = 200
 PRIOR_SHARE = 0.02
+GOOD_SHARE = 0.8
 
 NOTHING, JUNK, GOOD = 0, 1, 2
 #: Labellers of one measure, from 0 to 1: junk from the first number on, good up to the second (None: never).
@@ -132,16 +133,16 @@ def estimate(patterns: list[tuple[int, int]]) -> tuple[dict[int, float], np.ndar
     A labeller's accuracy is its table of vote shares in the two classes. Labellers look for different
     kinds of junk, so most of them miss most of it, while they seldom call good texts junk; EM starts
     there, and PRIOR_SHARE of the texts count as seen so in advance, which keeps it from taking one
-    kind of junk for all of it.
+    kind of junk for all of it. Texts without votes count as good with GOOD_SHARE, at any share of junk.
     """
     start = np.empty((len(LABELLERS), 2, 3))
     start[:, 0], start[:, 1] = (0.60, 0.30, 0.10), (0.49, 0.01, 0.50)
     if not patterns:
-        return {}, start, 0.8
+        return {}, start, GOOD_SHARE
     vote = np.array([decode(p) for p, _ in patterns])
     count = np.array([c for _, c in patterns], float)
     voted = (vote != NOTHING).any(axis=1)
-    each, seen, prior, shares = np.arange(len(LABELLERS)), max(1.0, PRIOR_SHARE * count.sum()), 0.8, start.copy()
+    each, seen, prior, shares = np.arange(len(LABELLERS)), max(1.0, PRIOR_SHARE * count.sum()), GOOD_SHARE, start.copy()
     for _ in range(EM_ROUNDS):
         logs = [np.log(shares[each, c, vote]).sum(axis=1) for c in (0, 1)]
         good = 1 / (1 + np.exp(-np.clip(np.log(prior / (1 - prior)) + logs[1] - logs[0], -50, 50)))
@@ -149,11 +150,11 @@ def estimate(patterns: list[tuple[int, int]]) -> tuple[dict[int, float], np.ndar
             for v in range(3):
                 shares[:, c, v] = seen * start[:, c, v] + (weight[voted, None] * (vote[voted] == v)).sum(axis=0)
             shares[:, c] /= shares[:, c].sum(axis=1, keepdims=True)
-        new = (1 + (count * good)[voted].sum()) / (2 + count[voted].sum())
+        new = (seen * GOOD_SHARE + (count * good)[voted].sum()) / (seen + count[voted].sum())
         done, prior = abs(new - prior) < 1e-9, new
         if done:
             break
-    return {p: float(g) if any_vote else float(prior) for (p, _), g, any_vote in zip(patterns, good, voted, strict=True)}, shares, float(prior)
+    return {p: float(g) if any_vote else GOOD_SHARE for (p, _), g, any_vote in zip(patterns, good, voted, strict=True)}, shares, float(prior)
 
 
 def features(text: str) -> tuple[np.ndarray, np.ndarray]:
