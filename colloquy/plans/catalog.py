@@ -2,5 +2,464 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from colloquy.functions import prompts, replies, text
+from colloquy.operators import completion, sessions
+from colloquy.sources import frames
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+# --- sessions -----------------------------------------------------------------------------------
+
+
+@query("""SELECT conv_id AS session_id, count(*) AS message_count, substring(arg_min(text, turn) FILTER (role = 'user'), 1, 120) AS preview, max(turn) AS last_turn
+FROM conversations GROUP BY conv_id ORDER BY last_turn DESC, conv_id""")
+def session_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sessions.summaries(frames.messages(spark, sf_dir)).orderBy(F.desc("last_turn"), "session_id")
+
+
+@query("""SELECT conv_id AS session_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS transcript FROM conversations GROUP BY conv_id""")
+def session_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = F.transform("messages", lambda m: F.concat(m["role"], F.lit(": "), m["content"]))
+    return sessions.transcripts(frames.messages(spark, sf_dir)).select("session_id", F.array_join(lines, "\n").alias("transcript"))
+
+
+LAST_N = """SELECT conv_id AS session_id, turn, role, text AS content FROM conversations
+QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= {n}"""
+
+
+@query(LAST_N.format(n=3))
+def history_last_3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sessions.history(frames.messages(spark, sf_dir), 3)
+
+
+@query(LAST_N.format(n=20))
+def history_last_20(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sessions.history(frames.messages(spark, sf_dir))
+
+
+def _last(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sessions.last_activity(frames.events(spark, sf_dir), "user_id")
+
+
+@query("""WITH last AS (SELECT user_id, max(ts) AS updated_at FROM events GROUP BY user_id)
+SELECT user_id, updated_at < (SELECT max(ts) FROM events) - INTERVAL 180 MINUTE AS expired FROM last""")
+def session_expiry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    last = _last(spark, sf_dir)
+    now = last.agg(F.max("updated_at").alias("now"))
+    return last.join(F.broadcast(now)).select("user_id", sessions.is_expired(F.col("updated_at"), F.col("now")).alias("expired"))
+
+
+@query("""WITH last AS (SELECT user_id, max(ts) AS updated_at FROM events GROUP BY user_id)
+SELECT count(*) FILTER (updated_at >= (SELECT max(ts) FROM events) - INTERVAL 180 MINUTE) AS live, count(*) AS known FROM last""")
+def live_session_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return session_expiry(spark, sf_dir).agg(F.count_if(~F.col("expired")).alias("live"), F.count("*").alias("known"))
+
+
+SESSIONIZED = """WITH gaps AS (SELECT *, coalesce((ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) > INTERVAL {gap}, true)::INT AS new FROM events),
+numbered AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session_no FROM gaps)
+"""
+
+
+@query(SESSIONIZED.format(gap="180 MINUTE") + """SELECT user_id, session_no::BIGINT AS session_no, count(*) AS n, epoch_us(min(ts)) AS first_us, epoch_us(max(ts)) AS last_us FROM numbered GROUP BY ALL""")
+def ttl_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sessions.sessionize(frames.events(spark, sf_dir), "user_id")
+    return found.groupBy("user_id", "session_no").agg(F.count("*").alias("n"), F.unix_micros(F.min("ts")).alias("first_us"), F.unix_micros(F.max("ts")).alias("last_us"))
+
+
+@query(SESSIONIZED.format(gap="1 SECOND") + """SELECT user_id, session_no::BIGINT AS session_no, count(*) AS n FROM numbered GROUP BY ALL""")
+def silence_utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sessions.sessionize(frames.events(spark, sf_dir), "user_id", seconds=1)
+    return found.groupBy("user_id", "session_no").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT user_id, epoch_us(max(ts)) AS last_us FROM events GROUP BY user_id ORDER BY max(ts) DESC, user_id LIMIT 500""")
+def lru_kept_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sessions.within_capacity(_last(spark, sf_dir), "user_id").select("user_id", F.unix_micros("updated_at").alias("last_us"))
+
+
+@query("""WITH stored AS (SELECT conv_id::VARCHAR AS id, 'style ' || max(turn) AS profile FROM conversations WHERE role = 'assistant' GROUP BY conv_id),
+requests AS (SELECT conv_id * 1000 + turn AS request_id, CASE WHEN turn % 3 = 0 THEN '' ELSE conv_id::VARCHAR END AS session_id, CASE WHEN turn = 2 THEN 'given' END AS profile FROM conversations WHERE role = 'user')
+SELECT request_id, coalesce(id, md5(request_id::VARCHAR)) AS session_id, coalesce(requests.profile, stored.profile) AS profile, id IS NULL AS created
+FROM requests LEFT JOIN stored ON stored.id = nullif(requests.session_id, '')""")
+def session_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = frames.messages(spark, sf_dir).withColumn("session", F.col("session_id").cast("string"))
+    stored = rows.filter("role = 'assistant'").groupBy(F.col("session").alias("session_id")).agg(F.concat(F.lit("style "), F.max("turn").cast("string")).alias("profile"))
+    requests = rows.filter("role = 'user'").select(
+        (F.col("session_id") * 1000 + F.col("turn")).alias("request_id"),
+        F.when(F.col("turn") % 3 == 0, "").otherwise(F.col("session")).alias("session_id"),
+        F.when(F.col("turn") == 2, "given").alias("profile"),
+    )
+    return sessions.resolve(requests, stored)
+
+
+@query("""WITH commands AS (SELECT DISTINCT user_id AS id FROM events WHERE event_type = 'error' AND value > 60), stored AS (SELECT DISTINCT conv_id AS id FROM conversations)
+SELECT commands.id AS session_id, stored.id IS NOT NULL AS deleted FROM commands LEFT JOIN stored USING (id)""")
+def session_deletes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    commands = frames.events(spark, sf_dir).filter("event_type = 'error' and value > 60").select(F.col("user_id").alias("session_id"))
+    return sessions.delete(frames.messages(spark, sf_dir), commands)[1]
+
+
+@query("""SELECT conv_id AS session_id, count(*) AS messages FROM conversations WHERE conv_id NOT IN (SELECT user_id FROM events WHERE event_type = 'error' AND value > 60) GROUP BY conv_id""")
+def sessions_left_after_deletes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    commands = frames.events(spark, sf_dir).filter("event_type = 'error' and value > 60").select(F.col("user_id").alias("session_id"))
+    return sessions.delete(frames.messages(spark, sf_dir), commands)[0].groupBy("session_id").agg(F.count("*").alias("messages"))
+
+
+@query("""SELECT conv_id AS session_id, turn, role FROM conversations c
+WHERE NOT (role = 'user' AND NOT EXISTS (SELECT 1 FROM conversations n WHERE n.conv_id = c.conv_id AND n.turn = c.turn + 1 AND n.role = 'assistant'))""")
+def rolled_back_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = frames.messages(spark, sf_dir)
+    after = F.lead("role").over(W.partitionBy("session_id").orderBy("turn"))
+    following = F.lead("turn").over(W.partitionBy("session_id").orderBy("turn"))
+    failed = rows.withColumn("answered", F.coalesce((after == "assistant") & (following == F.col("turn") + 1), F.lit(False))).filter("role = 'user' and not answered")
+    return sessions.without_rolled_back(rows, failed).select("session_id", "turn", "role")
+
+
+@query("""SELECT user_id, arg_max(event_type, event_id) AS event_type, max(event_id) AS event_id FROM events GROUP BY user_id""")
+def upserted_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sessions.latest(frames.events(spark, sf_dir), "user_id", "event_id", "event_type")
+
+
+@query("""SELECT user_id, CASE arg_max(event_type, event_id) WHEN 'view' THEN 'listening' WHEN 'click' THEN 'thinking' WHEN 'purchase' THEN 'speaking' WHEN 'error' THEN 'error' ELSE 'idle' END AS stage FROM events GROUP BY user_id""")
+def current_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    last = sessions.latest(frames.events(spark, sf_dir), "user_id", "event_id", "event_type")
+    stage = F.when(F.col("event_type") == "view", "listening").when(F.col("event_type") == "click", "thinking").when(F.col("event_type") == "purchase", "speaking").when(F.col("event_type") == "error", "error")
+    return last.select("user_id", stage.otherwise("idle").alias("stage"))
+
+
+@query("""SELECT user_id, props, min(event_id) AS event_id FROM events GROUP BY user_id, props""")
+def single_submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frames.events(spark, sf_dir).groupBy("user_id", "props").agg(F.min("event_id").alias("event_id"))
+
+
+@query(SESSIONIZED.format(gap="180 MINUTE") + """SELECT user_id, session_no::BIGINT AS session_no,
+epoch_us(min(ts) FILTER (event_type = 'click')) - epoch_us(min(ts)) AS to_click, epoch_us(min(ts) FILTER (event_type = 'view')) - epoch_us(min(ts)) AS to_view, epoch_us(max(ts)) - epoch_us(min(ts)) AS to_end
+FROM numbered GROUP BY ALL""")
+def turn_latencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sessions.sessionize(frames.events(spark, sf_dir), "user_id").withColumn("us", F.unix_micros("ts"))
+    first = lambda kind: (F.min(F.when(F.col("event_type") == kind, F.col("us"))) - F.min("us")).alias(f"to_{kind}")
+    return found.groupBy("user_id", "session_no").agg(first("click"), first("view"), (F.max("us") - F.min("us")).alias("to_end"))
+
+
+# --- text ---------------------------------------------------------------------------------------
+
+
+@query(r"""WITH found AS (SELECT doc_id, list_transform(regexp_extract_all(text, '\S[\s\S]{10,}?[.!?]+["'')\]]*\s'), lambda x: rtrim(x, chr(10) || chr(13) || chr(9) || ' ')) AS s FROM documents)
+SELECT doc_id, i AS at, s[i] AS sentence FROM (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS i FROM found)""")
+def document_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    found = docs.select("doc_id", F.posexplode(text.sentences(F.col("text"))).alias("at", "sentence"))
+    return found.select("doc_id", (F.col("at") + 1).cast("long").alias("at"), "sentence")
+
+
+@query(r"""SELECT doc_id, length(regexp_replace(trim(text, chr(10) || chr(9) || chr(13) || ' '), '\s+', ' ', 'g')) AS n, md5(regexp_replace(trim(text, chr(10) || chr(9) || chr(13) || ' '), '\s+', ' ', 'g')) AS collapsed FROM documents""")
+def collapsed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plain = text.collapse(F.col("text"))
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.length(plain).cast("long").alias("n"), F.md5(plain).alias("collapsed"))
+
+
+@query("""SELECT conv_id AS session_id, turn, substring(text, 1, 60) || CASE WHEN length(text) > 60 THEN '…' ELSE '' END AS label FROM conversations""")
+def message_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frames.messages(spark, sf_dir).select("session_id", "turn", text.ellipsis(F.col("content")).alias("label"))
+
+
+@query(r"""WITH no_sentence AS (SELECT conv_id, turn, text, len(regexp_extract_all(text, '\S[\s\S]{10,}?[.!?]+["'')\]]*\s')) AS n FROM conversations)
+SELECT conv_id AS session_id, turn, CASE WHEN n = 0 THEN coalesce(nullif(regexp_extract(text, '^([\s\S]{13,}?[,;:—-])\s', 1), ''), nullif(regexp_extract(text, '^([\s\S]{22,}?)\s', 1), '')) END AS opening FROM no_sentence""")
+def message_openings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frames.messages(spark, sf_dir).select("session_id", "turn", text.opening(F.col("content")).alias("opening"))
+
+
+def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The assistant's messages as streamed tokens, an empty one among them."""
+    rows = frames.messages(spark, sf_dir).filter("role = 'assistant'")
+    seq = rows.select((F.col("session_id") * 1000 + F.col("turn")).alias("request_id"), F.posexplode(F.concat(text.tokens(F.col("content")), F.array(F.lit("")))).alias("seq", "token"))
+    return seq.withColumn("seq", F.col("seq").cast("long"))
+
+
+@query(r"""SELECT conv_id * 1000 + turn AS request_id, trim(text, chr(10) || chr(9) || chr(13) || ' ') AS reply, len(regexp_extract_all(text, '\S+\s*')) AS n_tokens FROM conversations WHERE role = 'assistant'""")
+def folded_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sessions.replies(_tokens(spark, sf_dir))
+
+
+# --- sources and frames -------------------------------------------------------------------------
+
+
+def _payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.lit(None).cast("string")
+    kind = F.when(F.col("token") == "", F.lit("done")).otherwise(F.lit("token"))
+    payload = F.struct(kind.alias("type"), F.col("request_id").cast("string").alias("session_id"), name.alias("model"), F.col("token").alias("content"))
+    return _tokens(spark, sf_dir).select("request_id", "seq", frames.sse(payload).alias("frame"))
+
+
+@query(r"""WITH t AS (SELECT conv_id * 1000 + turn AS request_id, list_append(regexp_extract_all(text, '\S+\s*'), '') AS w FROM conversations WHERE role = 'assistant')
+SELECT request_id, i - 1 AS seq, 'data: {"type":"' || CASE WHEN w[i] = '' THEN 'done' ELSE 'token' END || '","session_id":"' || request_id || '","model":null,"content":' || to_json(w[i]) || '}' || chr(10) || chr(10) AS frame
+FROM (SELECT request_id, w, unnest(range(1, len(w) + 1)) AS i FROM t)""")
+def sse_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _payloads(spark, sf_dir)
+
+
+@query(r"""WITH t AS (SELECT conv_id * 1000 + turn AS request_id, regexp_extract_all(text, '\S+\s*') AS w FROM conversations WHERE role = 'assistant')
+SELECT request_id, count(*) AS events, count(*) FILTER (i <= len(w)) AS tokens FROM (SELECT request_id, w, unnest(range(1, len(w) + 2)) AS i FROM t) GROUP BY request_id""")
+def sse_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bodies of frames with a malformed one, one without data, the end mark and an unfinished one; parsed again."""
+    frames_of = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", "frame"))), lambda x: x["frame"]), "")
+    noise = F.lit('data: {"type": oops\n\nevent: ping\n\n')
+    bodies = _payloads(spark, sf_dir).groupBy("request_id").agg(F.concat(noise, frames_of, F.lit('data: [DONE]\n\ndata: {"type":"token"}')).alias("body"))
+    return frames.sse_events(bodies).groupBy("request_id").agg(F.count("*").alias("events"), F.count_if(F.col("event.type") == "token").alias("tokens"))
+
+
+@query(r"""WITH t AS (SELECT conv_id * 1000 + turn AS request_id, regexp_extract_all(text, '\S+\s*') AS w FROM conversations WHERE role = 'assistant')
+SELECT request_id, 'token*done' AS protocol, true AS complete FROM t""")
+def stream_protocol(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each request's events are tokens and then one done."""
+    kinds = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", F.when(F.col("token") == "", "d").otherwise("t").alias("k")))), lambda x: x["k"]), "")
+    found = _tokens(spark, sf_dir).groupBy("request_id").agg(kinds.alias("kinds"))
+    return found.select("request_id", F.lit("token*done").alias("protocol"), F.regexp_like("kinds", F.lit("^t*d$")).alias("complete"))
+
+
+@query(r"""SELECT conv_id * 1000 + turn AS request_id, (turn % 2 = 0)::INT::BIGINT AS good, (turn % 2 = 1)::INT::BIGINT AS bad FROM conversations""")
+def ndjson_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of every message, each second of them malformed, and a blank line each."""
+    chunk = F.to_json(F.struct(F.struct(F.col("role"), F.col("content")).alias("message"), F.lit(False).alias("done")))
+    rows = frames.messages(spark, sf_dir).withColumn("request_id", F.col("session_id") * 1000 + F.col("turn"))
+    lines = rows.select("request_id", F.explode(F.array(F.when(F.col("turn") % 2 == 0, chunk).otherwise(F.concat(chunk, F.lit("}{"))), F.lit("  "))).alias("line"))
+    good, bad = frames.ndjson_chunks(lines)
+    both = good.select("request_id", F.lit(1).alias("good"), F.lit(0).alias("bad")).union(bad.select("request_id", F.lit(0).alias("good"), F.lit(1).alias("bad")))
+    return both.groupBy("request_id").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
+
+
+@query("""SELECT p_brand || ':' || p_partkey AS name, p_size::BIGINT AS size_bytes, NULL::VARCHAR AS parameter_size, p_type AS quantization, CASE WHEN p_partkey % 5 <> 0 THEN p_name END AS family, '2024' AS modified_at FROM part""")
+def model_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    details = F.struct(F.col("p_type").alias("quantization_level"), F.when(F.col("p_partkey") % 5 != 0, F.col("p_name")).alias("family"))
+    model = F.struct(F.concat_ws(":", "p_brand", F.col("p_partkey").cast("string")).alias("name"), F.col("p_size").cast("long").alias("size"), F.lit("2024").alias("modified_at"), details.alias("details"))
+    return frames.catalog(part.select(F.to_json(F.struct(F.array(model).alias("models"))).alias("body")))
+
+
+@query("""WITH names AS (SELECT list(DISTINCT p_brand || ':' || p_size) AS n FROM part WHERE p_size <= 25)
+SELECT p_partkey, list_contains(n, p_brand || ':' || p_size) AS by_name, list_contains(list_transform(n, lambda x: split_part(x, ':', 1)), p_brand) AS by_family FROM part, names""")
+def model_availability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each part's full name and brand, sought in the catalog of the smaller ones (brands and sizes are few)."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").withColumn("name", F.concat_ws(":", "p_brand", F.col("p_size").cast("string")))
+    names = part.filter("p_size <= 25").agg(F.collect_set("name").alias("n"))
+    return part.join(F.broadcast(names)).select("p_partkey", replies.is_available(F.col("n"), F.col("name")).alias("by_name"), replies.is_available(F.col("n"), F.col("p_brand")).alias("by_family"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_size % 3 > 0 AND p_size % 2 = 0 THEN 'ok' ELSE 'degraded' END AS status FROM part""")
+def health_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", replies.health(F.col("p_size") % 3 > 0, F.col("p_size") % 2 == 0).alias("status"))
+
+
+STATUS = "CASE event_type WHEN 'view' THEN 200 WHEN 'click' THEN 404 WHEN 'signup' THEN 500 WHEN 'error' THEN 0 END"
+
+
+@query(f"""WITH c AS (SELECT event_id, props, {STATUS} AS s FROM events)
+SELECT event_id, CASE WHEN s IS NULL THEN 503 WHEN s = 0 THEN 504 WHEN s = 404 THEN 404 WHEN s >= 400 THEN 502 END AS status,
+CASE WHEN s IS NULL THEN 'The model service can''t be reached. Start the model service.' WHEN s = 0 THEN 'The model service timed out.' WHEN s = 404 THEN 'Model ''m'' is not available. Download ''m'' once.' WHEN s >= 400 THEN 'The model service returned 500: ' || props ELSE '' END AS said FROM c""")
+def call_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls = frames.events(spark, sf_dir).withColumn("error", replies.error_of(F.expr(STATUS), F.col("props"), F.lit("m")))
+    return calls.select("event_id", "error.status", text.joined(F.col("error.detail"), F.col("error.hint")).alias("said"))
+
+
+@query("""SELECT event_id, least(100, floor(100 * value / k + 0.5))::BIGINT AS progress FROM (SELECT event_id, value, (props->>'k')::INT AS k FROM events) WHERE k > 0
+UNION ALL SELECT event_id, NULL FROM events WHERE (props->>'k')::INT <= 0""")
+def load_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.get_json_object("props", "$.k").cast("int")
+    progress = F.when(k > 0, F.least(F.lit(100), F.floor(100 * F.col("value") / k + 0.5)))
+    return frames.events(spark, sf_dir).select("event_id", progress.cast("long").alias("progress"))
+
+
+@query("""SELECT count(*) AS total, count(*) FILTER (value > 10) AS passed, bool_or(value > 90) AS any_high, bool_and(value >= 0) AS all_positive, event_type FROM events GROUP BY event_type""")
+def pass_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ok = F.col("value") > 10
+    return frames.events(spark, sf_dir).groupBy("event_type").agg(F.count("*").alias("total"), F.count_if(ok).alias("passed"), F.bool_or(F.col("value") > 90).alias("any_high"), F.bool_and(F.col("value") >= 0).alias("all_positive"))
+
+
+@query("""SELECT page_id, CASE WHEN length(html) = 0 THEN 'empty' WHEN html LIKE '%text/html%' THEN 'stale' ELSE 'fresh' END AS state FROM pages""")
+def cache_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stale = F.contains(F.coalesce("html", F.lit("")), F.lit("text/html"))
+    state = F.when(F.length("html") == 0, "empty").when(stale, "stale").otherwise("fresh")
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", state.alias("state"))
+
+
+@query("""SELECT c_custkey, c_mktsegment AS second, 2 AS n FROM customer""")
+def listed_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = text.listed(F.concat(F.col("c_name"), F.lit(", ,"), F.col("c_mktsegment"), F.lit(" ")))
+    return spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", F.try_element_at(items, F.lit(2)).alias("second"), F.size(items).cast("long").alias("n"))
+
+
+@query("""SELECT conv_id AS session_id, turn, CASE WHEN length(text) = 0 THEN 'message' WHEN turn > 5 THEN 'temperature' WHEN role NOT IN ('user', 'assistant') THEN 'role' END AS rejected FROM conversations""")
+def validated_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    why = F.when(F.length("content") == 0, "message").when(~(F.col("turn") * 0.4).between(0, 2), "temperature").when(~F.col("role").isin("user", "assistant"), "role")
+    return frames.messages(spark, sf_dir).select("session_id", "turn", why.alias("rejected"))
+
+
+@query("""SELECT conv_id AS session_id, turn, '{"model":"' || CASE WHEN turn % 2 = 0 THEN 'small:1b' ELSE 'm' || turn END || '","messages":[{"role":"' || role || '","content":' || to_json(text) || '}],"stream":false,"options":{"temperature":' || CASE WHEN turn = 0 THEN '0.0' ELSE '0.4' END || ',"num_predict":800}}' AS payload FROM conversations""")
+def request_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = F.when(F.col("turn") % 2 == 0, "").otherwise(F.concat(F.lit("m"), F.col("turn").cast("string")))
+    body = completion.payload(model, F.when(F.col("turn") == 0, 0.0), F.lit(None).cast("int"), F.array(F.struct("role", "content")))
+    return frames.messages(spark, sf_dir).select("session_id", "turn", body.alias("payload"))
+
+
+# --- replies ------------------------------------------------------------------------------------
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 7 > 0 THEN round(k / ((event_id % 7) * 250000000 / 1e9), 2) ELSE 0.0 END AS tokens_per_second, floor(value * 1e6 / 1e6)::BIGINT AS total_ms FROM (SELECT *, (props->>'k')::INT AS k FROM events)""")
+def usage_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, ns = F.get_json_object("props", "$.k").cast("int"), F.col("event_id") % 7 * 250000000
+    return frames.events(spark, sf_dir).select("event_id", replies.tokens_per_second(k, ns).alias("tokens_per_second"), replies.milliseconds(F.col("value") * 1e6).alias("total_ms"))
+
+
+@query("""SELECT p_partkey, least(4096, 200 + 160 * p_size) AS budget FROM part WHERE p_size % 4 > 0 UNION ALL SELECT p_partkey, p_size FROM part WHERE p_size % 4 = 0""")
+def token_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = F.when(F.col("p_size") % 4 == 0, F.col("p_size"))
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", replies.token_budget(given, F.col("p_size")).alias("budget"))
+
+
+QUIZ_ITEMS = r"""WITH w AS (SELECT doc_id, regexp_split_to_array(trim(text, chr(10) || ' '), '\s+')[1:5] AS w FROM documents),
+q AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN [] ELSE w[1:4] END AS o, CASE doc_id % 4 WHEN 0 THEN ' ' || w[3] || ' ' WHEN 1 THEN 'it is ' || w[2] WHEN 2 THEN '' ELSE w[5] END AS a FROM w),
+n AS (SELECT doc_id, lower(trim(a)) AS t, list_transform(o, lambda x: lower(x)) AS o, a FROM q)
+"""
+
+
+@query(QUIZ_ITEMS + """SELECT doc_id, len(o)::INT AS n_options, CASE WHEN coalesce(a, '') = '' THEN 0 WHEN list_contains(o, t) THEN list_position(o, t) - 1 ELSE coalesce(list_filter(range(len(o)), lambda i: o[i + 1] <> '' AND (contains(t, o[i + 1]) OR contains(o[i + 1], t)))[1], 0) END::INT AS answer_index FROM n WHERE len(o) > 0""")
+def quiz_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quiz items of the first words of every document; those without options are dropped."""
+    words = F.slice(F.split(F.regexp_replace("text", r"^[\n ]+|[\n ]+$", ""), r"\s+"), 1, 5)
+    at = lambda k: F.try_element_at("w", F.lit(k))
+    answer = F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit(" "), at(3), F.lit(" "))).when(F.col("doc_id") % 4 == 1, F.concat(F.lit("it is "), at(2))).when(F.col("doc_id") % 4 == 2, "").otherwise(at(5))
+    options = F.when(F.col("doc_id") % 5 == 0, F.array().cast("array<string>")).otherwise(F.slice("w", 1, 4))
+    items = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", words.alias("w")).select("doc_id", options.alias("options"), answer.alias("answer"))
+    return items.filter(F.size("options") > 0).select("doc_id", F.size("options").alias("n_options"), replies.answer_index(F.col("answer"), F.col("options")).alias("answer_index"))
+
+
+VERDICT = "CASE event_type WHEN 'view' THEN 'correct' WHEN 'click' THEN 'partially_correct' WHEN 'signup' THEN 'incorrect' ELSE 'great' END"
+
+
+@query(f"""WITH g AS (SELECT event_id, CASE WHEN event_id % 3 < 2 THEN event_id % 3 = 0 END AS wrong, {VERDICT} AS v, event_id % 150 - 20 AS s FROM events),
+b AS (SELECT event_id, coalesce(wrong, false) AS wrong, CASE WHEN v = 'great' THEN 'partially_correct' ELSE v END AS v, least(100, greatest(0, s)) AS s FROM g)
+SELECT event_id, CASE WHEN wrong THEN 'incorrect' ELSE v END AS verdict, CASE WHEN wrong THEN least(s, 39) WHEN v = 'correct' THEN greatest(s, 85) ELSE s END AS score FROM b""")
+def reconciled_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wrong = F.when(F.col("event_id") % 3 < 2, F.col("event_id") % 3 == 0)
+    verdict, score = replies.grade(wrong, F.expr(VERDICT), F.col("event_id") % 150 - 20)
+    return frames.events(spark, sf_dir).select("event_id", verdict.alias("verdict"), score.cast("long").alias("score"))
+
+
+PROFILE = "CASE conv_id % 4 WHEN 0 THEN 'socratic' WHEN 1 THEN 'direct' WHEN 2 THEN 'exam_prep' ELSE 'other' END"
+
+
+def _sql(text: str) -> str:
+    return text.replace("'", "''")
+
+
+PROMPT_SQL = f"""concat_ws(' ', '{_sql(prompts.OPENING)}', CASE WHEN conv_id % 3 > 0 THEN 'Subject: topic ' || conv_id || '.' END, CASE WHEN conv_id % 5 > 0 THEN 'The student''s level is: beginner. Match your vocabulary to it.' END,
+'{_sql(prompts.LENGTH_RULE)}', '{_sql(prompts.HONESTY_RULE)}', 'Reply in ' || CASE WHEN conv_id % 2 = 0 THEN 'French' ELSE 'English' END || '.', 'Most important rule: ' || CASE conv_id % 4 WHEN 1 THEN '{_sql(prompts.STYLES["direct"])}' WHEN 2 THEN '{_sql(prompts.STYLES["exam_prep"])}' ELSE '{_sql(prompts.STYLES["socratic"])}' END)"""
+
+
+def _system(conv_id):
+    none = F.lit(None).cast("string")
+    subject = F.when(conv_id % 3 > 0, F.concat(F.lit("topic "), conv_id.cast("string"))).otherwise("")
+    style = F.when(conv_id % 4 == 0, "socratic").when(conv_id % 4 == 1, "direct").when(conv_id % 4 == 2, "exam_prep").otherwise("other")
+    return prompts.system_prompt(subject, F.when(conv_id % 5 > 0, "beginner"), none, F.when(conv_id % 2 == 0, "French"), style), style
+
+
+@query(f"""SELECT DISTINCT conv_id AS session_id, {PROMPT_SQL} AS prompt FROM conversations""")
+def system_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frames.messages(spark, sf_dir).select("session_id").distinct().select("session_id", _system(F.col("session_id"))[0].alias("prompt"))
+
+
+@query(f"""SELECT conv_id AS session_id, turn, {PROFILE} = 'socratic' AND NOT trim(text, chr(10) || ' ') LIKE '%?' AS drifted FROM conversations WHERE role = 'assistant'""")
+def drifted_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = frames.messages(spark, sf_dir).filter("role = 'assistant'")
+    return rows.select("session_id", "turn", replies.needs_retry(F.col("content"), _system(F.col("session_id"))[1]).alias("drifted"))
+
+
+@query("""SELECT doc_id, 2 AS n_messages, printf('Explain: document %d', doc_id) AS head, 'Topic: document ' || doc_id || chr(10) || 'Write 3 ' || CASE WHEN doc_id % 2 = 0 THEN 'easy' ELSE 'hard' END || ' multiple-choice' AS quiz_head,
+CASE WHEN doc_id % 2 = 0 THEN 4 ELSE 3 END AS grade_lines FROM documents""")
+def task_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.concat(F.lit("document "), F.col("doc_id").cast("string")).alias("topic"))
+    level = F.lit("beginner")
+    even = F.col("doc_id") % 2 == 0
+    explain = prompts.explain_messages(F.col("topic"), level, F.lit("English"))
+    quiz = prompts.quiz_messages(F.col("topic"), F.lit(3), F.lit(4), F.when(even, "easy").otherwise("hard"), level)
+    graded = prompts.grade_messages(F.col("topic"), F.lit("an answer"), F.when(even, "the answer").otherwise(""), level)
+    return docs.select(
+        "doc_id",
+        F.size(explain).cast("long").alias("n_messages"),
+        F.split(explain[1]["content"], "\n")[0].alias("head"),
+        F.regexp_extract(quiz[1]["content"], r"^[\s\S]*? multiple-choice", 0).alias("quiz_head"),
+        F.size(F.split(graded[1]["content"], "\n")).alias("grade_lines"),
+    )
+
+
+# --- completions: no SQL, as they call a completer or parse leniently ------------------------------
+
+
+def _cut(df: DataFrame, name: str) -> DataFrame:
+    """Cuts the lineage, so that a completer isn't called again for the same request."""
+    context = df.sparkSession.sparkContext
+    if df.sparkSession.conf.get("spark.checkpoint.dir", None) is None and context.getCheckpointDir() is None:
+        import tempfile
+
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return df.checkpoint()
+
+
+@query()
+def chat_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stubbed reply to every conversation's last 20 messages, with the socratic re-ask."""
+    rows = sessions.transcripts(sessions.history(frames.messages(spark, sf_dir).filter("role <> 'system'")))
+    system, style = _system(F.col("session_id"))
+    question = F.try_element_at("messages", F.lit(-1))["content"]
+    requests = rows.select(F.col("session_id").alias("request_id"), question.alias("question"), style.alias("style"), prompts.chat_messages(F.col("messages"), system).alias("messages"))
+    return completion.chat(requests, _cut)
+
+
+def _structured(spark: SparkSession, sf_dir: str, body) -> DataFrame:
+    rows = frames.messages(spark, sf_dir).withColumn("request_id", F.concat_ws("-", "session_id", "turn"))
+    fenced = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).when(F.col("turn") % 3 == 1, F.concat(F.lit("Sure: "), body, F.lit(" done"))).otherwise(F.concat(F.lit("{'"), body))
+    return rows.select("request_id", fenced.alias("reply"))
+
+
+@query()
+def explain_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    body = F.to_json(F.struct(F.col("content").alias("summary"), F.array("role").alias("key_points")))
+    return completion.explanations(_structured(spark, sf_dir, body))
+
+
+@query()
+def quiz_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    item = F.struct(F.col("content").alias("question"), F.array(F.lit("a"), F.col("role")).alias("options"), F.col("role").alias("answer"))
+    return completion.quizzes(_structured(spark, sf_dir, F.to_json(F.struct(F.array(item).alias("questions")))))
+
+
+@query()
+def evaluate_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    body = F.to_json(F.struct((F.col("turn") == 1).alias("is_anything_wrong"), F.lit("correct").alias("verdict"), (F.col("turn") * 20).alias("score")))
+    return completion.grades(_structured(spark, sf_dir, body))
+
+
+@query()
+def streamed_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events through Structured Streaming: sessions that the watermark has closed."""
+    import uuid
+
+    from colloquy.streaming import folds
+
+    return folds.replay(folds.closed_sessions(folds.event_stream(spark, sf_dir), "user_id"), f"sessions_{uuid.uuid4().hex}")
