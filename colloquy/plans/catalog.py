@@ -61,8 +61,8 @@ def _last(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT user_id, updated_at < (SELECT max(ts) FROM events) - INTERVAL 180 MINUTE AS expired FROM last""")
 def session_expiry(spark: SparkSession, sf_dir: str) -> DataFrame:
     last = _last(spark, sf_dir)
-    now = last.agg(F.max("updated_at").alias("now"))
-    return last.join(F.broadcast(now)).select("user_id", sessions.is_expired(F.col("updated_at"), F.col("now")).alias("expired"))
+    now = F.lit(last.agg(F.max("updated_at")).first()[0]).cast("timestamp")
+    return last.select("user_id", sessions.is_expired(F.col("updated_at"), now).alias("expired"))
 
 
 @query("""WITH last AS (SELECT user_id, max(ts) AS updated_at FROM events GROUP BY user_id)
@@ -255,10 +255,13 @@ def model_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH names AS (SELECT list(DISTINCT p_brand || ':' || p_size) AS n FROM part WHERE p_size <= 25)
 SELECT p_partkey, list_contains(n, p_brand || ':' || p_size) AS by_name, list_contains(list_transform(n, lambda x: split_part(x, ':', 1)), p_brand) AS by_family FROM part, names""")
 def model_availability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each part's full name and brand, sought in the catalog of the smaller ones (brands and sizes are few)."""
+    """Each part's full name and brand, sought in the catalog of the smaller ones: joins on what a model may be called by."""
     part = spark.read.parquet(f"{sf_dir}/part.parquet").withColumn("name", F.concat_ws(":", "p_brand", F.col("p_size").cast("string")))
-    names = part.filter("p_size <= 25").agg(F.collect_set("name").alias("n"))
-    return part.join(F.broadcast(names)).select("p_partkey", replies.is_available(F.col("n"), F.col("name")).alias("by_name"), replies.is_available(F.col("n"), F.col("p_brand")).alias("by_family"))
+    known = part.filter("p_size <= 25").select("name", F.split("name", ":")[0].alias("family"))
+    names = known.select("name").distinct().withColumn("named", F.lit(True))
+    families = known.select(F.col("family").alias("p_brand")).distinct().withColumn("related", F.lit(True))
+    found = part.join(names, "name", "left").join(families, "p_brand", "left")
+    return found.select("p_partkey", F.coalesce("named", F.lit(False)).alias("by_name"), F.coalesce("related", F.lit(False)).alias("by_family"))
 
 
 @query("""SELECT p_partkey, CASE WHEN p_size % 3 > 0 AND p_size % 2 = 0 THEN 'ok' ELSE 'degraded' END AS status FROM part""")
