@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import held_out, table
+from colloquy.llm.common import held_out, small_or_shuffled, staged, table
 
 SAMPLE_ROWS = 12_000
 STEMS = 4_000
@@ -166,18 +166,33 @@ def fit_line(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
     return tuple(float(v) for v in w)
 
 
-def fit(rows: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Grammar:
-    """rows: text, toxic (0 or 1; nulls teach nothing)."""
-    usable = rows.filter("text is not null and toxic in (0, 1)").select("text", F.col("toxic").cast("int"), F.pmod(F.xxhash64("text"), F.lit(1_000_003)).alias("h"))
-    texts = {r.toxic: r["count"] for r in usable.groupBy("toxic").count().collect()}
-    n = (texts.get(0, 0), texts.get(1, 0))
-    grammar = Grammar()
+def sample(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[DataFrame | None, tuple[int, int], list[float]]:
+    """Texts of a bounded sample of labelled rows (text, toxic, h), all rows' counts by label, and the rates.
+
+    Only ids and hashes are joined with the labels; texts are then looked up for the chosen ids.
+    """
+    h = F.pmod(F.xxhash64("text"), F.lit(1_000_003)).alias("h")
+    texts = docs.filter("text is not null").select("doc_id", h, "text")
+    sure = labels.filter("toxic in (0, 1)").select("doc_id", F.col("toxic").cast("int").alias("toxic")).distinct()
+    known = staged(texts.select("doc_id", "h").join(sure, "doc_id"), "toxicity-labels")
+    found = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
+    n = (found.get(0, 0), found.get(1, 0))
     if not all(n):
+        return None, n, []
+    rate = [min(1.0, sample_rows / 2 / c) for c in n]
+    ids = known.filter(F.col("h") < F.when(F.col("toxic") == 0, rate[0]).otherwise(rate[1]) * 1_000_003).distinct()
+    ids = small_or_shuffled(staged(ids, "toxicity-ids"))
+    return staged(texts.join(ids, ["doc_id", "h"]).select("text", "toxic", "h"), "toxicity-texts"), n, rate
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Grammar:
+    """docs: doc_id, text; labels: doc_id, toxic (0 or 1; nulls teach nothing)."""
+    chosen, n, rate = sample(docs, labels, sample_rows)
+    grammar = Grammar()
+    if chosen is None:
         share = n[1] / max(1, sum(n))
         grammar.line = (math.log((share + 1e-9) / (1 - share + 1e-9)), 0.0, 0.0, 0.0)
         return grammar
-    rate = [min(1.0, sample_rows / 2 / c) for c in n]
-    chosen = usable.filter(F.col("h") < F.when(F.col("toxic") == 0, rate[0]).otherwise(rate[1]) * 1_000_003)
     # Stems come from four texts in five, the line from the others, so that a stem's luck doesn't count.
     for_stems = chosen.filter("h % 5 <> 0").select("text", "toxic")
     for_line = chosen.filter("h % 5 = 0").select("text", "toxic")
@@ -214,14 +229,8 @@ def score(docs: DataFrame, grammar: Grammar, text_col: str = "text", score_col:
     return docs.withColumn(score_col, toxic(F.col(text_col)))
 
 
-def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows (text, toxic) of the training fold. Labels are joined by id; labels of null ids have no text."""
-    ids = labels.filter("toxic is not null").select("doc_id", "toxic").distinct()
-    return docs.filter(~held_out(F.col("doc_id"), 5)).select("doc_id", "text").join(ids, "doc_id").select("text", "toxic")
-
-
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    grammar = fit(labelled(docs, table(spark, sf_dir, "labels")))
+    grammar = fit(docs.filter(~held_out(F.col("doc_id"), 5)), table(spark, sf_dir, "labels"))
     found = score(docs.withColumn("held_out", held_out(F.col("doc_id"), 5)), grammar)
     return found.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
