@@ -43,7 +43,8 @@ def opening_fragments(tokens: DataFrame) -> DataFrame:
     """(request_id, seq, fragment): the fragment and the token at which it was there, once for each request.
 
     It depends on how the text is cut to tokens, so that only a stateful fold over them is exact. The state of
-    a request is its text until then, and is dropped after an hour without tokens.
+    a request is its text until then, and is dropped an hour of event time after its last token. tokens:
+    request_id, seq, token, ts.
     """
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -51,16 +52,18 @@ def opening_fragments(tokens: DataFrame) -> DataFrame:
             state.remove()
             return
         buffer, opened = state.get if state.exists else ("", False)
-        for row in pd.concat(list(batches)).sort_values("seq").itertuples():
+        rows = pd.concat(list(batches)).sort_values("seq")
+        for row in rows.itertuples():
             if not opened:
                 buffer += row.token or ""
                 if fragment := _opening(buffer):
                     opened, buffer = True, ""
                     yield pd.DataFrame({"request_id": [key[0]], "seq": [row.seq], "fragment": [fragment]})
         state.update((buffer, opened))
-        state.setTimeoutDuration(3_600_000)
+        state.setTimeoutTimestamp(max(int(rows["ts"].max().timestamp() * 1000), state.getCurrentWatermarkMs()) + 3_600_000)
 
-    return tokens.groupBy("request_id").applyInPandasWithState(fold, OPENING_OUT, OPENING_STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timed = tokens.withWatermark("ts", "10 minutes").groupBy("request_id")
+    return timed.applyInPandasWithState(fold, OPENING_OUT, OPENING_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def upsert_latest(rows: DataFrame, key: str, order: str, value: str) -> DataFrame:

@@ -89,9 +89,9 @@ def test_streams_replay_as_batches(spark, sf_dir):
 
 
 def test_opening_stream(spark, tmp_path):
-    tokens = [(k, w) for k, w in enumerate("Well, this is a start, and then it goes on for long".replace(" ", " |").split("|"))]
-    spark.createDataFrame([("r", k, w) for k, w in tokens], "request_id string, seq long, token string").coalesce(1).write.parquet(f"{tmp_path}/tokens")
-    stream = spark.readStream.schema("request_id string, seq long, token string").parquet(f"{tmp_path}/tokens")
+    tokens = [(k, w) for k, w in enumerate("Well, |this |is |a |start, |and |then |it |goes |on".split("|"))]
+    spark.createDataFrame([("r", k, w) for k, w in tokens], "request_id string, seq long, token string").withColumn("ts", F.lit("2024-01-01 00:00:00").cast("timestamp")).coalesce(1).write.parquet(f"{tmp_path}/tokens")
+    stream = spark.readStream.schema("request_id string, seq long, token string, ts timestamp").parquet(f"{tmp_path}/tokens")
     found = folds.replay(folds.opening_fragments(stream), "opening_test").collect()
     assert [(r.request_id, r.fragment) for r in found] == [("r", "Well, this is a start,")]
 
