@@ -207,41 +207,58 @@ def fingerprint_links(prints: DataFrame) -> DataFrame:
     return grouped.mapInPandas(compare_sorted, "a long, b long")
 
 
-def classes(prints: DataFrame) -> DataFrame:
-    """Rows (fp, component_id) for rows (doc_id, fp)."""
-    own = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-prints")
-    roots = connected_components(fingerprint_links(own))
+def named_classes(own: DataFrame, links: DataFrame) -> DataFrame:
+    """Rows (fp, root, component_id) for own (fp, least): root numbers a class, component_id is its smallest id."""
+    roots = connected_components(links)
     linked = own.join(roots, own.fp == roots.node).select("fp", "least", "component")
     named = linked.groupBy("component").agg(F.min("least").alias("smallest"))
-    linked = linked.join(named, "component").select("fp", "smallest")
-    return own.join(linked, "fp", "left").select("fp", F.coalesce("smallest", "least").alias("component_id"))
+    linked = linked.join(named, "component").select("fp", "component", "smallest")
+    alone = F.col("component").isNull()
+    # A class of null ids has a null name, whatever its root.
+    return own.join(linked, "fp", "left").select("fp", F.coalesce("component", "fp").alias("root"), F.when(alone, F.col("least")).otherwise(F.col("smallest")).alias("component_id"))
+
+
+def classes(prints: DataFrame) -> DataFrame:
+    """Rows (fp, root, component_id) for rows (doc_id, fp)."""
+    own = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-prints")
+    return named_classes(own, fingerprint_links(own))
 
 
 def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (doc_id, fp, component_id), one for each row of docs."""
     prints = staged(docs.select(F.col(id_col).alias("doc_id"), fingerprint_column(F.col(text_col)).alias("fp")), "simhash-docs")
-    return prints.join(classes(prints), "fp")
-
+    return prints.join(classes(prints).drop("root"), "fp")
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay: of each class the row of the smallest id (one of them, where ids or rows repeat).
 
-    Texts are shuffled once, against ids and hashes of those that stay.
-    """
-    key = [
+def row_key(docs: DataFrame, id_col: str, text_col: str) -> list[Column]:
+    """Columns id, no_id and text_hash, by which rows are found again."""
+    return [
         F.coalesce(F.col(id_col), F.lit(0).cast(docs.schema[id_col].dataType)).alias("id"),
         F.col(id_col).isNull().alias("no_id"),
         F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash"),
     ]
-    prints = staged(docs.select(*key, F.col(id_col).alias("doc_id"), fingerprint_column(F.col(text_col)).alias("fp")), "simhash-docs")
-    least = prints.join(classes(prints), "fp").filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def keep_smallest(docs: DataFrame, key: list[Column], prints: DataFrame, named: DataFrame) -> DataFrame:
+    """The rows of docs that stay, by their classes (named_classes); prints: rows (*key, doc_id, fp).
+
+    Texts are shuffled once, against ids and hashes of those that stay.
+    """
+    least = prints.join(named, "fp").filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
     # A smallest id may come with several texts, or several fingerprints of the class: the smallest pair stays.
-    root = least.groupBy("fp", "id", "no_id").agg(F.min("text_hash").alias("text_hash"))
-    stay = root.select("id", "no_id", "text_hash").distinct()
+    root = least.groupBy("root").agg(F.min(F.struct("fp", "text_hash", "id", "no_id")).alias("s"))
+    stay = root.select("s.id", "s.no_id", "s.text_hash").distinct()
     kept = docs.select(*key, F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")).join(stay, ["id", "no_id", "text_hash"], "left_semi")
     return kept.groupBy("id", "no_id", "text_hash").agg(F.first("row").alias("row")).select("row.*")
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that stay: of each class the row of the smallest id (one of them, where ids or rows repeat)."""
+    key = row_key(docs, id_col, text_col)
+    prints = staged(docs.select(*key, F.col(id_col).alias("doc_id"), fingerprint_column(F.col(text_col)).alias("fp")), "simhash-docs")
+    return keep_smallest(docs, key, prints, classes(prints))
+
+
 def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_dedup(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
