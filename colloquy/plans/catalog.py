@@ -461,8 +461,6 @@ def evaluate_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def streamed_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events through Structured Streaming: sessions that the watermark has closed."""
-    import uuid
-
     from colloquy.streaming import folds
 
-    return folds.replay(folds.closed_sessions(folds.event_stream(spark, sf_dir), "user_id"), f"sessions_{uuid.uuid4().hex}")
+    return folds.written(folds.closed_sessions(folds.event_stream(spark, sf_dir), "user_id"), "closed-sessions")

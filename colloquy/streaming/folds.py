@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -78,6 +80,26 @@ def replay(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     return stream.sparkSession.table(name)
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """As colloquy.llm.common has it, which nothing outside colloquy.llm imports."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return context.getCheckpointDir().rstrip("/")
+
+
+def written(stream: DataFrame, name: str) -> DataFrame:
+    """All of a stream's input that is there, run through it to Parquet in the shared folder, where its checkpoint is too."""
+    spark = stream.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    started = stream.writeStream.outputMode("append").format("parquet").option("checkpointLocation", f"{path}-checkpoint")
+    started.trigger(availableNow=True).start(path).awaitTermination()
+    return spark.read.schema(stream.schema).parquet(path)
+
+
 def event_stream(spark: SparkSession, folder: str, glob: str = "events.parquet") -> DataFrame:
     schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
     return spark.readStream.schema(schema).option("pathGlobFilter", glob).parquet(folder).withColumn("ts", F.col("ts").cast("timestamp"))

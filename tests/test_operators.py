@@ -2,6 +2,7 @@
 
 import datetime as dt
 import importlib.util
+import os
 
 import duckdb
 import pytest
@@ -88,6 +89,17 @@ def test_streams_replay_as_batches(spark, sf_dir):
     assert missing.count() == 0 and closed.count() > 0.9 * batch.count()
 
 
+def test_streamed_sessions_are_written_with_their_checkpoint(spark, sf_dir):
+    found = catalog.QUERIES["streamed_sessions"](spark, sf_dir)
+    files = found.inputFiles()
+    assert files and all(f.removeprefix("file:").lstrip("/").startswith(folds.shared_dir(spark).removeprefix("file:").lstrip("/")) for f in files)
+    folder = files[0].rsplit("/", 1)[0].removeprefix("file:").replace("///", "/")
+    assert os.path.isdir(f"{folder}-checkpoint/state")
+    replayed = folds.replay(folds.closed_sessions(folds.event_stream(spark, sf_dir), "user_id"), "written_test")
+    assert found.schema == replayed.schema and found.count() > 0
+    assert found.exceptAll(replayed).count() == 0 and replayed.exceptAll(found).count() == 0
+
+
 def test_opening_stream(spark, tmp_path):
     tokens = [(k, w) for k, w in enumerate("Well, |this |is |a |start, |and |then |it |goes |on".split("|"))]
     spark.createDataFrame([("r", k, w) for k, w in tokens], "request_id string, seq long, token string").withColumn("ts", F.lit("2024-01-01 00:00:00").cast("timestamp")).coalesce(1).write.parquet(f"{tmp_path}/tokens")
