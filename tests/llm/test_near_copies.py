@@ -2,6 +2,7 @@ import random
 
 import corpus_pipeline as cp
 from colloquy.llm import near_copies as nc
+from colloquy.llm import simhash_dedup as sh
 from tests.llm.test_simhash_dedup import components_of
 
 
@@ -45,3 +46,15 @@ def test_sf_table(spark, sf_dir):
     of, _ = brute(rows)
     want = {min(i for (i, _), c in zip(rows, of, strict=True) if c == d) for d in set(of)}
     assert sorted(r.doc_id for r in nc.keep_one_similar(docs).collect()) == sorted(want)
+
+
+def test_null_and_repeated_ids_leave_one_row_of_a_class(spark):
+    words = [f"w{k}" for k in range(200)]
+    first, second = " ".join(words), " ".join([*words[:-1], "other"])
+    for doc_id in (None, 7):
+        docs = spark.createDataFrame([(doc_id, first), (doc_id, second)], "doc_id long, text string")
+        assert len(cp.near_duplicates(spark, docs, "").collect()) == 1
+    # The same for op9's classes: two texts of different fingerprints within two bits.
+    prints = spark.createDataFrame([(0, True, 1, None, 8), (0, True, 2, None, 9)], "id long, no_id boolean, text_hash long, doc_id long, fp long")
+    found = sh.classes(prints).collect()
+    assert {r.root for r in found} == {8} and {r.component_id for r in found} == {None}
