@@ -1,29 +1,61 @@
-"""A small causal self-attention model over subword units, in numpy: training and scoring.
+"""A small causal self-attention model over words spelt in subword ids, in numpy: training and scoring.
 
 Ids of a public tokenizer are units: the commonest ids have a unit each, the others share tail units by
-bands of frequency, within which an id's probability is its share of the corpus counts. A unit's
-probability is that of its cluster times that within the cluster, both from the hidden state, so that a
-distribution over all ids sums to one. One attention layer reads a window of WINDOW inputs and predicts
-after each of the last STRIDE of them; windows overlap in the CONTEXT inputs before these.
+bands of frequency, within which an id's probability is its share of the corpus counts. A word's vector is
+the sum of its ids' embeddings. One attention layer reads a window of WINDOW words and gives a state for the
+word after each of the last STRIDE of them; windows overlap in the CONTEXT words before these. The state
+gives the number of the next word's ids, and, with the id before, each of its ids in turn: a unit's
+probability is that of its cluster times that within the cluster. So a distribution over all spellings sums to one.
+
+Training is one pass of adaptive gradient steps (each weight's step falls with its past gradients).
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 
-WINDOW, STRIDE = 32, 24
+WINDOW, STRIDE = 48, 32
 CONTEXT = WINDOW - STRIDE
-CLUSTERS, IN_CLUSTER = 32, 32
+CLUSTERS, IN_CLUSTER = 16, 32
 UNITS = CLUSTERS * IN_CLUSTER
 TAIL_UNITS = 16
+#: Width of all vectors. The last number of a hidden state is always 1, so that its weights are biases.
 WIDTH = 16
-#: Scores are cut off here, so that exponentials stay within single precision without a search for the largest.
+#: A word's vector is the sum of those of its first, second and last id, as far as it has them.
+PLACES = 3
+NO_ID = PLACES * UNITS
+#: Numbers of ids of a word that have a probability of their own; the last one is that many or more.
+SIZES = 8
+#: Attention scores and output weights are cut off here, so that exponentials stay within single precision without a search for the largest.
 MOST = 60.0
+MOST_WEIGHT = 4.0
+#: Windows of one gradient step, and of one scoring batch.
+BATCH, SCORE_BATCH = 40, 192
+RATE = 0.2
+#: Ids of a word that are worked on together over all words of a batch; longer words' further ids go by themselves.
+COMMON_IDS = 12
 
-#: 1 where an input may be read. Masked weights are multiplied out after the exponential.
+#: 1 where a word may be read. Masked weights are multiplied out after the exponential.
 CAUSAL = (np.arange(WINDOW)[None, :] <= CONTEXT + np.arange(STRIDE)[:, None]).astype(np.float32)
 
 
+class Scratch:
+    """Arrays that are used again in each batch: fresh ones cost more than what is computed in them."""
+
+    def __init__(self, kind: type = np.float32) -> None:
+        self.kind = kind
+        self.held: dict[str, np.ndarray] = {}
+
+    def __call__(self, name: str, *shape: int) -> np.ndarray:
+        n = math.prod(shape)
+        held = self.held.get(name)
+        if held is None or held.size < n:
+            held = self.held[name] = np.empty(n + n // 4, self.kind)
+        return held[:n].reshape(shape)
+
+
 def units_of(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """From the corpus counts of all ids: unit by id, log share of its unit by id, log share by unit."""
     order = np.argsort(-counts, kind="stable")
@@ -40,165 +72,263 @@ def units_of(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return unit, inside, np.log(np.maximum(total, 1e-3) / np.maximum(total, 1e-3).sum())
 
 
-def windows_of(units: np.ndarray, starts: np.ndarray, end_unit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Windows of texts that lie one after another in `units`, text k from starts[k] to starts[k + 1], each with its end.
-
-    Returns inputs (windows, WINDOW; -1: nothing), targets (windows, STRIDE; -1: nothing) and the first target's place.
-    The input before a text's first unit is the end of another.
-    """
-    sizes = np.diff(starts)
-    number = -(-sizes // STRIDE)
-    text = np.repeat(np.arange(len(sizes)), number)
-    nth = np.arange(len(text)) - np.repeat(np.cumsum(number) - number, number)
-    first = starts[text] + nth * STRIDE
-    at = first[:, None] + np.arange(-CONTEXT - 1, STRIDE - 1)
-    inputs = units[np.clip(at, 0, max(0, len(units) - 1))]
-    inputs = np.where(at == starts[text][:, None] - 1, end_unit, inputs)
-    inputs = np.where((at < starts[text][:, None] - 1) | (at >= starts[text + 1][:, None]), -1, inputs)
-    to = first[:, None] + np.arange(STRIDE)
-    targets = np.where(to < starts[text + 1][:, None], units[np.clip(to, 0, max(0, len(units) - 1))], -1)
-    return inputs.astype(np.int32), targets.astype(np.int32), first
-
-
-def start_weights(log_share: np.ndarray, seed: int = 11) -> dict[str, np.ndarray]:
-    """Small random weights; the biases make the model begin as the units' shares of the corpus."""
+class Texts:
+    """Texts one after another: units of all ids, ids a word, words a text; each text's end is its last word."""
+
+    def __init__(self, units: np.ndarray, sizes: np.ndarray, words: np.ndarray):
+        self.units, self.sizes = units, sizes
+        self.starts = np.cumsum(sizes) - sizes
+        self.texts = np.concatenate([[0], np.cumsum(words)])
+
+    def windows(self) -> tuple[np.ndarray, np.ndarray]:
+        """The text's first word and the window's first target, by window; every word is a target once."""
+        number = -(-np.diff(self.texts) // STRIDE)
+        text = np.repeat(np.arange(len(number)), number)
+        nth = np.arange(len(text)) - np.repeat(np.cumsum(number) - number, number)
+        return np.stack([self.texts[text], self.texts[text] + nth * STRIDE, np.minimum(self.texts[text + 1], self.texts[text] + (nth + 1) * STRIDE)], axis=1)
+
+
+def start_weights(log_share: np.ndarray, sizes: np.ndarray | None = None, seed: int = 11) -> dict[str, np.ndarray]:
+    """Small random weights; the biases make the model begin as the shares of units, and of sizes, in the corpus."""
     rng = np.random.default_rng(seed)
     draw = lambda *shape: (rng.normal(size=shape) / np.sqrt(shape[-1])).astype(np.float32)
     by = log_share.reshape(CLUSTERS, IN_CLUSTER)
     cluster = np.log(np.exp(by).sum(axis=1))
+    sizes = np.ones(SIZES) if sizes is None else sizes + 1.0
+
+    def choices(bias: np.ndarray) -> np.ndarray:
+        out = 0.1 * draw(*bias.shape, WIDTH)
+        out[..., -1] = bias
+        return out
+
+    embed = draw(NO_ID + 1, WIDTH)
+    embed[NO_ID] = 0
     return {
-        "embed": draw(UNITS, WIDTH), "place": 0.1 * draw(WINDOW, WIDTH), "q": draw(WIDTH, WIDTH), "k": draw(WIDTH, WIDTH), "v": draw(WIDTH, WIDTH), "out": draw(WIDTH, WIDTH), "stay": draw(WIDTH, WIDTH),
-        "bias": np.zeros(WIDTH, np.float32), "cluster": 0.1 * draw(CLUSTERS, WIDTH), "cluster_bias": cluster.astype(np.float32),
-        "unit": 0.1 * draw(CLUSTERS, IN_CLUSTER, WIDTH), "unit_bias": (by - cluster[:, None]).astype(np.float32),
+        "embed": embed, "place": 0.1 * draw(WINDOW, WIDTH), "q": draw(WIDTH, WIDTH), "kv": draw(WIDTH, 2 * WIDTH), "out": draw(WIDTH, WIDTH), "stay": draw(WIDTH, WIDTH), "bias": np.zeros(WIDTH, np.float32),
+        "before": draw(UNITS + 1, WIDTH), "size": choices(np.log(sizes / sizes.sum())), "cluster": choices(cluster), "unit": choices(by - cluster[:, None]),
     }
 
 
-def attend(w: dict, inputs: np.ndarray) -> tuple:
-    """Hidden states (windows, STRIDE, WIDTH), and what the gradients need."""
-    x = w["embed"][np.maximum(inputs, 0)] + w["place"]
-    last = x[:, CONTEXT:]
-    flat = x.reshape(-1, WIDTH)  # one product of all rows, not one for each window
-    q = (last.reshape(-1, WIDTH) @ w["q"]).reshape(last.shape)
-    k, v = (flat @ w["k"]).reshape(x.shape), (flat @ w["v"]).reshape(x.shape)
-    score = q @ k.transpose(0, 2, 1)
-    score *= WIDTH**-0.5
-    np.minimum(score, MOST, out=score)
-    np.exp(score, out=score)
-    score *= CAUSAL
-    if (none := inputs < 0).any():
-        score *= ~none[:, None, :]
-    total = score @ np.ones((WINDOW, 1), score.dtype) + 1e-20
-    read = score @ v
-    read /= total  # after the product, which has fewer numbers
-    hidden = read.reshape(-1, WIDTH) @ w["out"]
-    hidden += last.reshape(-1, WIDTH) @ w["stay"]
-    hidden += w["bias"]
-    hidden = np.tanh(hidden, out=hidden).reshape(last.shape)
-    return hidden, x, last, q, k, v, score, total, read
+def pack(w: dict[str, np.ndarray]) -> np.ndarray:
+    return np.concatenate([w[k].ravel() for k in sorted(w)])
 
 
-def log_probabilities(w: dict, hidden: np.ndarray, targets: np.ndarray, grad: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
-    """Natural log probabilities of target units after rows of hidden; with `grad` the gradients of their sum are added to it."""
-    n = len(hidden)
-    cluster, inner = targets // IN_CLUSTER, targets % IN_CLUSTER
+def unpack(flat: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    out, at = {}, 0
+    for k in sorted(like):
+        out[k] = flat[at : at + like[k].size].reshape(like[k].shape).astype(np.float32)
+        at += like[k].size
+    return out
+
+
+def runs(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of runs one after another, and each run's first place among them."""
+    to = np.cumsum(sizes) - sizes
+    return np.repeat(starts - to, sizes) + np.arange(int(sizes.sum())), to
+
+
+class Batch:
+    """What a batch of windows reads and predicts, as indexes."""
+
+    def __init__(self, texts: Texts, windows: np.ndarray, end_unit: int):
+        at = windows[:, 1:2] + np.arange(-CONTEXT - 1, STRIDE - 1)
+        self.none = (at < windows[:, :1] - 1) | (at >= windows[:, 2:3] - 1)
+        before = at == windows[:, :1] - 1  # the word before a text is an end
+        word = np.clip(at, 0, len(texts.sizes) - 1)
+        start, size = texts.starts[word], texts.sizes[word]
+        self.spelt = np.full((*at.shape, PLACES), NO_ID)
+        self.spelt[..., 0] = np.where(before, end_unit, texts.units[start])
+        some = (size > 1) & ~before
+        self.spelt[some, 1] = texts.units[start[some] + 1] + UNITS
+        some &= size > 2
+        self.spelt[some, 2] = texts.units[start[some] + size[some] - 1] + 2 * UNITS
+        # Targets by falling size, so that those that have an id at a place are the first ones.
+        count = windows[:, 2] - windows[:, 1]
+        target, row = runs(windows[:, 1], count)[0], runs(np.arange(len(windows)) * STRIDE, count)[0]
+        order = np.argsort(255 - np.minimum(texts.sizes[target], 255).astype(np.uint8), kind="stable")
+        self.target, self.row = target[order], row[order]
+        self.size = texts.sizes[self.target]
+        start = texts.starts[self.target]
+        having = np.searchsorted(-self.size, -np.arange(1, COMMON_IDS + 1), side="right")
+        self.having = having[having > 0]
+        long = self.size > COMMON_IDS
+        rest, self.rest_first = runs(start[long] + COMMON_IDS, self.size[long] - COMMON_IDS)
+        self.rest_of = np.flatnonzero(long)
+        self.of = np.concatenate([*(np.arange(n) for n in self.having), np.repeat(self.rest_of, self.size[long] - COMMON_IDS)])
+        ids = np.concatenate([*(start[:n] + k for k, n in enumerate(self.having)), rest])
+        self.unit = texts.units[ids]
+        self.before = texts.units[np.maximum(ids - 1, 0)]
+        self.before[: len(start)] = UNITS
 
-    def logits(h: np.ndarray, weight: np.ndarray, bias: np.ndarray) -> np.ndarray:
-        out = h @ weight.T
-        out += bias
-        return np.minimum(out, MOST, out=out)
+    def by_word(self, rows: np.ndarray) -> np.ndarray:
+        """Sums of the rows of ids by target word."""
+        out = rows[: len(self.target)].copy()
+        at = len(out)
+        for n in self.having[1:]:
+            out[:n] += rows[at : at + n]
+            at += n
+        if len(self.rest_of):
+            out[self.rest_of] += np.add.reduceat(rows[at:], self.rest_first, axis=0)
+        return out
 
-    logit = logits(hidden, w["cluster"], w["cluster_bias"])
-    picked = logit[np.arange(n), cluster]
+
+def attend(w: dict, b: Batch, room: Scratch) -> dict:
+    """States before the activation, (windows * STRIDE, WIDTH), and what the gradients need."""
+    n = len(b.spelt)
+    spelt = np.take(w["embed"], b.spelt, axis=0, out=room("spelt", n, WINDOW, PLACES, WIDTH), mode="clip")
+    x = np.add(spelt[:, :, 0], spelt[:, :, 1], out=room("x", n, WINDOW, WIDTH))
+    x += spelt[:, :, 2]
+    x += w["place"]
+    last = room("last", n, STRIDE, WIDTH)
+    last[:] = x[:, CONTEXT:]
+    rows = lambda a: a.reshape(-1, WIDTH)  # noqa: E731  one product of all rows, not one for each window
+    q = np.matmul(rows(last), w["q"] * np.float32(WIDTH**-0.5), out=room("q", n * STRIDE, WIDTH)).reshape(last.shape)
+    kv = np.matmul(rows(x), w["kv"], out=room("kv", n * WINDOW, 2 * WIDTH)).reshape(n, WINDOW, 2 * WIDTH)
+    k, v = kv[..., :WIDTH], kv[..., WIDTH:]
+    share = np.matmul(q, k.transpose(0, 2, 1), out=room("share", n, STRIDE, WINDOW))
+    np.minimum(share, MOST, out=share)
+    np.exp(share, out=share)
+    share *= CAUSAL
+    some = np.flatnonzero(b.none.any(axis=1))
+    share[some] *= ~b.none[some, None, :]
+    total = np.matmul(share.reshape(-1, WINDOW), np.ones(WINDOW, share.dtype)).reshape(n, STRIDE, 1) + np.float32(1e-20)
+    read = np.matmul(share, v, out=room("read", n, STRIDE, WIDTH))
+    read /= total  # after the product, which has fewer numbers
+    state = np.matmul(rows(read), w["out"], out=room("state", n * STRIDE, WIDTH))
+    state += np.matmul(rows(last), w["stay"], out=room("stay", n * STRIDE, WIDTH))
+    state += w["bias"]
+    return {"x": x, "last": last, "q": q, "k": k, "v": v, "share": share, "total": total, "read": read, "state": state}
+
+
+def choice(hidden: np.ndarray, weight: np.ndarray, picked: np.ndarray, grad: np.ndarray | None, room: Scratch, back: np.ndarray | None) -> np.ndarray:
+    """Log probabilities of picked rows of a softmax; with grad their sum's gradients are added to it, and those of hidden written to back."""
+    n = len(hidden)
+    logit = np.matmul(hidden, weight.T, out=room("logit", n, len(weight)))
+    at = np.arange(n) * len(weight)
+    at += picked
+    own = logit.ravel()[at]
     np.exp(logit, out=logit)
-    total = logit @ np.ones(CLUSTERS, logit.dtype)
-    out = picked - np.log(total)
-    back = None
+    total = logit @ np.ones(len(weight), logit.dtype)
     if grad is not None:
-        d = -logit / total[:, None]
-        d[np.arange(n), cluster] += 1
-        grad["cluster"] += d.T @ hidden
-        grad["cluster_bias"] += d.sum(axis=0)
-        back = d @ w["cluster"]
+        logit *= (-1 / total)[:, None]
+        logit.ravel()[at] += 1
+        grad += logit.T @ hidden
+        np.matmul(logit, weight, out=back)
+    return own - np.log(total)
+
+
+def unit_logs(w: dict, hidden: np.ndarray, units: np.ndarray, grad: dict | None, room: Scratch) -> tuple[np.ndarray, np.ndarray | None]:
+    """Log probabilities of units after rows of hidden, as of their clusters and within these; and the gradients of hidden."""
+    cluster = units // IN_CLUSTER
+    back = None if grad is None else room("back-cluster", *hidden.shape)
+    logs = choice(hidden, w["cluster"], cluster, None if grad is None else grad["cluster"], room, back)
     order = np.argsort(cluster.astype(np.uint8), kind="stable")
-    ends = np.searchsorted(cluster[order], np.arange(CLUSTERS + 1))
+    ends = np.cumsum(np.bincount(cluster, minlength=CLUSTERS))
+    dealt, inner = np.take(hidden, order, axis=0, out=room("dealt", *hidden.shape), mode="clip"), units[order] % IN_CLUSTER
+    own, more = np.empty(len(order), logs.dtype), room("back-unit", *hidden.shape)
     for c in range(CLUSTERS):
-        rows = order[ends[c] : ends[c + 1]]
-        if not len(rows):
-            continue
-        h = hidden[rows]
-        logit = logits(h, w["unit"][c], w["unit_bias"][c])
-        picked = logit[np.arange(len(rows)), inner[rows]]
-        np.exp(logit, out=logit)
-        total = logit @ np.ones(IN_CLUSTER, logit.dtype)
-        out[rows] += picked - np.log(total)
-        if grad is not None:
-            d = -logit / total[:, None]
-            d[np.arange(len(rows)), inner[rows]] += 1
-            grad["unit"][c] += d.T @ h
-            grad["unit_bias"][c] += d.sum(axis=0)
-            back[rows] += d @ w["unit"][c]
-    return out, back
-
-
-def gradients(w: dict, inputs: np.ndarray, targets: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-    """Mean log probability of the targets of some windows, and its gradients."""
+        some = slice(ends[c - 1] if c else 0, ends[c])
+        if some.start < some.stop:
+            own[some] = choice(dealt[some], w["unit"][c], inner[some], None if grad is None else grad["unit"][c], room, more[some])
+    logs[order] += own
+    if grad is not None:
+        back[order] += more
+    return logs, back
+
+
+def spell(w: dict, b: Batch, state: np.ndarray, grad: dict | None, room: Scratch) -> tuple[np.ndarray, np.ndarray | None]:
+    """Log probabilities of the target words (units and number of ids), and the gradients of their states."""
+    state = np.take(state, b.row, axis=0, out=room("targets", len(b.row), WIDTH), mode="clip")
+    first = np.tanh(state, out=room("tanh", len(b.row), WIDTH))
+    first[:, -1] = 1
+    back_size = None if grad is None else room("back-size", *first.shape)
+    logs_size = choice(first, w["size"], np.minimum(b.size, SIZES) - 1, None if grad is None else grad["size"], room, back_size)
+    hidden = np.take(state, b.of, axis=0, out=room("hidden", len(b.of), WIDTH), mode="clip")
+    hidden += np.take(w["before"], b.before, axis=0, out=room("before", len(b.of), WIDTH), mode="clip")
+    np.tanh(hidden, out=hidden)
+    hidden[:, -1] = 1
+    logs, back = unit_logs(w, hidden, b.unit, grad, room)
+    words = logs_size + b.by_word(logs)
+    if grad is None:
+        return words, None
+    hidden *= hidden
+    np.subtract(1, hidden, out=hidden)
+    back *= hidden
+    add_rows(grad["before"], b.before, back)
+    first *= first
+    back_size *= 1 - first
+    back_size += b.by_word(back)
+    return words, back_size
+
+
+def add_rows(to: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
+    """to[at] += rows, with repeated places summed."""
+    cells = (at[:, None] * WIDTH + np.arange(WIDTH)).ravel()
+    to += np.bincount(cells, weights=rows.ravel(), minlength=to.size).reshape(to.shape).astype(to.dtype)
+
+
+def gradients(w: dict, b: Batch, room: Scratch) -> tuple[float, dict[str, np.ndarray]]:
+    """Mean log probability of a batch's target words, and its gradients."""
     grad = {name: np.zeros_like(x) for name, x in w.items()}
-    hidden, x, last, q, k, v, share, total, read = attend(w, inputs)
-    share /= total
-    real = targets >= 0
-    logs, back_rows = log_probabilities(w, hidden[real], targets[real], grad)
-    back = np.zeros_like(hidden)
-    back[real] = back_rows
-    back *= 1 - hidden * hidden
-    flat = lambda m: m.reshape(-1, WIDTH)
-    grad["bias"] = back.sum(axis=(0, 1))
-    grad["out"], grad["stay"] = flat(read).T @ flat(back), flat(last).T @ flat(back)
-    d_read, d_last = back @ w["out"].T, back @ w["stay"].T
-    d_share = d_read @ v.transpose(0, 2, 1)
-    d_v = share.transpose(0, 2, 1) @ d_read
-    d_score = share * (d_share - (d_share * share).sum(axis=2, keepdims=True)) * WIDTH**-0.5
-    d_q, d_k = d_score @ k, d_score.transpose(0, 2, 1) @ q
-    grad["q"], grad["k"], grad["v"] = flat(last).T @ flat(d_q), flat(x).T @ flat(d_k), flat(x).T @ flat(d_v)
-    d_x = d_k @ w["k"].T + d_v @ w["v"].T
-    d_x[:, CONTEXT:] += d_last + d_q @ w["q"].T
-    d_x[inputs < 0] = 0
-    grad["place"] = d_x.sum(axis=0)
-    at = np.maximum(inputs, 0).ravel()
-    grad["embed"] = np.stack([np.bincount(at, weights=d_x[:, :, j].ravel(), minlength=UNITS) for j in range(WIDTH)], axis=1).astype(np.float32)
-    n = max(1, len(logs))
-    return float(logs.mean()) if len(logs) else 0.0, {name: g / n for name, g in grad.items()}
-
-
-def train(inputs: np.ndarray, targets: np.ndarray, log_share: np.ndarray, steps: int = 1200, batch: int = 128, rate: float = 1e-2, seed: int = 11) -> dict[str, np.ndarray]:
-    """Adam over shuffled windows, its rate falling to zero; windows are passed 6 to 30 times, for about as many steps."""
-    w = start_weights(log_share, seed)
-    rng = np.random.default_rng(seed)
-    mean, square = ({name: np.zeros_like(x) for name, x in w.items()} for _ in range(2))
-    of_pass = max(1, -(-len(inputs) // batch))
-    passes = min(30, max(6, -(-steps // of_pass)))
-    steps, t = passes * of_pass, 0
-    for _ in range(passes):
-        for rows in np.array_split(rng.permutation(len(inputs)), of_pass):
-            if not len(rows):
-                continue
-            _, grad = gradients(w, inputs[rows], targets[rows])
-            t += 1
-            for name, g in grad.items():
-                mean[name] += 0.1 * (g - mean[name])
-                square[name] += 0.01 * (g * g - square[name])
-                step = (mean[name] / (1 - 0.9**t)) / (np.sqrt(square[name] / (1 - 0.99**t)) + 1e-8)
-                w[name] = (w[name] + rate * (1 - t / (steps + 1)) * step).astype(np.float32)
-    return w
-
-
-def score_units(w: dict, units: np.ndarray, starts: np.ndarray, end_unit: int, windows: int = 1024) -> np.ndarray:
-    """Natural log probability of every unit of texts that lie one after another; each is scored once."""
-    inputs, targets, first = windows_of(units, starts, end_unit)
-    out = np.zeros(len(units))
-    for start in range(0, len(inputs), windows):
-        some = slice(start, start + windows)
-        hidden = attend(w, inputs[some])[0]
-        real = targets[some] >= 0
-        at = (first[some, None] + np.arange(STRIDE))[real]
-        out[at] = log_probabilities(w, hidden[real], targets[some][real])[0]
+    a = attend(w, b, room)
+    logs, back_rows = spell(w, b, a["state"], grad, room)
+    n = len(b.spelt)
+    flat = room("back", n * STRIDE, WIDTH)
+    flat[:] = 0
+    flat[b.row] = back_rows
+    rows = lambda m: m.reshape(-1, WIDTH)
+    share, x, last = a["share"], a["x"], a["last"]
+    share /= a["total"]
+    grad["bias"] += flat.sum(axis=0)
+    grad["out"] += rows(a["read"]).T @ flat
+    grad["stay"] += rows(last).T @ flat
+    d_read = np.matmul(flat, w["out"].T, out=room("d_read", n * STRIDE, WIDTH)).reshape(n, STRIDE, WIDTH)
+    d_last = np.matmul(flat, w["stay"].T, out=room("d_last", n * STRIDE, WIDTH))
+    d_kv = room("d_kv", n, WINDOW, 2 * WIDTH)
+    d_kv[..., WIDTH:] = np.matmul(share.transpose(0, 2, 1), d_read, out=room("d_v", n, WINDOW, WIDTH))
+    d_share = np.matmul(d_read, a["v"].transpose(0, 2, 1), out=room("d_share", n, STRIDE, WINDOW))
+    # The mean of d_share by share is that of d_read by what was read.
+    d_read *= a["read"]
+    d_share -= d_read.sum(axis=2, keepdims=True)
+    d_share *= share
+    d_q = np.matmul(d_share, a["k"], out=room("d_q", n, STRIDE, WIDTH))
+    d_q *= np.float32(WIDTH**-0.5)
+    d_kv[..., :WIDTH] = np.matmul(d_share.transpose(0, 2, 1), a["q"], out=room("d_v", n, WINDOW, WIDTH))
+    grad["q"] += rows(last).T @ rows(d_q)
+    grad["kv"] += rows(x).T @ d_kv.reshape(-1, 2 * WIDTH)
+    d_x = np.matmul(d_kv.reshape(-1, 2 * WIDTH), w["kv"].T, out=room("d_x", n * WINDOW, WIDTH)).reshape(n, WINDOW, WIDTH)
+    d_last += np.matmul(rows(d_q), w["q"].T, out=room("d_lq", n * STRIDE, WIDTH))
+    d_x[:, CONTEXT:] += d_last.reshape(n, STRIDE, WIDTH)
+    d_x[b.none] = 0
+    grad["place"] += d_x.sum(axis=0)
+    for place in range(PLACES):
+        add_rows(grad["embed"], b.spelt[..., place].ravel(), rows(d_x))
+    grad["embed"][NO_ID] = 0
+    m = np.float32(max(1, len(logs)))
+    for g in grad.values():
+        g /= m
+    return float(logs.mean()) if len(logs) else 0.0, grad
+
+
+def step(w: dict, squares: dict, b: Batch, room: Scratch) -> float:
+    """One step of gradient ascent, in place; squares: sums of past squared gradients."""
+    mean, grad = gradients(w, b, room)
+    for name, g in grad.items():
+        s = squares[name]
+        s += g * g
+        g *= RATE
+        g /= np.sqrt(s + np.float32(1e-10))
+        w[name] += g
+        if name in ("size", "cluster", "unit"):
+            np.clip(w[name][..., :-1], -MOST_WEIGHT, MOST_WEIGHT, out=w[name][..., :-1])
+    return mean
+
+
+def score_words(w: dict, texts: Texts, end_unit: int, room: Scratch) -> np.ndarray:
+    """Natural log probability of every word of the texts, ends among them; each is scored once."""
+    out = np.zeros(len(texts.sizes))
+    windows = texts.windows()
+    for start in range(0, len(windows), SCORE_BATCH):
+        b = Batch(texts, windows[start : start + SCORE_BATCH], end_unit)
+        out[b.target] = spell(w, b, attend(w, b, room)["state"], None, room)[0]
     return out

@@ -1,19 +1,20 @@
 """Language-model scoring of whole texts.
 
-A causal self-attention model (attention_model.py) reads a text's words as subword ids of a public
-tokenizer, in overlapping windows that score each id, and the text's end, once. Beside it stands a
-smoothed unigram base of whole words. The model's probability of a word is the even mixture of its ids' by
-attention and of its share among the frequent words, as spelling out a common word costs more than it should. A word is a run of anything but ASCII blanks, A-Z lowered; ids
-are those of a blank and the word.
+A causal self-attention model (attention_model.py) reads a text's words, spelt in subword ids of a public
+tokenizer, in overlapping windows that score each word, and the text's end, once. The score is that model's
+alone. Beside it stands a smoothed unigram base of whole words. A word is a run of anything but ASCII
+blanks, A-Z lowered; ids are those of a blank and the word.
 
-From the training fold come: counts of all words, and so of all ids (they give the model's units, its
-first biases and the shares of rare ids), over all texts; and windows for the attention weights, which
-alone are fitted on a bounded sample (TRAIN_WINDOWS at most in expectation, from TEXTS_SAMPLED texts
-chosen by hash, at places all over them).
+All of it is learnt from the whole training fold. Counts of all words give those of all ids, which set the
+model's units, its first biases and the shares of rare ids. Its weights are trained on every word of every
+training text, once, in parallel: texts are dealt by hash to ROUNDS rounds; in a round each task takes gradient
+steps through its own texts from the weights so far, and the round's weights are the mean of its tasks',
+weighted by the words they saw. That mean is an aggregation by blocks of weights; only one model reaches the driver.
 
 The vocabulary grows with the corpus, so it is never sent whole. The FREQUENT commonest words (of at most
 LONG_WORD bytes) go to all tasks; a text's other words leave its task as (text, word, times) and meet
-their counts in a join. So frequent words don't skew the join, and rare ones need no memory.
+their counts in a join, longer words by several salted keys. So frequent words don't skew the join, and
+rare ones need no memory.
 
 Defined results: null texts count as empty; an empty text is its end alone; equal texts get equal
 scores up to rounding; repeated rows and null ids get rows of their own, and a null id is in training;
@@ -25,7 +26,6 @@ from __future__ import annotations
 
 import base64
 import re
-import zlib
 from array import array
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -33,6 +33,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import tiktoken
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,13 +46,15 @@ PIECES = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 FREQUENT = 50_000
 LONG_WORD = 64
 LONG_PIECE = 256
-TRAIN_WINDOWS = 24_000
-TEXTS_SAMPLED = 4_000
+#: Rounds of training, after each of which the tasks' weights are averaged; together they are one pass over the texts.
+ROUNDS = 4
+#: Keys over which the rows of a word of more than LONG_WORD bytes are spread; any other word beyond FREQUENT is rare.
+SALTS = 32
+#: Weights that are averaged together, and parts in which a block's rows are added up first.
+BLOCK, PARTS = 4096, 64
 CACHED_WORDS = 200_000
 BATCH_BYTES = 2_000_000
 MISSING = 0.1
-#: Weight of the attention model in the mixture.
-ATTENTION = 0.5
 
 
 _OTHER_BLANK = re.compile(r"[^\S ]")
@@ -141,96 +144,110 @@ def count_words(train: DataFrame) -> DataFrame:
     return train.select("text").mapInPandas(counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def count_ids(words: DataFrame, ranks, ends: int) -> np.ndarray:
-    """Counts of all ids, of which there are as many as the tokenizer has."""
+def count_ids(words: DataFrame, ranks, ends: int) -> tuple[np.ndarray, np.ndarray, float]:
+    """Counts of all ids and ends, of words by number of ids (the last: SIZES or more), and the chance that such a long one goes on."""
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = Words(ranks.value)
-        total = np.zeros(len(ranks.value) + 1, np.int64)
+        most = len(ranks.value) + am.SIZES + 2
+        total = np.zeros(most, np.int64)
         for batch in batches:
+            n = batch["n"].to_numpy()
             ids, size = own.id_runs(own.numbers([w.encode() for w in batch["word"]]))
-            np.add.at(total, ids, np.repeat(batch["n"].to_numpy(), size))
+            np.add.at(total, ids, np.repeat(n, size))
+            np.add.at(total, len(ranks.value) + np.minimum(size, am.SIZES), n)
+            total[-1] += ((size - am.SIZES) * n)[size > am.SIZES].sum()
             own.clear()
         at = np.flatnonzero(total)
         yield pd.DataFrame({"id": at, "n": total[at]})
 
     found = words.mapInPandas(counted, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(len(ranks.value) + 1)
+    out = np.zeros(len(ranks.value) + am.SIZES + 2)
     out[found["id"].to_numpy()] = found["n"].to_numpy()
-    out[-1] += ends
-    return out
-
-
-def sample_windows(train: DataFrame, texts: int, ranks, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Windows of a bounded sample of texts; a long text gives more of them, but no more than an even share of eight."""
-    chance = min(1.0, TEXTS_SAMPLED / max(1, texts))
-    chosen = train.select("text").filter(F.pmod(F.xxhash64("text", F.lit("sample")), F.lit(1_000_003)) < chance * 1_000_003)
-    most = max(1, 8 * TRAIN_WINDOWS // max(1, min(texts, TEXTS_SAMPLED)))
-
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = Words(ranks.value)
-        for part in texts_in_parts(batches):
-            words = [words_of(t) for t in part["text"]]
-            ids, size = own.id_runs(own.numbers([w for ws in words for w in ws]))
-            text = np.repeat(np.arange(len(words)), [len(w) for w in words])
-            ends = np.cumsum(np.bincount(text, weights=size, minlength=len(words)).astype(np.int64))
-            units = unit[np.insert(ids, ends, own.end)]
-            inputs, targets, first = am.windows_of(units, np.append(0, ends + np.arange(1, len(ends) + 1)), unit[own.end])
-            of = np.searchsorted(ends + np.arange(1, len(ends) + 1), first, side="right")
-            start, number = np.unique(of, return_index=True)[1], np.bincount(of)
-            some = np.unique(np.concatenate([s + np.linspace(0, n - 1, most).astype(int) for s, n in zip(start, number, strict=True)]))
-            order = [zlib.crc32(x.tobytes()) for x in targets[some]]
-            yield pd.DataFrame({"place": order, "inputs": list(inputs[some]), "targets": list(targets[some])})
-            own.clear()
-
-    found = chosen.mapInPandas(cut, "place long, inputs array<int>, targets array<int>")
-    rows = found.orderBy("place", "inputs", "targets").limit(TRAIN_WINDOWS).toPandas()
-    if rows.empty:
-        return np.empty((0, am.WINDOW), np.int32), np.empty((0, am.STRIDE), np.int32)
-    return np.stack(rows["inputs"].to_list()), np.stack(rows["targets"].to_list())
+    ids, sizes, further = out[: len(ranks.value) + 1].copy(), out[len(ranks.value) + 1 : -1], out[-1]
+    ids[-1] = ends
+    sizes[0] += ends
+    return ids, sizes, (further + 1) / (further + sizes[-1] + 2)
+
+
+def spelt(own: Words, texts: Iterable[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Texts as (numbers of their words, words a text, ids with ends, ids a word with ends)."""
+    words = [words_of(t) for t in texts]
+    count = np.array([len(w) for w in words], np.int64)
+    numbers = own.numbers([w for ws in words for w in ws])
+    ids, size = own.id_runs(numbers)
+    ends = np.cumsum(count)
+    places = np.append(0, np.cumsum(size))[ends]
+    return numbers, count, np.insert(ids, places, own.end), np.insert(size, ends, 1)
+
+
+def train_on(texts: DataFrame, ranks, unit: np.ndarray, start: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Weights after one pass over rows (text), dealt to rounds by hash."""
+    context = texts.sparkSession.sparkContext
+    weights, squares = start, {k: np.zeros_like(v) for k, v in start.items()}
+    for turn in range(ROUNDS):
+        sent = context.broadcast((weights, squares, unit))
+
+        def trained(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
+            weights, squares, unit = sent.value
+            w, s = ({k: v.copy() for k, v in x.items()} for x in (weights, squares))
+            own, room, seen = Words(ranks.value), am.Scratch(), 0
+            rng = np.random.default_rng(5)
+            for part in texts_in_parts(batches):
+                _, count, ids, size = spelt(own, part["text"])
+                run = am.Texts(unit[ids], size, count + 1)
+                windows = run.windows()
+                for some in np.array_split(rng.permutation(len(windows)), max(1, round(len(windows) / am.BATCH))):
+                    am.step(w, s, am.Batch(run, windows[some], unit[own.end]), room)
+                seen += len(size)
+                if len(own.number) > CACHED_WORDS:
+                    own.clear()
+            if seen:
+                flat = np.stack([am.pack(w), am.pack(s)]).astype(np.float64)
+                blocks = range(0, flat.shape[1], BLOCK)
+                part = TaskContext.get().partitionId() % PARTS
+                yield pd.DataFrame({"block": list(blocks), "part": part, "n": float(seen), "value": [(flat[:, k : k + BLOCK] * seen).tobytes() for k in blocks]})
+
+        def added(rows: pd.DataFrame) -> pd.DataFrame:
+            total = sum(np.frombuffer(v) for v in rows["value"])
+            return pd.DataFrame({"block": rows["block"][:1], "n": rows["n"].sum(), "value": [total.tobytes()]})
+
+        mine = texts.filter(F.pmod(F.xxhash64("text", F.lit("round")), F.lit(ROUNDS)) == turn)
+        sums = mine.mapInPandas(trained, "block int, part int, n double, value binary").groupBy("block", "part").applyInPandas(added, "block int, n double, value binary")
+        rows = sums.groupBy("block").applyInPandas(added, "block int, n double, value binary").orderBy("block").collect()
+        if rows:
+            both = np.concatenate([np.frombuffer(r.value).reshape(2, -1) / r.n for r in rows], axis=1)
+            weights, squares = am.unpack(both[0], start), am.unpack(both[1], start)
+    return weights
 
 
 def score_batches(batches: Iterator[pd.Series], sent) -> Iterator[pd.DataFrame]:
     """Texts to (n_tokens, n_known, base, score, words, times): words are those that aren't frequent."""
-    ranks, weights, unit, inside, frequent, under, ends = sent.value
-    own = Words(ranks)
+    ranks, weights, unit, inside, further, frequent, under, ends = sent.value
+    own, room = Words(ranks), am.Scratch()
     count_of = array("q")
     log10 = lambda n: np.log10((n + MISSING) / under)
-    among = np.log(max(1, sum(frequent.values()) + ends))
-    share = lambda n: np.log(np.maximum(n, 1e-300)) - among
 
     def scored(texts: pd.Series) -> pd.DataFrame:
         nonlocal count_of
-        words = [words_of(t) for t in texts]
-        sizes = np.array([len(w) for w in words])
-        text = np.repeat(np.arange(len(words)), sizes)
-        numbers = own.numbers([w for ws in words for w in ws])
+        numbers, sizes, ids, size = spelt(own, texts)
+        text = np.repeat(np.arange(len(sizes)), sizes)
         count_of.extend([frequent.get(w, 0) for w in own.spelt[len(count_of) :]])
         # The base, as far as frequent words go; the others count as never seen until they meet their counts.
         count = np.array(count_of)[numbers] if len(numbers) else np.empty(0, np.int64)
         rare = count == 0
-        base = np.bincount(text, weights=log10(count), minlength=len(words)) + log10(ends)
-        known = np.bincount(text[~rare], minlength=len(words))
+        base = np.bincount(text, weights=log10(count), minlength=len(sizes)) + log10(ends)
+        known = np.bincount(text[~rare], minlength=len(sizes))
         pair, times = np.unique(text[rare] * len(own.number) + numbers[rare], return_counts=True)
         rare_text, rare_word = np.divmod(pair, max(1, len(own.number)))
-        cut = np.searchsorted(rare_text, np.arange(len(words) + 1))
+        cut = np.searchsorted(rare_text, np.arange(len(sizes) + 1))
         rest = [[own.spelt[w].decode("utf-8", "replace") for w in rare_word[a:b]] for a, b in zip(cut, cut[1:], strict=False)]
         often = [times[a:b] for a, b in zip(cut, cut[1:], strict=False)]
-        # The model: each text's units and its end, one text after another.
-        ids, size = own.id_runs(numbers)
-        length = np.bincount(text, weights=size, minlength=len(words)).astype(np.int64)
-        starts = np.concatenate([[0], np.cumsum(length + 1)])
-        every = np.full(starts[-1], own.end, np.int32)
-        mask = np.ones(starts[-1], bool)
-        mask[starts[1:] - 1] = False
-        every[mask] = ids
-        log = am.score_units(weights, unit[every], starts, unit[own.end]) + inside[every]
-        # By word, ends among them, and mixed.
-        places = np.cumsum(sizes)
-        size, count = np.insert(size, places, 1), np.insert(count, places, ends)
-        by_word = np.add.reduceat(log, np.cumsum(size) - size)
-        mixed = np.logaddexp(np.log(ATTENTION) + by_word, np.log(1 - ATTENTION) + share(count))
-        score = np.add.reduceat(mixed, np.cumsum(sizes + 1) - sizes - 1) / np.log(10)
+        # The model: each text's words and its end, one text after another. A word's further ids beyond SIZES go on by chance.
+        log = am.score_words(weights, am.Texts(unit[ids], size, sizes + 1), unit[own.end], room)
+        log += np.add.reduceat(inside[ids], np.cumsum(size) - size)
+        log += np.where(size >= am.SIZES, (size - am.SIZES) * np.log(further) + np.log1p(-further), 0.0)
+        score = np.add.reduceat(log, np.cumsum(sizes + 1) - sizes - 1) / np.log(10)
         if len(own.number) > CACHED_WORDS:
             own.clear()
             count_of = array("q")
@@ -256,10 +273,10 @@ def score_texts(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_
     top = words.filter(F.octet_length("word") <= LONG_WORD).orderBy(F.desc("n"), "word").limit(FREQUENT)
     frequent = {w.encode(): n for w, n in top.toPandas().itertuples(index=False)}
 
-    unit, inside, log_share = am.units_of(count_ids(words, sent_ranks, texts))
-    inputs, targets = sample_windows(train, texts, sent_ranks, unit)
-    weights = am.train(inputs, targets, log_share)
-    sent = context.broadcast((ranks, weights, unit, inside, frequent, under, texts))
+    ids, sizes, further = count_ids(words, sent_ranks, texts)
+    unit, inside, log_share = am.units_of(ids)
+    weights = train_on(train.select("text"), sent_ranks, unit, am.start_weights(log_share, sizes))
+    sent = context.broadcast((ranks, weights, unit, inside, further, frequent, under, texts))
 
     @F.pandas_udf("n_tokens long, n_known long, base double, score double, words array<string>, times array<int>")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -268,10 +285,13 @@ def score_texts(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_
     # Rows are numbered as they are written, so that a task that runs again later can't number them otherwise.
     rows = docs.select(F.col(id_col).alias("doc_id"), scored(F.coalesce(F.col(text_col), F.lit(""))).alias("s"))
     main = staged(rows.select("doc_id", "s.*", F.monotonically_increasing_id().alias("n")), "lm-scores")
+    long = F.octet_length("word") > LONG_WORD
     rest = main.select("n", F.explode(F.arrays_zip("words", "times")).alias("r")).select("n", F.col("r.words").alias("word"), "r.times")
+    rest = rest.withColumn("salt", F.when(long, F.pmod(F.xxhash64("n"), F.lit(SALTS))).otherwise(F.lit(0).cast("long")))
     rarer = words.join(F.broadcast(top.select("word")), "word", "left_anti").withColumnRenamed("n", "count")
+    rarer = rarer.withColumn("salt", F.explode(F.when(long, F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))))
     gain = F.col("times") * (F.log10(F.col("count") + MISSING) - F.log10(F.lit(MISSING)))
-    met = rest.join(rarer, "word").groupBy("n").agg(F.sum("times").alias("more"), F.sum(gain).alias("gain"))
+    met = rest.join(rarer, ["word", "salt"]).groupBy("n").agg(F.sum("times").alias("more"), F.sum(gain).alias("gain"))
     return main.drop("words", "times").join(met, "n", "left").select(
         F.col("doc_id").alias(id_col),
         "n_tokens",

@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from colloquy.llm import attention_model as am
 from colloquy.llm import lm_scoring as lm
@@ -12,59 +13,126 @@ from colloquy.llm import lm_scoring as lm
 def small_model(seed=4):
     counts = np.random.default_rng(seed).zipf(1.3, 3000).astype(float)
     unit, inside, share = am.units_of(counts)
-    weights = am.start_weights(share, seed)
-    for name in ("cluster", "unit", "q", "k"):
-        weights[name] = weights[name] * 3
+    weights = am.start_weights(share, np.arange(am.SIZES) + 1.0, seed)
+    for name in ("cluster", "unit", "size"):
+        weights[name][..., :-1] *= 8
+    weights["q"] *= 2
     return unit, inside, share, weights
 
 
+def some_texts(sizes=(1, 5, 32, 33, 100), seed=2):
+    """Texts of random words of 1 to 4 ids, and one of many; each ends with unit 7."""
+    rng = np.random.default_rng(seed)
+    ids, words = [], []
+    for n in sizes:
+        for k in range(n):
+            word = [7] if k == n - 1 else rng.integers(0, am.UNITS, 1 + rng.integers(4) if k != 3 else 30).tolist()
+            words.append(len(word))
+            ids += word
+    return am.Texts(np.array(ids, np.int32), np.array(words), np.array(sizes))
+
+
 def test_shares_sum_to_one():
-    unit, inside, share, weights = small_model()
+    unit, inside, share, w = small_model()
     assert np.allclose(np.bincount(unit, np.exp(inside), minlength=am.UNITS)[np.unique(unit)], 1)
     hidden = np.tanh(np.random.default_rng(1).normal(size=(3, am.WIDTH))).astype(np.float32)
+    hidden[:, -1] = 1
     for h in hidden:
-        logs, _ = am.log_probabilities(weights, np.repeat(h[None], am.UNITS, axis=0), np.arange(am.UNITS))
+        logs, _ = am.unit_logs(w, np.repeat(h[None], am.UNITS, axis=0), np.arange(am.UNITS), None, am.Scratch())
         assert math.isclose(np.exp(logs).sum(), 1, rel_tol=1e-4)
+        sizes = am.choice(np.repeat(h[None], am.SIZES, axis=0), w["size"], np.arange(am.SIZES), None, am.Scratch(), None)
+        assert math.isclose(np.exp(sizes).sum(), 1, rel_tol=1e-4)
+
+
+def softmax_log(logits, picked):
+    return logits[picked] - np.log(np.exp(logits - logits.max()).sum()) - logits.max()
+
+
+def brute_word(w, before, word, places):
+    """Log probability of a word (its units) after the words that may be read, at their places in the window."""
 
+    def vector(ids):
+        first, second, last = ids[0], ids[1] + am.UNITS if len(ids) > 1 else am.NO_ID, ids[-1] + 2 * am.UNITS if len(ids) > 2 else am.NO_ID
+        return w["embed"][first] + w["embed"][second] + w["embed"][last]
 
-def test_windows_score_each_unit_once_as_one_by_one():
-    unit, _, _, w = small_model()
-    rng = np.random.default_rng(2)
-    sizes = [1, 5, am.STRIDE, am.STRIDE + 1, 100]
-    starts = np.concatenate([[0], np.cumsum(sizes)])
-    units = rng.integers(0, am.UNITS, starts[-1]).astype(np.int32)
-    end = 7
-    got = am.score_units(w, units, starts, end, windows=3)
-    for a, b in zip(starts, starts[1:], strict=False):
-        before = [end, *units[a:b]]
+    x = np.array([vector(i) for i in before]) + w["place"][places]
+    kv = x @ w["kv"]
+    score = np.exp(kv[:, : am.WIDTH] @ (x[-1] @ w["q"]) / np.sqrt(am.WIDTH))
+    state = score / score.sum() @ kv[:, am.WIDTH :] @ w["out"] + x[-1] @ w["stay"] + w["bias"]
+    hidden = np.append(np.tanh(state)[:-1], 1)
+    total = softmax_log(w["size"] @ hidden, min(len(word), am.SIZES) - 1)
+    for k, u in enumerate(word):
+        h = np.append(np.tanh(state + w["before"][word[k - 1] if k else am.UNITS])[:-1], 1)
+        total += softmax_log(w["cluster"] @ h, u // am.IN_CLUSTER) + softmax_log(w["unit"][u // am.IN_CLUSTER] @ h, u % am.IN_CLUSTER)
+    return total
+
+
+@pytest.mark.parametrize("batch", [3, 192])
+def test_windows_score_each_word_once_as_one_by_one(monkeypatch, batch):
+    monkeypatch.setattr(am, "SCORE_BATCH", batch)
+    _, _, _, w = small_model()
+    texts, end = some_texts(), 7
+    got = am.score_words(w, texts, end, am.Scratch())
+    spelling = [texts.units[s : s + n].tolist() for s, n in zip(texts.starts, texts.sizes, strict=True)]
+    for a, b in zip(texts.texts, texts.texts[1:], strict=False):
+        before = [[end], *spelling[a:b]]
         for t in range(b - a):
-            first = max(0, t // am.STRIDE * am.STRIDE - am.CONTEXT)
-            place = np.arange(first, t + 1) - (t // am.STRIDE * am.STRIDE - am.CONTEXT)
-            x = w["embed"][before[first : t + 1]] + w["place"][place]
-            score = np.exp(x @ w["k"] @ (x[-1] @ w["q"]) / np.sqrt(am.WIDTH))
-            hidden = np.tanh(score / score.sum() @ (x @ w["v"]) @ w["out"] + x[-1] @ w["stay"] + w["bias"])
-            c, i = divmod(int(units[a + t]), am.IN_CLUSTER)
-            one, two = w["cluster"] @ hidden + w["cluster_bias"], w["unit"][c] @ hidden + w["unit_bias"][c]
-            want = one[c] - np.log(np.exp(one).sum()) + two[i] - np.log(np.exp(two).sum())
-            assert math.isclose(got[a + t], want, abs_tol=1e-3)
+            window = t // am.STRIDE * am.STRIDE - am.CONTEXT
+            first = max(0, window)
+            want = brute_word(w, before[first : t + 1], spelling[a + t], np.arange(first, t + 1) - window)
+            assert math.isclose(got[a + t], want, abs_tol=2e-3)
 
 
 def test_gradients():
     _, _, _, w = small_model()
     w = {k: v.astype(float) for k, v in w.items()}
-    rng = np.random.default_rng(3)
-    units = rng.integers(0, am.UNITS, 90).astype(np.int32)
-    inputs, targets, _ = am.windows_of(units, np.array([0, 40, 90]), 3)
-    _, grad = am.gradients(w, inputs, targets)
+    texts = some_texts((40, 50))
+    room = am.Scratch(float)
+    b = am.Batch(texts, texts.windows(), 7)
+    _, grad = am.gradients(w, b, room)
     for name in w:
-        at = np.unravel_index(np.abs(grad[name]).argmax(), grad[name].shape)
-        keep, step = w[name][at], 1e-4
-        w[name][at] = keep + step
-        up, _ = am.gradients(w, inputs, targets)
-        w[name][at] = keep - step
-        down, _ = am.gradients(w, inputs, targets)
-        w[name][at] = keep
-        assert math.isclose((up - down) / 2 / step, grad[name][at], rel_tol=2e-2, abs_tol=1e-5)
+        for at in (np.abs(grad[name]).ravel().argsort()[[-1, -5]]).tolist():
+            at = np.unravel_index(at, grad[name].shape)
+            keep, step = w[name][at], 1e-4
+            w[name][at] = keep + step
+            up, _ = am.gradients(w, b, room)
+            w[name][at] = keep - step
+            down, _ = am.gradients(w, b, room)
+            w[name][at] = keep
+            assert math.isclose((up - down) / 2 / step, grad[name][at], rel_tol=2e-3, abs_tol=1e-7), name
+
+
+def test_training_moves_all_weights(spark):
+    ranks = lm.load_ranks(lm.TOKENIZER)
+    sent = spark.sparkContext.broadcast(ranks)
+    unit, _, share = am.units_of(np.ones(len(ranks) + 1))
+    start = am.start_weights(share)
+    rows = spark.createDataFrame([(f"word{k} of text {k % 7} and more " * (1 + k % 3),) for k in range(60)], "text string").repartition(3)
+    after = lm.train_on(rows, sent, unit, start)
+    assert set(after) == set(start) and all(after[k].shape == start[k].shape and np.isfinite(after[k]).all() for k in start)
+    assert all(np.abs(after[k] - start[k]).max() > 0 for k in start)
+    assert lm.train_on(rows.limit(0), sent, unit, start) is start
+
+
+def test_rounds_see_each_text_once_and_average_by_words(spark, monkeypatch):
+    """With ROUNDS of one task each, training is the same steps as here, one text set after another."""
+    ranks = lm.load_ranks(lm.TOKENIZER)
+    sent = spark.sparkContext.broadcast(ranks)
+    unit, _, share = am.units_of(np.ones(len(ranks) + 1))
+    start = am.start_weights(share)
+    texts = [f"word{k} of text {k % 7}" for k in range(40)]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)
+    got = lm.train_on(rows, sent, unit, start)
+    w, s = {k: v.copy() for k, v in start.items()}, {k: np.zeros_like(v) for k, v in start.items()}
+    own, room, seen = lm.Words(ranks), am.Scratch(), 0
+    for turn in range(lm.ROUNDS):
+        some = [r.text for r in rows.filter(F.pmod(F.xxhash64("text", F.lit("round")), F.lit(lm.ROUNDS)) == turn).collect()]
+        seen += len(some)
+        _, count, ids, size = lm.spelt(own, some)
+        run = am.Texts(unit[ids], size, count + 1)
+        am.step(w, s, am.Batch(run, run.windows()[np.random.default_rng(5).permutation(len(some))], unit[own.end]), room)
+    assert seen == len(texts)
+    assert all(np.allclose(got[k], w[k], atol=1e-4) for k in w)
 
 
 def fold(i):
