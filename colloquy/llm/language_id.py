@@ -8,25 +8,29 @@ number of words so that it stays a probability.
 
 The model is a classifier fitted on a bounded sample of labelled rows: SAMPLE_ROWS texts a language
 at most in expectation, chosen by a hash of the text; WORDS and GRAMS bound what it keeps of each
-language. So it is small at any size of the corpus, and is sent to the executors whole.
+language. A term is kept with the languages that have it, beside what its lack costs in any other,
+so that the model grows with the number of languages and not with its square; it is sent to the executors whole.
+
+Words are runs of letters (of Unicode's category L), so that digits, number signs and symbols are none.
 
 Defined results: `und` with score 0 for null texts and those without a letter (or where nothing was
 learned); ties go to the language first in order; rows of null language teach nothing, null ids
-count as training; equal texts get equal answers; an empty table gives an empty result.
+count as training; equal texts get equal answers; an empty table gives an empty result; other columns
+are carried, and existing ones named lang_pred or score replaced.
 """
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import held_out, table
+from colloquy.llm.common import fresh, held_out, table
 
 SAMPLE_ROWS = 4_000
 WORDS = 20_000
@@ -39,7 +43,11 @@ _WORD = re.compile(r"[^\W\d_]+")
 
 
 def words_in(text: str | None) -> list[str]:
-    return _WORD.findall((text or "").lower())
+    found = _WORD.findall((text or "").lower())
+    if "".join(found).isalpha() or not found:
+        return found
+    # Number signs that are no decimal digits count as word characters, but not as letters.
+    return [p for w in found for p in "".join(c if c.isalpha() else " " for c in w).split()]
 
 
 def grams_of(word: str, size: int) -> list[str]:
@@ -47,47 +55,80 @@ def grams_of(word: str, size: int) -> list[str]:
     return [marked[i : i + size] for i in range(len(marked) - size + 1)] if len(marked) >= size else []
 
 
+@dataclass
+class Terms:
+    """One table: terms, each with a run of (language, gain over lacking it), and by language the log frequency of a term it lacks."""
+
+    places: dict[str, int]
+    starts: np.ndarray
+    lang: np.ndarray
+    gain: np.ndarray
+    lacking: np.ndarray
+
+    @staticmethod
+    def of(rows: pd.DataFrame, langs: list[str]) -> Terms:
+        """rows: term, lang, n, a row for each that a language keeps. Natural log frequencies, one count added."""
+        rows = rows.sort_values(["term", "lang"])
+        terms, first = np.unique(rows["term"].to_numpy(str), return_index=True)
+        lang = np.searchsorted(np.array(langs), rows["lang"].to_numpy(str)) if len(rows) else np.empty(0, int)
+        size = np.bincount(lang, weights=rows["n"], minlength=len(langs)) + len(terms)
+        return Terms({t: k for k, t in enumerate(terms.tolist())}, np.append(first, len(rows)), lang.astype(np.int32), np.log(rows["n"].to_numpy(float) + 1), -np.log(np.maximum(size, 1)))
+
+
 class Model:
-    """Tables of log frequencies by language, for words and n-grams of every length."""
-
-    def __init__(self, langs: list[str], tables: dict[int, dict[str, np.ndarray]]):
-        self.langs, self.tables, self.known = langs, tables, {}
-
-    def word(self, word: str) -> np.ndarray:
-        found = self.known.get(word)
-        if found is None:
-            found = self._score(word)
-            if len(self.known) >= CACHED_WORDS:
-                self.known.clear()
-            self.known[word] = found
+    """Tables for words (0) and n-grams of every length."""
+
+    def __init__(self, langs: list[str], tables: dict[int, Terms]):
+        self.langs, self.tables = langs, tables
+        self.clear()
+
+    def clear(self) -> None:
+        """Forgets the words met so far: their numbers, table, and runs of (language, gain)."""
+        self.known: dict[str, int] = {}
+        self.size: list[int] = []
+        self.lang: list[np.ndarray] = []
+        self.gain: list[np.ndarray] = []
+
+    def number(self, word: str) -> int:
+        if (found := self.known.get(word)) is None:
+            found = self.known[word] = len(self.size)
+            size, lang, gain = self._gains(word)
+            self.size.append(size)
+            self.lang.append(lang)
+            self.gain.append(gain)
         return found
 
-    def _score(self, word: str) -> np.ndarray:
-        if (own := self.tables[0].get(word)) is not None:
-            return own
-        for size in range(LONGEST, 0, -1):
-            table_, grams = self.tables[size], grams_of(word, size)
-            if hits := [table_[g] for g in grams if g in table_]:
-                return np.mean(hits, axis=0)
-        return np.zeros(len(self.langs))
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        words = words_in(text)
-        if not words or not self.langs:
-            return "und", 0.0
-        times = Counter(words)
-        total = np.array(list(times.values()), float) @ np.array([self.word(w) for w in times])
-        odds = np.exp((total - total.max()) / math.sqrt(len(words)))
-        best = int(total.argmax())
-        return self.langs[best], float(odds[best] / odds.sum())
-
-
-def log_frequencies(counts: dict[str, Counter], most: int) -> dict[str, np.ndarray]:
-    """Terms kept (the `most` commonest of each language, seen LEAST_COUNT times) with log10 frequencies, one count added."""
-    langs = sorted(counts)
-    keep = {t for c in counts.values() for t, n in sorted(c.items(), key=lambda x: (-x[1], x[0]))[:most] if n >= LEAST_COUNT}
-    size = {k: sum(c.values()) + len(keep) for k, c in counts.items()}
-    return {t: np.array([math.log((counts[k][t] + 1) / size[k]) for k in langs]) for t in keep}
+    def _gains(self, word: str) -> tuple[int, np.ndarray, np.ndarray]:
+        """The table that scores the word (-1: none), and its gains: those of its known n-grams, each of equal part."""
+        for size in (0, *range(LONGEST, 0, -1)):
+            t = self.tables[size]
+            hits = [t.places[g] for g in ([word] if size == 0 else grams_of(word, size)) if g in t.places]
+            if hits:
+                runs = [slice(t.starts[k], t.starts[k + 1]) for k in hits]
+                return size, np.concatenate([t.lang[r] for r in runs]), np.concatenate([t.gain[r] for r in runs]) / len(hits)
+        return -1, np.empty(0, np.int32), np.empty(0)
+
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """Languages and scores of a batch: one sum over its words' gains, and one product for what languages lack."""
+        words = [words_in(t) for t in texts]
+        n = np.array([len(w) for w in words], np.int64)
+        if not n.any() or not self.langs:
+            return [("und", 0.0)] * len(texts)
+        if len(self.known) > CACHED_WORDS:
+            self.clear()
+        number = np.array([self.number(w) for ws in words for w in ws])
+        pair, times = np.unique(np.repeat(np.arange(len(n)), n) * len(self.size) + number, return_counts=True)
+        text, word = np.divmod(pair, len(self.size))
+        lengths = np.array([len(x) for x in self.lang])[word]
+        langs, gains = (np.concatenate([x[w] for w in word]) for x in (self.lang, self.gain))
+        total = np.bincount(np.repeat(text, lengths) * len(self.langs) + langs, np.repeat(times, lengths) * gains, len(n) * len(self.langs)).reshape(len(n), -1)
+        size = np.array(self.size)[word]
+        by_table = np.bincount(text * (LONGEST + 2) + size + 1, times, len(n) * (LONGEST + 2)).reshape(len(n), -1)
+        total += by_table[:, 1:] @ np.stack([self.tables[k].lacking for k in range(LONGEST + 1)])
+        odds = np.exp((total - total.max(axis=1, keepdims=True)) / np.sqrt(np.maximum(n, 1))[:, None])
+        best = total.argmax(axis=1)
+        score = odds[np.arange(len(n)), best] / odds.sum(axis=1)
+        return [(self.langs[b], s) if k else ("und", 0.0) for b, s, k in zip(best.tolist(), score.tolist(), n.tolist(), strict=True)]
 
 
 def term_counts(rows: pd.DataFrame) -> pd.DataFrame:
@@ -127,12 +168,7 @@ def fit(rows: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     top = terms.filter(f"n >= {LEAST_COUNT}").withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most)
     found = top.drop("place").toPandas()
     langs = sorted(found["lang"].unique())
-    tables = {}
-    for size in range(LONGEST + 1):
-        some = found[found["size"] == size]
-        counts = {k: Counter(dict(zip(x["term"], x["n"].tolist(), strict=True))) for k, x in some.groupby("lang")}
-        tables[size] = log_frequencies({k: counts.get(k, Counter()) for k in langs}, max(WORDS, GRAMS))
-    return Model(langs, tables)
+    return Model(langs, {size: Terms.of(found[found["size"] == size], langs) for size in range(LONGEST + 1)})
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
@@ -143,10 +179,12 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     @F.pandas_udf("lang_pred string, score double")
     def identify(texts: pd.Series) -> pd.DataFrame:
         own = local.setdefault("model", Model(*sent.value))
-        return pd.DataFrame([own.predict(t) for t in texts], columns=["lang_pred", "score"])
+        return pd.DataFrame(own.predict(texts.tolist()), columns=["lang_pred", "score"])
 
-    found = docs.withColumn("_found", identify(F.col(text_col)))
-    return found.withColumn("lang_pred", F.col("_found.lang_pred")).withColumn("score", F.col("_found.score")).drop("_found")
+    (found,) = fresh(docs, "found")
+    rows = docs.withColumn(found, identify(F.col(text_col)))
+    kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("lang_pred", "score")]
+    return rows.select(*kept, F.col(f"`{found}`.lang_pred").alias("lang_pred"), F.col(f"`{found}`.score").alias("score"))
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
