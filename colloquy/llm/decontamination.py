@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import small_or_shuffled, staged, table
+from colloquy.llm.common import fresh, small_or_shuffled, staged, table
 
 SHINGLE_WORDS = 5
 THRESHOLD = 0.8
@@ -115,9 +115,10 @@ def text_hash(text: Column) -> Column:
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that hold no item."""
-    found = contaminated(docs, items, id_col, text_col).select(F.col("doc_id").alias("_bad_id"), F.col("text_hash").alias("_bad_hash")).distinct()
+    bad_id, bad_hash = fresh(docs, "bad_id", "bad_hash")
+    found = contaminated(docs, items, id_col, text_col).select(F.col("doc_id").alias(bad_id), F.col("text_hash").alias(bad_hash)).distinct()
     bad = small_or_shuffled(staged(found, "benchmark-found"))
-    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("_bad_id")) & (text_hash(F.col(text_col)) == F.col("_bad_hash")), "left_anti")
+    return docs.join(bad, F.col(id_col).eqNullSafe(F.col(bad_id)) & (text_hash(F.col(text_col)) == F.col(bad_hash)), "left_anti")
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import table
+from colloquy.llm.common import fresh, table
 
 SLOTS = 65_537
 SHARDS = tuple(f"shard-{k:03d}" for k in range(64))
@@ -66,16 +66,19 @@ def slot_of(id_column: Column, text: Column, slots: int = SLOTS) -> Column:
 def shard(docs: DataFrame, shards: Sequence[str] = SHARDS, slots: int = SLOTS, weights: Sequence[int] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with `slot` and `shard`."""
     owner = fill(tuple(shards), slots, tuple(weights) if weights else None)
-    lookup = docs.sparkSession.createDataFrame(pd.DataFrame({"_slot": np.arange(slots, dtype=np.int32), "_shard": np.array(shards)[owner]}), "_slot int, _shard string")
-    placed = docs.withColumn("slot", slot_of(F.col(id_col), F.col(text_col), slots))
-    return placed.join(F.broadcast(lookup), F.col("slot") == F.col("_slot")).withColumn("shard", F.col("_shard")).drop("_slot", "_shard")
+    rest = docs.drop("slot", "shard")
+    at, to = fresh(rest, "at", "to")
+    lookup = docs.sparkSession.createDataFrame(pd.DataFrame({at: np.arange(slots, dtype=np.int32), to: np.array(shards)[owner]}), f"`{at}` int, `{to}` string")
+    placed = rest.withColumn("slot", slot_of(F.col(id_col), F.col(text_col), slots))
+    return placed.join(F.broadcast(lookup), placed["slot"] == lookup[at]).withColumn("shard", lookup[to]).drop(at, to)
 
 
 def write_shards(sharded: DataFrame, path: str, rows_per_file: int = 1_000_000) -> None:
     """One folder a shard. A large shard is dealt to several tasks and files, by its counted rows."""
-    files = sharded.groupBy("shard").agg(F.ceil(F.count("*") / rows_per_file).cast("long").alias("_files"))
-    dealt = sharded.join(F.broadcast(files), "shard").withColumn("_file", F.floor(F.rand(7) * F.col("_files")))
-    dealt.repartition("shard", "_file").drop("_files", "_file").write.partitionBy("shard").parquet(path)
+    files, file = fresh(sharded, "files", "file")
+    counted = sharded.groupBy("shard").agg(F.ceil(F.count("*") / rows_per_file).cast("long").alias(files))
+    dealt = sharded.join(F.broadcast(counted), "shard").withColumn(file, F.floor(F.rand(7) * F.col(files)))
+    dealt.repartition("shard", file).drop(files, file).write.partitionBy("shard").parquet(path)
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -40,7 +40,7 @@ def test_odd_rows(spark):
     items = [(1, item), (2, item.upper() + "!"), (3, None), (4, "--"), (5, "only three words"), (6, "one"), (1, item), (None, "null id item of six words")]
     docs = [(1, "before " + item + " after"), (2, "a, " + near + " b"), (3, None), (4, ""), (5, " ".join(words[:28])), (6, " ".join(words[:24])), (7, "filler word " * 100_000 + item), (8, "holds only THREE words, and one")]
     docs += [(None, item), (9, item), (9, item), (9, "other text"), (10, " ".join(reversed(words))), (11, "null id item of six words")]
-    d = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 as item_id", "2 as n", "'w' as words", "3 as text_hash")
+    d = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 as item_id", "2 as n", "'w' as words", "3 as text_hash", "4 as bad_id", "5 as bad_hash", "6 as _bad_id", "7 as _bad_hash")
     i = spark.createDataFrame(items, "item_id long, text string").selectExpr("*", "1 as doc_id", "'k' as item_key")
     got = {(r.doc_id, r.item_id) for r in dc.contaminated(d, i).collect()}
     assert got == {(a, b) for a, b, _, _ in brute(docs, items)}

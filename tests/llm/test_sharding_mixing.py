@@ -43,13 +43,15 @@ def test_shard_rows(spark, sf_dir, tmp_path):
     assert len(found) == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
     assert all(sharding.SHARDS[owner[r.slot]] == r.shard for r in found)
     rows = [(1, "a"), (1, "a"), (None, None), (None, "x" * 300_000), (2, "")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'old' as shard", "9 as slot", "'z' as _file")
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'old' as shard", "9 as slot", "'z' as file", "'y' as files", "1 as at", "2 as to", "3 as _slot", "4 as _shard")
     out = sharding.shard(docs)
     assert sorted(out.columns) == sorted(docs.columns) and out.count() == 5
     assert out.filter("doc_id = 1").select("shard").distinct().count() == 1
     assert sharding.shard(docs.limit(0)).count() == 0
-    sharding.write_shards(out.drop("_file"), str(tmp_path / "out"), 1)
-    assert spark.read.parquet(str(tmp_path / "out")).count() == 5
+    assert {tuple(r) for r in out.select("file", "files", "at", "to", "_slot", "_shard").collect()} == {("z", "y", 1, 2, 3, 4)}
+    sharding.write_shards(out, str(tmp_path / "out"), 1)
+    again = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted(again.columns) == sorted(out.columns) and sorted(map(str, again.select(out.columns).collect())) == sorted(map(str, out.collect()))
 
 
 def brute_mix(rows, mix):
