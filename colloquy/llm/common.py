@@ -71,6 +71,20 @@ def small_or_shuffled(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def join_hot(rows: DataFrame, keyed: DataFrame, key: str, count: str) -> DataFrame:
+    """rows joined by `key` with keyed, a staged table of one row for each key and the number of rows that have it.
+
+    Keys of more than a thousandth of all rows, which are fewer than a thousand, are broadcast, so that their rows
+    stay where they are; only the others are shuffled.
+    """
+    most = (keyed.agg(F.sum(count)).first()[0] or 0) / 1000
+    (hot,) = fresh(rows.join(keyed.limit(0), key), "hot")
+    few = keyed.filter(F.col(count) > most).drop(count)
+    flagged = rows.join(F.broadcast(few.select(key).withColumn(hot, F.lit(True))), key, "left")
+    here = rows.join(F.broadcast(few), key)
+    return here.union(flagged.filter(F.col(hot).isNull()).drop(hot).join(keyed.filter(F.col(count) <= most).drop(count), key))
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """Smallest reachable id of every node of `edges` (a, b: long), as rows (node, component).
 

@@ -1,21 +1,25 @@
 """Embedding near-duplicates by an exact metric range join.
 
 Unit vectors of one label are linked if their cosine is THRESHOLD or more, which is a Euclidean
-distance of at most R. A label's pivots (a bounded sample, more for larger labels) partition its
-vectors: each has its home in the cell of its nearest pivot. By the triangle inequality a vector
-that is linked to one at home in another cell lies within R of the border between the two pivots,
-(d2^2 - d1^2) / (2 d(p1, p2)) <= R, and visits that cell. So cells join independently: a vector's
-links are all found in its home cell, among those at home and visiting, and nothing is counted twice.
+distance of at most R. A label's pivots partition its vectors: each has its home in the cell of its nearest
+pivot. By the triangle inequality a vector that is linked to one at home in another cell lies within R of the
+border between the two pivots, (d2^2 - d1^2) / (2 d(p1, p2)) <= R, and visits that cell, if it is the later
+of the two. So cells join independently: each link is found once, in one cell, between two at home or one
+at home and one visiting; visitors aren't compared with each other.
 
 Equal vectors are one row with a number of copies. A cell of many is cut into blocks of at most
 BLOCK vectors, whose pairs are compared in groups of their own; a group gives counts of links and a
 spanning forest of what it linked, never the pairs. The forest's edges are joined to components.
 
-Pivots are at most PIVOTS a label and ALL_PIVOTS in all, sampled by hash; they decide about speed, not about
-the result. Labels of few vectors have none, and one cell.
+Pivots are taken from a sample by hash (4 sqrt(n) vectors of a label's n, SAMPLED in all), one half of it in
+order of spread, each the farthest from those before. How many serve is estimated with the other half: the
+number at which rows sent and pairs compared cost least. Vectors that lie alone, all about equally far from each other,
+are near to every border, so that one cell costs least; clustered ones are cut into many. The sample decides about speed, never about
+the result.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components, or have a null
-label, link with nothing: n_links 0, component their own; vectors of unlike lengths don't link; repeated
+label, link with nothing: n_links 0, component their own; vectors of unlike lengths don't link; a cosine that is
+the threshold, as computed, links; repeated
 rows of a vec_id are rows of their own that link with each other like any other two equal vectors; a
 null vec_id never names a component unless all of it are null; an empty table gives an empty result;
 other columns are ignored.
@@ -27,17 +31,17 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import connected_components, small_or_shuffled, staged, table
+from colloquy.llm.common import connected_components, join_hot, small_or_shuffled, staged, table
 
 THRESHOLD = 0.98
-PIVOTS = 256
-#: Vectors a pivot, about; more where the pivots of all labels would else exceed ALL_PIVOTS.
-CELL = 1500
-ALL_PIVOTS = 20_000
-BLOCK = 512
+#: Vectors sampled of all labels together.
+SAMPLED = 20_000
+#: What sending one row costs, in comparisons of two vectors.
+ROW_COST = 2_000
+BLOCK = 2048
 
 
 def usable(rows: DataFrame) -> DataFrame:
@@ -56,46 +60,71 @@ def usable(rows: DataFrame) -> DataFrame:
     )
 
 
+def spread(sample: np.ndarray, most: int) -> np.ndarray:
+    """The sample's vectors in order of spread: each the farthest from those before."""
+    order, near = [0], 2 - 2 * sample @ sample[0]
+    while len(order) < min(most, len(sample)):
+        order.append(int(near.argmax()))
+        near = np.minimum(near, 2 - 2 * sample @ sample[order[-1]])
+    return sample[order]
+
+
+def places(v: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every vector's home, and a mask of the later cells that it visits."""
+    reach = math.sqrt(2 - 2 * THRESHOLD) + 1e-6
+    square = np.maximum(0, 2 - 2 * v @ pivots.T)
+    home = square.argmin(axis=1)
+    gap = square - square[np.arange(len(v)), home][:, None]
+    between = np.sqrt(np.maximum(0, 2 - 2 * pivots @ pivots.T))
+    visits = gap <= 2 * reach * between[home] + 1e-6
+    return home, visits & (np.arange(len(pivots)) > home[:, None])
+
+
+def best_pivots(sample: np.ndarray, n: int) -> np.ndarray:
+    """As many pivots of a label's sample as cost least for its n vectors."""
+    half = len(sample) // 2
+    if half < 2:
+        return sample[:1]
+    pivots, probes = spread(sample[:half], half), sample[half:]
+    scale, best, least = n / len(probes), pivots[:1], n * ROW_COST + n * n / 2
+    for m in (2**k for k in range(1, half.bit_length())):
+        home, visits = places(probes, pivots[:m])
+        at_home, visiting = scale * np.bincount(home, minlength=m), scale * visits.sum(axis=0)
+        cost = ROW_COST * (n + visiting.sum()) + (at_home * (at_home / 2 + visiting)).sum()
+        if cost < least:
+            best, least = pivots[:m], cost
+    return best
+
+
 def pivots_of(vectors: DataFrame) -> dict:
-    """By (label, length) a matrix of pivots: about one for CELL vectors, at most PIVOTS, and ALL_PIVOTS for all."""
+    """By (label, length) a matrix of pivots, where more than one serve."""
     sizes = staged(vectors.groupBy("label", F.size("v").alias("d")).count(), "embedding-sizes")
-    cell = max(CELL, (sizes.agg(F.sum("count")).first()[0] or 0) // ALL_PIVOTS)
-    rate = F.least(F.ceil(F.col("count") / cell), F.lit(PIVOTS)) / F.col("count")
-    wanted = F.broadcast(sizes.filter(F.col("count") > cell).withColumn("rate", rate).drop("count"))
+    wish = F.least(4 * F.sqrt("count"), F.col("count"))
+    share = min(1.0, SAMPLED / (sizes.agg(F.sum(wish)).first()[0] or 1))
+    wanted = small_or_shuffled(sizes.withColumn("rate", wish * share / F.col("count")))
     at = F.pmod(F.xxhash64("v"), F.lit(1_000_003)) / 1_000_003
     chosen = vectors.join(wanted, (vectors["label"] == wanted["label"]) & (F.size("v") == wanted["d"])).filter(at < F.col("rate"))
     found: dict = {}
-    for r in chosen.select(vectors["label"], "d", "v").orderBy(vectors["label"], "v").collect():
-        found.setdefault((r.label, r.d), []).append(r.v)
-    return {k: np.array(v) for k, v in found.items()}
+    for r in chosen.select(vectors["label"], "d", "count", "v").orderBy(vectors["label"], F.xxhash64("v", F.lit(1)), "v").collect():
+        found.setdefault((r.label, r.d), (r["count"], []))[1].append(r.v)
+    chosen = {k: best_pivots(np.array(v), n) for k, (n, v) in found.items()}
+    return {k: p for k, p in chosen.items() if len(p) > 1}
 
 
 def to_cells(vectors: DataFrame, pivots: dict) -> DataFrame:
     """Rows (label, d, cell, home, class_id, copies, v): every vector at home and where it visits."""
     sent = vectors.sparkSession.sparkContext.broadcast(pivots)
-    reach = math.sqrt(2 - 2 * THRESHOLD) + 1e-6
 
     def place(batches):
-        between = {}
         for batch in batches:
             out = []
             for (label, d), rows in batch.groupby(["label", "d"]):
                 p = sent.value.get((label, d))
-                v = np.stack(rows["v"].to_list())
-                if p is None or len(p) < 2:
-                    home, visits = np.zeros(len(v), int), np.zeros((len(v), 1), bool)
-                else:
-                    if (label, d) not in between:
-                        between[label, d] = np.sqrt(((p[:, None] - p[None]) ** 2).sum(-1)) if len(p) * len(p) * d < 5e7 else np.sqrt(np.maximum(0, 2 - 2 * p @ p.T))
-                    square = np.maximum(0, 2 - 2 * v @ p.T)
-                    home = square.argmin(axis=1)
-                    gap = square - square[np.arange(len(v)), home][:, None]
-                    visits = gap <= 2 * reach * between[label, d][home] + 1e-6
-                    visits[np.arange(len(v)), home] = False
+                home, visits = (np.zeros(len(rows), int), np.zeros((len(rows), 1), bool)) if p is None else places(np.stack(rows["v"].to_list()), p)
                 row, cell = np.nonzero(visits)
-                both = np.concatenate([np.arange(len(v)), row])
+                both = np.concatenate([np.arange(len(rows)), row])
                 part = rows.iloc[both].drop(columns=["d"])
-                out.append(part.assign(d=d, cell=np.concatenate([home, cell]), home=np.arange(len(both)) < len(v)))
+                out.append(part.assign(d=d, cell=np.concatenate([home, cell]), home=np.arange(len(both)) < len(rows)))
             if out:
                 yield pd.concat(out)[["label", "d", "cell", "home", "class_id", "copies", "v"]]
 
@@ -104,19 +133,25 @@ def to_cells(vectors: DataFrame, pivots: dict) -> DataFrame:
 
 
 def compare(rows: pd.DataFrame) -> pd.DataFrame:
-    """One pair of blocks of a cell: links counted for those of side 0 (or 2) at home, and a spanning forest."""
+    """A block with itself (side 2), or those of side 0 with those of side 1: links counted, and a spanning forest."""
     rows = rows.sort_values(["side", "class_id"])
-    v, side, home = np.stack(rows["v"].to_list()), rows["side"].to_numpy(), rows["home"].to_numpy()
+    v, side = np.stack(rows["v"].to_list()), rows["side"].to_numpy()
     ids, copies = rows["class_id"].to_numpy(), rows["copies"].to_numpy()
-    linked = v @ v.T >= THRESHOLD
-    # Within one block all pairs count; across two blocks only those of unlike sides. A pair has one at home.
-    linked &= (side[:, None] == 2) | (side[:, None] != side[None, :])
-    linked &= home[:, None] | home[None, :]
-    np.fill_diagonal(linked, False)
-    count = np.where(home, linked @ copies, 0)
-    root = np.arange(len(ids))
-    while True:
-        low = np.minimum(root, np.where(linked, root[None, :], len(ids)).min(axis=1))
+    whole = side[0] == 2
+    cut = 0 if whole else int((side == 0).sum())
+    left, right = (slice(None), slice(None)) if whole else (slice(0, cut), slice(cut, None))
+    linked = v[left] @ v[right].T >= THRESHOLD
+    if whole:
+        np.fill_diagonal(linked, False)
+    count = np.zeros(len(ids), np.int64)
+    count[left] += linked @ copies[right]
+    if not whole:
+        count[right] += copies[left] @ linked
+    root, none = np.arange(len(ids)), len(ids)
+    while linked.any():
+        low = root.copy()
+        low[left] = np.minimum(low[left], np.where(linked, root[right][None, :], none).min(axis=1))
+        low[right] = np.minimum(low[right], np.where(linked, low[left][:, None], none).min(axis=0))
         low = low[low]
         if (low == root).all():
             break
@@ -125,41 +160,54 @@ def compare(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def links(cells: DataFrame) -> DataFrame:
-    """Rows (class_id, found, root): other vectors linked, and an edge of the spanning forest, by group."""
-    sizes = cells.groupBy("label", "d", "cell").count().withColumn("blocks", F.ceil(F.col("count") / BLOCK).cast("int")).drop("count")
+    """Rows (class_id, found, root): other vectors linked, and an edge of the spanning forest, by group.
+
+    Blocks of those at home meet each other and themselves; blocks of visitors meet those at home.
+    """
+    blocks = lambda home: F.ceil(F.count_if(F.col("home") == home) / BLOCK).cast("int")
+    sizes = cells.groupBy("label", "d", "cell").agg(blocks(True).alias("homes"), blocks(False).alias("guests"))
     sizes = small_or_shuffled(staged(sizes, "embedding-cells"))
-    own = F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int")
-    # Visitors need no comparison with each other; blocks mix them with those at home, and the group leaves such pairs out.
-    to = F.transform(
-        F.sequence(F.lit(0), F.col("blocks") - 1),
-        lambda b: F.struct(
-            (F.least(b, F.col("own")) * F.col("blocks") + F.greatest(b, F.col("own"))).alias("pair"),
-            F.when(b == F.col("own"), 2).when(b > F.col("own"), 0).otherwise(1).alias("side"),
-        ),
-    )
+    own = F.pmod(F.xxhash64("class_id"), F.when(F.col("home"), F.col("homes")).otherwise(F.col("guests"))).cast("int")
+    up_to = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    group = lambda guest, a, b, side: F.struct(F.lit(guest).alias("guest"), a.alias("a"), b.alias("b"), side.alias("side"))
+    among = F.transform(up_to(F.col("homes")), lambda b: group(False, F.least(b, F.col("own")), F.greatest(b, F.col("own")), F.when(b == F.col("own"), 2).when(b > F.col("own"), 0).otherwise(1)))
+    received = F.transform(up_to(F.col("guests")), lambda b: group(True, F.col("own"), b, F.lit(0)))
+    visited = F.transform(up_to(F.col("homes")), lambda b: group(True, b, F.col("own"), F.lit(1)))
+    to = F.when(F.col("home"), F.concat(among, received)).otherwise(visited)
     dealt = cells.join(sizes, ["label", "d", "cell"]).withColumn("own", own).withColumn("to", F.explode(to))
-    grouped = dealt.select("label", "d", "cell", F.col("to.pair").alias("pair"), F.col("to.side").alias("side"), "home", "class_id", "copies", "v").groupBy("label", "d", "cell", "pair")
-    return grouped.applyInPandas(compare, "class_id long, found long, root long")
+    key = ["label", "d", "cell", "guest", "a", "b"]
+    return dealt.select("label", "d", "cell", "to.*", "class_id", "copies", "v").groupBy(*key).applyInPandas(compare, "class_id long, found long, root long")
+
+
+def vector_hash() -> Column:
+    return F.xxhash64("label", "v")
 
 
 def embedding_dedup(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """Rows (vec_id, n_links, component_id, kept), one for each row of rows."""
     named = rows.select(F.col(id_col).alias("vec_id"), F.col(label_col).alias("label"), F.col(vector_col).alias("embedding"))
-    every = staged(usable(named).select("vec_id", "label", "v").withColumn("class_id", F.xxhash64("label", "v")), "embedding-rows")
+    every = staged(usable(named).select("vec_id", "label", "v").withColumn("h", vector_hash()), "embedding-rows")
     some = every.filter("v is not null")
-    # Equal unit vectors of a label are one class, of some copies; its number is a hash of both.
-    vectors = staged(some.groupBy("class_id", "label", "v").agg(F.count("*").alias("copies"), F.min("vec_id").alias("least")), "embedding-classes")
+    # Equal unit vectors of a label are one class, of some copies, numbered as they are written.
+    classes = some.groupBy("h", "label", "v").agg(F.count("*").alias("copies"), F.min("vec_id").alias("least"))
+    vectors = staged(classes.withColumn("class_id", F.monotonically_increasing_id()), "embedding-classes")
     cells = to_cells(vectors.select("label", "v", "class_id", "copies"), pivots_of(vectors.select("label", "v")))
     found = staged(links(cells), "embedding-links")
     roots = connected_components(found.select(F.col("class_id").alias("a"), F.col("root").alias("b")))
     counts = found.groupBy("class_id").agg(F.sum("found").alias("others"))
-    of = vectors.select("class_id", "copies", "least").join(roots, F.col("class_id") == F.col("node"), "left").join(counts, "class_id", "left")
-    linked = staged(of.select("class_id", "copies", "least", F.coalesce("component", "class_id").alias("root"), F.coalesce("others", F.lit(0)).alias("others")), "embedding-roots")
+    of = vectors.select("h", "class_id", "copies", "least").join(roots, F.col("class_id") == F.col("node"), "left").join(counts, "class_id", "left")
+    linked = staged(of.select("h", "class_id", "copies", "least", F.coalesce("component", "class_id").alias("root"), F.coalesce("others", F.lit(0)).alias("others")), "embedding-roots")
     named_roots = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = linked.join(named_roots, "root").select("class_id", (F.col("others") + F.col("copies") - 1).alias("n_links"), "component_id")
-    joined = some.select("vec_id", "class_id").join(classes, "class_id").select("vec_id", "n_links", "component_id")
+    answers = linked.join(named_roots, "root").select("h", "class_id", "copies", (F.col("others") + F.col("copies") - 1).alias("n_links"), "component_id")
+    answers = staged(answers, "embedding-answers")
+    # Rows meet their class by its hash, and the few whose hash several classes share by the vector itself.
+    shared = small_or_shuffled(staged(vectors.groupBy("h").count().filter("count > 1").select("h"), "embedding-shared"))
+    plain = join_hot(some.select("vec_id", "h").join(shared, "h", "left_anti"), answers.join(shared, "h", "left_anti").select("h", "copies", "n_links", "component_id"), "h", "copies")
+    told_apart = some.join(shared, "h", "left_semi").join(vectors.join(shared, "h", "left_semi").select("label", "v", "class_id"), ["label", "v"]).join(answers.drop("h"), "class_id")
+    out = ["vec_id", "n_links", "component_id"]
     alone = every.filter("v is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return joined.union(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+    joined = plain.select(*out).union(told_apart.select(*out)).union(alone)
+    return joined.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
 def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from colloquy.llm import embedding_dedup as ed
 
@@ -48,15 +49,53 @@ def planted(n=900, seed=2):
     return rows + [(2000 + k, e, 1) for k, e in enumerate(odd)] + [(3000, rows[0][1], None), (3001, rows[0][1], None)]
 
 
-@pytest.mark.parametrize("cell, block", [(1500, 512), (40, 512), (60, 17)])
-def test_matches_brute_force(spark, monkeypatch, cell, block):
-    monkeypatch.setattr(ed, "CELL", cell)
+@pytest.mark.parametrize("row_cost, block", [(2000, 2048), (0, 2048), (0, 17)])
+def test_matches_brute_force(spark, monkeypatch, row_cost, block):
+    monkeypatch.setattr(ed, "ROW_COST", row_cost)
     monkeypatch.setattr(ed, "BLOCK", block)
     rows = planted()
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").selectExpr("*", "1 as v", "'x' as class_id", "2 as d")
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").selectExpr("*", "1 as v", "'x' as class_id", "2 as d", "3 as h", "4 as hot")
     assert sorted(tuple(r) for r in ed.embedding_dedup(df).collect()) == brute(rows)
 
 
+def test_vectors_of_one_hash_are_told_apart(spark, monkeypatch):
+    monkeypatch.setattr(ed, "vector_hash", lambda: F.lit(5).cast("long"))
+    rows = planted(120)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    assert sorted(tuple(r) for r in ed.embedding_dedup(df).collect()) == brute(rows)
+
+
+def clustered(n=9000, seed=4):
+    """A label of tight clusters, for which pivots pay, and one of vectors that lie alone."""
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(60, 24))
+    v = centres[rng.integers(60, size=n)] + 0.12 * rng.normal(size=(n, 24))
+    alone = rng.normal(size=(n // 6, 24))
+    return [(k, x.tolist(), 1) for k, x in enumerate(v)] + [(n + k, x.tolist(), 2) for k, x in enumerate(alone)]
+
+
+def test_pivots_pay_for_clusters_at_default_constants(spark):
+    rows = clustered()
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    unit = ed.usable(df).select("label", "v")
+    pivots = ed.pivots_of(unit)
+    assert [k for k in pivots] == [(1, 24)] and len(pivots[1, 24]) >= 8
+    cells = ed.to_cells(unit.withColumn("class_id", F.monotonically_increasing_id()).withColumn("copies", F.lit(1).cast("long")), pivots)
+    assert cells.count() < 2 * len(rows)
+    assert sorted(tuple(r) for r in ed.embedding_dedup(df).collect()) == brute(rows)
+
+
+def test_each_pair_in_reach_meets_in_one_cell():
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=(10, 12))[rng.integers(10, size=600)] + rng.normal(size=(600, 12)) * rng.choice([0.03, 0.2, 1.0], size=(600, 1))
+    v /= np.sqrt((v * v).sum(axis=1))[:, None]
+    for m in (2, 8, 30):
+        home, visits = ed.places(v, ed.spread(v, m))
+        a, b = np.nonzero(np.triu(v @ v.T >= ed.THRESHOLD, 1))
+        met = (home[a] == home[b]).astype(int) + visits[a, home[b]] + visits[b, home[a]]
+        assert len(a) > 100 and (met == 1).all()
+
+
 def test_whole_table(spark, sf_dir):
     rows = [(r.vec_id, list(r.embedding), r.label) for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()]
     assert sorted(tuple(r) for r in ed.op7_embedding_dedup(spark, sf_dir).collect()) == brute(rows)
