@@ -4,14 +4,17 @@ A source's weight is its share of all words to the power of an exponent (1: as t
 alike), normalised. The exponent is bisected: the largest in [0, 1] whose weights reach a target
 entropy, but no smaller than the one at which some source would be passed more often than the
 repetition limit. A source's epochs are its part of the budget over its words. They are realised
-by blocks: a source is dealt by hash to blocks of about `block_words` words, each block is permuted
-by an epoch's own hash, whole epochs take all of it, and the last one takes rows in that order up to
-the block's budget. So a source of any size is spread over many small windows.
+by blocks: a source is dealt by hash to blocks of about `block_words` words and `block_rows` rows, each block is
+permuted by an epoch's own hash, whole epochs take all of it, and the last one takes rows in that order up to
+the block's budget. So a source of any size is spread over many small windows. Repeated rows are one row with a
+number of copies until they are placed, so that no key makes a block large.
 
-Only two numbers a bisection step come to the driver. DataFrame functions only.
+Sums over sources are aggregations, also for a source a host; a few numbers of each round of the search come to
+the driver. One job tries `cuts` exponents of an interval at once, so that a round narrows it as several bisections do.
+DataFrame functions only.
 
 Defined results: a null source is a source; sources without words get weight 0 and are passed once;
-null texts have no words; rows of the same id, or of null id and the same text, move together;
+null texts have no words; rows of the same id, or of null id and the same text, are taken together;
 repeated rows are kept as often as they occur; an empty table gives an empty result.
 """
 
@@ -27,6 +30,10 @@ from pyspark.sql import functions as F
 from colloquy.llm.common import small_or_shuffled, staged, table
 
 
+#: Copies of a repeated row that one task writes at most.
+COPIES_OF_PART = 10_000
+
+
 @dataclass(frozen=True)
 class Mix:
     """entropy: target, as a share of the entropy of equal weights. repetition: most epochs of a source.
@@ -36,7 +43,9 @@ class Mix:
     repetition: float = 4.0
     budget_words: float | None = None
     block_words: int = 250_000
-    steps: int = 40
+    block_rows: int = 100_000
+    cuts: int = 64
+    rounds: int = 6
 
 
 PRODUCTION = Mix()
@@ -61,30 +70,30 @@ def source_words(docs: DataFrame, id_col: str, text_col: str, source_col: str) -
 
 
 def exponent(sources: DataFrame, mix: Mix) -> float:
-    """Bisects over rows (words) of the sources."""
-    some = sources.filter("words > 0").withColumn("share", F.col("words") / F.sum("words").over(W.partitionBy()))
-    some = staged(some.select("share"), "mix-shares")
-
-    def weighed(a: float) -> tuple[float, float]:
-        p = F.pow("share", F.lit(a))
-        total, plogp, most, least = some.agg(F.sum(p), F.sum(p * F.ln(p)), F.max(p / F.col("share")), F.min(p / F.col("share"))).first()
-        h = math.log(total) - plogp / total
-        budget = mix.budget_words and mix.budget_words / words
-        epochs = (budget / total if budget else 1 / least) * most
-        return h, epochs
-
-    n, words = sources.filter("words > 0").agg(F.count("*"), F.sum("words")).first()
+    """Searches over rows (words) of the sources."""
+    some = sources.filter("words > 0")
+    n, words = some.agg(F.count("*"), F.sum("words")).first()
     if n < 2:
         return 1.0
+    share = F.col("words") / float(words)
+
+    def weighed(exponents: list[float]) -> list[tuple[float, float]]:
+        """The entropy at each exponent, and the most epochs of a source."""
+        tried = some.select(share.alias("share"), F.posexplode(F.array(*map(F.lit, exponents))).alias("k", "a")).withColumn("p", F.pow("share", "a"))
+        sums = tried.groupBy("k").agg(F.sum("p").alias("total"), F.sum(F.col("p") * F.ln("p")).alias("plogp"), F.max(F.col("p") / F.col("share")).alias("most"), F.min(F.col("p") / F.col("share")).alias("least"))
+        budget = mix.budget_words and mix.budget_words / words
+        return [(math.log(r.total) - r.plogp / r.total, (budget / r.total if budget else 1 / r.least) * r.most) for r in sums.orderBy("k").collect()]
 
     def smallest(holds) -> float:
         """Of the exponents that hold, which are all above some point, the smallest; 1 if none."""
         low, high = 0.0, 1.0
-        if holds(weighed(low)):
-            return low
-        for _ in range(mix.steps):
-            middle = (low + high) / 2
-            low, high = (low, middle) if holds(weighed(middle)) else (middle, high)
+        for _ in range(mix.rounds):
+            between = [low + (high - low) * k / mix.cuts for k in range(mix.cuts)]
+            held = [holds(x) for x in weighed(between)]
+            first = held.index(True) if True in held else mix.cuts
+            if first == 0:
+                return low
+            low, high = between[first - 1], high if first == mix.cuts else between[first]
         return high
 
     limit = smallest(lambda x: x[1] <= mix.repetition)
@@ -94,20 +103,21 @@ def exponent(sources: DataFrame, mix: Mix) -> float:
 
 def source_plan(narrow: DataFrame, mix: Mix) -> DataFrame:
     """Rows (source, words, weight, blocks, whole, part): epochs are `whole` passes and a `part` of one."""
-    sources = staged(narrow.groupBy("source").agg(F.sum("words").alias("words")), "mix-sources")
+    sources = staged(narrow.groupBy("source").agg(F.sum("words").alias("words"), F.count("*").alias("rows")), "mix-sources")
     a = exponent(sources, mix)
-    every = W.partitionBy()
-    power = F.when(F.col("words") > 0, F.pow(F.col("words") / F.sum("words").over(every), F.lit(a))).otherwise(0.0)
-    weighed = sources.withColumn("power", power).withColumn("weight", F.coalesce(F.try_divide("power", F.sum("power").over(every)), F.lit(0.0)))
-    per_word = F.when(F.col("words") > 0, F.col("weight") / F.col("words"))
-    budget = F.lit(float(mix.budget_words)) if mix.budget_words else 1 / F.min(per_word).over(every)
-    epochs = F.round(F.coalesce(per_word * budget, F.lit(1.0)), 9)
+    words = float(sources.agg(F.sum("words")).first()[0] or 0)
+    power = F.when(F.col("words") > 0, F.pow(F.col("words") / words, F.lit(a))).otherwise(0.0)
+    total, least = sources.agg(F.sum(power), F.min(F.when(F.col("words") > 0, power / F.col("words")))).first()
+    weight = power / total if total else F.lit(0.0)
+    budget = float(mix.budget_words or (total / least if total else 0.0))
+    epochs = F.round(F.when(F.col("words") > 0, weight / F.col("words") * budget).otherwise(1.0), 9)
+    blocks = F.greatest(F.ceil(F.col("words") / mix.block_words), F.ceil(F.col("rows") / mix.block_rows))
     return staged(
-        weighed.withColumn("epochs", epochs).select(
+        sources.select("source", "words", "rows", weight.alias("weight"), epochs.alias("epochs")).select(
             "source",
             "weight",
             "epochs",
-            F.greatest(F.lit(1), F.ceil(F.col("words") / mix.block_words)).cast("long").alias("blocks"),
+            F.greatest(F.lit(1), blocks).cast("long").alias("blocks"),
             F.floor("epochs").cast("int").alias("whole"),
             (F.col("epochs") - F.floor("epochs")).alias("part"),
         ),
@@ -137,8 +147,9 @@ def with_plan(rows: DataFrame, plan: DataFrame) -> DataFrame:
 def cuts(narrow: DataFrame, plan: DataFrame) -> DataFrame:
     """Rows (cut_source, cut_block, cut): the last place in a block's order that is within its budget."""
     block = W.partitionBy("source", "block")
-    run = F.sum("words").over(block.orderBy("part_order")) - F.col("words") / 2
-    dealt = with_plan(narrow.select("source", "k", "words"), plan.filter("part > 0"))
+    run = F.sum("words").over(block.orderBy("part_order").rangeBetween(W.unboundedPreceding, W.currentRow)) - F.col("words") / 2
+    once = narrow.groupBy("source", "k").agg(F.sum("words").alias("words"))
+    dealt = with_plan(once, plan.filter("part > 0"))
     taken = dealt.withColumn("run", run).withColumn("total", F.sum("words").over(block)).filter("run <= part * total")
     return staged(
         taken.groupBy(F.col("source").alias("cut_source"), F.col("block").alias("cut_block")).agg(F.max("part_order").alias("cut")),
@@ -158,9 +169,14 @@ def mix_rows(docs: DataFrame, mix: Mix = PRODUCTION, id_col: str = "doc_id", tex
     """Rows (doc_id, source, words, weight, epoch, block, position): position is the place in the block's permutation of that epoch."""
     narrow = staged(source_words(docs, id_col, text_col, source_col), "mix-words")
     plan = source_plan(narrow, mix)
-    taken = repeated(narrow, plan, cuts(narrow, plan))
-    order = W.partitionBy("source", "block", "epoch").orderBy(order_in(F.col("epoch")), F.col("doc_id"))
-    return taken.select("doc_id", "source", "words", "weight", "epoch", "block", F.row_number().over(order).alias("position"))
+    once = narrow.groupBy("doc_id", "source", "k", "words").agg(F.count("*").alias("copies"))
+    taken = repeated(once, plan, cuts(narrow, plan))
+    order = W.partitionBy("source", "block", "epoch").orderBy(order_in(F.col("epoch")), F.col("doc_id"), F.col("words"))
+    placed = taken.withColumn("after", F.sum("copies").over(order.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    # A row of many copies becomes parts first, which are spread over tasks.
+    parts = placed.withColumn("first", F.explode(F.sequence(F.col("after") - F.col("copies") + 1, F.col("after"), F.lit(COPIES_OF_PART)))).repartition("source", "block", "epoch", "first")
+    position = F.explode(F.sequence(F.col("first"), F.least(F.col("after"), F.col("first") + COPIES_OF_PART - 1)))
+    return parts.select("doc_id", "source", "words", "weight", "epoch", "block", position.alias("position")).withColumn("position", F.col("position").cast("int"))
 
 
 def mix_documents(docs: DataFrame, mix: Mix = PRODUCTION, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:

@@ -135,6 +135,23 @@ def test_mixing_meets_its_goals(spark, mix):
     assert Counter((r.doc_id, r.source) for r in again.collect()) == Counter((r.doc_id, r.source) for r in found)
 
 
+def test_a_key_of_half_of_all_rows_and_long_texts(spark, monkeypatch):
+    """Null ids of one text are half of the rows; they are placed one by one, in blocks that hold other rows as well."""
+    monkeypatch.setattr(mixing, "COPIES_OF_PART", 7)
+    rows = [(None, "w " * 3, "a")] * 500 + [(i, "w " * 3, "a") for i in range(495)] + [(2000 + i, "w " * 40, "b") for i in range(10)] + [(3000 + i, None, "c") for i in range(200)]
+    rows += [(5000, "w " * 200_000, "d")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    mix = mixing.Mix(block_words=600, block_rows=50, repetition=3.0)
+    found = mixed(spark, docs, mix)
+    at = defaultdict(list)
+    for r in found:
+        at[r.source, r.block, r.epoch].append(r.position)
+    assert all(sorted(p) == list(range(1, len(p) + 1)) for p in at.values())
+    assert Counter(r.doc_id for r in found if r.epoch == 1) == Counter(r[0] for r in rows)
+    assert len({r.block for r in found if r.source == "c"}) == 4
+    assert Counter(r.doc_id for r in mixing.mix_documents(docs, mix).collect()) == Counter(r.doc_id for r in found)
+
+
 def test_mixing_small_tables(spark, sf_dir):
     docs = source_docs(spark)
     assert mixed(spark, docs.limit(0), mixing.PRODUCTION) == []
