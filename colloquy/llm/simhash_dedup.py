@@ -7,7 +7,10 @@ bit plane: a plane holds one bit of 64 fingerprints in one machine word, differi
 by carry-save counters (ones, twos, over), and a block of 64 lanes is abandoned once every lane is
 over the radius. Links become classes through connected components.
 
-Defined results: a null, empty or blank text has fingerprint zero and links like any other; a null
+A fingerprint that many documents share (of empty texts, of exact copies) is broadcast with its class, so that
+the documents meet it where they are.
+
+Defined results: a bit that is set in exactly half of the shingles is 0; a null, empty or blank text has fingerprint zero and links like any other; a null
 doc_id never names a class unless every row of it has one; repeated rows are one class; an empty
 table gives an empty result; other columns are ignored.
 """
@@ -22,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import connected_components, staged, table
+from colloquy.llm.common import connected_components, join_hot, staged, table
 
 SHINGLE_WORDS = 3
 RADIUS = 2
@@ -219,15 +222,15 @@ def named_classes(own: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def classes(prints: DataFrame) -> DataFrame:
-    """Rows (fp, root, component_id) for rows (doc_id, fp)."""
-    own = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-prints")
-    return named_classes(own, fingerprint_links(own))
+    """Rows (fp, docs, root, component_id) for rows (doc_id, fp); docs: how many have the fingerprint."""
+    own = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("docs")), "simhash-prints")
+    return named_classes(own, fingerprint_links(own)).join(own.select("fp", "docs"), "fp")
 
 
 def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (doc_id, fp, component_id), one for each row of docs."""
     prints = staged(docs.select(F.col(id_col).alias("doc_id"), fingerprint_column(F.col(text_col)).alias("fp")), "simhash-docs")
-    return prints.join(classes(prints).drop("root"), "fp")
+    return join_hot(prints, staged(classes(prints).drop("root"), "simhash-classes"), "fp", "docs").select("doc_id", "fp", "component_id")
 
 
 def row_key(docs: DataFrame, id_col: str, text_col: str) -> list[Column]:
@@ -244,9 +247,11 @@ def keep_smallest(docs: DataFrame, key: list[Column], prints: DataFrame, named:
 
     Texts are shuffled once, against ids and hashes of those that stay.
     """
-    least = prints.join(named, "fp").filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    # A smallest id may come with several texts, or several fingerprints of the class: the smallest pair stays.
-    root = least.groupBy("root").agg(F.min(F.struct("fp", "text_hash", "id", "no_id")).alias("s"))
+    # The smallest id, nulls last; it may come with several texts, or several fingerprints of the class: the smallest pair stays.
+    # A fingerprint's smallest is found before classes meet, so that one of many documents is one row there.
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp", "text_hash", "id", "no_id")
+    of_print = prints.groupBy("fp").agg(F.min(first).alias("first"))
+    root = of_print.join(named.select("fp", "root"), "fp").groupBy("root").agg(F.min("first").alias("s"))
     stay = root.select("s.id", "s.no_id", "s.text_hash").distinct()
     kept = docs.select(*key, F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")).join(stay, ["id", "no_id", "text_hash"], "left_semi")
     return kept.groupBy("id", "no_id", "text_hash").agg(F.first("row").alias("row")).select("row.*")

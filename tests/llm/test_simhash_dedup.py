@@ -114,11 +114,25 @@ def test_links_with_hot_bucket(spark, monkeypatch):
     assert components_of(found) == components_of(brute_links(values))
 
 
+def test_one_fingerprint_of_most_rows(spark, tmp_path):
+    rows = [(k, None if k % 2 else "") for k in range(4000)] + [(9000 + k, t) for k, (_, t) in enumerate(texts()[:30])] + [(None, None)] * 20
+    others = {i: c for i, _, c in brute_components(rows[4000:4030])}
+    want = [(i, f"{brute_print(t):016x}", others[i] if t else 0) for i, t in rows]
+    assert as_rows(query(spark, tmp_path, rows)) == sorted(want, key=str)
+
+
+def test_exactly_half_of_the_shingles_is_not_over_half():
+    for k in range(40):
+        text = f"a{k} b c d"  # two shingles: a bit set in one of them is 0
+        first, second = (xxhash.xxh64_intdigest(s, 42) for s in (f"a{k} b c".encode(), b"b c d"))
+        assert sh.fingerprint(text) & (2**64 - 1) == first & second
+
+
 def test_keep_one(spark):
     rows = texts() + [(1, texts()[0][1])] * 3
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "'fr' as lang", "'s' as source", "1L as n_chars")
     kept = sh.keep_one(docs)
-    assert kept.schema == docs.schema or kept.columns == docs.columns
+    assert kept.columns == docs.columns and [f.dataType for f in kept.schema] == [f.dataType for f in docs.schema]
     groups = {(r[2], r[1] if r[2] is None else "") for r in brute_components(rows)}
     assert len(kept.collect()) == len(groups)
     assert sh.keep_one(docs.limit(0)).collect() == []
