@@ -34,7 +34,7 @@ import numpy as np
 import pandas as pd
 import tiktoken
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colloquy.llm import attention_model as am
@@ -144,6 +144,18 @@ def count_words(train: DataFrame) -> DataFrame:
     return train.select("text").mapInPandas(counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def is_common(words: DataFrame, most: int) -> Column:
+    """Whether one of rows (word, n) is among the commonest, at most `most` of them: those above a step of n, as found from counts by step."""
+    short, step = F.octet_length("word") <= LONG_WORD, F.floor(F.log2(F.col("n").cast("double")) * 64).cast("int")
+    of, least = 0, 1 << 30
+    for r in words.filter(short).groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect():
+        of += r["count"]
+        if of > most:
+            break
+        least = r.step
+    return short & (step >= least)
+
+
 def count_ids(words: DataFrame, ranks, ends: int) -> tuple[np.ndarray, np.ndarray, float]:
     """Counts of all ids and ends, of words by number of ids (the last: SIZES or more), and the chance that such a long one goes on."""
 
@@ -270,8 +282,8 @@ def score_texts(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_
     n_words, kinds = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     tokens, kinds = n_words + texts, kinds + (1 if texts else 0)
     under = tokens + MISSING * (kinds + 1)
-    top = words.filter(F.octet_length("word") <= LONG_WORD).orderBy(F.desc("n"), "word").limit(FREQUENT)
-    frequent = {w.encode(): n for w, n in top.toPandas().itertuples(index=False)}
+    common = is_common(words, FREQUENT)
+    frequent = {w.encode(): n for w, n in words.filter(common).toPandas().itertuples(index=False)}
 
     ids, sizes, further = count_ids(words, sent_ranks, texts)
     unit, inside, log_share = am.units_of(ids)
@@ -288,7 +300,7 @@ def score_texts(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_
     long = F.octet_length("word") > LONG_WORD
     rest = main.select("n", F.explode(F.arrays_zip("words", "times")).alias("r")).select("n", F.col("r.words").alias("word"), "r.times")
     rest = rest.withColumn("salt", F.when(long, F.pmod(F.xxhash64("n"), F.lit(SALTS))).otherwise(F.lit(0).cast("long")))
-    rarer = words.join(F.broadcast(top.select("word")), "word", "left_anti").withColumnRenamed("n", "count")
+    rarer = words.filter(~common).withColumnRenamed("n", "count")
     rarer = rarer.withColumn("salt", F.explode(F.when(long, F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))))
     gain = F.col("times") * (F.log10(F.col("count") + MISSING) - F.log10(F.lit(MISSING)))
     met = rest.join(rarer, ["word", "salt"]).groupBy("n").agg(F.sum("times").alias("more"), F.sum(gain).alias("gain"))
