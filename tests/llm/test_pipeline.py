@@ -6,7 +6,7 @@ import pytest
 import corpus_pipeline as cp
 from colloquy.llm import sharding
 from tests.llm.test_decontamination import brute as brute_contaminated
-from tests.llm.test_simhash_dedup import brute_components
+from tests.llm.test_near_copies import brute as brute_similar
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -38,8 +38,10 @@ def test_quality_keeps_good_documents(spark, stages, sf_dir):
 
 
 def test_one_of_each_class_stays(stages):
+    """The stage's classes are those of five-word similarity 0.8 or more, by an exact comparison of all pairs."""
     rows = [(r.doc_id, r.text) for r in stages[1].collect()]
-    assert sorted(ids(stages[2])) == sorted({c for _, _, c in brute_components(rows)})
+    of, _ = brute_similar(rows)
+    assert sorted(ids(stages[2])) == sorted({min(i for (i, _), c in zip(rows, of, strict=True) if c == d) for d in set(of)})
 
 
 def test_decontamination_and_mixing(spark, stages, sf_dir):
@@ -62,7 +64,7 @@ def test_odd_rows_through_all_stages(spark, tmp_path):
     prose = "Some plain sentence of several words stands here number {}, and it goes on for a while. "
     rows = [(k, prose.format(k * 7919), "en", f"s{k % 3}", 9) for k in range(30)]
     rows += [(1, rows[1][1], "en", "s1", 9), (None, prose.format("none"), None, None, None), (98, None, None, None, None), (99, "", "en", "s0", 0), (100, re.sub("a", "e", prose) * 3000, "en", "s0", 1)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").selectExpr("*", "'x' as words", "1 as row", "2 as shard", "'k' as h")
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").selectExpr("*", "'x' as words", "1 as row", "2 as shard", "'k' as h", "3 as at", "4 as to", "5 as _slot", "6 as _shard", "7 as bad_id", "8 as _bad_hash", "9 as slot", "1 as text_hash", "2 as found", "3 as plan_source", "4 as block", "5 as copies", "6 as first", "7 as fp")
     for name, data in (("some", df), ("none", df.limit(0))):
         data.write.parquet(f"{tmp_path}/{name}/documents.parquet")
         spark.createDataFrame([(1, prose.format(3 * 7919))], "item_id long, text string").write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
