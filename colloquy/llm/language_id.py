@@ -22,6 +22,7 @@ are carried, and existing ones named lang_pred or score replaced.
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
 from dataclasses import dataclass
 
@@ -37,7 +38,9 @@ WORDS = 20_000
 GRAMS = 8_000
 LONGEST = 5
 LEAST_COUNT = 3
-CACHED_WORDS = 500_000
+CACHED_WORDS = 200_000
+#: Characters of texts that are scored together; one text is never cut.
+PART_CHARS = 1_000_000
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -83,19 +86,18 @@ class Model:
         self.clear()
 
     def clear(self) -> None:
-        """Forgets the words met so far: their numbers, table, and runs of (language, gain)."""
+        """Forgets the words met so far: their numbers, tables, and runs of (language, gain), one after another."""
         self.known: dict[str, int] = {}
-        self.size: list[int] = []
-        self.lang: list[np.ndarray] = []
-        self.gain: list[np.ndarray] = []
+        self.size, self.starts, self.lang, self.gain = array("b"), array("q", [0]), array("i"), array("d")
 
     def number(self, word: str) -> int:
         if (found := self.known.get(word)) is None:
             found = self.known[word] = len(self.size)
             size, lang, gain = self._gains(word)
             self.size.append(size)
-            self.lang.append(lang)
-            self.gain.append(gain)
+            self.lang.frombytes(lang.tobytes())
+            self.gain.frombytes(gain.tobytes())
+            self.starts.append(len(self.lang))
         return found
 
     def _gains(self, word: str) -> tuple[int, np.ndarray, np.ndarray]:
@@ -109,21 +111,33 @@ class Model:
         return -1, np.empty(0, np.int32), np.empty(0)
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        """Languages and scores of a batch: one sum over its words' gains, and one product for what languages lack."""
+        """Languages and scores of a batch, in parts."""
+        out, part, chars = [], [], 0
+        for t in texts:
+            part.append(t)
+            chars += len(t or "")
+            if chars >= PART_CHARS:
+                out += self._predict(part)
+                part, chars = [], 0
+        return out + self._predict(part)
+
+    def _predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """One sum over the words' gains, and one product for what languages lack."""
         words = [words_in(t) for t in texts]
         n = np.array([len(w) for w in words], np.int64)
         if not n.any() or not self.langs:
             return [("und", 0.0)] * len(texts)
         if len(self.known) > CACHED_WORDS:
             self.clear()
-        number = np.array([self.number(w) for ws in words for w in ws])
+        number = np.fromiter((self.number(w) for ws in words for w in ws), np.int64, int(n.sum()))
         pair, times = np.unique(np.repeat(np.arange(len(n)), n) * len(self.size) + number, return_counts=True)
         text, word = np.divmod(pair, len(self.size))
-        lengths = np.array([len(x) for x in self.lang])[word]
-        langs, gains = (np.concatenate([x[w] for w in word]) for x in (self.lang, self.gain))
-        total = np.bincount(np.repeat(text, lengths) * len(self.langs) + langs, np.repeat(times, lengths) * gains, len(n) * len(self.langs)).reshape(len(n), -1)
-        size = np.array(self.size)[word]
-        by_table = np.bincount(text * (LONGEST + 2) + size + 1, times, len(n) * (LONGEST + 2)).reshape(len(n), -1)
+        starts = np.array(self.starts)
+        length = starts[word + 1] - starts[word]
+        runs = np.repeat(starts[word] - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))
+        cells = np.repeat(text, length) * len(self.langs) + np.array(self.lang)[runs]
+        total = np.bincount(cells, np.repeat(times, length) * np.array(self.gain)[runs], len(n) * len(self.langs)).reshape(len(n), -1)
+        by_table = np.bincount(text * (LONGEST + 2) + np.array(self.size)[word] + 1, times, len(n) * (LONGEST + 2)).reshape(len(n), -1)
         total += by_table[:, 1:] @ np.stack([self.tables[k].lacking for k in range(LONGEST + 1)])
         odds = np.exp((total - total.max(axis=1, keepdims=True)) / np.sqrt(np.maximum(n, 1))[:, None])
         best = total.argmax(axis=1)
