@@ -30,6 +30,30 @@ def health(reachable: Column, available: Column) -> Column:
     return F.when(reachable & available, "ok").otherwise("degraded")
 
 
+def health_report(reachable: Column, available: Column, detail: Column, hint: Column) -> Column:
+    """(status, error): what keeps the service from being reached, if anything does."""
+    error = F.when(~reachable, strip(F.concat_ws(" ", F.coalesce(detail, F.lit("")), F.coalesce(hint, F.lit("")))))
+    return F.struct(health(reachable, available).alias("status"), error.alias("error"))
+
+
+def version(body: Column) -> Column:
+    return F.coalesce(F.get_json_object(body, "$.version"), F.lit("unknown"))
+
+
+def is_stale(content: Column) -> Column:
+    """A cached entry that is a page in place of what it should be."""
+    return F.contains(F.coalesce(content, F.lit("")), F.lit("text/html"))
+
+
+def usage(reply: Column) -> Column:
+    """(prompt_tokens, completion_tokens, total_ms, load_ms, tokens_per_second) of a completion's counts and durations."""
+    whole = lambda c: F.coalesce(reply[c], F.lit(0).cast("long"))
+    return F.struct(
+        whole("prompt_eval_count").alias("prompt_tokens"), whole("eval_count").alias("completion_tokens"), milliseconds(reply["total_duration"]).alias("total_ms"),
+        milliseconds(reply["load_duration"]).alias("load_ms"), tokens_per_second(reply["eval_count"], reply["eval_duration"]).alias("tokens_per_second"),
+    )
+
+
 def needs_retry(reply: Column, style: Column) -> Column:
     """A socratic reply that doesn't end with a question."""
     return F.coalesce((style == "socratic") & ~F.endswith(strip(reply), F.lit("?")), F.lit(False))

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Group 1: a sentence, from its first visible character to a terminator with closing quotes, before white space;
-#: 12 characters at least, so that short ones merge into the next. Else group 2: what is left, to the end, which
-#: is then not searched again from every character on.
-SENTENCE = r"""(?U)(\S[\s\S]{11,}?(?<=[.!?]["')\]]{0,16})(?=\s))|(\S[\s\S]*\z)"""
+_CLOSING = r"""["')\]]"""
+#: A sentence goes from its first visible character to a terminator with closing quotes, before white space; it has
+#: 12 characters at least, so that short ones merge into the next. Where the terminator comes early, quotes make up for it.
+_EARLY = "|".join(rf"\S[\s\S]{{{p}}}[.!?]{_CLOSING}{{{10 - p},}}(?=\s)" for p in range(10))
+#: Group 1: a sentence. Else group 2: what is left, to the end, which is then not searched again from every character on.
+SENTENCE = rf"(?U)((?:{_EARLY}|\S[\s\S]{{10,}}?[.!?]{_CLOSING}*(?=\s)))|(\S[\s\S]*\z)"
 
 
 def strip(x: Column) -> Column:
@@ -60,6 +62,11 @@ def listed(x: Column) -> Column:
     return F.filter(F.transform(F.split(x, ","), lambda p: F.trim(p)), lambda p: p != "")
 
 
+def origins(x: Column) -> Column:
+    """A listed setting of allowed origins, of which * is one by itself."""
+    return F.when(strip(x) == "*", F.array(F.lit("*"))).otherwise(listed(x))
+
+
 def joined(*parts: Column) -> Column:
     """What is there of the parts, with blanks between."""
     return F.concat_ws(" ", *(not_blank(p) for p in parts))

@@ -1,72 +1,106 @@
 """Model completion as an operator: request rows in, reply rows out, behind a pluggable completer.
 
-A completer is made once in each task and gets batches of requests, so that a client is reused and calls
-overlap as it likes. The stub is deterministic, for tests and queries without a model.
+A completer is made once in each task and gets batches of payloads, whole requests as JSON, so that a client is
+reused and calls overlap as it likes. It answers with what a model service sends: message, model, counts and durations. The
+stub is deterministic, for tests and queries without a model.
 """
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.functions import prompts
-from colloquy.functions.replies import answer_index, grade, needs_retry, salvage_json, whole_score
-from colloquy.functions.text import not_blank, strip
+from colloquy.functions import prompts, requests
+from colloquy.functions.replies import answer_index, grade, needs_retry, salvage_json, usage, whole_score
+from colloquy.functions.text import strip
 
-DEFAULT_MODEL, DEFAULT_TEMPERATURE, DEFAULT_TOKENS = "small:1b", 0.4, 800
-REPLY = "request_id string, reply string, eval_count long, eval_duration long"
+COUNTS = ["eval_count", "eval_duration", "prompt_eval_count", "total_duration", "load_duration"]
+REPLY = "request_id string, reply string, model string, " + ", ".join(f"{c} long" for c in COUNTS)
 
-Completer = Callable[[list[str]], list[str]]
-
-
-def payload(model: Column, temperature: Column, max_tokens: Column, messages: Column, stream: bool = False) -> Column:
-    """The request's JSON: an empty model is the default one, while a temperature of 0 stays."""
-    return F.to_json(
-        F.struct(
-            F.coalesce(not_blank(model), F.lit(DEFAULT_MODEL)).alias("model"),
-            messages.alias("messages"),
-            F.lit(stream).alias("stream"),
-            F.struct(F.coalesce(temperature, F.lit(DEFAULT_TEMPERATURE)).alias("temperature"), F.coalesce(max_tokens, F.lit(DEFAULT_TOKENS)).alias("num_predict")).alias("options"),
-        )
-    )
+Completer = Callable[[list[str]], list[dict]]
 
 
 def stub() -> Completer:
-    """Repeats the last user message, as an answer."""
-    return lambda asked: [f"About that: {text}" for text in asked]
-
+    """Repeats the last user message as an answer, or asks back where it is told to; fills a schema with the message's own words.
 
-def complete(requests: DataFrame, make: Callable[[], Completer] = stub) -> DataFrame:
-    """(request_id, reply, eval_count, eval_duration) of rows (request_id, messages), with the last message asked."""
-    asked = requests.select(F.col("request_id").cast("string").alias("request_id"), F.try_element_at("messages", F.lit(-1))["content"].alias("text"))
+    A word counts as a token, 40 ms each.
+    """
+    words = lambda text: re.findall(r"[^\x20\x09-\x0D]+", text)
+
+    def filled(schema: dict, asked: str):
+        if "enum" in schema:
+            return schema["enum"][0]
+        kind = schema["type"]
+        if kind == "object":
+            return {k: filled(v, asked) for k, v in schema["properties"].items()}
+        if kind == "array":
+            return [filled(schema["items"], f"{asked} {k + 1}" if schema["items"]["type"] == "string" else asked) for k in range(schema.get("minItems", 1))]
+        return {"boolean": False, "integer": 60}.get(kind, asked)
+
+    def one(body: str) -> dict:
+        request = json.loads(body)
+        said = [m["content"] or "" for m in request["messages"]]
+        last = said[-1] if said else ""
+        reply = "What do you make of it?" if last.startswith("That reply explained too much.") else f"About that: {last}"
+        if "format" in request:
+            reply = json.dumps(filled(request["format"], last.partition("\n")[0]), ensure_ascii=False)
+        n = len(words(reply))
+        return {"message": {"content": reply}, "model": request["model"], "eval_count": n, "eval_duration": 40_000_000 * n, "prompt_eval_count": sum(len(words(t)) for t in said), "total_duration": 40_000_000 * n + 1_000_000, "load_duration": 1_000_000}
+
+    return lambda bodies: [one(b) for b in bodies]
+
+
+def complete(asked: DataFrame, make: Callable[[], Completer] = stub) -> DataFrame:
+    """Rows (request_id, reply, model, counts and durations) of rows (request_id, payload). A reply without a message is empty."""
+    rows = asked.select(F.col("request_id").cast("string").alias("request_id"), "payload")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         completer = make()
         for batch in batches:
             if len(batch):
-                reply = completer(batch["text"].fillna("").tolist())
-                size = [len(r.split()) for r in reply]
-                yield pd.DataFrame({"request_id": batch["request_id"], "reply": reply, "eval_count": size, "eval_duration": [40_000_000 * n for n in size]})
+                found = completer(batch["payload"].tolist())
+                out = {"request_id": batch["request_id"], "reply": [(r.get("message") or {}).get("content") or "" for r in found], "model": [r.get("model") for r in found]}
+                yield pd.DataFrame(out | {c: pd.array([r.get(c) for r in found], dtype="Int64") for c in COUNTS})
+
+    return rows.mapInPandas(run, REPLY)
+
 
-    return asked.mapInPandas(run, REPLY)
+def chat_payload(messages: Column) -> Column:
+    """Of rows that may have columns model, temperature and max_tokens."""
+    return requests.payload(F.col("model"), F.col("temperature"), F.col("max_tokens"), messages)
 
 
-def chat(requests: DataFrame, cut: Callable[[DataFrame, str], DataFrame], make: Callable[[], Completer] = stub) -> DataFrame:
+def chat(asked: DataFrame, cut: Callable[[DataFrame, str], DataFrame], make: Callable[[], Completer] = stub) -> DataFrame:
     """Replies to rows (request_id, question, style, messages); socratic ones that don't end with a question are asked once more.
 
-    Only those are asked again. `cut` writes and rereads a table, so that no call is made twice.
+    asked may have model, temperature and max_tokens. Only replies that need it are asked again; the second is kept if it ends with
+    a question. Model and usage are those of the reply that is kept. `cut` writes and rereads a table, so that no call is made twice.
     """
-    first = cut(complete(requests, make), "chat-first").withColumn("reply", strip(F.col("reply")))
-    rows = requests.withColumn("request_id", F.col("request_id").cast("string")).join(first, "request_id")
-    again = rows.filter(needs_retry(F.col("reply"), F.col("style")))
-    asked = again.select("request_id", prompts.retry_messages(F.col("messages"), F.col("reply"), F.col("question")).alias("messages"))
-    second = cut(complete(asked, make), "chat-second").select("request_id", strip(F.col("reply")).alias("retried"), F.lit(True).alias("asked_again"))
-    both = rows.join(second, "request_id", "left")
-    better = F.endswith("retried", F.lit("?"))
-    return both.select("request_id", F.when(better, F.col("retried")).otherwise(F.col("reply")).alias("reply"), F.coalesce("asked_again", F.lit(False)).alias("asked_again"), F.coalesce(better, F.lit(False)).alias("used_retry"), "eval_count", "eval_duration")
+    missing = {c: F.lit(None).cast(t) for c, t in (("model", "string"), ("temperature", "double"), ("max_tokens", "int")) if c not in asked.columns}
+    rows = asked.withColumns({"request_id": F.col("request_id").cast("string"), **missing})
+    kept = lambda df: df.select("request_id", F.struct(strip(F.col("reply")).alias("reply"), "model", *COUNTS).alias("r"))
+    first = kept(cut(complete(rows.select("request_id", chat_payload(F.col("messages")).alias("payload")), make), "chat-first"))
+    answered = rows.join(first, "request_id")
+    again = answered.filter(needs_retry(F.col("r.reply"), F.col("style")))
+    retried = chat_payload(prompts.retry_messages(F.col("messages"), F.col("r.reply"), F.col("question")))
+    second = kept(cut(complete(again.select("request_id", retried.alias("payload")), make), "chat-second")).withColumnRenamed("r", "second")
+    both = answered.join(second, "request_id", "left")
+    better = F.coalesce(F.endswith(F.col("second.reply"), F.lit("?")), F.lit(False))
+    final = both.select("request_id", F.when(better, F.col("second")).otherwise(F.col("r")).alias("r"), F.col("second").isNotNull().alias("asked_again"), better.alias("used_retry"))
+    return final.select("request_id", "r.reply", F.coalesce("r.model", F.lit(requests.DEFAULT_MODEL)).alias("model"), "asked_again", "used_retry", usage(F.col("r")).alias("usage"))
+
+
+def task_payloads(asked: DataFrame, task: str, messages: Column, questions: Column | None = None, options: Column | None = None) -> DataFrame:
+    """Rows (request_id, payload) of a structured task, with its defaults and the schema of its reply. asked may have model, temperature and max_tokens."""
+    given = lambda c, t: F.col(c) if c in asked.columns else F.lit(None).cast(t)
+    tokens = requests.task_tokens(task, given("max_tokens", "int"), questions)
+    body = requests.payload(given("model", "string"), requests.task_temperature(task, given("temperature", "double")), tokens, messages, schema=requests.reply_format(task, questions, options))
+    return asked.select("request_id", body.alias("payload"))
 
 
 def parsed(replies: DataFrame, schema: str) -> DataFrame:

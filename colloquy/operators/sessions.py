@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from colloquy.functions.text import preview
+from colloquy.functions.text import preview, strip
 
 TTL_MINUTES = 180
 HISTORY = 20
@@ -25,12 +25,20 @@ def transcripts(messages: DataFrame) -> DataFrame:
     return messages.groupBy("session_id").agg(F.transform(of, lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"))).alias("messages"))
 
 
+def transcript_parts(messages: DataFrame, turns: int = 500) -> DataFrame:
+    """(session_id, part, messages): a transcript in parts of at most `turns` turns, so that a session of any length has small groups."""
+    cut = messages.withColumn("part", F.floor(F.col("turn") / turns))
+    of = F.sort_array(F.collect_list(F.struct("turn", "role", "content")))
+    return cut.groupBy("session_id", "part").agg(F.transform(of, lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"))).alias("messages"))
+
+
 def history(messages: DataFrame, last: int = HISTORY) -> DataFrame:
     """The last messages of every session; all of them if `last` isn't positive."""
     if last <= 0:
         return messages
     place = F.row_number().over(W.partitionBy("session_id").orderBy(F.desc("turn")))
-    return messages.withColumn("_place", place).filter(F.col("_place") <= last).drop("_place")
+    rows = messages.select(F.struct(*messages.columns).alias("row"), "session_id", "turn").withColumn("place", place)
+    return rows.filter(F.col("place") <= last).select("row.*")
 
 
 def last_activity(activity: DataFrame, key: str) -> DataFrame:
@@ -43,10 +51,11 @@ def is_expired(updated_at: Column, now: Column, minutes: int = TTL_MINUTES) -> C
 
 def sessionize(activity: DataFrame, key: str, seconds: float = TTL_MINUTES * 60, order: str = "event_id") -> DataFrame:
     """activity with session_no (from 1) by key: a new one after a gap of more than `seconds`."""
-    of = W.partitionBy(key).orderBy("ts", order)
+    rows = activity.select(F.struct(*(c for c in activity.columns if c.lower() != "session_no")).alias("row"), F.col(key).alias("of"), "ts", F.col(order).alias("at"))
+    of = W.partitionBy("of").orderBy("ts", "at")
     gap = F.unix_micros("ts") - F.lag(F.unix_micros("ts")).over(of)
     new = F.coalesce((gap > int(seconds * 1e6)).cast("int"), F.lit(1))
-    return activity.withColumn("_new", new).withColumn("session_no", F.sum("_new").over(of)).drop("_new")
+    return rows.withColumn("new", new).withColumn("session_no", F.sum("new").over(of)).select("row.*", "session_no")
 
 
 def within_capacity(accessed: DataFrame, key: str, most: int = CAPACITY) -> DataFrame:
@@ -54,26 +63,11 @@ def within_capacity(accessed: DataFrame, key: str, most: int = CAPACITY) -> Data
     return accessed.orderBy(F.desc("updated_at"), key).limit(most)
 
 
-def resolve(requests: DataFrame, stored: DataFrame) -> DataFrame:
-    """Requests (request_id, session_id, profile) with their stored session, or a new id; a given profile replaces the stored one.
-
-    The new id is a hash of the request, so that a task that runs again gives the same.
-    """
-    known = stored.select(F.col("session_id").alias("_known"), F.col("profile").alias("_profile"))
-    found = requests.join(known, F.nullif("session_id", F.lit("")) == F.col("_known"), "left")
-    return found.select(
-        "request_id",
-        F.coalesce("_known", F.md5(F.col("request_id").cast("string"))).alias("session_id"),
-        F.coalesce("profile", "_profile").alias("profile"),
-        F.col("_known").isNull().alias("created"),
-    )
-
-
 def delete(stored: DataFrame, commands: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(sessions left, commands with `deleted`)."""
     ids = commands.select("session_id").distinct()
-    answered = ids.join(stored.select("session_id").distinct().withColumn("_there", F.lit(True)), "session_id", "left")
-    return stored.join(ids, "session_id", "left_anti"), answered.select("session_id", F.coalesce("_there", F.lit(False)).alias("deleted"))
+    answered = ids.join(stored.select("session_id").distinct().withColumn("there", F.lit(True)), "session_id", "left")
+    return stored.join(ids, "session_id", "left_anti"), answered.select("session_id", F.coalesce("there", F.lit(False)).alias("deleted"))
 
 
 def latest(rows: DataFrame, key: str, order: str, value: str) -> DataFrame:
@@ -90,6 +84,4 @@ def replies(tokens: DataFrame) -> DataFrame:
     """(request_id, reply, n_tokens) of rows (request_id, seq, token): ordered concatenation of what isn't empty, stripped."""
     some = tokens.filter(F.coalesce("token", F.lit("")) != "")
     text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", "token"))), lambda x: x["token"]), "")
-    from colloquy.functions.text import strip
-
     return some.groupBy("request_id").agg(strip(text).alias("reply"), F.count("*").alias("n_tokens"))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from colloquy.functions import prompts, replies, text
-from colloquy.operators import completion, sessions
+from colloquy.functions import prompts, replies, requests, text
+from colloquy.operators import completion, sessions, store
 from colloquy.sources import frames
 
 QUERIES: dict = {}
@@ -39,6 +41,13 @@ def session_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sessions.transcripts(frames.messages(spark, sf_dir)).select("session_id", F.array_join(lines, "\n").alias("transcript"))
 
 
+@query("""SELECT conv_id AS session_id, turn // 4 AS part, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS transcript FROM conversations GROUP BY ALL""")
+def session_transcript_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transcripts by parts of four turns: no group grows with a session."""
+    lines = F.transform("messages", lambda m: F.concat(m["role"], F.lit(": "), m["content"]))
+    return sessions.transcript_parts(frames.messages(spark, sf_dir), 4).select("session_id", "part", F.array_join(lines, "\n").alias("transcript"))
+
+
 LAST_N = """SELECT conv_id AS session_id, turn, role, text AS content FROM conversations
 QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= {n}"""
 
@@ -93,19 +102,80 @@ def lru_kept_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sessions.within_capacity(_last(spark, sf_dir), "user_id").select("user_id", F.unix_micros("updated_at").alias("last_us"))
 
 
-@query("""WITH stored AS (SELECT conv_id::VARCHAR AS id, 'style ' || max(turn) AS profile FROM conversations WHERE role = 'assistant' GROUP BY conv_id),
-requests AS (SELECT conv_id * 1000 + turn AS request_id, CASE WHEN turn % 3 = 0 THEN '' ELSE conv_id::VARCHAR END AS session_id, CASE WHEN turn = 2 THEN 'given' END AS profile FROM conversations WHERE role = 'user')
-SELECT request_id, coalesce(id, md5(request_id::VARCHAR)) AS session_id, coalesce(requests.profile, stored.profile) AS profile, id IS NULL AS created
-FROM requests LEFT JOIN stored ON stored.id = nullif(requests.session_id, '')""")
+# The conversations have no times: a session of the store is taken to begin seven minutes after the one before, and a turn to take half a minute.
+NOW = "2024-01-01 04:00:00"
+STORED = """WITH stored AS (SELECT conv_id::VARCHAR AS id, 'style ' || max(turn) AS profile, TIMESTAMP '2024-01-01' + to_minutes(7 * conv_id) AS created_at,
+TIMESTAMP '2024-01-01' + to_minutes(7 * conv_id) + to_seconds(30 * max(turn)) AS updated_at FROM conversations WHERE role = 'assistant' GROUP BY conv_id),
+live AS (SELECT * FROM stored WHERE updated_at >= TIMESTAMP '2024-01-01 04:00:00' - INTERVAL 180 MINUTE)
+"""
+
+
+def _timed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    begun = F.lit("2024-01-01").cast("timestamp") + F.make_interval(mins=(7 * F.col("session_id")).cast("int"))
+    return frames.messages(spark, sf_dir).withColumn("begun", begun).withColumn("created_at", F.col("begun") + F.make_interval(secs=(30 * F.col("turn")).cast("decimal(18,6)"))).withColumn("session_id", F.col("session_id").cast("string"))
+
+
+def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions as the store has them: accessed by their first message last, active by their last one."""
+    rows = _timed(spark, sf_dir).filter("role = 'assistant'")
+    begun = rows.groupBy("session_id").agg(F.concat(F.lit("style "), F.max("turn").cast("string")).alias("profile"), F.min("begun").alias("created_at"))
+    made = begun.withColumn("updated_at", F.col("created_at")).withColumn("last_access", F.col("created_at"))
+    return store.append(made, rows)
+
+
+def _now() -> F.Column:
+    return F.lit(NOW).cast("timestamp")
+
+
+@query(STORED + """, requests AS (SELECT conv_id * 1000 + turn AS request_id, CASE WHEN turn % 3 = 0 THEN '' ELSE conv_id::VARCHAR END AS session_id, CASE WHEN turn = 2 THEN 'given' END AS profile FROM conversations WHERE role = 'user')
+SELECT request_id, coalesce(id, md5(request_id::VARCHAR)) AS session_id, coalesce(requests.profile, live.profile) AS profile, id IS NULL AS created
+FROM requests LEFT JOIN live ON live.id = nullif(requests.session_id, '')""")
 def session_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = frames.messages(spark, sf_dir).withColumn("session", F.col("session_id").cast("string"))
-    stored = rows.filter("role = 'assistant'").groupBy(F.col("session").alias("session_id")).agg(F.concat(F.lit("style "), F.max("turn").cast("string")).alias("profile"))
-    requests = rows.filter("role = 'user'").select(
+    """Requests to sessions, some blank, some expired: these get new ones."""
+    asked = frames.messages(spark, sf_dir).filter("role = 'user'").select(
         (F.col("session_id") * 1000 + F.col("turn")).alias("request_id"),
-        F.when(F.col("turn") % 3 == 0, "").otherwise(F.col("session")).alias("session_id"),
+        F.when(F.col("turn") % 3 == 0, "").otherwise(F.col("session_id").cast("string")).alias("session_id"),
         F.when(F.col("turn") == 2, "given").alias("profile"),
     )
-    return sessions.resolve(requests, stored)
+    return store.resolve(asked, _stored(spark, sf_dir), _now())
+
+
+@query(STORED + "SELECT id AS session_id, profile, epoch_us(updated_at) AS updated_us, epoch_us(TIMESTAMP '2024-01-01 04:00:00') AS access_us FROM live WHERE id IN (SELECT user_id::VARCHAR FROM events)")
+def session_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sessions that events name, as far as they haven't expired."""
+    ids = frames.events(spark, sf_dir).select(F.col("user_id").cast("string").alias("session_id"))
+    found = store.lookup(_stored(spark, sf_dir), ids, _now())
+    return found.select("session_id", "profile", F.unix_micros("updated_at").alias("updated_us"), F.unix_micros("last_access").alias("access_us"))
+
+
+@query(STORED + """, made AS (SELECT 'new ' || user_id AS id, event_type AS profile, TIMESTAMP '2024-01-01 04:00:00' AS made_at FROM (SELECT user_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id)),
+both_kinds AS (SELECT id, profile, updated_at, created_at AS last_access FROM live UNION ALL SELECT id, profile, made_at, made_at FROM made)
+SELECT id AS session_id, profile, epoch_us(updated_at) AS updated_us FROM both_kinds ORDER BY last_access DESC, updated_at DESC, id LIMIT 25""")
+def sessions_after_creates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The store after every user's session is made: expired ones go, then all but the 25 accessed last."""
+    new = sessions.latest(frames.events(spark, sf_dir), "user_id", "event_id", "event_type").select(F.concat(F.lit("new "), F.col("user_id").cast("string")).alias("session_id"), F.col("event_type").alias("profile"))
+    return store.create(_stored(spark, sf_dir), new, _now(), 25).select("session_id", "profile", F.unix_micros("updated_at").alias("updated_us"))
+
+
+@query(STORED + """, said AS (SELECT conv_id::VARCHAR AS id, count(*) AS n, substring(arg_min(text, turn) FILTER (role = 'user'), 1, 120) AS preview FROM conversations GROUP BY conv_id)
+SELECT id AS session_id, profile, n AS message_count, epoch_us(created_at) AS created_us, epoch_us(updated_at) AS updated_us, preview FROM live JOIN said USING (id) ORDER BY updated_at DESC, created_at, id""")
+def session_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Summaries of the sessions that haven't expired, the newest activity first."""
+    messages = frames.messages(spark, sf_dir).withColumn("session_id", F.col("session_id").cast("string"))
+    found = store.listed(_stored(spark, sf_dir), messages, _now())
+    return found.select("session_id", "profile", "message_count", F.unix_micros("created_at").alias("created_us"), F.unix_micros("updated_at").alias("updated_us"), "preview")
+
+
+@query("""WITH last AS (SELECT conv_id, max(turn) AS turn FROM conversations GROUP BY conv_id), failed AS (SELECT conv_id, turn FROM last WHERE turn >= 3),
+left_over AS (SELECT c.conv_id, c.turn FROM conversations c ANTI JOIN failed USING (conv_id, turn)),
+ids AS (SELECT conv_id FROM conversations WHERE role = 'assistant' GROUP BY conv_id)
+SELECT conv_id::VARCHAR AS session_id, epoch_us(TIMESTAMP '2024-01-01' + to_minutes(7 * conv_id) + to_seconds(30 * coalesce(max(turn), 0))) AS updated_us FROM ids LEFT JOIN left_over USING (conv_id) GROUP BY conv_id""")
+def activity_after_roll_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Last activity after the last message of every longer session is taken back."""
+    rows = _timed(spark, sf_dir)
+    failed = rows.groupBy("session_id").agg(F.max("turn").alias("last")).filter("last >= 3")
+    found = store.last_activity(_stored(spark, sf_dir), store.roll_back(rows, failed))
+    return found.select("session_id", F.unix_micros("updated_at").alias("updated_us"))
 
 
 @query("""WITH commands AS (SELECT DISTINCT user_id AS id FROM events WHERE event_type = 'error' AND value > 60), stored AS (SELECT DISTINCT conv_id AS id FROM conversations)
@@ -168,6 +238,12 @@ def document_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (F.col("at") + 1).cast("long").alias("at"), "sentence")
 
 
+@query(r"""SELECT doc_id, trim(regexp_replace(text, '\S[\s\S]{10,}?[.!?]+["'')\]]*(\s)', '\1', 'g'), chr(10) || chr(13) || chr(9) || ' ') AS tail FROM documents""")
+def document_tails(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left after the finished sentences, as it is flushed at the end."""
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", text.tail(F.col("text")).alias("tail"))
+
+
 @query(r"""SELECT doc_id, length(regexp_replace(trim(text, chr(10) || chr(9) || chr(13) || ' '), '\s+', ' ', 'g')) AS n, md5(regexp_replace(trim(text, chr(10) || chr(9) || chr(13) || ' '), '\s+', ' ', 'g')) AS collapsed FROM documents""")
 def collapsed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     plain = text.collapse(F.col("text"))
@@ -224,16 +300,45 @@ def sse_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frames.sse_events(bodies).groupBy("request_id").agg(F.count("*").alias("events"), F.count_if(F.col("event.type") == "token").alias("tokens"))
 
 
-@query(r"""WITH t AS (SELECT conv_id * 1000 + turn AS request_id, regexp_extract_all(text, '\S+\s*') AS w FROM conversations WHERE role = 'assistant')
-SELECT request_id, 'token*done' AS protocol, true AS complete FROM t""")
+STREAMED = r"""WITH t AS (SELECT conv_id * 1000 + turn AS request_id, conv_id, regexp_extract_all(text, '\S+\s*') AS w, (conv_id * 1000 + turn) % 5 AS kind, text FROM conversations WHERE role = 'assistant'),
+e AS (SELECT request_id, -1 AS pos, 'data: {"type":"start","session_id":"' || conv_id || '","model":null}' AS body FROM t
+UNION ALL SELECT request_id, i, 'data: {"type":"token","content":' || to_json(w[i]) || '}' FROM (SELECT request_id, w, unnest(range(1, (CASE kind WHEN 1 THEN least(3, len(w)) WHEN 2 THEN len(w) // 2 ELSE len(w) END) + 1)) AS i FROM t)
+UNION ALL SELECT request_id, 10000000, 'data: {"type":"done","session_id":"' || conv_id || '","reply":' || to_json(trim(text, chr(10) || chr(9) || chr(13) || ' ')) || '}' FROM t WHERE kind NOT IN (1, 2)
+UNION ALL SELECT request_id, 10000001, 'data: {"type":"error","detail":"The model service timed out.","hint":null}' FROM t WHERE kind = 1
+UNION ALL SELECT request_id, 10000002, 'data: [DONE]' FROM t)
+"""
+
+
+def _streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames of the assistant's messages; of five requests one fails after three tokens, and one ends halfway."""
+    tokens = _tokens(spark, sf_dir).withColumn("kind", F.col("request_id") % 5)
+    size = frames.messages(spark, sf_dir).select((F.col("session_id") * 1000 + F.col("turn")).alias("request_id"), F.size(text.tokens(F.col("content"))).alias("size"))
+    rows = tokens.join(size, "request_id").filter((F.col("kind") != 2) | (F.col("seq") < F.floor(F.col("size") / 2)))
+    fails = (F.col("kind") == 1) & (F.col("seq") == F.least(F.lit(3), F.col("size")))
+    chunks = rows.select("request_id", "seq", "token", (F.col("token") == "").alias("done"), F.when(fails, "The model service timed out.").alias("detail"), F.lit(None).cast("string").alias("hint"))
+    asked = size.select("request_id").join(tokens.select("request_id").distinct(), "request_id", "left_semi")
+    session = F.floor(F.col("request_id") / 1000).cast("string")
+    return frames.stream_frames(asked.select("request_id", session.alias("session_id"), F.lit(None).cast("string").alias("model")), chunks)
+
+
+@query(STREAMED + """SELECT request_id, md5(string_agg(body || chr(10) || chr(10), '' ORDER BY pos)) AS body FROM e GROUP BY request_id""")
+def stream_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is sent of every request, from start to end mark."""
+    whole = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "frame"))), lambda x: x["frame"]), "")
+    return _streamed(spark, sf_dir).groupBy("request_id").agg(F.md5(whole).alias("body"))
+
+
+@query(STREAMED + r"""SELECT request_id, count(*) FILTER (body LIKE '%"type":"token"%') AS tokens, arg_min(body, pos) LIKE 'data: {"type":"start"%' AS starts, arg_max(body, pos) = 'data: [DONE]' AS ends,
+count(*) FILTER (body LIKE 'data: {"type":"done"%') AS done, count(*) FILTER (body LIKE 'data: {"type":"error"%') AS errors FROM e GROUP BY request_id""")
 def stream_protocol(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether each request's events are tokens and then one done."""
-    kinds = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", F.when(F.col("token") == "", "d").otherwise("t").alias("k")))), lambda x: x["k"]), "")
-    found = _tokens(spark, sf_dir).groupBy("request_id").agg(kinds.alias("kinds"))
-    return found.select("request_id", F.lit("token*done").alias("protocol"), F.regexp_like("kinds", F.lit("^t*d$")).alias("complete"))
+    """Whether each request's frames begin and end as they must, and what stands between."""
+    kind = lambda k: F.count_if(F.col("type") == k)
+    found = _streamed(spark, sf_dir).groupBy("request_id")
+    return found.agg(kind("token").alias("tokens"), (F.min_by("type", "at") == "start").alias("starts"), (F.max_by("type", "at") == "end").alias("ends"), kind("done").alias("done"), kind("error").alias("errors"))
 
 
-@query(r"""SELECT conv_id * 1000 + turn AS request_id, (turn % 2 = 0)::INT::BIGINT AS good, (turn % 2 = 1)::INT::BIGINT AS bad FROM conversations""")
+@query(r"""WITH lines AS (SELECT conv_id * 1000 + turn AS request_id, unnest([json_object('message', json_object('role', role, 'content', text), 'done', false)::VARCHAR || CASE WHEN turn % 2 = 0 THEN '' ELSE '}{' END, '  ']) AS line FROM conversations)
+SELECT request_id, sum(json_valid(line)::INT)::BIGINT AS good, sum((NOT json_valid(line))::INT)::BIGINT AS bad FROM lines WHERE trim(line) <> '' GROUP BY request_id""")
 def ndjson_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks of every message, each second of them malformed, and a blank line each."""
     chunk = F.to_json(F.struct(F.struct(F.col("role"), F.col("content")).alias("message"), F.lit(False).alias("done")))
@@ -264,9 +369,12 @@ def model_availability(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("p_partkey", F.coalesce("named", F.lit(False)).alias("by_name"), F.coalesce("related", F.lit(False)).alias("by_family"))
 
 
-@query("""SELECT p_partkey, CASE WHEN p_size % 3 > 0 AND p_size % 2 = 0 THEN 'ok' ELSE 'degraded' END AS status FROM part""")
+@query("""SELECT p_partkey, CASE WHEN p_size % 3 > 0 AND p_size % 2 = 0 THEN 'ok' ELSE 'degraded' END AS status, CASE WHEN p_size % 3 = 0 THEN trim(p_name || ' ' || CASE WHEN p_size % 2 = 0 THEN p_type ELSE '' END) END AS error,
+CASE WHEN p_size % 5 = 0 THEN 'unknown' ELSE p_brand END AS version FROM part""")
 def health_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", replies.health(F.col("p_size") % 3 > 0, F.col("p_size") % 2 == 0).alias("status"))
+    body = F.to_json(F.struct(F.when(F.col("p_size") % 5 > 0, F.col("p_brand")).alias("version")))
+    report = replies.health_report(F.col("p_size") % 3 > 0, F.col("p_size") % 2 == 0, F.col("p_name"), F.when(F.col("p_size") % 2 == 0, F.col("p_type")))
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", report.alias("r"), replies.version(body).alias("version")).select("p_partkey", "r.status", "r.error", "version")
 
 
 STATUS = "CASE event_type WHEN 'view' THEN 200 WHEN 'click' THEN 404 WHEN 'signup' THEN 500 WHEN 'error' THEN 0 END"
@@ -296,27 +404,48 @@ def pass_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT page_id, CASE WHEN length(html) = 0 THEN 'empty' WHEN html LIKE '%text/html%' THEN 'stale' ELSE 'fresh' END AS state FROM pages""")
 def cache_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stale = F.contains(F.coalesce("html", F.lit("")), F.lit("text/html"))
-    state = F.when(F.length("html") == 0, "empty").when(stale, "stale").otherwise("fresh")
+    state = F.when(F.length("html") == 0, "empty").when(replies.is_stale(F.col("html")), "stale").otherwise("fresh")
     return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", state.alias("state"))
 
 
-@query("""SELECT c_custkey, c_mktsegment AS second, 2 AS n FROM customer""")
+@query("""SELECT page_id, url FROM pages WHERE contains(html, 'utf-8') AND NOT contains(html, 'charset="utf-8"><title>The ') OR html IS NULL""")
+def purged_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entries that stay when stale ones go; a title that begins so stands for the content type here."""
+    kind = F.when(F.contains("html", F.lit('charset="utf-8"><title>The ')), "text/html; charset=utf-8").when(F.contains("html", F.lit("utf-8")), "application/json").when(F.col("html").isNotNull(), "text/html")
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return pages.filter(~replies.is_stale(kind)).select("page_id", "url")
+
+
+@query("""WITH i AS (SELECT c_custkey, CASE WHEN c_nationkey = 3 THEN ' * ' ELSE c_name || ', ,' || CASE WHEN c_acctbal < 0 THEN '' ELSE c_mktsegment END || ' ,' || c_nationkey END AS s FROM customer),
+l AS (SELECT c_custkey, list_filter(list_transform(string_split(s, ','), lambda x: trim(x)), lambda x: x <> '') AS l FROM i)
+SELECT c_custkey, l[2] AS second, len(l) AS n, array_to_string(l, '|') AS origins FROM l""")
 def listed_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = text.listed(F.concat(F.col("c_name"), F.lit(", ,"), F.col("c_mktsegment"), F.lit(" ")))
-    return spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", F.try_element_at(items, F.lit(2)).alias("second"), F.size(items).cast("long").alias("n"))
+    listed = F.concat(F.col("c_name"), F.lit(", ,"), F.when(F.col("c_acctbal") < 0, "").otherwise(F.col("c_mktsegment")), F.lit(" ,"), F.col("c_nationkey").cast("string"))
+    items = text.origins(F.when(F.col("c_nationkey") == 3, " * ").otherwise(listed))
+    return spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", F.try_element_at(items, F.lit(2)).alias("second"), F.size(items).cast("long").alias("n"), F.array_join(items, "|").alias("origins"))
 
 
-@query("""SELECT conv_id AS session_id, turn, CASE WHEN length(text) = 0 THEN 'message' WHEN turn > 5 THEN 'temperature' WHEN role NOT IN ('user', 'assistant') THEN 'role' END AS rejected FROM conversations""")
+@query("""SELECT conv_id AS session_id, turn, CASE WHEN length(text) = 0 THEN 'message' WHEN turn * 0.4 > 2 THEN 'temperature' WHEN turn * 1500 NOT BETWEEN 1 AND 4096 THEN 'max_tokens' WHEN role NOT IN ('socratic', 'direct', 'exam_prep', 'user') THEN 'style' END AS chat,
+CASE WHEN length(text) = 0 THEN 'topic' WHEN turn NOT BETWEEN 1 AND 10 THEN 'num_questions' WHEN 8 - turn NOT BETWEEN 2 AND 6 THEN 'num_options' WHEN turn % 4 = 3 THEN 'difficulty' END AS quiz,
+CASE WHEN length(text) = 0 THEN 'question' WHEN turn % 2 = 0 THEN 'student_answer' END AS evaluate FROM conversations""")
 def validated_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    why = F.when(F.length("content") == 0, "message").when(~(F.col("turn") * 0.4).between(0, 2), "temperature").when(~F.col("role").isin("user", "assistant"), "role")
-    return frames.messages(spark, sf_dir).select("session_id", "turn", why.alias("rejected"))
+    """The first field that each task's rules refuse of requests made of the messages."""
+    turn, said = F.col("turn"), F.col("content")
+    style = F.when(F.col("role") == "user", "direct").otherwise(F.col("role"))
+    levels = F.array(F.lit("easy"), F.lit("medium"), F.lit("hard"), F.lit("none"))
+    return frames.messages(spark, sf_dir).select(
+        "session_id",
+        "turn",
+        requests.rejected("chat", message=said, temperature=turn * 0.4, max_tokens=turn * 1500, style=style).alias("chat"),
+        requests.rejected("quiz", topic=said, num_questions=turn, num_options=8 - turn, difficulty=levels[(turn % 4).cast("int")]).alias("quiz"),
+        requests.rejected("evaluate", question=said, student_answer=F.when(turn % 2 == 0, "").otherwise(said)).alias("evaluate"),
+    )
 
 
-@query("""SELECT conv_id AS session_id, turn, '{"model":"' || CASE WHEN turn % 2 = 0 THEN 'small:1b' ELSE 'm' || turn END || '","messages":[{"role":"' || role || '","content":' || to_json(text) || '}],"stream":false,"options":{"temperature":' || CASE WHEN turn = 0 THEN '0.0' ELSE '0.4' END || ',"num_predict":800}}' AS payload FROM conversations""")
+@query("""SELECT conv_id AS session_id, turn, '{"model":"' || CASE WHEN turn % 2 = 0 THEN 'small:1b' ELSE 'm' || turn END || '","messages":[{"role":"' || role || '","content":' || to_json(text) || '}],"stream":false,"options":{"temperature":' || CASE WHEN turn = 0 THEN '0.0' ELSE '0.4' END || ',"num_predict":800,"num_ctx":4096}}' AS payload FROM conversations""")
 def request_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = F.when(F.col("turn") % 2 == 0, "").otherwise(F.concat(F.lit("m"), F.col("turn").cast("string")))
-    body = completion.payload(model, F.when(F.col("turn") == 0, 0.0), F.lit(None).cast("int"), F.array(F.struct("role", "content")))
+    body = requests.payload(model, F.when(F.col("turn") == 0, 0.0), F.lit(None).cast("int"), F.array(F.struct("role", "content")))
     return frames.messages(spark, sf_dir).select("session_id", "turn", body.alias("payload"))
 
 
@@ -335,21 +464,22 @@ def token_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", replies.token_budget(given, F.col("p_size")).alias("budget"))
 
 
-QUIZ_ITEMS = r"""WITH w AS (SELECT doc_id, regexp_split_to_array(trim(text, chr(10) || ' '), '\s+')[1:5] AS w FROM documents),
-q AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN [] ELSE w[1:4] END AS o, CASE doc_id % 4 WHEN 0 THEN ' ' || w[3] || ' ' WHEN 1 THEN 'it is ' || w[2] WHEN 2 THEN '' ELSE w[5] END AS a FROM w),
+QUIZ_ITEMS = r"""WITH s AS (SELECT doc_id, list_transform(regexp_extract_all(text, '\S[\s\S]{10,}?[.!?]+["'')\]]*\s'), lambda x: rtrim(x, chr(10) || chr(13) || chr(9) || ' ')) AS o FROM documents),
+q AS (SELECT doc_id, o, CASE doc_id % 4 WHEN 0 THEN ' ' || o[len(o) // 2 + 1] || ' ' WHEN 1 THEN 'it is ' || o[len(o)] WHEN 2 THEN '' ELSE substring(o[len(o)], 3, 20) END AS a FROM s),
 n AS (SELECT doc_id, lower(trim(a)) AS t, list_transform(o, lambda x: lower(x)) AS o, a FROM q)
 """
 
 
-@query(QUIZ_ITEMS + """SELECT doc_id, len(o)::INT AS n_options, CASE WHEN coalesce(a, '') = '' THEN 0 WHEN list_contains(o, t) THEN list_position(o, t) - 1 ELSE coalesce(list_filter(range(len(o)), lambda i: o[i + 1] <> '' AND (contains(t, o[i + 1]) OR contains(o[i + 1], t)))[1], 0) END::INT AS answer_index FROM n WHERE len(o) > 0""")
+@query(QUIZ_ITEMS + """SELECT doc_id, len(o)::INT AS n_options, len(o) > 0 AS ok, CASE WHEN coalesce(a, '') = '' THEN 0 WHEN list_contains(o, t) THEN list_position(o, t) - 1 ELSE coalesce(list_filter(range(len(o)), lambda i: o[i + 1] <> '' AND (contains(t, o[i + 1]) OR contains(o[i + 1], t)))[1], 0) END::INT AS answer_index FROM n""")
 def quiz_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quiz items of the first words of every document; those without options are dropped."""
-    words = F.slice(F.split(F.regexp_replace("text", r"^[\n ]+|[\n ]+$", ""), r"\s+"), 1, 5)
-    at = lambda k: F.try_element_at("w", F.lit(k))
-    answer = F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit(" "), at(3), F.lit(" "))).when(F.col("doc_id") % 4 == 1, F.concat(F.lit("it is "), at(2))).when(F.col("doc_id") % 4 == 2, "").otherwise(at(5))
-    options = F.when(F.col("doc_id") % 5 == 0, F.array().cast("array<string>")).otherwise(F.slice("w", 1, 4))
-    items = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", words.alias("w")).select("doc_id", options.alias("options"), answer.alias("answer"))
-    return items.filter(F.size("options") > 0).select("doc_id", F.size("options").alias("n_options"), replies.answer_index(F.col("answer"), F.col("options")).alias("answer_index"))
+    """Quiz items whose options are all sentences of a document; those without any are flagged."""
+    size = F.size("o")
+    at = lambda k: F.try_element_at("o", k.cast("int"))
+    answers = [F.concat(F.lit(" "), at(F.floor(size / 2) + 1), F.lit(" ")), F.concat(F.lit("it is "), at(F.greatest(size, F.lit(1)))), F.lit(""), F.substring(at(F.greatest(size, F.lit(1))), 3, 20)]
+    answer = F.coalesce(*(F.when(F.col("doc_id") % 4 == k, a) for k, a in enumerate(answers)))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", text.sentences(F.col("text")).alias("o"))
+    items = docs.select("doc_id", F.col("o").alias("options"), answer.alias("answer"))
+    return items.select("doc_id", F.size("options").alias("n_options"), (F.size("options") > 0).alias("ok"), replies.answer_index(F.col("answer"), F.col("options")).alias("answer_index"))
 
 
 VERDICT = "CASE event_type WHEN 'view' THEN 'correct' WHEN 'click' THEN 'partially_correct' WHEN 'signup' THEN 'incorrect' ELSE 'great' END"
@@ -393,45 +523,112 @@ def drifted_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("session_id", "turn", replies.needs_retry(F.col("content"), _system(F.col("session_id"))[1]).alias("drifted"))
 
 
-@query("""SELECT doc_id, 2 AS n_messages, printf('Explain: document %d', doc_id) AS head, 'Topic: document ' || doc_id || chr(10) || 'Write 3 ' || CASE WHEN doc_id % 2 = 0 THEN 'easy' ELSE 'hard' END || ' multiple-choice' AS quiz_head,
-CASE WHEN doc_id % 2 = 0 THEN 4 ELSE 3 END AS grade_lines FROM documents""")
+def _filled(template: str, *values: str) -> str:
+    """The SQL of a template with %s in it."""
+    parts = template.split("%s")
+    return " || ".join(f"'{_sql(p)}'" + (f" || {v}" if v else "") for p, v in zip(parts, [*values, ""], strict=True))
+
+
+TASK_PROMPTS_SQL = f"""SELECT doc_id, md5({_filled(prompts.EXPLAIN_SYSTEM, "'beginner'", "'English'")}) AS explain_system, md5({_filled(prompts.EXPLAIN_USER, "text", "'beginner'")}) AS explain,
+md5({_filled(prompts.QUIZ_SYSTEM, "'beginner'")}) AS quiz_system, md5({_filled(prompts.QUIZ_USER, "text", "(doc_id % 10 + 1)", "CASE WHEN doc_id % 2 = 0 THEN 'easy' ELSE 'hard' END", "4")}) AS quiz,
+md5({_filled(prompts.GRADE_SYSTEM, "'beginner'")}) AS grade_system, md5('Question: ' || text || chr(10) || 'Student answer: ' || lang || CASE WHEN doc_id % 2 = 0 THEN chr(10) || 'Reference answer: ' || source ELSE '' END || chr(10) || 'Grade the student answer.') AS grade FROM documents"""
+
+
+@query(TASK_PROMPTS_SQL)
 def task_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.concat(F.lit("document "), F.col("doc_id").cast("string")).alias("topic"))
-    level = F.lit("beginner")
-    even = F.col("doc_id") % 2 == 0
-    explain = prompts.explain_messages(F.col("topic"), level, F.lit("English"))
-    quiz = prompts.quiz_messages(F.col("topic"), F.lit(3), F.lit(4), F.when(even, "easy").otherwise("hard"), level)
-    graded = prompts.grade_messages(F.col("topic"), F.lit("an answer"), F.when(even, "the answer").otherwise(""), level)
-    return docs.select(
-        "doc_id",
-        F.size(explain).cast("long").alias("n_messages"),
-        F.split(explain[1]["content"], "\n")[0].alias("head"),
-        F.regexp_extract(quiz[1]["content"], r"^[\s\S]*? multiple-choice", 0).alias("quiz_head"),
-        F.size(F.split(graded[1]["content"], "\n")).alias("grade_lines"),
-    )
+    """The prompts of all three tasks about every document's whole text, as digests of their messages."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    topic, level, even = F.col("text"), F.lit("beginner"), F.col("doc_id") % 2 == 0
+    explain = prompts.explain_messages(topic, level, F.lit("English"))
+    quiz = prompts.quiz_messages(topic, F.col("doc_id") % 10 + 1, F.lit(4), F.when(even, "easy").otherwise("hard"), level)
+    graded = prompts.grade_messages(topic, F.col("lang"), F.when(even, F.col("source")).otherwise(""), level)
+    named = (("explain", explain), ("quiz", quiz), ("grade", graded))
+    return docs.select("doc_id", *(c for n, m in named for c in (F.md5(m[0]["content"]).alias(f"{n}_system"), F.md5(m[1]["content"]).alias(n))))
 
 
-# --- completions: no SQL, as they call a completer or parse leniently ------------------------------
+# --- completions --------------------------------------------------------------------------------
 
 
 def _cut(df: DataFrame, name: str) -> DataFrame:
     """Cuts the lineage, so that a completer isn't called again for the same request."""
-    context = df.sparkSession.sparkContext
-    if df.sparkSession.conf.get("spark.checkpoint.dir", None) is None and context.getCheckpointDir() is None:
-        import tempfile
+    path = f"{frames.shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return df.checkpoint()
 
+WORDS = r"len(regexp_extract_all({}, '[^\x20\x09-\x0D]+'))"
+CHAT_SQL = f"""WITH h AS (SELECT conv_id, turn, text FROM conversations WHERE role <> 'system' QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 20),
+g AS (SELECT conv_id, arg_max(text, turn) AS q, sum({WORDS.format("text")})::BIGINT AS words FROM h GROUP BY conv_id),
+a AS (SELECT conv_id, q, words + {WORDS.format("(" + PROMPT_SQL + ")")} AS words, trim('About that: ' || q, chr(10) || chr(9) || chr(13) || ' ') AS reply FROM g),
+r AS (SELECT *, conv_id % 4 = 0 AND NOT reply LIKE '%?' AS again FROM a)
+SELECT conv_id::VARCHAR AS request_id, CASE WHEN again THEN 'What do you make of it?' ELSE reply END AS reply, 'small:1b' AS model, again AS asked_again, again AS used_retry,
+words + CASE WHEN again THEN {WORDS.format("reply")} + {WORDS.format("(" + _filled(prompts.CORRECTION, "q") + ")")} ELSE 0 END AS prompt_tokens,
+CASE WHEN again THEN 6 ELSE {WORDS.format("'About that: ' || q")} END AS completion_tokens, 40 * CASE WHEN again THEN 6 ELSE {WORDS.format("'About that: ' || q")} END + 1 AS total_ms, 1 AS load_ms, 25.0::DOUBLE AS tokens_per_second FROM r"""
 
-@query()
+
+@query(CHAT_SQL)
 def chat_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A stubbed reply to every conversation's last 20 messages, with the socratic re-ask."""
+    """A stubbed reply to every conversation's last 20 messages, with the socratic re-ask; usage is that of the reply that is kept."""
     rows = sessions.transcripts(sessions.history(frames.messages(spark, sf_dir).filter("role <> 'system'")))
     system, style = _system(F.col("session_id"))
     question = F.try_element_at("messages", F.lit(-1))["content"]
-    requests = rows.select(F.col("session_id").alias("request_id"), question.alias("question"), style.alias("style"), prompts.chat_messages(F.col("messages"), system).alias("messages"))
-    return completion.chat(requests, _cut)
+    asked = rows.select(F.col("session_id").alias("request_id"), question.alias("question"), style.alias("style"), prompts.chat_messages(F.col("messages"), system).alias("messages"))
+    return completion.chat(asked, _cut).select("request_id", "reply", "model", "asked_again", "used_retry", "usage.*")
+
+
+def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests for structured tasks about every message of a user."""
+    rows = frames.messages(spark, sf_dir).filter("role = 'user'")
+    return rows.select(F.concat_ws("-", "session_id", "turn").alias("request_id"), "turn", F.col("content").alias("topic"))
+
+
+def _first_line(prefix: str) -> str:
+    return f"regexp_extract('{prefix}' || text, '^[^\\n]*')"
+
+
+@query(f"""SELECT conv_id || '-' || turn AS request_id, true AS ok, {_first_line("Explain: ")} AS summary, 3 AS key_points, {_first_line("Explain: ")} || ' 2' AS second_point, {_first_line("Explain: ")} AS check_question FROM conversations WHERE role = 'user'""")
+def explained_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Explanations of every user's message, from payload to parsed reply."""
+    asked = _questions(spark, sf_dir)
+    bodies = completion.task_payloads(asked, "explain", prompts.explain_messages(F.col("topic"), F.lit("beginner"), F.lit("English")))
+    found = completion.explanations(_cut(completion.complete(bodies), "explained"))
+    return found.select("request_id", "ok", "summary", F.size("key_points").cast("long").alias("key_points"), F.try_element_at("key_points", F.lit(2)).alias("second_point"), "check_question")
+
+
+@query(f"""SELECT conv_id || '-' || turn AS request_id, true AS ok, turn % 10 + 1 AS questions, 4 AS options, true AS in_range, md5({_first_line("Topic: ")}) AS first_question FROM conversations WHERE role = 'user'""")
+def asked_quizzes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quizzes about every user's message, of as many questions and options as were asked for."""
+    asked, n = _questions(spark, sf_dir), F.col("turn") % 10 + 1
+    bodies = completion.task_payloads(asked, "quiz", prompts.quiz_messages(F.col("topic"), n, F.lit(4), F.lit("medium"), F.lit("beginner")), n, F.lit(4))
+    found = completion.quizzes(_cut(completion.complete(bodies), "quizzes"))
+    sizes = F.transform("questions", lambda q: F.size(q["options"]))
+    in_range = F.forall("questions", lambda q: q["answer_index"].between(0, F.size(q["options"]) - 1))
+    return found.select("request_id", "ok", F.size("questions").cast("long").alias("questions"), F.array_max(sizes).cast("long").alias("options"), in_range.alias("in_range"), F.md5(F.try_element_at("questions", F.lit(1))["question"]).alias("first_question"))
+
+
+@query(f"""SELECT conv_id || '-' || turn AS request_id, true AS ok, 'correct' AS verdict, 85 AS score, {_first_line("Question: ")} AS feedback FROM conversations WHERE role = 'user'""")
+def graded_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grades of an answer to every user's message."""
+    bodies = completion.task_payloads(_questions(spark, sf_dir), "evaluate", prompts.grade_messages(F.col("topic"), F.lit("an answer"), F.lit(None).cast("string"), F.lit("beginner")))
+    found = completion.grades(_cut(completion.complete(bodies), "grades"))
+    return found.select("request_id", "ok", "verdict", F.col("score").cast("long").alias("score"), "feedback")
+
+
+@query("""SELECT conv_id || '-' || turn AS request_id, CASE WHEN turn % 3 = 0 THEN 680 WHEN turn % 3 = 1 THEN 700 ELSE 400 END AS num_predict, (CASE WHEN turn % 3 = 0 THEN 0.5 WHEN turn % 3 = 1 THEN 0.4 ELSE 0.2 END)::DOUBLE AS temperature,
+CASE WHEN turn % 3 = 0 THEN 3 END AS questions, CASE WHEN turn % 3 = 0 THEN turn % 5 + 2 END AS options FROM conversations WHERE role = 'user'""")
+def task_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is sent for a quiz, an explanation and a grade where the request says nothing, read back from the payloads."""
+    asked, messages = _questions(spark, sf_dir), F.array(prompts.message("user", F.col("topic")))
+    k = F.col("turn") % 5 + 2
+    kinds = ((0, "quiz", F.lit(3), k), (1, "explain", None, None), (2, "evaluate", None, None))
+    bodies = [completion.task_payloads(asked.filter(F.col("turn") % 3 == n), task, messages, q, o) for n, task, q, o in kinds]
+    whole = bodies[0].union(bodies[1]).union(bodies[2])
+    at = lambda path: F.get_json_object("payload", f"$.{path}")
+    asks = "format.properties.questions"
+    return whole.select(
+        "request_id", at("options.num_predict").cast("long").alias("num_predict"), at("options.temperature").cast("double").alias("temperature"),
+        at(f"{asks}.minItems").cast("long").alias("questions"), at(f"{asks}.items.properties.options.maxItems").cast("long").alias("options"),
+    )
 
 
 def _structured(spark: SparkSession, sf_dir: str, body) -> DataFrame:
@@ -440,22 +637,26 @@ def _structured(spark: SparkSession, sf_dir: str, body) -> DataFrame:
     return rows.select("request_id", fenced.alias("reply"))
 
 
-@query()
+@query("""SELECT conv_id || '-' || turn AS request_id, turn % 3 < 2 AS ok, CASE WHEN turn % 3 < 2 THEN text ELSE '' END AS summary, CASE WHEN turn % 3 < 2 THEN role ELSE '' END AS points, '' AS analogy, '' AS check_question FROM conversations""")
 def explain_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = F.to_json(F.struct(F.col("content").alias("summary"), F.array("role").alias("key_points")))
-    return completion.explanations(_structured(spark, sf_dir, body))
+    found = completion.explanations(_structured(spark, sf_dir, body))
+    return found.select("request_id", "ok", "summary", F.array_join("key_points", "|").alias("points"), "analogy", "check_question")
 
 
-@query()
+@query("""SELECT conv_id || '-' || turn AS request_id, turn % 3 < 2 AS ok, CASE WHEN turn % 3 < 2 THEN text END AS question, CASE WHEN turn % 3 < 2 THEN 'a|' || role END AS options, CASE WHEN turn % 3 < 2 THEN 1 END AS answer_index FROM conversations""")
 def quiz_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     item = F.struct(F.col("content").alias("question"), F.array(F.lit("a"), F.col("role")).alias("options"), F.col("role").alias("answer"))
-    return completion.quizzes(_structured(spark, sf_dir, F.to_json(F.struct(F.array(item).alias("questions")))))
+    found = completion.quizzes(_structured(spark, sf_dir, F.to_json(F.struct(F.array(item).alias("questions")))))
+    first = F.try_element_at("questions", F.lit(1))
+    return found.select("request_id", "ok", first["question"].alias("question"), F.array_join(first["options"], "|").alias("options"), first["answer_index"].cast("long").alias("answer_index"))
 
 
-@query()
+@query("""WITH g AS (SELECT conv_id || '-' || turn AS request_id, turn % 3 < 2 AS ok, turn = 1 AS wrong, least(100, turn * 20) AS s FROM conversations)
+SELECT request_id, ok, CASE WHEN NOT ok THEN 'partially_correct' WHEN wrong THEN 'incorrect' ELSE 'correct' END AS verdict, CASE WHEN NOT ok THEN 0 WHEN wrong THEN least(s, 39) ELSE greatest(s, 85) END AS score FROM g""")
 def evaluate_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = F.to_json(F.struct((F.col("turn") == 1).alias("is_anything_wrong"), F.lit("correct").alias("verdict"), (F.col("turn") * 20).alias("score")))
-    return completion.grades(_structured(spark, sf_dir, body))
+    return completion.grades(_structured(spark, sf_dir, body)).select("request_id", "ok", "verdict", F.col("score").cast("long").alias("score"))
 
 
 @query()

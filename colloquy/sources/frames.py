@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +15,19 @@ EVENT = "type string, session_id string, model string, content string, reply str
 CATALOG = "models array<struct<name:string,size:long,modified_at:string,details:struct<parameter_size:string,quantization_level:string,family:string>>>"
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share: spark.checkpoint.dir, or on a local master, where that is unset, a temporary one."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return context.getCheckpointDir().rstrip("/")
+
+
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows (session_id, turn, role, content) of the conversations."""
     table = spark.read.parquet(f"{sf_dir}/conversations.parquet")
@@ -27,7 +42,8 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ndjson_chunks(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows with the parsed chunk, rows whose line isn't JSON) of rows with `line`; blank lines are skipped. Batch or stream."""
     parsed = lines.filter(strip(F.col("line")) != "").withColumn("chunk", F.from_json("line", CHUNK, {"mode": "PERMISSIVE"}))
-    sure = parsed.withColumn("good", is_json("line") & F.col("chunk").isNotNull())
+    # The native parser lets what follows a value pass: it only spares the strict one lines that aren't JSON at all.
+    sure = parsed.withColumn("good", F.coalesce(F.when(F.try_parse_json("line").isNotNull(), is_json("line")), F.lit(False)) & F.col("chunk").isNotNull())
     return sure.filter("good").drop("good"), sure.filter("not good").drop("good", "chunk")
 
 
@@ -51,3 +67,25 @@ def catalog(bodies: DataFrame) -> DataFrame:
     """Rows of the models in rows with `body`, a catalog's JSON."""
     rows = bodies.select(F.explode(F.coalesce(F.from_json("body", CATALOG)["models"], F.array().cast(CATALOG.split(" ", 1)[1]))).alias("m"))
     return rows.select("m.name", F.col("m.size").alias("size_bytes"), "m.details.parameter_size", F.col("m.details.quantization_level").alias("quantization"), "m.details.family", "m.modified_at")
+
+
+def stream_frames(requests: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Rows (request_id, at, type, frame): what a request's stream sends, in order.
+
+    requests: (request_id, session_id, model). chunks: (request_id, seq, token, done, detail, hint), as the model sent them;
+    a chunk with a detail is a failure, after which nothing more was read. A start comes first, then the tokens that
+    aren't empty, then done with the reply, or an error; where the chunks end without either, neither comes. The end mark is last.
+    """
+    text = lambda **c: F.to_json(F.struct(*(v.alias(k) for k, v in c.items())), {"ignoreNullFields": "false"})
+    row = lambda df, at, kind, body: df.select("request_id", at.alias("at"), F.lit(kind).alias("type"), F.concat(F.lit("data: "), body, F.lit("\n\n")).alias("frame"))
+    before, after = F.lit(-1).cast("long"), F.lit(2**62)
+    start = row(requests, before, "start", text(type=F.lit("start"), session_id=F.col("session_id"), model=F.col("model")))
+    failed = chunks.filter("detail is not null").select("request_id", F.col("seq").cast("long").alias("at"), "detail", "hint")
+    cut = chunks.join(failed.select("request_id", F.col("at").alias("failed_at")), "request_id", "left").filter("failed_at is null or seq < failed_at").drop("failed_at")
+    some = cut.filter(F.coalesce("token", F.lit("")) != "")
+    tokens = row(some, F.col("seq").cast("long"), "token", text(type=F.lit("token"), content=F.col("token")))
+    whole = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", F.coalesce("token", F.lit("")).alias("token")))), lambda x: x["token"]), "")
+    ended = cut.groupBy("request_id").agg(strip(whole).alias("reply"), F.bool_or("done").alias("done")).filter("done").join(requests, "request_id")
+    done = row(ended, after - 2, "done", text(type=F.lit("done"), session_id=F.col("session_id"), reply=F.col("reply")))
+    error = row(failed, after - 1, "error", text(type=F.lit("error"), detail=F.col("detail"), hint=F.col("hint")))
+    return start.union(tokens).union(done).union(error).union(row(requests, after, "end", F.lit("[DONE]")))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -11,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from colloquy.sources.frames import shared_dir
+
 OPENING_STATE = "buffer string, opened boolean"
 OPENING_OUT = "request_id string, seq long, fragment string"
 
@@ -75,22 +76,12 @@ def upsert_latest(rows: DataFrame, key: str, order: str, value: str) -> DataFram
 
 def replay(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """All of a stream's input that is there, run through it to an in-memory table: for tests and examples."""
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+    checkpoint = f"{shared_dir(stream.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return stream.sparkSession.table(name)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """As colloquy.llm.common has it, which nothing outside colloquy.llm imports."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return context.getCheckpointDir().rstrip("/")
-
-
 def written(stream: DataFrame, name: str) -> DataFrame:
     """All of a stream's input that is there, run through it to Parquet in the shared folder, where its checkpoint is too."""
     spark = stream.sparkSession

@@ -44,6 +44,7 @@ def test_usage(spark):
 def test_sentences(spark):
     rows = [
         ('Hi. Ok! "Yes." She said pi is 3.14 today. Done?! (Really.) Tail', ['Hi. Ok! "Yes."', "She said pi is 3.14 today.", "Done?! (Really.)"], "Tail"),
+        ("Quoted" + '."' + ")" * 40 + " after it", ["Quoted" + '."' + ")" * 40], "after it"), ('Oh!"") Then this goes on. x', ['Oh!"") Then this goes on.'], "x"), ('So it is.")) Then', ['So it is."))'], "Then"),
         ("no end", [], "no end"), ("", [], ""), ("Ends without blank after it.", [], "Ends without blank after it."),
     ]
     got = one(spark, F.struct(text.sentences(F.col("t")), text.tail(F.col("t"))), [r[:1] for r in rows], "t string")
@@ -62,6 +63,13 @@ def test_small_text_functions(spark):
     assert one(spark, text.joined(F.col("a"), F.col("b")), [("x", ""), (None, "y"), ("x", "y")], "a string, b string") == ["x", "y", "x y"]
 
 
+def test_origins_and_versions(spark):
+    assert one(spark, text.origins(F.col("t")), [(" * ",), ("a, b,,",), ("*,a",), ("",)], "t string") == [["*"], ["a", "b"], ["*", "a"], []]
+    assert one(spark, replies.version(F.col("t")), [('{"version":"0.5"}',), ("{}",), ("no json",), (None,)], "t string") == ["0.5", "unknown", "unknown", "unknown"]
+    got = one(spark, replies.health_report(F.col("r"), F.col("a"), F.col("d"), F.col("h")), [(True, True, "d", "h"), (True, False, None, None), (False, True, "down", "start it"), (False, True, "down", None)], "r boolean, a boolean, d string, h string")
+    assert [tuple(x) for x in got] == [("ok", None), ("degraded", None), ("degraded", "down start it"), ("degraded", "down")]
+
+
 def test_openings(spark):
     rows = [("Well, this is a start, and it goes on", "Well, this is a start,"), ("Short, but", None), ("abcdefghij klmnopqrst uvwxyz rest", "abcdefghij klmnopqrst uvwxyz"), ("A whole sentence is here. More", None)]
     assert one(spark, text.opening(F.col("t")), [r[:1] for r in rows], "t string") == [r[1] for r in rows]
