@@ -83,6 +83,12 @@ class Model:
 
     def __init__(self, langs: list[str], tables: dict[int, Terms]):
         self.langs, self.tables = langs, tables
+        # All tables' runs one after another, and the number of each table's first term.
+        of = [tables[k] for k in range(LONGEST + 1)]
+        self.first = np.cumsum([0, *(len(t.places) for t in of)]).tolist()
+        ends = np.cumsum([0, *(len(t.lang) for t in of)])
+        self.run = np.concatenate([*(t.starts[:-1] + e for t, e in zip(of, ends, strict=False)), ends[-1:]])
+        self.run_lang, self.run_gain = np.concatenate([t.lang for t in of]), np.concatenate([t.gain for t in of])
         self.clear()
 
     def clear(self) -> None:
@@ -90,25 +96,33 @@ class Model:
         self.known: dict[str, int] = {}
         self.size, self.starts, self.lang, self.gain = array("b"), array("q", [0]), array("i"), array("d")
 
-    def number(self, word: str) -> int:
-        if (found := self.known.get(word)) is None:
-            found = self.known[word] = len(self.size)
-            size, lang, gain = self._gains(word)
-            self.size.append(size)
-            self.lang.frombytes(lang.tobytes())
-            self.gain.frombytes(gain.tobytes())
-            self.starts.append(len(self.lang))
-        return found
-
-    def _gains(self, word: str) -> tuple[int, np.ndarray, np.ndarray]:
-        """The table that scores the word (-1: none), and its gains: those of its known n-grams, each of equal part."""
-        for size in (0, *range(LONGEST, 0, -1)):
-            t = self.tables[size]
-            hits = [t.places[g] for g in ([word] if size == 0 else grams_of(word, size)) if g in t.places]
-            if hits:
-                runs = [slice(t.starts[k], t.starts[k + 1]) for k in hits]
-                return size, np.concatenate([t.lang[r] for r in runs]), np.concatenate([t.gain[r] for r in runs]) / len(hits)
-        return -1, np.empty(0, np.int32), np.empty(0)
+    def hits(self, word: str) -> tuple[int, list[int]]:
+        """The table that scores the word (-1: none), and the terms of it: the word, or its known n-grams."""
+        if (found := self.tables[0].places.get(word)) is not None:
+            return 0, [found]
+        marked = f"<{word}>"
+        for size in range(LONGEST, 0, -1):
+            places, first = self.tables[size].places, self.first[size]
+            if found := [first + places[g] for i in range(len(marked) - size + 1) if (g := marked[i : i + size]) in places]:
+                return size, found
+        return -1, []
+
+    def numbers(self, words: list[str]) -> np.ndarray:
+        """The words' numbers. New ones are looked up together; a word by n-grams gets the mean of their gains."""
+        new = list(set(words).difference(self.known))
+        if new:
+            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
+            found = [self.hits(w) for w in new]
+            n = np.array([len(h) for _, h in found])
+            term = np.array([k for _, h in found for k in h], np.int64)
+            length = self.run[term + 1] - self.run[term]
+            runs = np.repeat(self.run[term] - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))
+            of = np.repeat(np.arange(len(new)), n)
+            self.size.extend([size for size, _ in found])
+            self.lang.frombytes(self.run_lang[runs].tobytes())
+            self.gain.frombytes((self.run_gain[runs] / np.repeat(n[of], length)).tobytes())
+            self.starts.frombytes((self.starts[-1] + np.cumsum(np.bincount(of, length, len(new)))).astype(np.int64).tobytes())
+        return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         """Languages and scores of a batch, in parts."""
@@ -129,7 +143,7 @@ class Model:
             return [("und", 0.0)] * len(texts)
         if len(self.known) > CACHED_WORDS:
             self.clear()
-        number = np.fromiter((self.number(w) for ws in words for w in ws), np.int64, int(n.sum()))
+        number = self.numbers([w for ws in words for w in ws])
         pair, times = np.unique(np.repeat(np.arange(len(n)), n) * len(self.size) + number, return_counts=True)
         text, word = np.divmod(pair, len(self.size))
         starts = np.array(self.starts)
