@@ -1,8 +1,9 @@
 """Language-model scoring of whole texts.
 
 A causal self-attention model (attention_model.py) reads a text's words, spelt in subword ids of a public
-tokenizer, in overlapping windows that score each word, and the text's end, once. The score is that model's
-alone. Beside it stands a smoothed unigram base of whole words. A word is a run of anything but ASCII
+tokenizer, in overlapping windows that score each word, and the text's end, once. What the corpus says twice or more is
+remembered (passage_memory.py), so that the score is the model's wherever a text is new, and more where it recurs.
+Beside it stands a smoothed unigram base of whole words. A word is a run of anything but ASCII
 blanks, A-Z lowered; ids are those of a blank and the word.
 
 All of it is learnt from the whole training fold. Counts of all words give those of all ids, which set the
@@ -25,6 +26,7 @@ uniform; an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import base64
+import math
 import re
 from array import array
 from collections import Counter
@@ -33,11 +35,13 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import tiktoken
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colloquy.llm import attention_model as am
+from colloquy.llm import passage_memory as pm
 from colloquy.llm.common import held_out, staged, table
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -233,17 +237,47 @@ def train_on(texts: DataFrame, ranks, unit: np.ndarray, start: dict[str, np.ndar
     return weights
 
 
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+
+
+def with_ends(hashes: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Hashes of words with that of the end after each text's."""
+    return np.insert(hashes, np.cumsum(count), np.uint64(0))
+
+
+def count_segments(train: DataFrame) -> DataFrame:
+    """Rows (context, segment) of all segments of the texts of train."""
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[bytes, int] = {}
+        for part in texts_in_parts(batches):
+            words = [words_of(t) for t in part["text"]]
+            count = np.array([len(w) for w in words], np.int64)
+            every = [w for ws in words for w in ws]
+            new = list(set(every).difference(known))
+            known.update(zip(new, word_hashes(new).tolist(), strict=True))
+            hashes = with_ends(np.fromiter(map(known.__getitem__, every), np.uint64, len(every)), count)
+            _, _, context, segment = pm.segments(hashes, count + 1)
+            yield pd.DataFrame({"context": context.view(np.int64), "segment": segment.view(np.int64)})
+            if len(known) > CACHED_WORDS:
+                known.clear()
+
+    return train.select("text").mapInPandas(cut, "context long, segment long")
+
+
 def score_batches(batches: Iterator[pd.Series], sent) -> Iterator[pd.DataFrame]:
-    """Texts to (n_tokens, n_known, base, score, words, times): words are those that aren't frequent."""
+    """Texts to (n_tokens, n_known, base, score, words, times, contexts, segments, logs): words are those that aren't frequent; logs are the model's, by segment."""
     ranks, weights, unit, inside, further, frequent, under, ends = sent.value
     own, room = Words(ranks), am.Scratch()
-    count_of = array("q")
+    count_of, hash_of = array("q"), array("Q")
     log10 = lambda n: np.log10((n + MISSING) / under)
 
     def scored(texts: pd.Series) -> pd.DataFrame:
-        nonlocal count_of
+        nonlocal count_of, hash_of
         numbers, sizes, ids, size = spelt(own, texts)
         text = np.repeat(np.arange(len(sizes)), sizes)
+        hash_of.frombytes(word_hashes(own.spelt[len(count_of) :]).tobytes())
         count_of.extend([frequent.get(w, 0) for w in own.spelt[len(count_of) :]])
         # The base, as far as frequent words go; the others count as never seen until they meet their counts.
         count = np.array(count_of)[numbers] if len(numbers) else np.empty(0, np.int64)
@@ -259,11 +293,16 @@ def score_batches(batches: Iterator[pd.Series], sent) -> Iterator[pd.DataFrame]:
         log = am.score_words(weights, am.Texts(unit[ids], size, sizes + 1), unit[own.end], room)
         log += np.add.reduceat(inside[ids], np.cumsum(size) - size)
         log += np.where(size >= am.SIZES, (size - am.SIZES) * np.log(further) + np.log1p(-further), 0.0)
-        score = np.add.reduceat(log, np.cumsum(sizes + 1) - sizes - 1) / np.log(10)
+        score = np.add.reduceat(log, np.cumsum(sizes + 1) - sizes - 1)
+        first, of, context, segment = pm.segments(with_ends(np.array(hash_of, np.uint64)[numbers] if len(numbers) else np.empty(0, np.uint64), sizes), sizes + 1)
+        by_segment = np.add.reduceat(log, first)
+        places = np.searchsorted(of, np.arange(len(sizes) + 1))
+        by_text = lambda x: [x[a:b] for a, b in zip(places, places[1:], strict=False)]
         if len(own.number) > CACHED_WORDS:
             own.clear()
-            count_of = array("q")
-        return pd.DataFrame({"n_tokens": sizes + 1, "n_known": known, "base": base, "score": score, "words": rest, "times": often})
+            count_of, hash_of = array("q"), array("Q")
+        runs = {"contexts": by_text(context.view(np.int64)), "segments": by_text(segment.view(np.int64)), "logs": by_text(by_segment)}
+        return pd.DataFrame({"n_tokens": sizes + 1, "n_known": known, "base": base, "score": score, "words": rest, "times": often, **runs})
 
     for batch in batches:
         parts = [scored(p["text"]) for p in texts_in_parts([pd.DataFrame({"text": batch})])]
@@ -290,7 +329,7 @@ def score_texts(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_
     weights = train_on(train.select("text"), sent_ranks, unit, am.start_weights(log_share, sizes))
     sent = context.broadcast((ranks, weights, unit, inside, further, frequent, under, texts))
 
-    @F.pandas_udf("n_tokens long, n_known long, base double, score double, words array<string>, times array<int>")
+    @F.pandas_udf("n_tokens long, n_known long, base double, score double, words array<string>, times array<int>, contexts array<long>, segments array<long>, logs array<double>")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         return score_batches(batches, sent)
 
@@ -304,13 +343,16 @@ def score_texts(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_
     rarer = rarer.withColumn("salt", F.explode(F.when(long, F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))))
     gain = F.col("times") * (F.log10(F.col("count") + MISSING) - F.log10(F.lit(MISSING)))
     met = rest.join(rarer, ["word", "salt"]).groupBy("n").agg(F.sum("times").alias("more"), F.sum(gain).alias("gain"))
-    return main.drop("words", "times").join(met, "n", "left").select(
+    kept, contexts = pm.learn(count_segments(train))
+    runs = main.select("n", F.explode(F.arrays_zip("contexts", "segments", "logs")).alias("r")).select("n", F.col("r.contexts").alias("context"), F.col("r.segments").alias("segment"), F.col("r.logs").alias("log"))
+    memory = pm.gains(runs.filter("context <> 0"), kept, contexts).withColumnRenamed("gain", "memory")
+    return main.select("n", "doc_id", "n_tokens", "n_known", "base", "score").join(met, "n", "left").join(memory, "n", "left").select(
         F.col("doc_id").alias(id_col),
         "n_tokens",
         (F.col("n_known") + F.coalesce("more", F.lit(0)) + (1 if texts else 0)).alias("n_known"),
         F.lit(tokens).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("gain", F.lit(0.0))).alias("base_score"),
-        "score",
+        ((F.col("score") + F.coalesce("memory", F.lit(0.0))) / math.log(10)).alias("score"),
     )
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from colloquy.llm import attention_model as am
 from colloquy.llm import lm_scoring as lm
+from colloquy.llm import passage_memory as pm
 
 
 def small_model(seed=4):
@@ -135,6 +136,47 @@ def test_rounds_see_each_text_once_and_average_by_words(spark, monkeypatch):
     assert all(np.allclose(got[k], w[k], atol=1e-4) for k in w)
 
 
+def test_segments_are_cut_alike_wherever_they_stand():
+    rng = np.random.default_rng(8)
+    passage = rng.integers(0, 2**63, 400, dtype=np.uint64)
+    one, two = rng.integers(0, 2**63, 90, dtype=np.uint64), rng.integers(0, 2**63, 31, dtype=np.uint64)
+    words = np.concatenate([one, passage, two, passage, one])
+    first, of, context, segment = pm.segments(words, np.array([len(one) + 400, len(two) + 400 + len(one)]))
+    assert (of == np.repeat([0, 1], [(of == 0).sum(), (of == 1).sum()])).all() and (context[first == 0] == 0).all()
+    same = set(segment[of == 0]) & set(segment[of == 1])
+    assert len(same) > 0.7 * 400 / pm.ANCHORS and len(set(segment)) < len(segment)
+    # Each place is in one segment, which an anchor's context or a text's end closes.
+    assert first[0] == 0 and (np.diff(first) > 0).all() and len(one) + 400 in first
+    assert pm.segments(np.empty(0, np.uint64), np.empty(0, np.int64))[0].tolist() == []
+
+
+def test_memory_of_recurring_passages(spark):
+    """The kept segments and what is left sum to one; gains are those of the mixture, counted by hand."""
+    seen = [(7, 70)] * 3 + [(7, 71)] * 2 + [(7, 72)] + [(8, 80)] + [(0, 5)] * 9
+    kept, contexts = pm.learn(spark.createDataFrame(seen, "context long, segment long"))
+    assert {(r.context, r.segment, r.c) for r in kept.collect()} == {(7, 70, 3), (7, 71, 2)}
+    (c,) = contexts.collect()
+    assert (c.context, c.n, c.sure) == (7, 6, 4.0)
+    rows = [(1, 7, 70, -2.0), (1, 7, 99, -3.0), (2, 8, 80, -4.0), (3, 7, 71, -800.0), (3, 9, 70, -1.0)]
+    got = {r.n: r.gain for r in pm.gains(spark.createDataFrame(rows, "n long, context long, segment long, log double"), kept, contexts).collect()}
+    left = 1 - 4.0 / 6
+    assert set(got) == {1, 3}
+    assert got[1] == pytest.approx(math.log(2.5 / 6 + left * math.exp(-2)) + 2 + math.log(left))
+    assert got[3] == pytest.approx(math.log(1.5 / 6) + 800)
+
+
+def test_texts_that_occur_twice_are_scored_apart(spark, tmp_path):
+    rng = np.random.default_rng(9)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 3000, 200)) for _ in range(60)]
+    ids = [i for i in range(200) if not fold(i)]
+    rows = list(zip(ids, texts + texts[:15], strict=False))
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r.doc_id: r.score / r.n_tokens for r in lm.op2_lm_scoring(spark, str(tmp_path)).collect()}
+    twice, once = [found[i] for i in ids[:15] + ids[60:75]], [found[i] for i in ids[15:60]]
+    assert min(twice) > max(once)
+    assert all(abs(found[a] - found[b]) < 1e-6 for a, b in zip(ids[:15], ids[60:75], strict=True))
+
+
 def fold(i):
     return i is not None and zlib.crc32(str(i).encode()) % 10 == 0
 
