@@ -7,8 +7,9 @@ texts. The posteriors of a bounded sample train a logistic scorer on hashed feat
 character-class trigrams and binned repetition, so that it also learns from what no labeller names.
 A text's score is the scorer's probability that it is good, and texts under THRESHOLD are rejected.
 
-Votes and pattern counts cover all texts; only the scorer is fitted on a sample: SAMPLE_ROWS texts
-at most in expectation, chosen by a hash of the text, stratified by pattern.
+Texts are read once: what the labellers see and the features of it are one pass, written beside the rows'
+columns; votes, training and scores are made of that. Votes and pattern counts cover all texts; only the scorer
+is fitted on a sample: SAMPLE_ROWS texts at most in expectation, chosen by a hash of the text, stratified by pattern.
 
 Defined results: a null text counts as empty; texts with fewer than MIN_WORDS words, empty ones too,
 get no votes and are scored like any other; equal texts get equal scores; an empty table gives an
@@ -111,14 +112,6 @@ def votes(values: list[float] | None) -> int:
     return code * 3 + (GOOD if prose else NOTHING)
 
 
-def vote_column(text: Column) -> Column:
-    @F.pandas_udf("int")
-    def vote(texts: pd.Series) -> pd.Series:
-        return pd.Series([votes(measures(t, kinds_of(t))) for t in texts.fillna("")], dtype="int32")
-
-    return vote(text)
-
-
 def decode(code: int) -> list[int]:
     out = []
     for _ in LABELLERS:
@@ -157,9 +150,10 @@ def estimate(patterns: list[tuple[int, int]]) -> tuple[dict[int, float], np.ndar
     return {p: float(g) if any_vote else GOOD_SHARE for (p, _), g, any_vote in zip(patterns, good, voted, strict=True)}, shares, float(prior)
 
 
-def features(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed features (index, value): shares of character-class trigrams, and binned measures."""
+def features(text: str) -> tuple[int, np.ndarray, np.ndarray]:
+    """The votes on a text, and its hashed features (index, value): shares of character-class trigrams, and binned measures."""
     codes = kinds_of(text)
+    seen = measures(text, codes)
     kinds = codes.astype(np.int64)
     trigram = (kinds[:-2] * 256 + kinds[1:-1] * 16 + kinds[2:]) if len(kinds) > 2 else np.empty(0, np.int64)
     half = DIMENSIONS // 2
@@ -168,8 +162,8 @@ def features(text: str) -> tuple[np.ndarray, np.ndarray]:
     at = np.flatnonzero(counts)
     # A short text says little: its shares count for less.
     value = np.sqrt(counts[at] / max(1, len(trigram))) * min(1.0, (len(trigram) / SURE_CHARS) ** 0.5)
-    extra = [half + (hash_bin(k, min(9, int(x * 10)))) for k, x in enumerate(measures(text, codes) or [])]
-    return np.concatenate([at, extra]).astype(np.int32), np.concatenate([value, np.full(len(extra), 0.3)]).astype(np.float32)
+    extra = [half + (hash_bin(k, min(9, int(x * 10)))) for k, x in enumerate(seen or [])]
+    return votes(seen), np.concatenate([at, extra]).astype(np.int32), np.concatenate([value, np.full(len(extra), 0.3)]).astype(np.float32)
 
 
 def hash_bin(measure: int, bin_: int) -> int:
@@ -194,61 +188,64 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], label: np.ndarray, weight:
     return out
 
 
-def feature_rows(texts: pd.Series) -> pd.DataFrame:
-    rows = [features(t) for t in texts.fillna("")]
-    return pd.DataFrame({"at": [a for a, _ in rows], "value": [v for _, v in rows]})
+def read(text: Column) -> Column:
+    @F.pandas_udf("pattern int, at array<int>, value array<float>")
+    def seen(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([features(t) for t in texts.fillna("")], columns=["pattern", "at", "value"])
 
+    return seen(text)
 
-def fit(docs: DataFrame, text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> np.ndarray | None:
-    """The scorer's weights; None if there are no texts."""
+
+def featured(docs: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
+    """Rows (row, h, pattern, at, value): the columns to keep, a hash of the text, and what was read of it."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    voted = staged(docs.select(F.xxhash64(text).alias("h"), vote_column(text).alias("pattern")), "quality-votes")
-    counts = [(r.pattern, r["count"]) for r in voted.groupBy("pattern").count().orderBy("pattern").collect()]
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in keep)).alias("row"), F.xxhash64(text).alias("h"), read(text).alias("f"))
+    return staged(rows.select("row", "h", "f.*"), "quality-features")
+
+
+def fit(rows: DataFrame, sample_rows: int = SAMPLE_ROWS) -> np.ndarray | None:
+    """The scorer's weights from featured rows; None if there are none."""
+    counts = [(r.pattern, r["count"]) for r in rows.groupBy("pattern").count().orderBy("pattern").collect()]
     if not counts:
         return None
     posterior, _, _ = estimate(counts)
     # As many texts of each pattern as its share of the root of counts, so that rare patterns are seen.
     total = sum(c**0.5 for _, c in counts)
     rate = {p: min(1.0, sample_rows * c**0.5 / total / c) for p, c in counts}
-    spark = docs.sparkSession
-    wanted = F.broadcast(spark.createDataFrame([(p, rate[p], posterior[p], c) for p, c in counts], "pattern int, rate double, good double, n long"))
-    chosen = voted.join(wanted, "pattern").filter(F.pmod("h", F.lit(1_000_003)) < F.col("rate") * 1_000_003)
-    picked = chosen.groupBy("h").agg(F.first("pattern").alias("pattern"), F.first("good").alias("good"), F.first(F.col("rate")).alias("rate"))
-    picked = F.broadcast(staged(picked.limit(2 * sample_rows), "quality-sample"))
-    hashed = F.pandas_udf(feature_rows, "at array<int>, value array<float>")
-    texts = docs.select(text.alias("text")).withColumn("h", F.xxhash64("text")).join(picked, "h").groupBy("h", "good", "rate").agg(F.first("text").alias("text"))
-    found = texts.select("h", "good", "rate", hashed("text").alias("f")).orderBy("h").collect()
-    return train([(np.array(r.f["at"], np.int64), np.array(r.f["value"], np.float32)) for r in found], np.array([r.good for r in found]), np.array([1 / r.rate for r in found]))
+    wanted = F.broadcast(rows.sparkSession.createDataFrame([(p, rate[p]) for p, _ in counts], "pattern int, rate double"))
+    chosen = rows.select("h", "pattern", "at", "value").join(wanted, "pattern").filter(F.pmod("h", F.lit(1_000_003)) < F.col("rate") * 1_000_003)
+    # One row for each hash, by a fixed rule where several texts have it.
+    found = chosen.groupBy("h").agg(F.min(F.struct("pattern", "at", "value")).alias("f")).select("h", "f.*").orderBy("h").collect()
+    good, weight = np.array([posterior[r.pattern] for r in found]), np.array([1 / rate[r.pattern] for r in found])
+    return train([(np.array(r.at, np.int64), np.array(r.value, np.float32)) for r in found], good, weight)
 
 
-def score_column(text: Column, weights: np.ndarray) -> Column:
-    """The probability that a text is good."""
+def score_column(weights: np.ndarray) -> Column:
+    """The probability that a featured row's text is good."""
 
     @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        out = []
-        for t in texts.fillna(""):
-            at, value = features(t)
-            out.append(1 / (1 + np.exp(-float((weights[at] * value).sum() + weights[-1]))))
-        return pd.Series(out, dtype="float64")
+    def score(at: pd.Series, value: pd.Series) -> pd.Series:
+        return pd.Series([1 / (1 + np.exp(-float((weights[a] * v).sum() + weights[-1]))) for a, v in zip(at, value, strict=True)], dtype="float64")
 
-    return score(text)
+    return score("at", "value")
 
 
-def scored(docs: DataFrame, text_col: str = "text", score_col: str = "quality_score") -> DataFrame:
-    """docs with the score (a column of that name is replaced)."""
-    weights = fit(docs, text_col)
-    if weights is None:
-        return docs.withColumn(score_col, F.lit(None).cast("double"))
-    return docs.withColumn(score_col, score_column(F.col(text_col), weights))
+def scored(docs: DataFrame, text_col: str = "text", score_col: str = "quality_score", keep: list[str] | None = None) -> DataFrame:
+    """docs (those of its columns that are to be kept, or all) with the score; a column of that name is replaced."""
+    columns = [c for c in keep or docs.columns if c.lower() != score_col.lower()]
+    rows = featured(docs, text_col, columns)
+    weights = fit(rows)
+    score = F.lit(None).cast("double") if weights is None else score_column(weights)
+    return rows.select("row.*", score.alias(score_col))
 
 
 def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of docs whose texts are not rejected."""
-    weights = fit(docs, text_col)
-    return docs if weights is None else docs.filter(score_column(F.col(text_col), weights) >= THRESHOLD)
+    rows = featured(docs, text_col, docs.columns)
+    weights = fit(rows)
+    return docs if weights is None else rows.filter(score_column(weights) >= THRESHOLD).select("row.*")
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = scored(table(spark, sf_dir, "documents").select("doc_id", "text"), score_col="score")
+    found = scored(table(spark, sf_dir, "documents"), score_col="score", keep=["doc_id"])
     return found.select("doc_id", "score", (F.col("score") >= THRESHOLD).alias("kept"))

@@ -1,4 +1,7 @@
+import math
+
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from colloquy.llm import quality_classifier as q
@@ -20,6 +23,99 @@ def test_em_recovers_planted_shares():
     assert ((np.array([posterior[c] for c in codes]) > 0.5) == good).mean() > 0.9
 
 
+def slow_measures(text):
+    """The measures of a text, one character and one word at a time."""
+    words = text.split()
+    if len(words) < q.MIN_WORDS:
+        return None
+    symbols = capitals = letters = visible = 0
+    for c in text:
+        wide = ord(c) > 0xFFFF
+        if wide or not (c.isalpha() or c.isdigit() or c.isspace() or c in ".,;:!?'\"()-" or c.islower() or c.isupper()):
+            symbols += 1
+        elif c.isupper():
+            capitals += 1
+        visible += wide or not c.isspace()
+        letters += not wide and (c.islower() or c.isupper() or c.isalpha())
+    n = len(words)
+    share = lambda holds: sum(map(holds, words)) / n
+    lines = [x for x in text.split("\n") if x.strip()]
+    return [
+        symbols / visible, capitals / max(1, letters), share(lambda w: w[-2:] == "!!"), share(lambda w: len(w) == 1 and not w.isalnum()), sum(a == b for a, b in zip(words, words[1:])) / n,
+        max(0.0, 1 - len(set(words)) / min(n, 8 * n**0.5)), 1 - len(set(lines)) / len(lines) if len(lines) > 3 else 0.0, share(lambda w: w[-1] in "#$%&*@~^|<>=+"),
+        share(lambda w: not q._PLAIN.fullmatch(w)), share(lambda w: w[-1] in ".!?" and (len(w) == 1 or w[-2] not in ".!?")),
+    ]
+
+
+def slow_votes(values):
+    if values is None:
+        return [q.NOTHING] * len(q.LABELLERS)
+    of = dict(zip(q.MEASURES, values, strict=True))
+    out = []
+    for measure, junk, good in q.ONE_MEASURE.values():
+        out.append(q.JUNK if of[measure] >= junk else q.GOOD if good is not None and of[measure] <= good else q.NOTHING)
+    return out + [q.GOOD if 0.01 <= of["sentence_ends"] <= 0.5 and of["capitals"] < 0.2 and of["adjacent_repeats"] < 0.1 else q.NOTHING]
+
+
+def slow_em(all_votes):
+    """Expectation-maximisation over the texts themselves, each by itself: their posteriors of being good."""
+    start = {q.JUNK: (0.60, 0.30, 0.10), q.GOOD: (0.49, 0.01, 0.50)}
+    tables = {c: [list(t) for _ in q.LABELLERS] for c, t in start.items()}
+    seen, prior = max(1.0, q.PRIOR_SHARE * len(all_votes)), q.GOOD_SHARE
+    voted = [v for v in all_votes if any(v)]
+    good = []
+    for _ in range(q.EM_ROUNDS):
+        good = []
+        for v in voted:
+            of = {c: math.prod(tables[c][k][x] for k, x in enumerate(v)) for c in tables}
+            good.append(prior * of[q.GOOD] / (prior * of[q.GOOD] + (1 - prior) * of[q.JUNK]))
+        for c, weights in ((q.JUNK, [1 - g for g in good]), (q.GOOD, good)):
+            for k in range(len(q.LABELLERS)):
+                sums = [seen * start[c][x] + sum(w for w, v in zip(weights, voted, strict=True) if v[k] == x) for x in range(3)]
+                tables[c][k] = [s / sum(sums) for s in sums]
+        new = (seen * q.GOOD_SHARE + sum(good)) / (seen + len(voted))
+        if abs(new - prior) < 1e-9:
+            break
+        prior = new
+    of = iter(good)
+    return [next(of) if any(v) else q.GOOD_SHARE for v in all_votes]
+
+
+def slow_features(text, seen):
+    """Dense features: hashed shares of class trigrams, and bins of the measures."""
+    kind = [int(q.kinds_of(c)[0]) for c in text]
+    x = np.zeros(q.DIMENSIONS + 1)
+    half, grams = q.DIMENSIONS // 2, list(zip(kind, kind[1:], kind[2:]))
+    for a, b, c in grams:
+        x[((a * 256 + b * 16 + c) * 2654435761 >> 7) % half] += 1
+    x[:half] = np.sqrt(x[:half] / max(1, len(grams))) * min(1.0, (len(grams) / q.SURE_CHARS) ** 0.5)
+    for k, v in enumerate(seen or []):
+        x[half + (k * 10 + min(9, int(v * 10))) * 2654435761 % (half - 1)] += 0.3
+    x[-1] = 1
+    return x
+
+
+def test_whole_table_matches_brute_force(spark, sf_dir):
+    """All texts of a small table are in the sample: EM over texts, dense features and plain gradient steps give the same scores."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = docs.select("doc_id", "text").collect()
+    texts = sorted({r.text or "" for r in rows})
+    seen = {t: slow_measures(t) for t in texts}
+    weak = dict(zip([r.text or "" for r in rows], slow_em([slow_votes(seen[r.text or ""]) for r in rows]), strict=True))
+    x = np.stack([slow_features(t, seen[t]) for t in texts])
+    label, w, velocity = np.array([weak[t] for t in texts]), np.zeros(x.shape[1]), np.zeros(x.shape[1])
+    for _ in range(300):
+        p = 1 / (1 + np.exp(-x @ w))
+        velocity = 0.9 * velocity - 2.0 * (x.T @ (p - label) / len(texts) + 1e-5 * w)
+        w += velocity
+    want = dict(zip(texts, 1 / (1 + np.exp(-x @ w)), strict=True))
+    found = {r.doc_id: (r.score, r.kept) for r in q.op1_quality_classifier(spark, sf_dir).collect()}
+    assert len(found) == len(rows)
+    for r in rows:
+        score, kept = found[r.doc_id]
+        assert score == pytest.approx(want[r.text or ""], abs=2e-3) and kept == (score >= q.THRESHOLD)
+
+
 def test_votes_round_trip():
     for code in (0, 1, 5, 3 ** len(q.LABELLERS) - 1):
         again = 0
