@@ -563,7 +563,7 @@ a AS (SELECT conv_id, q, words + {WORDS.format("(" + PROMPT_SQL + ")")} AS words
 r AS (SELECT *, conv_id % 4 = 0 AND NOT reply LIKE '%?' AS again FROM a)
 SELECT conv_id::VARCHAR AS request_id, CASE WHEN again THEN 'What do you make of it?' ELSE reply END AS reply, 'small:1b' AS model, again AS asked_again, again AS used_retry,
 words + CASE WHEN again THEN {WORDS.format("reply")} + {WORDS.format("(" + _filled(prompts.CORRECTION, "q") + ")")} ELSE 0 END AS prompt_tokens,
-CASE WHEN again THEN 6 ELSE {WORDS.format("'About that: ' || q")} END AS completion_tokens, 40 * CASE WHEN again THEN 6 ELSE {WORDS.format("'About that: ' || q")} END + 1 AS total_ms, 1 AS load_ms, 25.0::DOUBLE AS tokens_per_second FROM r"""
+CASE WHEN again THEN 6 ELSE {WORDS.format("'About that: ' || q")} END AS completion_tokens, 40 * CASE WHEN again THEN 6 ELSE {WORDS.format("'About that: ' || q")} END + 1 AS total_ms, 1::BIGINT AS load_ms, 25.0::DOUBLE AS tokens_per_second FROM r"""
 
 
 @query(CHAT_SQL)
@@ -586,7 +586,7 @@ def _first_line(prefix: str) -> str:
     return f"regexp_extract('{prefix}' || text, '^[^\\n]*')"
 
 
-@query(f"""SELECT conv_id || '-' || turn AS request_id, true AS ok, {_first_line("Explain: ")} AS summary, 3 AS key_points, {_first_line("Explain: ")} || ' 2' AS second_point, {_first_line("Explain: ")} AS check_question FROM conversations WHERE role = 'user'""")
+@query(f"""SELECT conv_id || '-' || turn AS request_id, true AS ok, {_first_line("Explain: ")} AS summary, 3::BIGINT AS key_points, {_first_line("Explain: ")} || ' 2' AS second_point, {_first_line("Explain: ")} AS check_question FROM conversations WHERE role = 'user'""")
 def explained_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Explanations of every user's message, from payload to parsed reply."""
     asked = _questions(spark, sf_dir)
@@ -595,7 +595,7 @@ def explained_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("request_id", "ok", "summary", F.size("key_points").cast("long").alias("key_points"), F.try_element_at("key_points", F.lit(2)).alias("second_point"), "check_question")
 
 
-@query(f"""SELECT conv_id || '-' || turn AS request_id, true AS ok, turn % 10 + 1 AS questions, 4 AS options, true AS in_range, md5({_first_line("Topic: ")}) AS first_question FROM conversations WHERE role = 'user'""")
+@query(f"""SELECT conv_id || '-' || turn AS request_id, true AS ok, turn % 10 + 1 AS questions, 4::BIGINT AS options, true AS in_range, md5({_first_line("Topic: ")}) AS first_question FROM conversations WHERE role = 'user'""")
 def asked_quizzes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quizzes about every user's message, of as many questions and options as were asked for."""
     asked, n = _questions(spark, sf_dir), F.col("turn") % 10 + 1
@@ -606,7 +606,7 @@ def asked_quizzes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("request_id", "ok", F.size("questions").cast("long").alias("questions"), F.array_max(sizes).cast("long").alias("options"), in_range.alias("in_range"), F.md5(F.try_element_at("questions", F.lit(1))["question"]).alias("first_question"))
 
 
-@query(f"""SELECT conv_id || '-' || turn AS request_id, true AS ok, 'correct' AS verdict, 85 AS score, {_first_line("Question: ")} AS feedback FROM conversations WHERE role = 'user'""")
+@query(f"""SELECT conv_id || '-' || turn AS request_id, true AS ok, 'correct' AS verdict, 85::BIGINT AS score, {_first_line("Question: ")} AS feedback FROM conversations WHERE role = 'user'""")
 def graded_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Grades of an answer to every user's message."""
     bodies = completion.task_payloads(_questions(spark, sf_dir), "evaluate", prompts.grade_messages(F.col("topic"), F.lit("an answer"), F.lit(None).cast("string"), F.lit("beginner")))
@@ -614,8 +614,8 @@ def graded_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("request_id", "ok", "verdict", F.col("score").cast("long").alias("score"), "feedback")
 
 
-@query("""SELECT conv_id || '-' || turn AS request_id, CASE WHEN turn % 3 = 0 THEN 680 WHEN turn % 3 = 1 THEN 700 ELSE 400 END AS num_predict, (CASE WHEN turn % 3 = 0 THEN 0.5 WHEN turn % 3 = 1 THEN 0.4 ELSE 0.2 END)::DOUBLE AS temperature,
-CASE WHEN turn % 3 = 0 THEN 3 END AS questions, CASE WHEN turn % 3 = 0 THEN turn % 5 + 2 END AS options FROM conversations WHERE role = 'user'""")
+@query("""SELECT conv_id || '-' || turn AS request_id, (CASE WHEN turn % 3 = 0 THEN 680 WHEN turn % 3 = 1 THEN 700 ELSE 400 END)::BIGINT AS num_predict, (CASE WHEN turn % 3 = 0 THEN 0.5 WHEN turn % 3 = 1 THEN 0.4 ELSE 0.2 END)::DOUBLE AS temperature,
+CASE WHEN turn % 3 = 0 THEN 3::BIGINT END AS questions, CASE WHEN turn % 3 = 0 THEN turn % 5 + 2 END AS options FROM conversations WHERE role = 'user'""")
 def task_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is sent for a quiz, an explanation and a grade where the request says nothing, read back from the payloads."""
     asked, messages = _questions(spark, sf_dir), F.array(prompts.message("user", F.col("topic")))
@@ -644,7 +644,7 @@ def explain_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("request_id", "ok", "summary", F.array_join("key_points", "|").alias("points"), "analogy", "check_question")
 
 
-@query("""SELECT conv_id || '-' || turn AS request_id, turn % 3 < 2 AS ok, CASE WHEN turn % 3 < 2 THEN text END AS question, CASE WHEN turn % 3 < 2 THEN 'a|' || role END AS options, CASE WHEN turn % 3 < 2 THEN 1 END AS answer_index FROM conversations""")
+@query("""SELECT conv_id || '-' || turn AS request_id, turn % 3 < 2 AS ok, CASE WHEN turn % 3 < 2 THEN text END AS question, CASE WHEN turn % 3 < 2 THEN 'a|' || role END AS options, CASE WHEN turn % 3 < 2 THEN 1::BIGINT END AS answer_index FROM conversations""")
 def quiz_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     item = F.struct(F.col("content").alias("question"), F.array(F.lit("a"), F.col("role")).alias("options"), F.col("role").alias("answer"))
     found = completion.quizzes(_structured(spark, sf_dir, F.to_json(F.struct(F.array(item).alias("questions")))))
