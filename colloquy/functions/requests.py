@@ -11,7 +11,7 @@ from colloquy.functions.replies import token_budget
 from colloquy.functions.text import not_blank
 
 # What is sent where a request says nothing, and the limits of requests.
-DEFAULT_MODEL, DEFAULT_TEMPERATURE, DEFAULT_TOKENS, CONTEXT = "small:1b", 0.4, 800, 4096
+DEFAULT_MODEL, DEFAULT_TEMPERATURE, DEFAULT_TOKENS, CONTEXT = "small:1b", 0.7, 800, 4096
 TASK_TEMPERATURE = {"quiz": 0.5, "evaluate": 0.2}
 TASK_TOKENS = {"explain": 700, "evaluate": 400}
 LIMITS = {"temperature": (0, 2), "max_tokens": (1, 4096), "num_questions": (1, 10), "num_options": (2, 6)}

@@ -75,6 +75,13 @@ def latest(rows: DataFrame, key: str, order: str, value: str) -> DataFrame:
     return rows.groupBy(key).agg(F.max_by(value, order).alias(value), F.max(order).alias(order))
 
 
+def stage_changes(activity: DataFrame, key: str, order: str, stage: Column) -> DataFrame:
+    """(key, order, before, after) where a key's stage changes; it begins idle, and rows of null stage leave it as it is."""
+    rows = activity.select(key, order, stage.alias("after")).filter("after is not null")
+    before = F.coalesce(F.lag("after").over(W.partitionBy(key).orderBy(order)), F.lit("idle"))
+    return rows.withColumn("before", before).filter("before <> after").select(key, order, "before", "after")
+
+
 def without_rolled_back(messages: DataFrame, failed: DataFrame) -> DataFrame:
     """Messages whose request didn't fail: a failed request's user message is taken back."""
     return messages.join(failed.select("session_id", "turn"), ["session_id", "turn"], "left_anti")

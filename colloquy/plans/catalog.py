@@ -213,6 +213,23 @@ def current_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return last.select("user_id", stage.otherwise("idle").alias("stage"))
 
 
+@query("""WITH s AS (SELECT user_id, event_id, CASE event_type WHEN 'view' THEN 'listening' WHEN 'click' THEN 'thinking' WHEN 'purchase' THEN 'speaking' WHEN 'error' THEN 'error' ELSE 'idle' END AS after FROM events),
+b AS (SELECT *, coalesce(lag(after) OVER (PARTITION BY user_id ORDER BY event_id), 'idle') AS before FROM s)
+SELECT user_id, event_id, before, after FROM b WHERE before <> after""")
+def stage_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stages = {"view": "listening", "click": "thinking", "purchase": "speaking", "error": "error", "signup": "idle"}
+    stage = F.coalesce(*(F.when(F.col("event_type") == k, v) for k, v in stages.items()))
+    return sessions.stage_changes(frames.events(spark, sf_dir), "user_id", "event_id", stage)
+
+
+@query("""SELECT conv_id::VARCHAR AS session_id, CASE WHEN role = 'system' THEN 'system' ELSE role END AS role, text AS message, 400 + turn AS max_tokens FROM conversations""")
+def mapped_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A client's messages as requests: its names and its roles mapped."""
+    rows = frames.messages(spark, sf_dir)
+    role = F.when(F.col("role") == "assistant", "tutor").otherwise(F.col("role"))
+    return frames.client_requests(rows.select(F.col("session_id").cast("string").alias("sessionId"), role.alias("role"), F.col("content").alias("message"), (F.col("turn") + 400).alias("maxTokens")))
+
+
 @query("""SELECT user_id, props, min(event_id) AS event_id FROM events GROUP BY user_id, props""")
 def single_submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frames.events(spark, sf_dir).groupBy("user_id", "props").agg(F.min("event_id").alias("event_id"))
@@ -442,7 +459,7 @@ def validated_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("""SELECT conv_id AS session_id, turn, '{"model":"' || CASE WHEN turn % 2 = 0 THEN 'small:1b' ELSE 'm' || turn END || '","messages":[{"role":"' || role || '","content":' || to_json(text) || '}],"stream":false,"options":{"temperature":' || CASE WHEN turn = 0 THEN '0.0' ELSE '0.4' END || ',"num_predict":800,"num_ctx":4096}}' AS payload FROM conversations""")
+@query("""SELECT conv_id AS session_id, turn, '{"model":"' || CASE WHEN turn % 2 = 0 THEN 'small:1b' ELSE 'm' || turn END || '","messages":[{"role":"' || role || '","content":' || to_json(text) || '}],"stream":false,"options":{"temperature":' || CASE WHEN turn = 0 THEN '0.0' ELSE '0.7' END || ',"num_predict":800,"num_ctx":4096}}' AS payload FROM conversations""")
 def request_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = F.when(F.col("turn") % 2 == 0, "").otherwise(F.concat(F.lit("m"), F.col("turn").cast("string")))
     body = requests.payload(model, F.when(F.col("turn") == 0, 0.0), F.lit(None).cast("int"), F.array(F.struct("role", "content")))
@@ -614,7 +631,7 @@ def graded_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("request_id", "ok", "verdict", F.col("score").cast("long").alias("score"), "feedback")
 
 
-@query("""SELECT conv_id || '-' || turn AS request_id, (CASE WHEN turn % 3 = 0 THEN 680 WHEN turn % 3 = 1 THEN 700 ELSE 400 END)::BIGINT AS num_predict, (CASE WHEN turn % 3 = 0 THEN 0.5 WHEN turn % 3 = 1 THEN 0.4 ELSE 0.2 END)::DOUBLE AS temperature,
+@query("""SELECT conv_id || '-' || turn AS request_id, (CASE WHEN turn % 3 = 0 THEN 680 WHEN turn % 3 = 1 THEN 700 ELSE 400 END)::BIGINT AS num_predict, (CASE WHEN turn % 3 = 0 THEN 0.5 WHEN turn % 3 = 1 THEN 0.7 ELSE 0.2 END)::DOUBLE AS temperature,
 CASE WHEN turn % 3 = 0 THEN 3::BIGINT END AS questions, CASE WHEN turn % 3 = 0 THEN turn % 5 + 2 END AS options FROM conversations WHERE role = 'user'""")
 def task_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is sent for a quiz, an explanation and a grade where the request says nothing, read back from the payloads."""

@@ -47,6 +47,13 @@ def ndjson_chunks(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     return sure.filter("good").drop("good"), sure.filter("not good").drop("good", "chunk")
 
 
+def client_requests(rows: DataFrame) -> DataFrame:
+    """A client's rows with its camel-case columns in snake case, as requests have them, and a tutor's role as the assistant's."""
+    named = {c: "".join(f"_{x.lower()}" if x.isupper() else x for x in c) for c in rows.columns}
+    out = rows.select(*(F.col(f"`{c}`").alias(n) for c, n in named.items()))
+    return out.withColumn("role", F.when(F.col("role") == "tutor", "assistant").otherwise(F.col("role"))) if "role" in out.columns else out
+
+
 def sse(payload: Column) -> Column:
     """A frame of a struct; null fields are written."""
     return F.concat(F.lit("data: "), F.to_json(payload, {"ignoreNullFields": "false"}), F.lit("\n\n"))

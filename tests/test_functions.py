@@ -2,9 +2,11 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from colloquy.functions import prompts, replies, text
+from colloquy.settings import Settings, settings
 
 
 def one(spark, column, rows, schema):
@@ -70,6 +72,20 @@ def test_origins_and_versions(spark):
     assert [tuple(x) for x in got] == [("ok", None), ("degraded", None), ("degraded", "down start it"), ("degraded", "down")]
 
 
+def test_settings(spark):
+    assert settings(spark) == Settings() and Settings().origins == ["*"] and Settings(cors_origins=" a, ,b ").origins == ["a", "b"]
+    spark.conf.set("colloquy.max_sessions", "7")
+    spark.conf.set("colloquy.unknown", "x")
+    try:
+        assert settings(spark) == Settings(max_sessions=7)
+        spark.conf.set("colloquy.max_sessions", "many")
+        with pytest.raises(ValueError):
+            settings(spark)
+    finally:
+        spark.conf.unset("colloquy.max_sessions")
+        spark.conf.unset("colloquy.unknown")
+
+
 def test_openings(spark):
     rows = [("Well, this is a start, and it goes on", "Well, this is a start,"), ("Short, but", None), ("abcdefghij klmnopqrst uvwxyz rest", "abcdefghij klmnopqrst uvwxyz"), ("A whole sentence is here. More", None)]
     assert one(spark, text.opening(F.col("t")), [r[:1] for r in rows], "t string") == [r[1] for r in rows]

@@ -80,6 +80,14 @@ def test_store(spark):
     assert list(rows[0].asDict()) == ["session_id", "profile", "message_count", "created_at", "updated_at", "preview"]
 
 
+def test_stage_changes_and_client_requests(spark):
+    rows = spark.createDataFrame([("u", 1, "idle"), ("u", 2, "listening"), ("u", 3, None), ("u", 4, "listening"), ("u", 5, "error"), ("v", 1, "thinking")], "k string, at int, s string")
+    found = sessions.stage_changes(rows, "k", "at", F.col("s")).orderBy("k", "at").collect()
+    assert [tuple(r) for r in found] == [("u", 2, "idle", "listening"), ("u", 5, "listening", "error"), ("v", 1, "idle", "thinking")]
+    mapped = frames.client_requests(spark.createDataFrame([("a", "tutor", 1), ("b", "user", None)], "sessionId string, role string, maxTokens int"))
+    assert mapped.columns == ["session_id", "role", "max_tokens"] and [tuple(r) for r in mapped.collect()] == [("a", "assistant", 1), ("b", "user", None)]
+
+
 def test_transcript_parts(spark):
     rows = messages(spark, [("a", k, "user", f"m{k}") for k in range(7)])
     found = {r.part: [m.content for m in r.messages] for r in sessions.transcript_parts(rows, 3).collect()}
@@ -138,7 +146,7 @@ def test_chat_asks_once_more(spark, tmp_path):
     assert tuple(found["1"].usage) == (4, 3, 0, 0, 3.0) and tuple(found["2"].usage) == (2, 7, 0, 0, 7.0)
     assert (found["2"].reply, found["2"].model, found["2"].asked_again, found["2"].used_retry) == ("A lecture.", "first", False, False)
     calls = sorted(json.loads(f.read_text()) for f in tmp_path.glob("Now*"))
-    assert calls == [[False, 2, 0.0], [False, 2, 0.4], [True, 4, 0.0]]
+    assert calls == [[False, 2, 0.0], [False, 2, 0.7], [True, 4, 0.0]]
     kept = {r.request_id: r for r in completion.chat(rows, cut, asking("Still a lecture.")).collect()}["1"]
     assert (kept.reply, kept.model, kept.asked_again, kept.used_retry, kept.usage.completion_tokens) == ("A lecture.", "first", True, False, 7)
 
@@ -146,7 +154,7 @@ def test_chat_asks_once_more(spark, tmp_path):
 def test_payloads_and_rules(spark):
     none = F.lit(None)
     body = lambda **k: json.loads(spark.range(1).select(requests.payload(none.cast("string"), none.cast("double"), none.cast("int"), F.array(F.struct(F.lit("user").alias("role"), F.lit("hi").alias("content"))), **k)).first()[0])
-    assert body() == {"model": "small:1b", "messages": [{"role": "user", "content": "hi"}], "stream": False, "options": {"temperature": 0.4, "num_predict": 800, "num_ctx": 4096}}
+    assert body() == {"model": "small:1b", "messages": [{"role": "user", "content": "hi"}], "stream": False, "options": {"temperature": 0.7, "num_predict": 800, "num_ctx": 4096}}
     quiz = body(schema=requests.reply_format("quiz", F.lit(2), F.lit(5)))["format"]
     assert quiz["properties"]["questions"]["minItems"] == quiz["properties"]["questions"]["maxItems"] == 2 and quiz["properties"]["questions"]["items"]["properties"]["options"]["minItems"] == 5
     assert list(body(schema=requests.reply_format("evaluate"))["format"]["properties"])[0] == "is_anything_wrong" and "format" not in body(schema=requests.reply_format("chat"))
