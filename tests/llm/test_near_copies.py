@@ -1,5 +1,8 @@
 import random
 
+import numpy as np
+from pyspark.sql import functions as F
+
 import corpus_pipeline as cp
 from colloquy.llm import near_copies as nc
 from colloquy.llm import simhash_dedup as sh
@@ -40,6 +43,23 @@ def test_near_copies_leave_one_of_each_class(spark):
     assert cp.near_duplicates(spark, docs.limit(0), "").collect() == []
 
 
+def test_bitmaps_lose_no_similar_pair(spark):
+    """Sets of many sizes and overlaps: none of similarity 0.8 or more is refused, and most of the others are."""
+    rng = np.random.default_rng(4)
+    rows, similar = [], []
+    for k in range(1500):
+        n = int(rng.choice([1, 4, 9, 30, 200, 1500]))
+        a = rng.integers(0, 2**63, n, dtype=np.uint64)
+        b = np.concatenate([a[rng.random(n) < rng.choice([0.5, 0.8, 0.9, 0.95, 1.0])], rng.integers(0, 2**63, rng.integers(0, 1 + n // 6), dtype=np.uint64)])
+        both = len(np.intersect1d(a, b))
+        similar.append(5 * both >= 4 * (n + len(b) - both))
+        rows.append((k, nc.bitmap_of(a).tolist(), nc.bitmap_of(b).tolist(), n, len(b)))
+    df = spark.createDataFrame(rows, "k int, x array<long>, y array<long>, n long, m long").orderBy("k")
+    passed = [r[0] for r in df.select(nc.may_be_similar(F.col("x"), F.col("y"), F.col("n"), F.col("m"))).collect()]
+    assert all(p for p, s in zip(passed, similar, strict=True) if s) and sum(similar) > 300
+    assert sum(p for p, s in zip(passed, similar, strict=True) if not s) < 0.3 * (len(rows) - sum(similar))
+
+
 def test_sf_table(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.collect()]
