@@ -5,6 +5,7 @@ from __future__ import annotations
 from colloquy.llm.decontamination import OP4_SQL, op4_decontamination
 from colloquy.llm.embedding_dedup import OP7_SQL, op7_embedding_dedup
 from colloquy.llm.language_id import op3_language_id
+from colloquy.llm.line_dedup import OP13_SQL, op13_line_dedup
 from colloquy.llm.lm_scoring import op2_lm_scoring
 from colloquy.llm.mixing import op8_mixing
 from colloquy.llm.quality_classifier import op1_quality_classifier
@@ -24,9 +25,11 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_simhash_dedup": op9_simhash_dedup,
     "op10_toxicity": op10_toxicity,
+    "op13_line_dedup": op13_line_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op4_decontamination": OP4_SQL,
     "op7_embedding_dedup": OP7_SQL,
+    "op13_line_dedup": OP13_SQL,
 }
