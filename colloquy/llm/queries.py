@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from colloquy.llm.decontamination import OP4_SQL, op4_decontamination
 from colloquy.llm.embedding_dedup import OP7_SQL, op7_embedding_dedup
+from colloquy.llm.hard_negatives import OP11_SQL, op11_hard_negatives
 from colloquy.llm.language_id import op3_language_id
 from colloquy.llm.line_dedup import OP13_SQL, op13_line_dedup
 from colloquy.llm.lm_scoring import op2_lm_scoring
@@ -25,11 +26,13 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_simhash_dedup": op9_simhash_dedup,
     "op10_toxicity": op10_toxicity,
+    "op11_hard_negatives": op11_hard_negatives,
     "op13_line_dedup": op13_line_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op4_decontamination": OP4_SQL,
     "op7_embedding_dedup": OP7_SQL,
+    "op11_hard_negatives": OP11_SQL,
     "op13_line_dedup": OP13_SQL,
 }
