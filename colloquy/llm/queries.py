@@ -14,6 +14,7 @@ from colloquy.llm.secret_scan import op6_secret_scan
 from colloquy.llm.sharding import op5_sharding
 from colloquy.llm.simhash_dedup import op9_simhash_dedup
 from colloquy.llm.toxicity import op10_toxicity
+from colloquy.llm.vector_codes import OP12_SQL, op12_vector_codes
 
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_simhash_dedup": op9_simhash_dedup,
     "op10_toxicity": op10_toxicity,
     "op11_hard_negatives": op11_hard_negatives,
+    "op12_vector_codes": op12_vector_codes,
     "op13_line_dedup": op13_line_dedup,
 }
 
@@ -34,5 +36,6 @@ ORACLE_SQL: dict[str, str] = {
     "op4_decontamination": OP4_SQL,
     "op7_embedding_dedup": OP7_SQL,
     "op11_hard_negatives": OP11_SQL,
+    "op12_vector_codes": OP12_SQL,
     "op13_line_dedup": OP13_SQL,
 }
