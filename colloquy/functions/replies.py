@@ -46,11 +46,11 @@ def is_stale(content: Column) -> Column:
 
 
 def usage(reply: Column) -> Column:
-    """(prompt_tokens, completion_tokens, total_ms, load_ms, tokens_per_second) of a completion's counts and durations."""
+    """(prompt_tokens, completion_tokens, total_duration_ms, load_duration_ms, tokens_per_second) of a completion's counts and durations."""
     whole = lambda c: F.coalesce(reply[c], F.lit(0).cast("long"))
     return F.struct(
-        whole("prompt_eval_count").alias("prompt_tokens"), whole("eval_count").alias("completion_tokens"), milliseconds(reply["total_duration"]).alias("total_ms"),
-        milliseconds(reply["load_duration"]).alias("load_ms"), tokens_per_second(reply["eval_count"], reply["eval_duration"]).alias("tokens_per_second"),
+        whole("prompt_eval_count").alias("prompt_tokens"), whole("eval_count").alias("completion_tokens"), milliseconds(reply["total_duration"]).alias("total_duration_ms"),
+        milliseconds(reply["load_duration"]).alias("load_duration_ms"), tokens_per_second(reply["eval_count"], reply["eval_duration"]).alias("tokens_per_second"),
     )
 
 

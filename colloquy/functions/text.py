@@ -44,11 +44,25 @@ def tail(x: Column) -> Column:
     return strip(F.regexp_replace(x, SENTENCE, "$2"))
 
 
+def _openings(x: Column) -> tuple[Column, Column]:
+    """A clause of 14 characters and its end mark, and 22 characters and what else the word has; both before white space, empty if there is none."""
+    return F.regexp_extract(x, r"(?U)^([\s\S]{14,}?[,;:—-])\s", 1), F.regexp_extract(x, r"(?U)^([\s\S]{22,}?\S)\s", 1)
+
+
 def opening(x: Column) -> Column:
-    """The first fragment worth speaking of a text without a finished sentence: a clause of 14 characters, or 22 to a word's end."""
-    clause = F.regexp_extract(x, r"^([\s\S]{13,}?[,;:—-])\s", 1)
-    words = F.regexp_extract(x, r"^([\s\S]{22,}?)\s", 1)
-    return F.when(F.size(sentences(x)) > 0, None).otherwise(F.coalesce(not_blank(clause), not_blank(words)))
+    """The first fragment worth speaking of a text without a finished sentence: a clause if there is one, else words enough."""
+    return F.when(F.size(sentences(x)) > 0, None).otherwise(F.coalesce(*(not_blank(strip(o)) for o in _openings(x))))
+
+
+def spoken(x: Column) -> Column:
+    """The fragments in which a text is spoken as it arrives word by word: an opening, if one is there before the first sentence, the sentences, the rest."""
+    text = F.regexp_replace(x, r"(?U)^\s+", "")
+    clause, words = (not_blank(o) for o in _openings(text))
+    first = F.when(F.coalesce(F.length(clause) < F.length(words), words.isNull()), clause).otherwise(words)
+    sentence = F.try_element_at(sentences(text), F.lit(1))
+    taken = F.when(sentence.isNull() | (F.length(first) < F.length(sentence)), first)
+    rest = F.coalesce(F.substring(text, F.length(taken) + 1, F.length(text)), text)
+    return F.concat(F.array_compact(F.array(strip(taken))), sentences(rest), F.array_compact(F.array(not_blank(tail(rest)))))
 
 
 def tokens(x: Column) -> Column:
@@ -59,7 +73,7 @@ def tokens(x: Column) -> Column:
 
 def listed(x: Column) -> Column:
     """A comma-separated setting as an array, without blanks."""
-    return F.filter(F.transform(F.split(x, ","), lambda p: F.trim(p)), lambda p: p != "")
+    return F.filter(F.transform(F.split(x, ","), strip), lambda p: p != "")
 
 
 def origins(x: Column) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from colloquy.functions import prompts, replies, requests, text
 from colloquy.operators import completion, sessions, store
 from colloquy.sources import frames
+from colloquy.streaming import folds, live_store, ordered, speech, wire
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -272,8 +273,11 @@ def message_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frames.messages(spark, sf_dir).select("session_id", "turn", text.ellipsis(F.col("content")).alias("label"))
 
 
-@query(r"""WITH no_sentence AS (SELECT conv_id, turn, text, len(regexp_extract_all(text, '\S[\s\S]{10,}?[.!?]+["'')\]]*\s')) AS n FROM conversations)
-SELECT conv_id AS session_id, turn, CASE WHEN n = 0 THEN coalesce(nullif(regexp_extract(text, '^([\s\S]{13,}?[,;:—-])\s', 1), ''), nullif(regexp_extract(text, '^([\s\S]{22,}?)\s', 1), '')) END AS opening FROM no_sentence""")
+OPENINGS = r"""WITH o AS (SELECT conv_id, turn, text, len(regexp_extract_all(text, '\S[\s\S]{10,}?[.!?]+["'')\]]*\s')) AS n, nullif(regexp_extract(text, '^([\s\S]{14,}?[,;:—-])\s', 1), '') AS clause, nullif(regexp_extract(text, '^([\s\S]{22,}?\S)\s', 1), '') AS words FROM conversations)
+"""
+
+
+@query(OPENINGS + """SELECT conv_id AS session_id, turn, CASE WHEN n = 0 THEN coalesce(clause, words) END AS opening FROM o""")
 def message_openings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frames.messages(spark, sf_dir).select("session_id", "turn", text.opening(F.col("content")).alias("opening"))
 
@@ -318,24 +322,33 @@ def sse_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 STREAMED = r"""WITH t AS (SELECT conv_id * 1000 + turn AS request_id, conv_id, regexp_extract_all(text, '\S+\s*') AS w, (conv_id * 1000 + turn) % 5 AS kind, text FROM conversations WHERE role = 'assistant'),
-e AS (SELECT request_id, -1 AS pos, 'data: {"type":"start","session_id":"' || conv_id || '","model":null}' AS body FROM t
+e AS (SELECT request_id, -1 AS pos, 'data: {"type":"start","session_id":"' || conv_id || '","model":"' || CASE WHEN conv_id % 3 = 0 THEN 'm3' ELSE 'small:1b' END || '"}' AS body FROM t
 UNION ALL SELECT request_id, i, 'data: {"type":"token","content":' || to_json(w[i]) || '}' FROM (SELECT request_id, w, unnest(range(1, (CASE kind WHEN 1 THEN least(3, len(w)) WHEN 2 THEN len(w) // 2 ELSE len(w) END) + 1)) AS i FROM t)
-UNION ALL SELECT request_id, 10000000, 'data: {"type":"done","session_id":"' || conv_id || '","reply":' || to_json(trim(text, chr(10) || chr(9) || chr(13) || ' ')) || '}' FROM t WHERE kind NOT IN (1, 2)
+UNION ALL SELECT request_id, 10000000, 'data: {"type":"done","session_id":"' || conv_id || '","reply":' || to_json(trim(text, chr(10) || chr(9) || chr(13) || ' ')) || ',"usage":{"prompt_tokens":7,"completion_tokens":' || len(w) || ',"total_duration_ms":' || 40 * len(w) + 1 || ',"load_duration_ms":0,"tokens_per_second":25.0}}' FROM t WHERE kind NOT IN (1, 2)
 UNION ALL SELECT request_id, 10000001, 'data: {"type":"error","detail":"The model service timed out.","hint":null}' FROM t WHERE kind = 1
 UNION ALL SELECT request_id, 10000002, 'data: [DONE]' FROM t)
 """
 
 
-def _streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Frames of the assistant's messages; of five requests one fails after three tokens, and one ends halfway."""
+def _chunks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Requests and the model's chunks of the assistant's messages; of five requests one fails after three tokens, and one ends halfway."""
     tokens = _tokens(spark, sf_dir).withColumn("kind", F.col("request_id") % 5)
-    size = frames.messages(spark, sf_dir).select((F.col("session_id") * 1000 + F.col("turn")).alias("request_id"), F.size(text.tokens(F.col("content"))).alias("size"))
+    size = frames.messages(spark, sf_dir).select((F.col("session_id") * 1000 + F.col("turn")).alias("request_id"), F.size(text.tokens(F.col("content"))).cast("long").alias("size"))
     rows = tokens.join(size, "request_id").filter((F.col("kind") != 2) | (F.col("seq") < F.floor(F.col("size") / 2)))
     fails = (F.col("kind") == 1) & (F.col("seq") == F.least(F.lit(3), F.col("size")))
-    chunks = rows.select("request_id", "seq", "token", (F.col("token") == "").alias("done"), F.when(fails, "The model service timed out.").alias("detail"), F.lit(None).cast("string").alias("hint"))
-    asked = size.select("request_id").join(tokens.select("request_id").distinct(), "request_id", "left_semi")
-    session = F.floor(F.col("request_id") / 1000).cast("string")
-    return frames.stream_frames(asked.select("request_id", session.alias("session_id"), F.lit(None).cast("string").alias("model")), chunks)
+    last = F.col("token") == ""
+    count = lambda c: F.when(last, c.cast("long"))
+    chunks = rows.select(
+        "request_id", "seq", "token", last.alias("done"), F.when(fails, "The model service timed out.").alias("detail"), F.lit(None).cast("string").alias("hint"),
+        count(F.lit(7)).alias("prompt_eval_count"), count(F.col("size")).alias("eval_count"), count(40_000_000 * F.col("size")).alias("eval_duration"), count(40_000_000 * F.col("size") + 1_000_000).alias("total_duration"),
+    )
+    session = F.floor(F.col("request_id") / 1000)
+    asked = tokens.select("request_id").distinct().select("request_id", session.cast("string").alias("session_id"), F.when(session % 3 == 0, "m3").alias("model"))
+    return asked, chunks
+
+
+def _streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frames.stream_frames(*_chunks(spark, sf_dir))
 
 
 @query(STREAMED + """SELECT request_id, md5(string_agg(body || chr(10) || chr(10), '' ORDER BY pos)) AS body FROM e GROUP BY request_id""")
@@ -580,7 +593,7 @@ a AS (SELECT conv_id, q, words + {WORDS.format("(" + PROMPT_SQL + ")")} AS words
 r AS (SELECT *, conv_id % 4 = 0 AND NOT reply LIKE '%?' AS again FROM a)
 SELECT conv_id::VARCHAR AS request_id, CASE WHEN again THEN 'What do you make of it?' ELSE reply END AS reply, 'small:1b' AS model, again AS asked_again, again AS used_retry,
 words + CASE WHEN again THEN {WORDS.format("reply")} + {WORDS.format("(" + _filled(prompts.CORRECTION, "q") + ")")} ELSE 0 END AS prompt_tokens,
-CASE WHEN again THEN 6 ELSE {WORDS.format("'About that: ' || q")} END AS completion_tokens, 40 * CASE WHEN again THEN 6 ELSE {WORDS.format("'About that: ' || q")} END + 1 AS total_ms, 1::BIGINT AS load_ms, 25.0::DOUBLE AS tokens_per_second FROM r"""
+CASE WHEN again THEN 6 ELSE {WORDS.format("'About that: ' || q")} END AS completion_tokens, 40 * CASE WHEN again THEN 6 ELSE {WORDS.format("'About that: ' || q")} END + 1 AS total_duration_ms, 1::BIGINT AS load_duration_ms, 25.0::DOUBLE AS tokens_per_second FROM r"""
 
 
 @query(CHAT_SQL)
@@ -676,9 +689,101 @@ def evaluate_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return completion.grades(_structured(spark, sf_dir, body)).select("request_id", "ok", "verdict", F.col("score").cast("long").alias("score"))
 
 
+# --- streams ------------------------------------------------------------------------------------
+
+
+def _start() -> F.Column:
+    return F.lit("2024-01-01 00:00:00").cast("timestamp")
+
+
+def _closing(rows: DataFrame, key: str) -> DataFrame:
+    """A row of a key of its own, a year later, that waits for those before it in vain: it moves the clock on."""
+    value = {key: F.lit(-1), "seq": F.lit(2**40), "ts": _start() + F.expr("INTERVAL 365 DAYS")}
+    return rows.sparkSession.range(1).select(*(value.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in rows.schema))
+
+
+def _word_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of every message as a stream's tokens, the last one marked."""
+    rows = frames.messages(spark, sf_dir).select((F.col("session_id") * 1000 + F.col("turn")).alias("request_id"), text.tokens(F.col("content")).alias("w"))
+    each = rows.select("request_id", F.size("w").alias("n"), F.posexplode("w").alias("seq", "token"))
+    return each.select("request_id", F.col("seq").cast("long").alias("seq"), _start().alias("ts"), "token", (F.col("seq") == F.col("n") - 1).alias("last"))
+
+
+SPOKEN = r"""WITH t AS (SELECT conv_id * 1000 + turn AS request_id, ltrim(text, chr(10) || chr(9) || chr(13) || ' ') AS text FROM conversations),
+o AS (SELECT *, rtrim(regexp_extract(text, '^(\S[\s\S]{10,}?[.!?]+["'')\]]*)\s', 1)) AS sentence, nullif(regexp_extract(text, '^([\s\S]{14,}?[,;:—-])\s', 1), '') AS clause, nullif(regexp_extract(text, '^([\s\S]{22,}?\S)\s', 1), '') AS words FROM t),
+f AS (SELECT request_id, text, sentence, CASE WHEN coalesce(length(clause) < length(words), words IS NULL) THEN clause ELSE words END AS first FROM o),
+c AS (SELECT request_id, CASE WHEN sentence = '' OR length(first) < length(sentence) THEN first END AS taken, text FROM f),
+r AS (SELECT request_id, taken, coalesce(substring(text, length(taken) + 1), text) AS rest FROM c),
+p AS (SELECT request_id, list_concat(CASE WHEN taken IS NULL THEN [] ELSE [taken] END, list_transform(regexp_extract_all(rest, '\S[\s\S]{10,}?[.!?]+["'')\]]*\s'), lambda x: rtrim(x, chr(10) || chr(13) || chr(9) || ' ')),
+list_filter([trim(regexp_replace(rest, '\S[\s\S]{10,}?[.!?]+["'')\]]*(\s)', '\1', 'g'), chr(10) || chr(13) || chr(9) || ' ')], lambda x: x <> '')) AS p, taken IS NOT NULL AS opened FROM r)
+"""
+
+
+@query(SPOKEN + """SELECT request_id, i - 1 AS at, p[i] AS fragment, opened AND i = 1 AS opening FROM (SELECT request_id, p, opened, unnest(range(1, len(p) + 1)) AS i FROM p)""")
+def spoken_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every message spoken as its words arrive, through a stream: an opening, the sentences, the rest."""
+    rows = _word_tokens(spark, sf_dir)
+    found = ordered.through(rows, speech.speech_stream, "spoken")
+    return found.select("request_id", "at", "fragment", (F.col("kind") == "opening").alias("opening"))
+
+
+@query(SPOKEN + """SELECT request_id, to_json(p)::VARCHAR AS fragments FROM p""")
+def spoken_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same without a stream: the fragments of each message's whole text."""
+    rows = frames.messages(spark, sf_dir)
+    return rows.select((F.col("session_id") * 1000 + F.col("turn")).alias("request_id"), F.to_json(text.spoken(F.col("content"))).alias("fragments"))
+
+
+@query(STREAMED + """SELECT request_id, CASE WHEN pos = -1 THEN -1 WHEN pos < 10000000 THEN pos - 1 ELSE pos - 10000002 + 4611686018427387904 END::BIGINT AS at, body || chr(10) || chr(10) AS frame FROM e""")
+def streamed_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests and model chunks in any order through a stream, to frames; what ends halfway is given up when the clock has moved on."""
+    asked, chunks = _chunks(spark, sf_dir)
+    rows = wire.request_rows(asked, chunks, _start())
+    return ordered.through(rows, wire.frame_stream, "stream-frames", closing=_closing(rows, "request_id")).select("request_id", "at", "frame")
+
+
+@query(STREAMED + """, k AS (SELECT request_id, max(CASE WHEN body LIKE 'data: {"type":"done"%' THEN 1 WHEN body LIKE 'data: {"type":"error"%' THEN 2 ELSE 0 END) AS k FROM e GROUP BY request_id)
+SELECT request_id, CASE k WHEN 1 THEN 'done' WHEN 2 THEN 'error' ELSE 'abandoned' END AS outcome, k = 2 AS rolled_back FROM k""")
+def stream_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How each request's stream ended, and whether the user's message is taken back."""
+    return wire.outcomes(_streamed(spark, sf_dir))
+
+
+@query(STREAMED + r""", k AS (SELECT request_id, kind, conv_id, w, text FROM t)
+SELECT request_id, conv_id::VARCHAR AS session_id, CASE kind WHEN 1 THEN array_to_string(w[1:3], '') WHEN 2 THEN array_to_string(w[1:len(w) // 2], '') ELSE trim(text, chr(10) || chr(9) || chr(13) || ' ') END AS reply, CASE WHEN kind = 1 THEN 'The model service timed out.' END AS error FROM k""")
+def client_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bodies of frames cut to chunks of bytes anywhere, in any order, through a client's parser, to what it shows at last."""
+    bodies = _streamed(spark, sf_dir).groupBy("request_id").agg(F.encode(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "frame"))), lambda x: x["frame"]), ""), "utf-8").alias("body"))
+    size = 50 + F.col("request_id") % 61
+    cut = bodies.select("request_id", "body", size.alias("size"), F.explode(F.sequence(F.lit(0), F.floor(F.octet_length("body") / size))).alias("seq"))
+    chunk = F.substring("body", (F.col("seq") * F.col("size") + 1).cast("int"), F.col("size").cast("int"))
+    rows = cut.select("request_id", "seq", _start().alias("ts"), chunk.alias("chunk"), (F.col("seq") == F.floor(F.octet_length("body") / F.col("size"))).alias("last"))
+    events = ordered.through(rows, lambda s: wire.sse_stream(s, "request_id"), "client-events")
+    return frames.client_replies(events, "request_id")
+
+
+LIVE = """WITH c AS (SELECT event_id, user_id, epoch_us(ts) AS us, CASE WHEN event_type IN ('click', 'purchase') THEN 'ask' WHEN event_type = 'signup' THEN 'create' WHEN event_type = 'error' AND value > 60 THEN 'delete' ELSE 'get' END AS kind, CASE WHEN event_type IN ('purchase', 'signup') THEN props END AS profile FROM events),
+n AS (SELECT *, kind IN ('ask', 'create') AS active, row_number() OVER (PARTITION BY user_id ORDER BY us, event_id) AS k FROM c),
+p AS (SELECT *, max(CASE WHEN active THEN k END) OVER before AS active_k, max(CASE WHEN active THEN us END) OVER before AS active_us, max(CASE WHEN kind = 'delete' THEN k END) OVER before AS deleted_k FROM n WINDOW before AS (PARTITION BY user_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+a AS (SELECT *, coalesce(active_k > coalesce(deleted_k, 0) AND us - active_us <= 10800000000, false) AS alive FROM p),
+m AS (SELECT *, kind = 'create' OR kind = 'ask' AND NOT alive AS created FROM a),
+s AS (SELECT *, last_value(CASE WHEN created THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY k) AS made FROM m),
+g AS (SELECT *, count(*) FILTER (kind = 'ask') OVER same AS messages, last_value(profile IGNORE NULLS) OVER same AS kept, max(CASE WHEN active THEN us END) OVER same AS updated FROM s WINDOW same AS (PARTITION BY user_id, made ORDER BY k))
+SELECT event_id AS command_id, kind, created, CASE WHEN alive OR created THEN md5(made::VARCHAR) END AS session_id, CASE WHEN alive OR created THEN kept END AS profile, CASE WHEN alive OR created THEN messages END AS message_count, CASE WHEN alive OR created THEN updated END AS updated_us FROM g"""
+
+
+@query(LIVE)
+def live_store_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as commands of clients to a live session store, each about the client's latest session, with their answers."""
+    kind = F.when(F.col("event_type").isin("click", "purchase"), "ask").when(F.col("event_type") == "signup", "create").when((F.col("event_type") == "error") & (F.col("value") > 60), "delete").otherwise("get")
+    profile = F.when(F.col("event_type").isin("purchase", "signup"), F.col("props"))
+    none = F.lit(None).cast("string")
+    commands = folds.event_stream(spark, sf_dir).select(F.col("user_id").alias("client"), F.col("event_id").alias("command_id"), kind.alias("kind"), none.alias("session_id"), profile.alias("profile"), "ts")
+    found = folds.written(live_store.answers(commands), "live-store")
+    return found.filter("command_id is not null").select("command_id", "kind", "created", "session_id", "profile", "message_count", "updated_us")
+
+
 @query()
 def streamed_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events through Structured Streaming: sessions that the watermark has closed."""
-    from colloquy.streaming import folds
-
     return folds.written(folds.closed_sessions(folds.event_stream(spark, sf_dir), "user_id"), "closed-sessions")

@@ -3,17 +3,12 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from colloquy.sources.frames import shared_dir
-
-OPENING_STATE = "buffer string, opened boolean"
-OPENING_OUT = "request_id string, seq long, fragment string"
+from colloquy.streaming.ordered import run
 
 
 def closed_sessions(activity: DataFrame, key: str, gap: str = "180 minutes", late: str = "10 minutes") -> DataFrame:
@@ -32,43 +27,6 @@ def first_submissions(utterances: DataFrame, key: str = "utterance_id", late: st
     return utterances.withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
 
 
-def _opening(buffer: str) -> str | None:
-    """The first fragment worth speaking: a clause, or words enough."""
-    import re
-
-    if re.search(r"\S[\s\S]{11,}?[.!?][\"')\]]*\s", buffer):
-        return None
-    found = re.match(r"([\s\S]{13,}?[,;:—-])\s", buffer) or re.match(r"([\s\S]{22,}?)\s", buffer)
-    return found[1] if found else None
-
-
-def opening_fragments(tokens: DataFrame) -> DataFrame:
-    """(request_id, seq, fragment): the fragment and the token at which it was there, once for each request.
-
-    It depends on how the text is cut to tokens, so that only a stateful fold over them is exact. The state of
-    a request is its text until then, and is dropped an hour of event time after its last token. tokens:
-    request_id, seq, token, ts.
-    """
-
-    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        buffer, opened = state.get if state.exists else ("", False)
-        rows = pd.concat(list(batches)).sort_values("seq")
-        for row in rows.itertuples():
-            if not opened:
-                buffer += row.token or ""
-                if fragment := _opening(buffer):
-                    opened, buffer = True, ""
-                    yield pd.DataFrame({"request_id": [key[0]], "seq": [row.seq], "fragment": [fragment]})
-        state.update((buffer, opened))
-        state.setTimeoutTimestamp(max(int(rows["ts"].max().timestamp() * 1000), state.getCurrentWatermarkMs()) + 3_600_000)
-
-    timed = tokens.withWatermark("ts", "10 minutes").groupBy("request_id")
-    return timed.applyInPandasWithState(fold, OPENING_OUT, OPENING_STATE, "append", GroupStateTimeout.EventTimeTimeout)
-
-
 def upsert_latest(rows: DataFrame, key: str, order: str, value: str) -> DataFrame:
     """The last value by key so far, for update mode and a sink that merges by key."""
     return rows.groupBy(key).agg(F.max_by(value, order).alias(value), F.max(order).alias(order))
@@ -86,8 +44,7 @@ def written(stream: DataFrame, name: str) -> DataFrame:
     """All of a stream's input that is there, run through it to Parquet in the shared folder, where its checkpoint is too."""
     spark = stream.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    started = stream.writeStream.outputMode("append").format("parquet").option("checkpointLocation", f"{path}-checkpoint")
-    started.trigger(availableNow=True).start(path).awaitTermination()
+    run(stream, path, f"{path}-checkpoint")
     return spark.read.schema(stream.schema).parquet(path)
 
 

@@ -59,9 +59,9 @@ def test_sentences_cover_the_text(spark, sf_dir):
 
 
 def test_small_text_functions(spark):
-    got = one(spark, F.struct(text.strip(F.col("t")), text.collapse(F.col("t")), text.ellipsis(F.col("t"), 3), text.preview(F.col("t"), 2), text.listed(F.col("t")), text.tokens(F.col("t"))), [("  a  b,, c \n",), ("   ",)], "t string")
-    assert tuple(got[0]) == ("a  b,, c", "a b,, c", "  a…", "  ", ["  a  b", "c \n"], ["  " if False else "a  ", "b,, ", "c \n"]) or got[0][1] == "a b,, c"
-    assert got[1][0] == "" and got[1][4] == [] and got[1][5] == ["   "]
+    got = one(spark, F.struct(text.strip(F.col("t")), text.collapse(F.col("t")), text.ellipsis(F.col("t"), 3), text.preview(F.col("t"), 2), text.listed(F.col("t")), text.tokens(F.col("t"))), [("  a  b,, c \n",), ("   ",)], "t string")
+    assert tuple(got[0]) == ("a  b,, c", "a b,, c", "  a…", "  ", ["a  b", "c"], ["a  ", "b,, ", "c \n"])
+    assert tuple(got[1]) == ("", "", "   ", "  ", [], ["   "])
     assert one(spark, text.joined(F.col("a"), F.col("b")), [("x", ""), (None, "y"), ("x", "y")], "a string, b string") == ["x", "y", "x y"]
 
 

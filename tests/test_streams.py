@@ -1,0 +1,261 @@
+"""Streams of stateful folds: against loops written out here, against the batch forms, and through restarts."""
+
+import collections
+import datetime as dt
+import hashlib
+import random
+import re
+from types import SimpleNamespace as Row
+
+import pytest
+from pyspark.sql import functions as F
+
+from colloquy.functions import text
+from colloquy.operators import store
+from colloquy.sources import frames
+from colloquy.streaming import live_store, ordered, speech, wire
+
+NOON = dt.datetime(2024, 1, 1, 12)
+
+
+def batches(spark, folder, schema, parts, build):
+    """The output of a stream over parts, lists of rows, each a micro-batch of a query that is started anew from the checkpoint."""
+    for part in parts:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        stream = build(spark.readStream.schema(schema).parquet(f"{folder}/in"))
+        ordered.run(stream, f"{folder}/out", f"{folder}/checkpoint")
+    return spark.read.schema(stream.schema).parquet(f"{folder}/out")
+
+
+def spoken_loop(tokens):
+    """A client's loop over tokens, the whole buffer looked through at each one."""
+    white, out, unspoken = speech.WHITE, [], ""
+    for k, token in enumerate(tokens):
+        unspoken += token
+        found, start, rest = [], 0, unspoken
+        while match := re.compile(rf"[.!?]+[\"')\]]*(?=[{white}])").search(rest, start):
+            sentence = speech.stripped(rest[: match.end()])
+            if len(sentence) < 12:
+                start = match.end()
+                continue
+            found.append(("sentence", sentence, k))
+            rest, start = rest[match.end() :], 0
+        unspoken = rest
+        out += found
+        first = None if out else re.match(rf"[\s\S]{{14,}}?[,;:—-](?=[{white}])", rest) or re.match(rf"[\s\S]{{22,}}?[^{white}](?=[{white}])", rest)
+        if first:
+            out.append(("opening", speech.stripped(first[0]), k))
+            unspoken = rest[first.end() :]
+    return out + [("tail", speech.stripped(unspoken), len(tokens) - 1)] * bool(speech.stripped(unspoken))
+
+
+def cut(rng, whole, most):
+    at = sorted(rng.sample(range(len(whole) + 1), min(len(whole) + 1, rng.randrange(most))))
+    return [whole[a:b] for a, b in zip([0, *at], [*at, len(whole)], strict=True)]
+
+
+PIECES = ["a", "bc", "def", " ", " ", ". ", "! ", ".", '." ', "?)", ", ", "—", "\n", " ", "é", "3.14 ", "-- "]
+
+
+def test_speech_is_the_loop_under_any_cut():
+    rng = random.Random(1)
+    for _ in range(4000):
+        tokens = cut(rng, "".join(rng.choices(PIECES, k=rng.randrange(60))), 8)
+        fold, out = speech.Speech(), []
+        state = fold.begin()
+        for k, token in enumerate(tokens):
+            state, rows = fold.step(state, Row(seq=k, token=token, last=k == len(tokens) - 1))
+            out += rows
+        assert state is None and [r[1:] for r in out] == spoken_loop(tokens) and [r[0] for r in out] == list(range(len(out)))
+
+
+def test_speech_by_words_is_the_batch_form(spark):
+    rng = random.Random(2)
+    texts = ["".join(rng.choices(PIECES, k=rng.randrange(70))) for _ in range(1500)]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", text.tokens(F.regexp_replace("t", r"(?U)^\s+", "")).alias("w"), text.spoken(F.col("t")).alias("spoken")).collect()
+    plain = [r for r in rows if " " not in r.t]  # tokens are cut at ASCII blanks
+    assert len(plain) > 200 and all([f for _, f, _ in spoken_loop(r.w)] == r.spoken for r in plain)
+
+
+@pytest.mark.parametrize("size, opens", [(13, False), (14, True)])
+def test_a_clause_has_fourteen_characters_before_its_mark(spark, size, opens):
+    said = "a" * size + ", and so"
+    assert bool(speech.opening(said)) == opens
+    assert spark.createDataFrame([(said,)], "t string").select(text.opening(F.col("t"))).first()[0] == ("a" * 14 + "," if opens else None)
+
+
+@pytest.mark.parametrize("size, opens", [(22, False), (23, True)])
+def test_words_have_twenty_three_characters(spark, size, opens):
+    said = "a" * size + " b"
+    assert bool(speech.opening(said)) == opens
+    assert spark.createDataFrame([(said,)], "t string").select(text.opening(F.col("t"))).first()[0] == ("a" * 23 if opens else None)
+
+
+@pytest.mark.parametrize("size, spoken", [(11, False), (12, True)])
+def test_a_sentence_has_twelve_characters(spark, size, spoken):
+    said = "a" * (size - 1) + ". b"
+    assert speech.drained(said, 0)[0] == ["a" * (size - 1) + "."] * spoken
+    assert len(spark.createDataFrame([(said,)], "t string").select(text.sentences(F.col("t"))).first()[0]) == spoken
+
+
+def test_openings_that_were_cut_short(spark):
+    for said, want in (("Well, I think, that ", None), ("aaaaaaaaaa bbbbbbbbbbb cc dd ", "aaaaaaaaaa bbbbbbbbbbb cc"), ("Hello there. How are you doing today my friend ", None)):
+        assert spark.createDataFrame([(said,)], "t string").select(text.opening(F.col("t"))).first()[0] == want
+
+
+def test_speech_and_openings_as_streams(spark, tmp_path):
+    rng = random.Random(3)
+    replies = {f"r{k}": cut(rng, "".join(rng.choices(PIECES, k=60)), 12) for k in range(12)}
+    rows = [(r, k, NOON, t, k == len(ts) - 1) for r, ts in replies.items() for k, t in enumerate(ts)]
+    rng.shuffle(rows)
+    schema = "request_id string, seq long, ts timestamp, token string, last boolean"
+    parts = [rows[0::3], rows[1::3] + rows[0:9:3], rows[2::3]]
+    found = collections.defaultdict(list)
+    for r in batches(spark, tmp_path / "speech", schema, parts, speech.speech_stream).orderBy("at").collect():
+        found[r.request_id].append((r.kind, r.fragment, r.token_seq))
+    assert found == {r: spoken_loop(ts) for r, ts in replies.items() if spoken_loop(ts)}
+    opened = {r.request_id: (r.token_seq, r.fragment) for r in batches(spark, tmp_path / "openings", schema, parts, speech.opening_fragments).collect()}
+    assert opened == {r: (k, f) for r, fs in found.items() for kind, f, k in fs[:1] if kind == "opening"} and opened
+
+
+def body_of(rng):
+    noise = ['data: {"type": oops\n\n', "event: ping\n\n", "data:\n\n", "data: [DONE]\n\n", 'id: 3\ndata: {"type":"token","content":"é—日本"}\ndata: {"type":"token"}\n\n', "\n\n", 'data:   {"type":"start","session_id":"s"}  \n\n']
+    return "".join(rng.choices(noise, k=rng.randrange(9))) + rng.choice(["", 'data: {"type":"lost"}', "\n"])
+
+
+def test_a_parser_gives_the_same_under_any_cut_of_the_bytes():
+    rng = random.Random(4)
+    for _ in range(3000):
+        body = body_of(rng)
+        chunks, fold, out = cut(rng, body.encode(), 9), wire.SseParser(), []
+        state = fold.begin()
+        for k, chunk in enumerate(chunks):
+            state, rows = fold.step(state, Row(seq=k, chunk=bytearray(chunk), last=k == len(chunks) - 1))
+            out += rows
+        lines = [(at, [x for x in frame.split("\n") if x.startswith("data:")]) for at, frame in enumerate(body.split("\n\n")[:-1])]
+        assert state is None and out == [(at, x[0][5:]) for at, x in lines if x]
+
+
+def test_bodies_as_a_stream(spark, tmp_path):
+    rng = random.Random(5)
+    bodies = {k: body_of(rng) for k in range(25)}
+    rows = []
+    for k, body in bodies.items():
+        chunks = cut(rng, body.encode(), 9)
+        rows += [(k, n, NOON, bytearray(c), n == len(chunks) - 1) for n, c in enumerate(chunks)]
+    rng.shuffle(rows)
+    schema = "k long, seq long, ts timestamp, chunk binary, last boolean"
+    got = batches(spark, tmp_path, schema, [rows[: len(rows) // 2], rows[len(rows) // 3 :]], lambda s: wire.sse_stream(s, "k"))
+    want = frames.sse_events(spark.createDataFrame(list(bodies.items()), "k long, body string"))
+    assert sorted(map(str, got.select("k", "at", "event").collect())) == sorted(map(str, want.select("k", F.col("at").cast("long"), "event").collect())) and got.count() > 20
+
+
+def test_what_a_client_makes_of_a_stream(spark):
+    def event(type, **given):
+        return tuple(given.get(c, type if c == "type" else None) for c in "type session_id model content reply detail hint".split())
+
+    said = {
+        1: [event("start", session_id="a"), event("token", content="He"), event("token", content=""), event("token", content="y"), event("done", session_id="b", reply="Hey!")],
+        2: [event("start", session_id="a"), event("token", content="x"), event("error", detail="down", hint="wait"), event("token", content="unread")],
+        3: [event("error"), event("error", detail="second")],
+        4: [event("token", content="cut ")],
+        5: [event("done", session_id="c"), event("other")],
+    }
+    rows = spark.createDataFrame([(k, at, e) for k, es in said.items() for at, e in enumerate(es)], f"k int, at long, event struct<{', '.join(c.replace(' ', ':') for c in frames.EVENT.split(', '))}>")
+    got = {r.k: (r.session_id, r.reply, r.error) for r in frames.client_replies(rows, "k").collect()}
+    assert got == {1: ("b", "Hey!", None), 2: ("a", "x", "down wait"), 3: (None, "", frames.FAILED), 4: (None, "cut ", None), 5: ("c", "", None)}
+
+
+REQUESTS = "request_id long, session_id string, model string"
+CHUNKS = "request_id long, seq long, token string, done boolean, detail string, hint string, eval_count long, eval_duration long, prompt_eval_count long, total_duration long"
+
+
+def model_chunks(rng, k):
+    n = rng.randrange(6)
+    rows = [(k, j, rng.choice(["He ", "", None, "é. "]), False, None, None, None, None, None, None) for j in range(n)]
+    end = [[(k, n, "", True, None, None, 3, 120_000_000, 7, 125_000_000)], [(k, n, None, False, "timed out", rng.choice([None, "wait"]), None, None, None, None)], []][k % 3]
+    return rows + end + [(k, n + 1, "late", False, None, None, None, None, None, None)] * (k % 5 == 0 and bool(end))
+
+
+def test_requests_in_any_order_give_the_batch_form_s_frames(spark, tmp_path):
+    rng = random.Random(6)
+    asked = [(k, f"s{k}", [None, "", "m"][k % 3]) for k in range(30)]
+    chunks = [c for k in range(30) for c in model_chunks(rng, k)]
+    requests, chunk_rows = spark.createDataFrame(asked, REQUESTS), spark.createDataFrame(chunks, CHUNKS)
+    rows = wire.request_rows(requests, chunk_rows, F.lit(NOON))
+    shuffled = [tuple(r) for r in rows.collect()]
+    rng.shuffle(shuffled)
+    late = [(-1, 5, NOON + dt.timedelta(days=1), *[None] * 11)]
+    found = batches(spark, tmp_path, rows.schema, [shuffled[:60], shuffled[60:] + shuffled[:20], late, late], wire.frame_stream)
+    want = frames.stream_frames(requests, chunk_rows)
+    assert sorted(map(str, found.collect())) == sorted(map(str, want.collect()))
+    ends = {r.request_id: (r.outcome, r.rolled_back) for r in wire.outcomes(found).collect()}
+    assert ends == {k: [("done", False), ("error", True), ("abandoned", False)][k % 3] for k in range(30)}
+
+
+class Sessions:
+    """One client's sessions as an ordered dictionary."""
+
+    def __init__(self, limit):
+        self.limit, self.kept, self.latest = limit, collections.OrderedDict(), None
+
+    def answer(self, number, kind, sid, profile, now):
+        for old in [s for s, v in self.kept.items() if now - v["updated"] > self.limit]:
+            del self.kept[old]
+        sid = sid or self.latest
+        session, made = None if kind == "create" else self.kept.get(sid), False
+        if session is None and kind in ("create", "ask"):
+            sid, made = hashlib.md5(str(number).encode()).hexdigest(), True
+            session = self.kept[sid] = {"profile": profile, "created": now, "updated": now, "access": now, "times": []}
+            self.latest = sid
+        if session is None:
+            return (number, kind, None, False, None, None, None, None, None)
+        if kind in ("create", "ask", "get"):
+            session["access"] = now
+        if kind in ("ask", "reply"):
+            session["times"].append(now)
+            session["updated"] = now
+            if kind == "ask" and profile is not None:
+                session["profile"] = profile
+        if kind == "fail" and session["times"]:
+            session["times"].pop()
+            session["updated"] = session["times"][-1] if session["times"] else session["created"]
+        if kind == "delete":
+            del self.kept[sid]
+        return (number, kind, sid, made, session["profile"], len(session["times"]), session["created"], session["updated"], session["access"])
+
+
+def test_live_store_against_ordered_dictionaries(spark, tmp_path):
+    rng = random.Random(7)
+    start, commands, now = int(NOON.timestamp()) * 1_000_000, [], 0
+    for number in range(600):
+        now += rng.choice([0, 60, 600, 1800]) * 1_000_000
+        kind = rng.choice(["ask", "ask", "get", "reply", "fail", "create", "delete"])
+        commands.append((rng.randrange(4), number, kind, rng.choice([None, None, None, "unknown", hashlib.md5(str(rng.randrange(number + 1)).encode()).hexdigest()]), rng.choice([None, f"p{number}"]), start + now))
+    clients = collections.defaultdict(lambda: Sessions(180 * 60_000_000))
+    want = {n: clients[c].answer(n, kind, sid, profile, us) for c, n, kind, sid, profile, us in commands}
+    schema = "client long, command_id long, kind string, session_id string, profile string, ts timestamp"
+    rows = [(*c[:5], dt.datetime.fromtimestamp(c[5] / 1e6)) for c in commands]
+    rows.append((9, 10_000, "get", None, None, NOON + dt.timedelta(days=60)))
+    mixed = [rows[:200], rows[200:420], rows[420:600], rows[600:]]
+    for part in mixed:
+        rng.shuffle(part)
+    found = batches(spark, tmp_path, schema, mixed, live_store.answers).collect()
+    got = {r.command_id: tuple(r)[1:] for r in found if r.command_id is not None}
+    assert got.pop(10_000)[2] is None and got == want
+    expired = [r.session_id for r in found if r.kind == "expired"]
+    made, deleted = {a[2] for a in want.values() if a[3]}, {a[2] for a in want.values() if a[1] == "delete" and a[2]}
+    assert len(expired) == len(set(expired)) and set(expired) == made - deleted
+
+
+def test_live_store_resolves_as_the_table_form(spark, tmp_path):
+    at = lambda m: NOON + dt.timedelta(minutes=m)
+    made = [(k, 100 + k, "create", None, f"p{k}", at(0)) for k in range(4)] + [(1, 200, "ask", None, None, at(100)), (2, 201, "get", None, None, at(100))]
+    asked = [(k, k, "ask", None, "new" if k == 3 else None, at(200)) for k in range(5)]
+    found = batches(spark, tmp_path, "client long, command_id long, kind string, session_id string, profile string, ts timestamp", [made + asked], live_store.answers).filter("command_id < 100")
+    ids = {k: hashlib.md5(str(100 + k).encode()).hexdigest() for k in range(4)}
+    stored = spark.createDataFrame([(ids[k], f"p{k}", at(0), at(100 if k == 1 else 0), at(100 if k in (1, 2) else 0)) for k in range(4)], "session_id string, profile string, created_at timestamp, updated_at timestamp, last_access timestamp")
+    requests = spark.createDataFrame([(k, ids.get(k), "new" if k == 3 else None) for k in range(5)], "request_id long, session_id string, profile string")
+    want = sorted(tuple(r) for r in store.resolve(requests, stored, F.lit(at(200))).collect())
+    assert sorted(tuple(r) for r in found.select("command_id", "session_id", "profile", "created").collect()) == want
+    assert [created for *_, created in want] == [True, False, True, True, True]
