@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from colloquy.functions import prompts, replies, requests, text
-from colloquy.operators import completion, sessions, store
+from colloquy.operators import completion, eviction, segments, sessions, store
 from colloquy.sources import frames
 from colloquy.streaming import folds, live_store, ordered, speech, wire
 
@@ -245,6 +245,53 @@ def turn_latencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("user_id", "session_no").agg(first("click"), first("view"), (F.max("us") - F.min("us")).alias("to_end"))
 
 
+@query(SESSIONIZED.format(gap="180 MINUTE") + "SELECT event_id, user_id, session_no::BIGINT AS session_no FROM numbered")
+def segmented_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events' sessions by segments of users, so that a user of most events is spread over tasks."""
+    return segments.sessionize(frames.events(spark, sf_dir), "user_id").select("event_id", "user_id", "session_no")
+
+
+STAGE_EVENT = "CASE event_type WHEN 'view' THEN 'listen' WHEN 'click' THEN 'submit' WHEN 'purchase' THEN 'token' WHEN 'signup' THEN CASE WHEN value > 50 THEN 'cancel' ELSE 'reply' END ELSE CASE WHEN value > 20 THEN 'fail' ELSE 'reply' END END"
+
+
+@query(f"""WITH e AS (SELECT user_id, event_id, {STAGE_EVENT} AS event FROM events), l AS (SELECT user_id, list(event ORDER BY event_id) AS es, list(event_id ORDER BY event_id) AS ids FROM e GROUP BY user_id),
+b AS (SELECT user_id, ids[i] AS event_id, es[i] AS event, list_reduce(list_prepend('idle', es[1:i - 1]), lambda s, e: CASE WHEN s IN ('idle', 'error') AND e = 'listen' THEN 'listening' WHEN s = 'listening' AND e = 'cancel' THEN 'idle' WHEN s = 'listening' AND e = 'submit' THEN 'thinking'
+WHEN s IN ('thinking', 'speaking') AND e = 'token' THEN 'speaking' WHEN s IN ('thinking', 'speaking') AND e = 'reply' THEN 'idle' WHEN s IN ('thinking', 'speaking') AND e = 'fail' THEN 'error' ELSE s END) AS before FROM (SELECT user_id, es, ids, unnest(range(1, len(es) + 1)) AS i FROM l))
+SELECT user_id, event_id, event, before, coalesce(lead(before) OVER (PARTITION BY user_id ORDER BY event_id), '') AS next_before,
+(before IN ('idle', 'error') AND event = 'listen') OR (before = 'listening' AND event IN ('cancel', 'submit')) OR (before IN ('thinking', 'speaking') AND event IN ('token', 'reply', 'fail')) AS allowed FROM b""")
+def stage_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's stage before each event, and whether the event is allowed in it."""
+    found = segments.stages(frames.events(spark, sf_dir), "user_id", "event_id", F.expr(STAGE_EVENT))
+    following = F.lead("before").over(W.partitionBy("user_id").orderBy("event_id"))
+    return found.select("user_id", "event_id", "event", "before", F.coalesce(following, F.lit("")).alias("next_before"), "allowed")
+
+
+MARKER = "CASE event_type WHEN 'signup' THEN 'start' WHEN 'view' THEN 'token' WHEN 'click' THEN CASE WHEN value > 20 THEN 'audio' ELSE 'queued' END WHEN 'purchase' THEN CASE WHEN value > 20 THEN 'reply' ELSE 'spoken' END END"
+
+
+@query(f"""WITH m AS (SELECT user_id, epoch_us(ts) AS us, event_id, {MARKER} AS marker FROM events), n AS (SELECT *, row_number() OVER (ORDER BY us, event_id) AS k FROM m WHERE marker IS NOT NULL),
+t AS (SELECT *, count(*) FILTER (marker = 'start') OVER (PARTITION BY user_id ORDER BY k) AS turn FROM n), s AS (SELECT user_id, turn, min(k) AS k FROM t WHERE turn > 0 GROUP BY ALL),
+tok AS (SELECT t.user_id, t.turn, min(t.k) AS k FROM t JOIN s USING (user_id, turn) WHERE marker = 'token' AND t.k > s.k GROUP BY ALL),
+que AS (SELECT t.user_id, t.turn, min(t.k) AS k FROM t JOIN tok USING (user_id, turn) WHERE marker = 'queued' AND t.k > tok.k GROUP BY ALL),
+aud AS (SELECT t.user_id, t.turn, min(t.k) AS k FROM t JOIN que USING (user_id, turn) WHERE marker = 'audio' AND t.k > que.k GROUP BY ALL),
+rep AS (SELECT t.user_id, t.turn, min(t.k) AS k FROM t JOIN s USING (user_id, turn) WHERE marker = 'reply' AND t.k > s.k GROUP BY ALL),
+spo AS (SELECT t.user_id, t.turn, min(t.k) AS k FROM t JOIN aud USING (user_id, turn) JOIN rep USING (user_id, turn) WHERE marker = 'spoken' AND t.k > aud.k AND t.k > rep.k GROUP BY ALL)
+SELECT s.user_id, s.turn, n0.us AS start, n1.us AS token, n2.us AS queued, n3.us AS audio, n4.us AS reply, n5.us AS spoken FROM s LEFT JOIN tok USING (user_id, turn) LEFT JOIN que USING (user_id, turn) LEFT JOIN aud USING (user_id, turn) LEFT JOIN rep USING (user_id, turn) LEFT JOIN spo USING (user_id, turn)
+JOIN n n0 ON n0.k = s.k LEFT JOIN n n1 ON n1.k = tok.k LEFT JOIN n n2 ON n2.k = que.k LEFT JOIN n n3 ON n3.k = aud.k LEFT JOIN n n4 ON n4.k = rep.k LEFT JOIN n n5 ON n5.k = spo.k""")
+def turn_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The markers of each user's turns in order: start, first token, first queued speech, first audio, full reply, all spoken."""
+    return segments.turn_markers(frames.events(spark, sf_dir), "user_id", "event_id", F.expr(MARKER))
+
+
+@query()
+def exact_evictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as commands to a store of 25 sessions, one a user: what each finds, makes and puts out."""
+    kind = F.when(F.col("event_type") == "view", "get").when(F.col("event_type") == "click", "ask").when(F.col("event_type") == "purchase", "add").when(F.col("event_type") == "signup", "create")
+    user = F.col("user_id").cast("string")
+    commands = frames.events(spark, sf_dir).select(F.col("event_id").alias("command_id"), "ts", kind.otherwise("delete").alias("kind"), user.alias("session_id"), user.alias("new_id"))
+    return eviction.replay(commands, 25)[0]
+
+
 # --- text ---------------------------------------------------------------------------------------
 
 
@@ -783,6 +830,14 @@ def live_store_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.filter("command_id is not null").select("command_id", "kind", "created", "session_id", "profile", "message_count", "updated_us")
 
 
+@query("""SELECT user_id, arg_max(event_type, event_id) AS event_type, max(event_id) AS event_id FROM events GROUP BY user_id""")
+def streamed_upserts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's last event, merged batch by batch into a table."""
+    path = f"{frames.shared_dir(spark)}/upserts-{uuid.uuid4().hex}"
+    folds.upserts(folds.event_stream(spark, sf_dir), path, f"{path}-checkpoint", "user_id", "event_id", "event_type")
+    return folds.upserted(spark, path, "user_id", "event_id", "event_type")
+
+
 @query()
 def streamed_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events through Structured Streaming: sessions that the watermark has closed."""

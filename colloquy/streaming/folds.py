@@ -32,6 +32,32 @@ def upsert_latest(rows: DataFrame, key: str, order: str, value: str) -> DataFram
     return rows.groupBy(key).agg(F.max_by(value, order).alias(value), F.max(order).alias(order))
 
 
+def upserts(stream: DataFrame, path: str, checkpoint: str, key: str, order: str, value: str) -> None:
+    """All of a stream's input that is there, merged by key into the table at path; `upserted` reads it.
+
+    A micro-batch writes its last value by key to a folder of its own, named by its number, in place of what a failed or repeated run of the
+    same batch left there: a batch that runs again changes nothing, and a stream that was killed goes on to the same table.
+    """
+
+    def merge(batch: DataFrame, number: int) -> None:
+        upsert_latest(batch, key, order, value).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def upserted(spark: SparkSession, path: str, key: str, order: str, value: str) -> DataFrame:
+    """The last value by key of what `upserts` has merged; of equal orders the latest batch's."""
+    rows = spark.read.option("basePath", path).parquet(f"{path}/batch=*")
+    last = F.struct(order, "batch")
+    return rows.groupBy(key).agg(F.max_by(value, last).alias(value), F.max(order).alias(order))
+
+
+def compacted(spark: SparkSession, path: str, to: str, key: str, order: str, value: str) -> DataFrame:
+    """The table written whole to another folder, as its batch 0, for streams that have run long."""
+    upserted(spark, path, key, order, value).write.mode("overwrite").parquet(f"{to}/batch=0")
+    return upserted(spark, to, key, order, value)
+
+
 def replay(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """All of a stream's input that is there, run through it to an in-memory table: for tests and examples."""
     checkpoint = f"{shared_dir(stream.sparkSession)}/{name}-{uuid.uuid4().hex}"
