@@ -9,13 +9,15 @@ from pyspark.sql import functions as F
 
 from colloquy.functions.replies import token_budget
 from colloquy.functions.text import not_blank
+from colloquy.settings import Settings
 
 # What is sent where a request says nothing, and the limits of requests.
-DEFAULT_MODEL, DEFAULT_TEMPERATURE, DEFAULT_TOKENS, CONTEXT = "small:1b", 0.7, 800, 4096
+DEFAULT_MODEL = Settings.default_model
 TASK_TEMPERATURE = {"quiz": 0.5, "evaluate": 0.2}
 TASK_TOKENS = {"explain": 700, "evaluate": 400}
 LIMITS = {"temperature": (0, 2), "max_tokens": (1, 4096), "num_questions": (1, 10), "num_options": (2, 6)}
 CHOICES = {"style": ("socratic", "direct", "exam_prep"), "difficulty": ("easy", "medium", "hard")}
+DEFAULTS = {"num_questions": 3, "num_options": 4, "difficulty": "medium", "level": "beginner", "language": "English", "style": "socratic"}
 #: Texts that must be there, by task, and numbers that a request may have beside temperature and max_tokens.
 TEXTS = {"chat": ("message",), "explain": ("topic",), "quiz": ("topic",), "evaluate": ("question", "student_answer")}
 
@@ -64,12 +66,13 @@ def task_tokens(task: str, given: Column, questions: Column | None = None) -> Co
     return given if task == "chat" else F.coalesce(F.nullif(given, F.lit(0)), F.lit(TASK_TOKENS[task]))
 
 
-def payload(model: Column, temperature: Column, max_tokens: Column, messages: Column, stream: bool = False, schema: Column | None = None) -> Column:
-    """The request's JSON: an empty model is the default one, while a temperature of 0 stays; `format` is there only with a schema."""
+def payload(model: Column, temperature: Column, max_tokens: Column, messages: Column, stream: bool = False, schema: Column | None = None, given: Settings | None = None) -> Column:
+    """The request's JSON: an empty model is the default one, while a temperature of 0 stays; `format` is there only with a schema. given: the defaults."""
+    given = given or Settings()
     options = F.struct(
-        F.coalesce(temperature, F.lit(DEFAULT_TEMPERATURE)).alias("temperature"), F.coalesce(max_tokens, F.lit(DEFAULT_TOKENS)).alias("num_predict"), F.lit(CONTEXT).alias("num_ctx")
+        F.coalesce(temperature, F.lit(given.temperature)).alias("temperature"), F.coalesce(max_tokens, F.lit(given.max_tokens)).alias("num_predict"), F.lit(given.num_ctx).alias("num_ctx")
     )
-    body = F.to_json(F.struct(F.coalesce(not_blank(model), F.lit(DEFAULT_MODEL)).alias("model"), messages.alias("messages"), F.lit(stream).alias("stream"), options.alias("options")))
+    body = F.to_json(F.struct(F.coalesce(not_blank(model), F.lit(given.default_model)).alias("model"), messages.alias("messages"), F.lit(stream).alias("stream"), options.alias("options")))
     if schema is None:
         return body
     return F.when(schema.isNull(), body).otherwise(F.concat(F.substring(body, F.lit(1), F.length(body) - 1), F.lit(',"format":'), schema, F.lit("}")))
@@ -79,15 +82,14 @@ def rejected(task: str, **given: Column) -> Column:
     """The first field of a request that its rules refuse, null if none does.
 
     given: the request's columns by name. Texts of the task must not be empty; numbers may be null or lie within
-    their limits; a quiz's numbers of questions and options, and words of a fixed choice, must be there.
+    their limits; words of a fixed choice may be null, which is their default. `validation` gives all violations of a body.
     """
     out = F.lit(None).cast("string")
     rules = [(name, F.coalesce(F.length(given[name]) == 0, F.lit(True)) if name in given else F.lit(True)) for name in TEXTS[task]]
     for name, (least, most) in LIMITS.items():
         if name in given:
-            missing = F.lit(name.startswith("num_"))
-            rules.append((name, F.coalesce(~given[name].between(least, most), missing)))
-    rules += [(name, ~F.coalesce(given[name].isin(*words), F.lit(False))) for name, words in CHOICES.items() if name in given]
+            rules.append((name, F.coalesce(~given[name].between(least, most), F.lit(False))))
+    rules += [(name, F.coalesce(~given[name].isin(*words), F.lit(False))) for name, words in CHOICES.items() if name in given]
     for name, refused in reversed(rules):
         out = F.when(refused, name).otherwise(out)
     return out

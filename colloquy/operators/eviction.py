@@ -9,7 +9,6 @@ and never more than there are ranges. States hold at most the capacity's session
 
 from __future__ import annotations
 
-import uuid
 from collections import OrderedDict
 
 import pandas as pd
@@ -18,7 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from colloquy.operators.sessions import CAPACITY, TTL_MINUTES
-from colloquy.sources.frames import shared_dir
+from colloquy.tables import staged
 
 HELD = "array<struct<session_id:string,created_us:bigint,updated_us:bigint>>"
 ANSWERED = "command_id long, session_id string, found boolean, created boolean, evicted array<string>, live long"
@@ -79,12 +78,6 @@ def _played(rows: pd.DataFrame, entry: pd.DataFrame, most: int, minutes: int) ->
     return held, [(r.command_id, *held.answer(r.kind, r.session_id, r.new_id, r.us)) for r in rows.itertuples()]
 
 
-def _cut(df: DataFrame, name: str) -> DataFrame:
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def replay(commands: DataFrame, most: int = CAPACITY, minutes: int = TTL_MINUTES, ranges: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(answers: ANSWERED, states: (range, state at its end)) of a log (command_id, ts, kind, session_id, new_id), in order of ts and then command_id.
 
@@ -94,12 +87,12 @@ def replay(commands: DataFrame, most: int = CAPACITY, minutes: int = TTL_MINUTES
     """
     log = commands.select("command_id", F.unix_micros("ts").alias("us"), "kind", "session_id", "new_id").dropna(subset=["command_id", "us", "kind"])
     dealt = log.repartitionByRange(ranges, "us", "command_id") if ranges else log.repartitionByRange("us", "command_id")
-    trace = _cut(dealt.withColumn("range", F.spark_partition_id()), "eviction-log")
+    trace = staged(dealt.withColumn("range", F.spark_partition_id()), "eviction-log")
     # Ranges without a command pass their entry on: only those that have some are numbered.
-    numbers = _cut(trace.select("range").distinct(), "eviction-ranges")
+    numbers = staged(trace.select("range").distinct(), "eviction-ranges")
     before = numbers.select("range", F.lag("range").over(W.orderBy("range")).alias("earlier")).filter("earlier is not null")
     none = F.array().cast(HELD)
-    entries = _cut(numbers.select("range", none.alias("state")), "eviction-entries")
+    entries = staged(numbers.select("range", none.alias("state")), "eviction-entries")
     exits = None
 
     def ended(_: tuple, rows: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
@@ -120,11 +113,11 @@ def replay(commands: DataFrame, most: int = CAPACITY, minutes: int = TTL_MINUTES
         again = trace.join(F.broadcast(changed.select("range")), "range", "left_semi")
         new = by_range(again, changed).applyInPandas(ended, f"range int, state {HELD}")
         kept = exits.join(F.broadcast(changed.select("range")), "range", "left_anti") if exits is not None else None
-        exits = _cut(new if kept is None else new.union(kept.select(new.columns)), "eviction-exits")
+        exits = staged(new if kept is None else new.union(kept.select(new.columns)), "eviction-exits")
         at_entry = before.join(exits.select(F.col("range").alias("earlier"), F.col("state").alias("given")), "earlier").select("range", "given")
         both = entries.join(at_entry, "range", "left").select("range", "state", F.coalesce("given", none).alias("given"))
-        changed = _cut(both.filter("state <> given").select("range", F.col("given").alias("state")), "eviction-changed")
+        changed = staged(both.filter("state <> given").select("range", F.col("given").alias("state")), "eviction-changed")
         if changed.isEmpty():
             break
-        entries = _cut(both.select("range", F.col("given").alias("state")), "eviction-entries")
+        entries = staged(both.select("range", F.col("given").alias("state")), "eviction-entries")
     return by_range(trace, entries).applyInPandas(answered, ANSWERED), exits

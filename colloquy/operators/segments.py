@@ -7,15 +7,13 @@ summary of each segment of the keys that span ranges, fewer than twice as many a
 
 from __future__ import annotations
 
-import uuid
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from colloquy.operators.sessions import TTL_MINUTES
-from colloquy.sources.frames import shared_dir
+from colloquy.tables import staged
 
 # The stages of a turn, the first one at the beginning, and the stage after an event where it is allowed.
 STAGES = ("idle", "listening", "thinking", "speaking", "error")
@@ -28,10 +26,7 @@ NEXT = {
 def ranged(rows: DataFrame, *order: str, ranges: int | None = None) -> DataFrame:
     """rows in ranges of the order, numbered by `part`, as a table in the shared folder."""
     dealt = rows.repartitionByRange(ranges, *order) if ranges else rows.repartitionByRange(*order)
-    path = f"{shared_dir(rows.sparkSession)}/ranges-{uuid.uuid4().hex}"
-    numbered = dealt.withColumn("part", F.spark_partition_id())
-    numbered.write.parquet(path)
-    return rows.sparkSession.read.schema(numbered.schema).parquet(path)
+    return staged(dealt.withColumn("part", F.spark_partition_id()), "ranges")
 
 
 def spanning(rows: DataFrame) -> DataFrame:

@@ -7,10 +7,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from colloquy.functions.text import preview, strip
+from colloquy.settings import Settings, settings
 
-TTL_MINUTES = 180
-HISTORY = 20
-CAPACITY = 500
+TTL_MINUTES, CAPACITY = Settings.session_ttl_minutes, Settings.max_sessions
 
 
 def summaries(messages: DataFrame) -> DataFrame:
@@ -20,7 +19,7 @@ def summaries(messages: DataFrame) -> DataFrame:
 
 
 def transcripts(messages: DataFrame) -> DataFrame:
-    """(session_id, messages) in order. A session's messages are bounded by its own length."""
+    """(session_id, messages) in order, one row a session: for sessions that fit in a row. `transcript_parts` bounds the rows of any session."""
     of = F.sort_array(F.collect_list(F.struct("turn", "role", "content")))
     return messages.groupBy("session_id").agg(F.transform(of, lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"))).alias("messages"))
 
@@ -32,8 +31,9 @@ def transcript_parts(messages: DataFrame, turns: int = 500) -> DataFrame:
     return cut.groupBy("session_id", "part").agg(F.transform(of, lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"))).alias("messages"))
 
 
-def history(messages: DataFrame, last: int = HISTORY) -> DataFrame:
-    """The last messages of every session; all of them if `last` isn't positive."""
+def history(messages: DataFrame, last: int | None = None) -> DataFrame:
+    """The last messages of every session, as many as the settings say where `last` isn't given; all of them if it isn't positive."""
+    last = settings(messages.sparkSession).max_history_messages if last is None else last
     if last <= 0:
         return messages
     place = F.row_number().over(W.partitionBy("session_id").orderBy(F.desc("turn")))
@@ -58,9 +58,9 @@ def sessionize(activity: DataFrame, key: str, seconds: float = TTL_MINUTES * 60,
     return rows.withColumn("new", new).withColumn("session_no", F.sum("new").over(of)).select("row.*", "session_no")
 
 
-def within_capacity(accessed: DataFrame, key: str, most: int = CAPACITY) -> DataFrame:
+def within_capacity(accessed: DataFrame, key: str, most: int | None = None) -> DataFrame:
     """The sessions kept by least-recently-used eviction, if none expires or is deleted meanwhile: a top-k, not a global sort."""
-    return accessed.orderBy(F.desc("updated_at"), key).limit(most)
+    return accessed.orderBy(F.desc("updated_at"), key).limit(settings(accessed.sparkSession).max_sessions if most is None else most)
 
 
 def delete(stored: DataFrame, commands: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -1,7 +1,8 @@
 """The session store as tables: rows (session_id, profile, created_at, updated_at, last_access), and commands on them.
 
 Each operator takes the store and returns it changed, or rows of answers. `now` is a column, so that a run is
-the same when it is repeated. Activity decides about expiry; a lookup refreshes only the access.
+the same when it is repeated. Activity decides about expiry; a lookup refreshes only the access. Limits that aren't given are the session's
+settings. Other columns of a store are kept by `prune`, `trim`, `lookup` and `append`, whatever they are called.
 """
 
 from __future__ import annotations
@@ -10,20 +11,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.functions.text import preview
-from colloquy.operators.sessions import CAPACITY, TTL_MINUTES, is_expired
+from colloquy.operators.sessions import is_expired
+from colloquy.settings import settings
+from colloquy.tables import fresh
 
 
-def prune(stored: DataFrame, now: Column, minutes: int = TTL_MINUTES) -> DataFrame:
-    """The sessions that haven't expired."""
-    return stored.filter(~is_expired(F.col("updated_at"), now, minutes))
+def prune(stored: DataFrame, now: Column, minutes: int | None = None) -> DataFrame:
+    """The sessions that haven't expired; a null activity never does."""
+    limit = settings(stored.sparkSession).session_ttl_minutes if minutes is None else minutes
+    return stored.filter(F.coalesce(~is_expired(F.col("updated_at"), now, limit), F.lit(True)))
 
 
-def trim(stored: DataFrame, most: int = CAPACITY) -> DataFrame:
-    """The most recently accessed sessions: a top-k, not a global sort."""
-    return stored.orderBy(F.desc("last_access"), F.desc("updated_at"), "session_id").limit(most)
+def trim(stored: DataFrame, most: int | None = None) -> DataFrame:
+    """The most recently accessed sessions: a top-k, not a global sort. `eviction.replay` is exact where sessions expire or are deleted meanwhile."""
+    kept = settings(stored.sparkSession).max_sessions if most is None else most
+    return stored.orderBy(F.desc("last_access"), F.desc("updated_at"), "session_id").limit(kept)
 
 
-def create(stored: DataFrame, new: DataFrame, now: Column, most: int = CAPACITY) -> DataFrame:
+def create(stored: DataFrame, new: DataFrame, now: Column, most: int | None = None) -> DataFrame:
     """The store after sessions of rows (session_id, profile) are created: what has expired goes, then the least recently accessed beyond `most`."""
     made = new.select("session_id", "profile", *(now.cast("timestamp").alias(c) for c in ("created_at", "updated_at", "last_access")))
     return trim(prune(stored, now).select(*made.columns).unionByName(made), most)
@@ -37,8 +42,9 @@ def lookup(stored: DataFrame, ids: DataFrame, now: Column) -> DataFrame:
 
 def append(stored: DataFrame, messages: DataFrame) -> DataFrame:
     """The store after messages (session_id, created_at): a session was last active at its newest one. Accesses don't change."""
-    newest = messages.groupBy("session_id").agg(F.max("created_at").alias("newest"))
-    return stored.join(newest, "session_id", "left").withColumn("updated_at", F.greatest("updated_at", "newest")).drop("newest")
+    (newest,) = fresh(stored, "newest")
+    found = messages.groupBy("session_id").agg(F.max("created_at").alias(newest))
+    return stored.join(found, "session_id", "left").withColumn("updated_at", F.greatest("updated_at", newest)).select(*stored.columns)
 
 
 def roll_back(messages: DataFrame, sessions: DataFrame) -> DataFrame:
@@ -50,7 +56,7 @@ def roll_back(messages: DataFrame, sessions: DataFrame) -> DataFrame:
 def last_activity(stored: DataFrame, messages: DataFrame) -> DataFrame:
     """Rows (session_id, updated_at): the last message's time, or the session's own where it has none."""
     newest = messages.groupBy("session_id").agg(F.max_by("created_at", "turn").alias("newest"))
-    return stored.join(newest, "session_id", "left").select("session_id", F.coalesce("newest", "created_at").alias("updated_at"))
+    return stored.select("session_id", "created_at").join(newest, "session_id", "left").select("session_id", F.coalesce("newest", "created_at").alias("updated_at"))
 
 
 def listed(stored: DataFrame, messages: DataFrame, now: Column) -> DataFrame:
@@ -60,7 +66,7 @@ def listed(stored: DataFrame, messages: DataFrame, now: Column) -> DataFrame:
     """
     said = F.when(F.col("role") == "user", F.col("turn"))
     of = messages.groupBy("session_id").agg(F.count("*").alias("message_count"), preview(F.min_by("content", said)).alias("preview"), F.max(said).isNotNull().alias("spoken"))
-    rows = prune(stored, now).join(of, "session_id", "left")
+    rows = prune(stored, now).select("session_id", "profile", "created_at", "updated_at", "last_access").join(of, "session_id", "left")
     return rows.orderBy(F.desc("updated_at"), "last_access", "session_id").select(
         "session_id", "profile", F.coalesce("message_count", F.lit(0)).cast("long").alias("message_count"), "created_at", "updated_at", F.when(F.col("spoken"), F.col("preview")).alias("preview")
     )

@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from colloquy.functions import prompts, replies, requests, text
+from colloquy.functions import prompts, replies, requests, text, validation
 from colloquy.operators import completion, eviction, segments, sessions, store
 from colloquy.sources import frames
 from colloquy.streaming import folds, live_store, ordered, speech, wire
+from colloquy.tables import shared_dir, staged
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -223,12 +224,13 @@ def stage_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sessions.stage_changes(frames.events(spark, sf_dir), "user_id", "event_id", stage)
 
 
-@query("""SELECT conv_id::VARCHAR AS session_id, CASE WHEN role = 'system' THEN 'system' ELSE role END AS role, text AS message, 400 + turn AS max_tokens FROM conversations""")
+@query("""SELECT conv_id::VARCHAR AS session_id, text AS message, 'Biology' AS subject, CASE WHEN turn % 2 = 0 THEN role END AS student_name, 'French' AS language FROM conversations""")
 def mapped_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A client's messages as requests: its names and its roles mapped."""
+    """A client's messages as requests: its names mapped, within the profile too."""
     rows = frames.messages(spark, sf_dir)
-    role = F.when(F.col("role") == "assistant", "tutor").otherwise(F.col("role"))
-    return frames.client_requests(rows.select(F.col("session_id").cast("string").alias("sessionId"), role.alias("role"), F.col("content").alias("message"), (F.col("turn") + 400).alias("maxTokens")))
+    profile = F.struct(F.lit("Biology").alias("subject"), F.when(F.col("turn") % 2 == 0, F.col("role")).alias("studentName"), F.lit("French").alias("language"))
+    asked = rows.select(F.col("session_id").cast("string").alias("sessionId"), F.col("content").alias("message"), profile.alias("profile"))
+    return frames.client_requests(asked).select("session_id", "message", "profile.subject", "profile.student_name", "profile.language")
 
 
 @query("""SELECT user_id, props, min(event_id) AS event_id FROM events GROUP BY user_id, props""")
@@ -626,13 +628,6 @@ def task_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- completions --------------------------------------------------------------------------------
 
 
-def _cut(df: DataFrame, name: str) -> DataFrame:
-    """Cuts the lineage, so that a completer isn't called again for the same request."""
-    path = f"{frames.shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 WORDS = r"len(regexp_extract_all({}, '[^\x20\x09-\x0D]+'))"
 CHAT_SQL = f"""WITH h AS (SELECT conv_id, turn, text FROM conversations WHERE role <> 'system' QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 20),
 g AS (SELECT conv_id, arg_max(text, turn) AS q, sum({WORDS.format("text")})::BIGINT AS words FROM h GROUP BY conv_id),
@@ -650,7 +645,7 @@ def chat_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     system, style = _system(F.col("session_id"))
     question = F.try_element_at("messages", F.lit(-1))["content"]
     asked = rows.select(F.col("session_id").alias("request_id"), question.alias("question"), style.alias("style"), prompts.chat_messages(F.col("messages"), system).alias("messages"))
-    return completion.chat(asked, _cut).select("request_id", "reply", "model", "asked_again", "used_retry", "usage.*")
+    return completion.chat(asked, staged).select("request_id", "reply", "model", "asked_again", "used_retry", "usage.*")
 
 
 def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -659,36 +654,69 @@ def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.concat_ws("-", "session_id", "turn").alias("request_id"), "turn", F.col("content").alias("topic"))
 
 
-def _first_line(prefix: str) -> str:
-    return f"regexp_extract('{prefix}' || text, '^[^\\n]*')"
+def _asked(template: str, *values: str) -> str:
+    """SQL of the user's message of a prompt."""
+    return _filled(template, *values)
+
 
+ASKED_EXPLAIN = _asked(prompts.EXPLAIN_USER, "text", "'beginner'")
+ASKED_QUIZ = _asked(prompts.QUIZ_USER, "text", "(turn % 10 + 1)", "'medium'", "4")
+ASKED_GRADE = "'Question: ' || text || chr(10) || 'Student answer: an answer' || chr(10) || 'Grade the student answer.'"
 
-@query(f"""SELECT conv_id || '-' || turn AS request_id, true AS ok, {_first_line("Explain: ")} AS summary, 3::BIGINT AS key_points, {_first_line("Explain: ")} || ' 2' AS second_point, {_first_line("Explain: ")} AS check_question FROM conversations WHERE role = 'user'""")
+
+@query(f"""SELECT conv_id || '-' || turn AS request_id, true AS ok, md5({ASKED_EXPLAIN}) AS summary, 3::BIGINT AS key_points, md5({ASKED_EXPLAIN} || ' 2') AS second_point, md5({ASKED_EXPLAIN}) AS check_question, 'small:1b' AS model,
+{WORDS.format("(" + ASKED_EXPLAIN + ")")} + {WORDS.format("(" + _filled(prompts.EXPLAIN_SYSTEM, "'beginner'", "'English'") + ")")} AS prompt_tokens FROM conversations WHERE role = 'user'""")
 def explained_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Explanations of every user's message, from payload to parsed reply."""
+    """Explanations of every user's message, from payload to parsed reply, with model and usage."""
     asked = _questions(spark, sf_dir)
     bodies = completion.task_payloads(asked, "explain", prompts.explain_messages(F.col("topic"), F.lit("beginner"), F.lit("English")))
-    found = completion.explanations(_cut(completion.complete(bodies), "explained"))
-    return found.select("request_id", "ok", "summary", F.size("key_points").cast("long").alias("key_points"), F.try_element_at("key_points", F.lit(2)).alias("second_point"), "check_question")
+    found = completion.explanations(staged(completion.complete(bodies), "explained"))
+    return found.select("request_id", "ok", F.md5("summary").alias("summary"), F.size("key_points").cast("long").alias("key_points"), F.md5(F.try_element_at("key_points", F.lit(2))).alias("second_point"), F.md5("check_question").alias("check_question"), "model", "usage.prompt_tokens")
 
 
-@query(f"""SELECT conv_id || '-' || turn AS request_id, true AS ok, turn % 10 + 1 AS questions, 4::BIGINT AS options, true AS in_range, md5({_first_line("Topic: ")}) AS first_question FROM conversations WHERE role = 'user'""")
+@query(f"""SELECT conv_id || '-' || turn AS request_id, true AS ok, turn % 10 + 1 AS questions, 4::BIGINT AS options, true AS in_range, md5({ASKED_QUIZ}) AS first_question, 'small:1b' AS model, 25.0::DOUBLE AS tokens_per_second FROM conversations WHERE role = 'user'""")
 def asked_quizzes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quizzes about every user's message, of as many questions and options as were asked for."""
     asked, n = _questions(spark, sf_dir), F.col("turn") % 10 + 1
     bodies = completion.task_payloads(asked, "quiz", prompts.quiz_messages(F.col("topic"), n, F.lit(4), F.lit("medium"), F.lit("beginner")), n, F.lit(4))
-    found = completion.quizzes(_cut(completion.complete(bodies), "quizzes"))
+    found = completion.quizzes(staged(completion.complete(bodies), "quizzes"))
     sizes = F.transform("questions", lambda q: F.size(q["options"]))
     in_range = F.forall("questions", lambda q: q["answer_index"].between(0, F.size(q["options"]) - 1))
-    return found.select("request_id", "ok", F.size("questions").cast("long").alias("questions"), F.array_max(sizes).cast("long").alias("options"), in_range.alias("in_range"), F.md5(F.try_element_at("questions", F.lit(1))["question"]).alias("first_question"))
+    return found.select("request_id", "ok", F.size("questions").cast("long").alias("questions"), F.array_max(sizes).cast("long").alias("options"), in_range.alias("in_range"), F.md5(F.try_element_at("questions", F.lit(1))["question"]).alias("first_question"), "model", "usage.tokens_per_second")
 
 
-@query(f"""SELECT conv_id || '-' || turn AS request_id, true AS ok, 'correct' AS verdict, 85::BIGINT AS score, {_first_line("Question: ")} AS feedback FROM conversations WHERE role = 'user'""")
+@query(f"""SELECT conv_id || '-' || turn AS request_id, true AS ok, 'correct' AS verdict, 85::BIGINT AS score, md5({ASKED_GRADE}) AS feedback, 'small:1b' AS model, 1::BIGINT AS load_duration_ms FROM conversations WHERE role = 'user'""")
 def graded_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Grades of an answer to every user's message."""
     bodies = completion.task_payloads(_questions(spark, sf_dir), "evaluate", prompts.grade_messages(F.col("topic"), F.lit("an answer"), F.lit(None).cast("string"), F.lit("beginner")))
-    found = completion.grades(_cut(completion.complete(bodies), "grades"))
-    return found.select("request_id", "ok", "verdict", F.col("score").cast("long").alias("score"), "feedback")
+    found = completion.grades(staged(completion.complete(bodies), "grades"))
+    return found.select("request_id", "ok", "verdict", F.col("score").cast("long").alias("score"), F.md5("feedback").alias("feedback"), "model", "usage.load_duration_ms")
+
+
+BODIES = """WITH b AS (SELECT conv_id, turn, text, role, (conv_id * 7 + turn) % 11 AS k FROM conversations)
+"""
+
+
+@query(BODIES + """SELECT conv_id AS session_id, turn, array_to_string(list_filter(CASE WHEN k = 10 THEN ['body json'] ELSE [CASE WHEN k = 0 THEN 'topic missing' WHEN k = 1 THEN 'topic type' WHEN length(text) = 0 THEN 'topic too_short' END, CASE WHEN turn < 1 THEN 'num_questions too_small' WHEN turn > 10 THEN 'num_questions too_large' END,
+CASE WHEN k = 2 THEN 'num_options type' END, CASE WHEN k = 3 THEN 'difficulty not_a_choice' WHEN k = 4 THEN 'difficulty type' END, CASE WHEN k = 5 THEN 'temperature too_large' END, CASE WHEN k = 6 THEN 'max_tokens type' END] END, lambda x: x IS NOT NULL), ',') AS quiz,
+array_to_string(list_filter(CASE WHEN k = 10 THEN ['body json'] ELSE ['message missing', CASE WHEN k = 7 THEN 'profile type' WHEN k = 8 THEN 'profile.style not_a_choice' END, CASE WHEN k = 8 THEN 'profile.language type' END, CASE WHEN k = 5 THEN 'temperature too_large' END, CASE WHEN k = 6 THEN 'max_tokens type' END] END, lambda x: x IS NOT NULL), ',') AS chat,
+CASE WHEN k <> 10 THEN CASE WHEN k = 2 THEN 4 ELSE 4 - (k = 9)::INT END END AS options, CASE WHEN k <> 10 THEN CASE WHEN k = 3 THEN 'none' ELSE 'medium' END END AS difficulty FROM b""")
+def request_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rules that bodies made of the messages break, as requests for quizzes and as chats, and their defaults."""
+    k = (F.col("session_id") * 7 + F.col("turn")) % 11
+    at = lambda n, json: F.when(k == n, F.lit(json))
+    fields = [
+        F.when(k == 0, None).when(k == 1, F.lit('"topic":5')).otherwise(F.regexp_replace(F.to_json(F.struct(F.col("content").alias("topic"))), r"^\{|\}$", "")),
+        F.concat(F.lit('"num_questions":"'), F.col("turn").cast("string"), F.lit('"')), at(2, '"num_options":2.5'), at(9, '"num_options":3.0'), at(3, '"difficulty":"none"'), at(4, '"difficulty":null'),
+        at(5, '"temperature":2.01'), at(6, '"max_tokens":"many"'), at(7, '"profile":[]'), at(8, '"profile":{"style":"loud","language":3,"level":null}'), F.lit('"unknown":{}'),
+    ]
+    body = F.concat(F.lit("{"), F.array_join(F.array_compact(F.array(*fields)), ","), F.when(k == 10, ",").otherwise("}"))
+    rows = frames.messages(spark, sf_dir).select("session_id", "turn", body.alias("body"))
+    quiz = validation.validated(rows, "quiz").withColumnsRenamed({"violations": "quiz", "request": "asked"})
+    both = validation.validated(quiz, "chat")
+    said = lambda c: F.array_join(F.transform(c, lambda x: F.concat(x["place"], F.lit(" "), x["kind"])), ",").alias(c)
+    real = k != 10
+    return both.withColumnRenamed("violations", "chat").select("session_id", "turn", said("quiz"), said("chat"), F.when(real, F.col("asked.num_options")).alias("options"), F.when(real, F.col("asked.difficulty")).alias("difficulty"))
 
 
 @query("""SELECT conv_id || '-' || turn AS request_id, (CASE WHEN turn % 3 = 0 THEN 680 WHEN turn % 3 = 1 THEN 700 ELSE 400 END)::BIGINT AS num_predict, (CASE WHEN turn % 3 = 0 THEN 0.5 WHEN turn % 3 = 1 THEN 0.7 ELSE 0.2 END)::DOUBLE AS temperature,
@@ -833,7 +861,7 @@ def live_store_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT user_id, arg_max(event_type, event_id) AS event_type, max(event_id) AS event_id FROM events GROUP BY user_id""")
 def streamed_upserts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each user's last event, merged batch by batch into a table."""
-    path = f"{frames.shared_dir(spark)}/upserts-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/upserts-{uuid.uuid4().hex}"
     folds.upserts(folds.event_stream(spark, sf_dir), path, f"{path}-checkpoint", "user_id", "event_id", "event_type")
     return folds.upserted(spark, path, "user_id", "event_id", "event_type")
 

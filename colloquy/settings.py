@@ -24,7 +24,7 @@ class Settings:
     @property
     def origins(self) -> list[str]:
         """The listed origins without blanks; * is one by itself."""
-        return ["*"] if self.cors_origins.strip() == "*" else [x.strip() for x in self.cors_origins.split(",") if x.strip()]
+        return ["*"] if self.cors_origins.strip() == "*" else [x for x in map(str.strip, self.cors_origins.split(",")) if x]
 
 
 def settings(spark: SparkSession) -> Settings:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, StructField, StructType
 
 from colloquy.functions.replies import is_json, usage
 from colloquy.functions.requests import DEFAULT_MODEL
@@ -22,19 +22,6 @@ AFTER = 2**62
 FAILED = "The service failed in the middle of the answer."
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or on a local master, where that is unset, a temporary one."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return context.getCheckpointDir().rstrip("/")
-
-
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows (session_id, turn, role, content) of the conversations."""
     table = spark.read.parquet(f"{sf_dir}/conversations.parquet")
@@ -54,11 +41,20 @@ def ndjson_chunks(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     return sure.filter("good").drop("good"), sure.filter("not good").drop("good", "chunk")
 
 
+def _snake(name: str) -> str:
+    return "".join(f"_{x.lower()}" if x.isupper() else x for x in name)
+
+
+def _snaked(kind: DataType) -> DataType:
+    """A type with the names of its fields in snake case, at any depth."""
+    if isinstance(kind, StructType):
+        return StructType([StructField(_snake(f.name), _snaked(f.dataType), f.nullable) for f in kind.fields])
+    return ArrayType(_snaked(kind.elementType), kind.containsNull) if isinstance(kind, ArrayType) else kind
+
+
 def client_requests(rows: DataFrame) -> DataFrame:
-    """A client's rows with its camel-case columns in snake case, as requests have them, and a tutor's role as the assistant's."""
-    named = {c: "".join(f"_{x.lower()}" if x.isupper() else x for x in c) for c in rows.columns}
-    out = rows.select(*(F.col(f"`{c}`").alias(n) for c, n in named.items()))
-    return out.withColumn("role", F.when(F.col("role") == "tutor", "assistant").otherwise(F.col("role"))) if "role" in out.columns else out
+    """A client's rows with all camel-case names in snake case, as requests have them, those within a profile too."""
+    return rows.select(*(F.col(f"`{f.name}`").cast(_snaked(f.dataType)).alias(_snake(f.name)) for f in rows.schema.fields))
 
 
 def sse(payload: Column) -> Column:

@@ -7,8 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.sources.frames import shared_dir
 from colloquy.streaming.ordered import run
+from colloquy.tables import shared_dir
 
 
 def closed_sessions(activity: DataFrame, key: str, gap: str = "180 minutes", late: str = "10 minutes") -> DataFrame:

@@ -16,6 +16,7 @@ from colloquy.operators import completion, sessions, store
 from colloquy.plans import catalog
 from colloquy.sources import frames
 from colloquy.streaming import folds
+from colloquy.tables import shared_dir
 
 TABLES = "region nation customer supplier part orders lineitem events documents pages conversations".split()
 
@@ -84,8 +85,9 @@ def test_stage_changes_and_client_requests(spark):
     rows = spark.createDataFrame([("u", 1, "idle"), ("u", 2, "listening"), ("u", 3, None), ("u", 4, "listening"), ("u", 5, "error"), ("v", 1, "thinking")], "k string, at int, s string")
     found = sessions.stage_changes(rows, "k", "at", F.col("s")).orderBy("k", "at").collect()
     assert [tuple(r) for r in found] == [("u", 2, "idle", "listening"), ("u", 5, "listening", "error"), ("v", 1, "idle", "thinking")]
-    mapped = frames.client_requests(spark.createDataFrame([("a", "tutor", 1), ("b", "user", None)], "sessionId string, role string, maxTokens int"))
-    assert mapped.columns == ["session_id", "role", "max_tokens"] and [tuple(r) for r in mapped.collect()] == [("a", "assistant", 1), ("b", "user", None)]
+    client = spark.createDataFrame([("a", (1, [("x",)]), 1), ("b", None, None)], "sessionId string, profile struct<studentName: int, `pastNames`: array<struct<firstName: string>>>, maxTokens int")
+    mapped = frames.client_requests(client)
+    assert mapped.columns == ["session_id", "profile", "max_tokens"] and mapped.select("profile.student_name", "profile.past_names.first_name").collect() == [(1, ["x"]), (None, None)]
 
 
 def test_transcript_parts(spark):
@@ -168,7 +170,8 @@ def test_payloads_and_rules(spark):
     rows = [("hi", 0.0, 1, None), ("", 0.0, 1, "message"), (None, 0.0, 1, "message"), ("hi", 2.1, 1, "temperature"), ("hi", None, 0, "max_tokens"), ("hi", None, 4097, "max_tokens"), ("hi", None, None, None)]
     found = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "k int, m string, t double, n int, want string").orderBy("k")
     assert [r[0] == r[1] for r in found.select(requests.rejected("chat", message=F.col("m"), temperature=F.col("t"), max_tokens=F.col("n")), "want").collect()] == [True] * len(rows)
-    assert spark.range(1).select(requests.rejected("quiz", topic=F.lit("t"), num_questions=none.cast("int"), num_options=F.lit(4))).first()[0] == "num_questions"
+    assert spark.range(1).select(requests.rejected("quiz", topic=F.lit("t"), num_questions=none.cast("int"), num_options=F.lit(4))).first()[0] is None
+    assert spark.range(1).select(requests.rejected("quiz", topic=F.lit("t"), num_questions=F.lit(0), difficulty=F.lit("x"))).first()[0] == "num_questions"
 
 
 def test_structured_replies(spark):
@@ -192,7 +195,7 @@ def test_streams_replay_as_batches(spark, sf_dir):
 def test_streamed_sessions_are_written_with_their_checkpoint(spark, sf_dir):
     found = catalog.QUERIES["streamed_sessions"](spark, sf_dir)
     files = found.inputFiles()
-    assert files and all(f.removeprefix("file:").lstrip("/").startswith(frames.shared_dir(spark).removeprefix("file:").lstrip("/")) for f in files)
+    assert files and all(f.removeprefix("file:").lstrip("/").startswith(shared_dir(spark).removeprefix("file:").lstrip("/")) for f in files)
     folder = files[0].rsplit("/", 1)[0].removeprefix("file:").replace("///", "/")
     assert os.path.isdir(f"{folder}-checkpoint/state")
     replayed = folds.replay(folds.closed_sessions(folds.event_stream(spark, sf_dir), "user_id"), "written_test")
