@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-import json
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, IntegerType, StringType
 
 from colloquy.functions.text import not_blank, strip
 
@@ -98,46 +94,37 @@ def error_of(status: Column, body: Column, model: Column) -> Column:
     )
 
 
-def salvage(content: str | None) -> str | None:
-    """The JSON of a reply as canonical text, or null: as it is, in a code fence, or from the first brace to the last."""
-    text = (content or "").strip()
-    if text.startswith("```"):
-        inner = text[3:].partition("```")[0].lstrip()
-        text = (inner[4:] if inner[:4].lower() == "json" else inner).strip()
-    for part in (text, text[max(0, text.find("{")) : text.rfind("}") + 1]):
-        try:
-            return json.dumps(json.loads(part), ensure_ascii=False, sort_keys=True)
-        except ValueError:
-            continue
-    return None
-
-
-@F.pandas_udf(StringType())
-def salvage_json(replies: pd.Series) -> pd.Series:
-    return pd.Series([salvage(r) for r in replies], dtype=object)
+def _alone(text: Column) -> Column:
+    """The VARIANT of a text that is one JSON value and nothing else, else null.
 
+    Spark's parsers let what follows a value pass. So the text is read as the first of two items of an array, the second one a digest of the text, which can't
+    stand in the text: whatever ends the array early, or adds to it, makes another array.
+    """
+    digest = F.md5(text)
+    pair = F.try_parse_json(F.concat(F.lit("["), text, F.lit(',"'), digest, F.lit('"]')))
+    alone = (F.try_variant_get(pair, "$[1]", "string") == digest) & F.try_variant_get(pair, "$[2]", "variant").isNull()
+    return F.when(alone, F.try_variant_get(pair, "$[0]", "variant"))
 
-@F.pandas_udf(IntegerType())
-def whole_score(replies: pd.Series) -> pd.Series:
-    """The score of a salvaged reply if JSON has it as a whole number (or true, false), else 0."""
-
-    def one(text: str | None) -> int:
-        value = json.loads(text) if text else None
-        value = value.get("score") if isinstance(value, dict) else None
-        return max(-(2**31), min(2**31 - 1, int(value))) if isinstance(value, int) else 0
 
-    return pd.Series([one(r) for r in replies], dtype="int32")
+def is_json(text: Column) -> Column:
+    """Whether a text is JSON and nothing else."""
+    return _alone(text).isNotNull()
 
 
-@F.pandas_udf(BooleanType())
-def is_json(lines: pd.Series) -> pd.Series:
-    """Whether a line is JSON and nothing else; Spark's parsers let what follows pass."""
+def salvage_json(content: Column) -> Column:
+    """The JSON of a reply, or null: the reply as it is, what is in its code fence, or what goes from the first brace to the last."""
+    text = strip(F.coalesce(content, F.lit("")))
+    inner = F.regexp_replace(F.substring_index(F.substring(text, 4, 2**31 - 1), "```", 1), r"(?U)^\s+", "")
+    bare = F.when(F.lower(F.substring(inner, 1, 4)) == "json", F.substring(inner, 5, 2**31 - 1)).otherwise(inner)
+    text = F.when(F.startswith(text, F.lit("```")), strip(bare)).otherwise(text)
+    braced = F.regexp_extract(text, r"(?s)\{.*\}", 0)
+    return F.when(is_json(text), text).when(is_json(braced), braced)
 
-    def one(text: str | None) -> bool:
-        try:
-            json.loads(text or "")
-        except ValueError:
-            return False
-        return True
 
-    return pd.Series([one(x) for x in lines], dtype=bool)
+def whole_score(text: Column) -> Column:
+    """The score of a salvaged reply if JSON has it as a whole number (or true, false), else 0."""
+    kind = F.schema_of_variant(F.try_variant_get(F.try_parse_json(text), "$.score", "variant"))
+    said = F.get_json_object(text, "$.score")
+    number = F.when(kind == "BOOLEAN", (said == "true").cast("int").cast("double")).when((kind != "STRING") & F.rlike(said, F.lit(r"^-?[0-9]+$")), said.try_cast("double"))
+    bounded = F.greatest(F.lit(-(2.0**31)), F.least(F.lit(2.0**31 - 1), number)).cast("int")
+    return F.when(number.isNotNull(), bounded).otherwise(F.lit(0))

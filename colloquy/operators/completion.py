@@ -112,7 +112,7 @@ def parsed(replies: DataFrame, schema: str) -> DataFrame:
     """
     types = {"model": "string"} | dict.fromkeys(COUNTS, "long")
     given = replies.select("request_id", "reply", *((F.col(c) if c in replies.columns else F.lit(None)).cast(t).alias(c) for c, t in types.items()))
-    read = given.withColumn("json", salvage_json("reply"))
+    read = given.withColumn("json", salvage_json(F.col("reply")))
     counts = F.struct(*COUNTS)
     return read.select("request_id", "json", F.from_json("json", schema).alias("out"), F.coalesce("model", F.lit("")).alias("model"), usage(counts).alias("usage"))
 
@@ -135,6 +135,6 @@ def quizzes(replies: DataFrame) -> DataFrame:
 
 
 def grades(replies: DataFrame) -> DataFrame:
-    o = parsed(replies, prompts.GRADE_REPLY).withColumn("score_int", whole_score("json"))
+    o = parsed(replies, prompts.GRADE_REPLY).withColumn("score_int", whole_score(F.col("json")))
     verdict, score = grade(F.col("out.is_anything_wrong"), F.col("out.verdict"), F.col("score_int"))
     return o.select("request_id", F.col("json").isNotNull().alias("ok"), verdict.alias("verdict"), score.alias("score"), F.coalesce("out.feedback", F.lit("")).alias("feedback"), F.coalesce("out.hint", F.lit("")).alias("hint"), "model", "usage")

@@ -36,9 +36,8 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ndjson_chunks(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows with the parsed chunk, rows whose line isn't JSON) of rows with `line`; blank lines are skipped. Batch or stream."""
     parsed = lines.filter(strip(F.col("line")) != "").withColumn("chunk", F.from_json("line", CHUNK, {"mode": "PERMISSIVE"}))
-    # The native parser lets what follows a value pass: it only spares the strict one lines that aren't JSON at all.
-    sure = parsed.withColumn("good", F.coalesce(F.when(F.try_parse_json("line").isNotNull(), is_json("line")), F.lit(False)) & F.col("chunk").isNotNull())
-    return sure.filter("good").drop("good"), sure.filter("not good").drop("good", "chunk")
+    good = is_json(F.col("line")) & F.col("chunk").isNotNull()
+    return parsed.filter(good), parsed.filter(~good).drop("chunk")
 
 
 def _snake(name: str) -> str:
@@ -65,7 +64,7 @@ def sse(payload: Column) -> Column:
 def data_events(rows: DataFrame) -> DataFrame:
     """rows with `data`, the text of a data line, as rows with `event` in its place: those that are JSON and not the end mark."""
     real = rows.withColumn("data", strip(F.col("data"))).filter("data is not null and data <> '' and data <> '[DONE]'").withColumn("event", F.from_json("data", EVENT))
-    return real.filter(is_json("data")).drop("data")
+    return real.filter(is_json(F.col("data"))).drop("data")
 
 
 def sse_events(bodies: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Edge rows of the functions, with expected values worked out by hand."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -91,12 +92,50 @@ def test_openings(spark):
     assert one(spark, text.opening(F.col("t")), [r[:1] for r in rows], "t string") == [r[1] for r in rows]
 
 
-def test_salvage():
-    assert json.loads(replies.salvage('{"a": 1}')) == {"a": 1}
-    for fenced in ('```json\n{"a":1}\n```', '```\n{"a":1}```', 'pre {"a":1} post', '{"a":1} xyz'):
-        assert json.loads(replies.salvage(fenced)) == {"a": 1}
-    assert replies.salvage("[1]") == "[1]"
-    assert [replies.salvage(x) for x in ("{'a':1}", "", None, "}{", "[1] }")] == [None] * 5
+def strict(text):
+    """A JSON value and nothing else, or an exception."""
+
+    def refuse(constant):
+        raise ValueError(constant)
+
+    return json.loads(text, parse_constant=refuse)
+
+
+def salvaged(content):
+    text = (content or "").strip()
+    if text.startswith("```"):
+        inner = text.split("```")[1].lstrip()
+        text = (inner[4:] if inner.lower().startswith("json") else inner).strip()
+    for part in (text, text[max(0, text.find("{")) : text.rfind("}") + 1]):
+        try:
+            return strict(part)
+        except ValueError:
+            continue
+    return None
+
+
+def test_json_is_told_as_a_strict_parser_does(spark):
+    rng = random.Random(1)
+    pieces = ['{"score":', '{"a":', "3", "3.0", "-7", "1e3", '"3"', "true", "null", "}", "]", "[", ",", '"x"', "```json\n", "```", "JSON", " ", "\n", "\t", "Sure: ", "{", "}{", "] [", '"', "\\u00e9", "\\n", "01", ".5", "NaN", "é", "99999999999", "123456789012345678901234567890", "'a'", "//"]
+    texts = ["".join(rng.choices(pieces, k=rng.randrange(7))) for _ in range(6000)]
+    texts += ['{"score":%s}' % x for x in pieces] + ['```json\n{"score":5}\n```', '```\n{"score":5}```', 'pre {"score":5} post', '{"score":5} xyz', "[1]", "{'a':1}", "", "}{", "[1] }", "1,2", '1] [', '{"score":5}]', '"a"],"b"', "\x01", '"\x01"', None, " 5 ", "{}{}", '{"score":{"score":5}}', "[" * 50 + "]" * 50]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
+    json_text = replies.salvage_json(F.col("t"))
+    rows = df.select("k", "t", replies.is_json(F.col("t")).alias("sure"), json_text.alias("json"), replies.whole_score(json_text).alias("score")).collect()
+    n = 0
+    for r in rows:
+        try:
+            strict(r.t or "")
+            sure = True
+        except ValueError:
+            sure = False
+        assert r.sure == sure, r
+        value = salvaged(r.t)
+        assert (None if r.json is None else strict(r.json)) == value, r
+        score = value.get("score") if isinstance(value, dict) else None
+        assert r.score == (max(-(2**31), min(2**31 - 1, int(score))) if isinstance(score, int) else 0), r
+        n += sure
+    assert n > 200
 
 
 def test_prompts(spark):
