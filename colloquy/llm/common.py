@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from colloquy.tables import fresh, shared_dir, staged
+
+__all__ = ["fresh", "shared_dir", "staged"]
+
 #: Words are runs of anything but the six ASCII blanks.
 BLANKS = r"[\x20\x09-\x0D]+"
 
@@ -19,38 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or on a local master, where that is unset, a temporary one."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return context.getCheckpointDir().rstrip("/")
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read again: cuts the lineage, survives lost executors, is computed once."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def fresh(df: DataFrame, *stems: str) -> list[str]:
-    """Column names like the stems that df doesn't have, in any case of letters."""
-    taken = {c.lower() for c in df.columns}
-    out = []
-    for name in stems:
-        while name.lower() in taken:
-            name += "_"
-        taken.add(name.lower())
-        out.append(name)
-    return out
-
-
 def lowered(text: Column) -> Column:
     """A-Z only, as the contracts say; other letters keep their case. Null counts as empty."""
     return F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -11,8 +11,10 @@ Texts are read once: what the labellers see and the features of it are one pass,
 columns; votes, training and scores are made of that. Votes and pattern counts cover all texts; only the scorer
 is fitted on a sample: SAMPLE_ROWS texts at most in expectation, chosen by a hash of the text, stratified by pattern.
 
-Defined results: a null text counts as empty; texts with fewer than MIN_WORDS words, empty ones too,
-get no votes and are scored like any other; equal texts get equal scores; an empty table gives an
+A measure of a short text is drawn towards a value at which nobody votes, as if it had KNOWN_WORDS words (or KNOWN_CHARS characters)
+more, so that a few words are judged by what is plain in them, and one odd word condemns nothing. That holds at any length, and hardly shows in long texts.
+
+Defined results: a null text counts as empty; texts without words get no votes and are scored like any other; equal texts get equal scores; an empty table gives an
 empty result; other columns are carried.
 """
 
@@ -33,7 +35,9 @@ SAMPLE_ROWS = 4_000
 DIMENSIONS = 1 << 12
 THRESHOLD = 0.3
 SURE_CHARS = 300
-MIN_WORDS = 20
+KNOWN_WORDS, KNOWN_CHARS = 8, 80
+#: A word so long, of ASCII, is no word of a language.
+UNBROKEN = 60
 EM_ROUNDS = 200
 PRIOR_SHARE = 0.02
 GOOD_SHARE = 0.8
@@ -46,13 +50,16 @@ ONE_MEASURE = {
     "exclaiming": ("exclaims", 0.10, None),
     "separators": ("lone_symbols", 0.10, None),
     "same_word_again": ("adjacent_repeats", 0.15, None),
-    "few_words": ("word_repeats", 0.60, 0.45),
+    "few_words": ("word_repeats", 0.60, 0.35),
     "same_lines": ("line_repeats", 0.40, None),
     "odd_endings": ("symbol_endings", 0.15, None),
     "odd_words": ("odd_words", 0.30, 0.05),
+    "unbroken": ("unbroken", 0.50, None),
 }
 LABELLERS = [*ONE_MEASURE, "sentences"]
-MEASURES = ["symbols", "capitals", "exclaims", "lone_symbols", "adjacent_repeats", "word_repeats", "line_repeats", "symbol_endings", "odd_words", "sentence_ends"]
+MEASURES = ["symbols", "capitals", "exclaims", "lone_symbols", "adjacent_repeats", "word_repeats", "line_repeats", "symbol_endings", "odd_words", "sentence_ends", "unbroken"]
+#: Where nobody votes, if it isn't 0.
+UNDECIDED = {"word_repeats": 0.5, "odd_words": 0.15}
 
 _PLAIN = re.compile(r"['\"(]?[^\W\d_]+(?:['’-][^\W\d_]+)*['\")]?[.,;:!?]?['\")]?")
 
@@ -73,36 +80,35 @@ def kinds_of(text: str) -> np.ndarray:
     return _classes()[np.minimum(code, (1 << 16) - 1)]
 
 
-def measures(text: str, kinds: np.ndarray) -> list[float] | None:
-    """What the labellers look at, each from 0 to 1, in the order of MEASURES; None for a short text."""
+def measures(text: str, kinds: np.ndarray) -> list[float]:
+    """What the labellers look at, each from 0 to 1, in the order of MEASURES."""
     words = text.split()
     n = len(words)
-    if n < MIN_WORDS:
-        return None
     count = np.bincount(kinds, minlength=16)
+    visible = len(kinds) - count[4:6].sum()
     distinct = set(words)
     times = Counter(words)
     lines = [x for x in text.split("\n") if x.strip()]
-    share = lambda holds: sum(times[w] for w in distinct if holds(w)) / n
+    total = lambda holds: sum(times[w] for w in distinct if holds(w))
+    drawn = lambda hits, measure="": (hits + KNOWN_WORDS * UNDECIDED.get(measure, 0.0)) / (n + KNOWN_WORDS)
     return [
-        count[9:].sum() / (len(kinds) - count[4:6].sum()),
-        count[2] / max(1, count[:3].sum()),
-        share(lambda w: w.endswith("!!")),
-        share(lambda w: len(w) == 1 and not w.isalnum()),
-        sum(map(str.__eq__, words, words[1:])) / n,
+        count[9:].sum() / (visible + KNOWN_CHARS),
+        count[2] / (count[:3].sum() + KNOWN_CHARS),
+        drawn(total(lambda w: w.endswith("!!"))),
+        drawn(total(lambda w: len(w) == 1 and not w.isalnum())),
+        drawn(sum(map(str.__eq__, words, words[1:]))),
         # Long texts repeat common words: what counts is how far they fall below the usual growth of a vocabulary.
-        max(0.0, 1 - len(distinct) / min(n, 8 * n**0.5)),
+        drawn(n * max(0.0, 1 - len(distinct) / max(1, min(n, 8 * n**0.5))), "word_repeats"),
         1 - len(set(lines)) / len(lines) if len(lines) > 3 else 0.0,
-        share(lambda w: w[-1] in "#$%&*@~^|<>=+"),
-        1 - share(_PLAIN.fullmatch),
-        share(lambda w: w[-1] in ".!?" and w[-2:-1] not in ".!?"),
+        drawn(total(lambda w: w[-1] in "#$%&*@~^|<>=+")),
+        drawn(n - total(_PLAIN.fullmatch), "odd_words"),
+        drawn(total(lambda w: w[-1] in ".!?" and w[-2:-1] not in ".!?")),
+        sum(times[w] * len(w) for w in distinct if len(w) >= UNBROKEN and w.isascii()) / max(1, visible),
     ]
 
 
-def votes(values: list[float] | None) -> int:
+def votes(values: list[float]) -> int:
     """The votes of all labellers as one number in base 3."""
-    if values is None:
-        return 0
     of = dict(zip(MEASURES, values, strict=True))
     code = 0
     for measure, junk, good in ONE_MEASURE.values():
@@ -162,7 +168,7 @@ def features(text: str) -> tuple[int, np.ndarray, np.ndarray]:
     at = np.flatnonzero(counts)
     # A short text says little: its shares count for less.
     value = np.sqrt(counts[at] / max(1, len(trigram))) * min(1.0, (len(trigram) / SURE_CHARS) ** 0.5)
-    extra = [half + (hash_bin(k, min(9, int(x * 10)))) for k, x in enumerate(seen or [])]
+    extra = [half + (hash_bin(k, min(9, int(x * 10)))) for k, x in enumerate(seen)]
     return votes(seen), np.concatenate([at, extra]).astype(np.int32), np.concatenate([value, np.full(len(extra), 0.3)]).astype(np.float32)
 
 

@@ -26,8 +26,6 @@ def test_em_recovers_planted_shares():
 def slow_measures(text):
     """The measures of a text, one character and one word at a time."""
     words = text.split()
-    if len(words) < q.MIN_WORDS:
-        return None
     symbols = capitals = letters = visible = 0
     for c in text:
         wide = ord(c) > 0xFFFF
@@ -37,19 +35,18 @@ def slow_measures(text):
             capitals += 1
         visible += wide or not c.isspace()
         letters += not wide and (c.islower() or c.isupper() or c.isalpha())
-    n = len(words)
-    share = lambda holds: sum(map(holds, words)) / n
+    n, few, chars = len(words), q.KNOWN_WORDS, q.KNOWN_CHARS
+    share = lambda holds: sum(map(bool, map(holds, words))) / (n + few)
     lines = [x for x in text.split("\n") if x.strip()]
+    fresh = len(set(words)) / min(n, 8 * n**0.5) if n else 0
     return [
-        symbols / visible, capitals / max(1, letters), share(lambda w: w[-2:] == "!!"), share(lambda w: len(w) == 1 and not w.isalnum()), sum(a == b for a, b in zip(words, words[1:])) / n,
-        max(0.0, 1 - len(set(words)) / min(n, 8 * n**0.5)), 1 - len(set(lines)) / len(lines) if len(lines) > 3 else 0.0, share(lambda w: w[-1] in "#$%&*@~^|<>=+"),
-        share(lambda w: not q._PLAIN.fullmatch(w)), share(lambda w: w[-1] in ".!?" and (len(w) == 1 or w[-2] not in ".!?")),
+        symbols / (visible + chars), capitals / (letters + chars), share(lambda w: w[-2:] == "!!"), share(lambda w: len(w) == 1 and not w.isalnum()), sum(a == b for a, b in zip(words, words[1:])) / (n + few),
+        (n * max(0.0, 1 - fresh) + few * 0.5) / (n + few), 1 - len(set(lines)) / len(lines) if len(lines) > 3 else 0.0, share(lambda w: w[-1] in "#$%&*@~^|<>=+"),
+        share(lambda w: not q._PLAIN.fullmatch(w)) + few * 0.15 / (n + few), share(lambda w: w[-1] in ".!?" and (len(w) == 1 or w[-2] not in ".!?")), sum(len(w) for w in words if len(w) >= 60 and w.isascii()) / max(1, visible),
     ]
 
 
 def slow_votes(values):
-    if values is None:
-        return [q.NOTHING] * len(q.LABELLERS)
     of = dict(zip(q.MEASURES, values, strict=True))
     out = []
     for measure, junk, good in q.ONE_MEASURE.values():
@@ -89,7 +86,7 @@ def slow_features(text, seen):
     for a, b, c in grams:
         x[((a * 256 + b * 16 + c) * 2654435761 >> 7) % half] += 1
     x[:half] = np.sqrt(x[:half] / max(1, len(grams))) * min(1.0, (len(grams) / q.SURE_CHARS) ** 0.5)
-    for k, v in enumerate(seen or []):
+    for k, v in enumerate(seen):
         x[half + (k * 10 + min(9, int(v * 10))) * 2654435761 % (half - 1)] += 0.3
     x[-1] = 1
     return x
@@ -122,7 +119,26 @@ def test_votes_round_trip():
         for v in q.decode(code):
             again = again * 3 + v
         assert again == code
-    assert q.votes(None) == 0
+
+
+def test_votes_on_short_and_unbroken_texts():
+    """What is plain in a few words gets its vote; a few clean words get none for junk, and a text without words none at all."""
+    of = lambda text: dict(zip(q.LABELLERS, q.decode(q.features(text)[0]), strict=True))
+    junk = lambda text: {k for k, v in of(text).items() if v == q.JUNK}
+    assert {"odd_symbols", "odd_endings", "odd_words"} <= junk(" ".join(["#$%^&", "@@@", "***!", "&&^"] * 4))
+    assert "unbroken" in junk("x7Gf9" * 10_000) and "unbroken" in junk("see " + "a" * 200) and {"same_word_again", "few_words"} <= junk("buy " * 18)
+    assert "separators" in junk("one | two | three |") and "odd_endings" in junk("That*** atly.###")
+    for clean in ("Hello there.", "What is photosynthesis?", "Can you help me with my maths homework today please?", "ok", "HELP me now!!", "Voilà, c'est tout – merci !", "今天天气很好，我们去公园散步吧。", "See https://example.org/a/rather/long/path for more about this."):
+        assert not junk(clean), clean
+    assert q.features("")[0] == q.features(" \n")[0] == 0
+
+
+def test_short_junk_goes_and_short_clean_texts_stay(spark):
+    sf = "/root/testdata/sf0.1"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").withColumn("few", F.size(F.split(F.trim(F.coalesce("text", F.lit(""))), r"\s+")) < 20).select("doc_id", "few")
+    found = q.op1_quality_classifier(spark, sf).join(docs, "doc_id").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").filter("few")
+    good, junk = (found.filter(F.col("quality") == v).agg(F.avg(F.col("kept").cast("int"))).first()[0] for v in (1, 0))
+    assert good > 0.98 and junk < 0.7
 
 
 def test_agrees_with_labels_it_never_saw(spark):
