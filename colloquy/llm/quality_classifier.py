@@ -58,6 +58,8 @@ ONE_MEASURE = {
 }
 LABELLERS = [*ONE_MEASURE, "sentences"]
 MEASURES = ["symbols", "capitals", "exclaims", "lone_symbols", "adjacent_repeats", "word_repeats", "line_repeats", "symbol_endings", "odd_words", "sentence_ends", "unbroken"]
+#: Marks that some languages write between blanks.
+STANDS_ALONE = "!?:;,.–—-&«»"
 #: Where nobody votes, if it isn't 0.
 UNDECIDED = {"word_repeats": 0.5, "odd_words": 0.15}
 
@@ -95,7 +97,7 @@ def measures(text: str, kinds: np.ndarray) -> list[float]:
         count[9:].sum() / (visible + KNOWN_CHARS),
         count[2] / (count[:3].sum() + KNOWN_CHARS),
         drawn(total(lambda w: w.endswith("!!"))),
-        drawn(total(lambda w: len(w) == 1 and not w.isalnum())),
+        drawn(total(lambda w: len(w) == 1 and not w.isalnum() and w not in STANDS_ALONE)),
         drawn(sum(map(str.__eq__, words, words[1:]))),
         # Long texts repeat common words: what counts is how far they fall below the usual growth of a vocabulary.
         drawn(n * max(0.0, 1 - len(distinct) / max(1, min(n, 8 * n**0.5))), "word_repeats"),

@@ -40,7 +40,7 @@ def slow_measures(text):
     lines = [x for x in text.split("\n") if x.strip()]
     fresh = len(set(words)) / min(n, 8 * n**0.5) if n else 0
     return [
-        symbols / (visible + chars), capitals / (letters + chars), share(lambda w: w[-2:] == "!!"), share(lambda w: len(w) == 1 and not w.isalnum()), sum(a == b for a, b in zip(words, words[1:])) / (n + few),
+        symbols / (visible + chars), capitals / (letters + chars), share(lambda w: w[-2:] == "!!"), share(lambda w: len(w) == 1 and not w.isalnum() and w not in q.STANDS_ALONE), sum(a == b for a, b in zip(words, words[1:])) / (n + few),
         (n * max(0.0, 1 - fresh) + few * 0.5) / (n + few), 1 - len(set(lines)) / len(lines) if len(lines) > 3 else 0.0, share(lambda w: w[-1] in "#$%&*@~^|<>=+"),
         share(lambda w: not q._PLAIN.fullmatch(w)) + few * 0.15 / (n + few), share(lambda w: w[-1] in ".!?" and (len(w) == 1 or w[-2] not in ".!?")), sum(len(w) for w in words if len(w) >= 60 and w.isascii()) / max(1, visible),
     ]
