@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from colloquy.operators.sessions import CAPACITY, TTL_MINUTES
+from colloquy.settings import settings
 from colloquy.tables import staged
 
 HELD = "array<struct<session_id:string,created_us:bigint,updated_us:bigint>>"
@@ -78,13 +78,15 @@ def _played(rows: pd.DataFrame, entry: pd.DataFrame, most: int, minutes: int) ->
     return held, [(r.command_id, *held.answer(r.kind, r.session_id, r.new_id, r.us)) for r in rows.itertuples()]
 
 
-def replay(commands: DataFrame, most: int = CAPACITY, minutes: int = TTL_MINUTES, ranges: int | None = None) -> tuple[DataFrame, DataFrame]:
+def replay(commands: DataFrame, most: int | None = None, minutes: int | None = None, ranges: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(answers: ANSWERED, states: (range, state at its end)) of a log (command_id, ts, kind, session_id, new_id), in order of ts and then command_id.
 
     Kinds: `create` makes session new_id; `get` looks session_id up and refreshes its access; `ask` does that or makes new_id; `add` is activity without an access;
     `delete` removes. A new session beyond `most` puts out those accessed least recently. `live` counts what is held after the command. What has expired is gone for all
-    commands. Commands of a null ts, command_id or kind are left out; an ask or create without new_id makes nothing.
+    commands. Limits that aren't given are the session's settings. Commands of a null ts, command_id or kind are left out; an ask or create without new_id makes nothing.
     """
+    given = settings(commands.sparkSession)
+    most, minutes = given.max_sessions if most is None else most, given.session_ttl_minutes if minutes is None else minutes
     log = commands.select("command_id", F.unix_micros("ts").alias("us"), "kind", "session_id", "new_id").dropna(subset=["command_id", "us", "kind"])
     dealt = log.repartitionByRange(ranges, "us", "command_id") if ranges else log.repartitionByRange("us", "command_id")
     trace = staged(dealt.withColumn("range", F.spark_partition_id()), "eviction-log")

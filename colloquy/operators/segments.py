@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from colloquy.operators.sessions import TTL_MINUTES
+from colloquy.operators.sessions import gap_of
 from colloquy.tables import staged
 
 # The stages of a turn, the first one at the beginning, and the stage after an event where it is allowed.
@@ -36,9 +36,9 @@ def spanning(rows: DataFrame) -> DataFrame:
     return each.groupBy("k").count().filter("count > 1").select(F.col("k.of").alias("key"))
 
 
-def sessionize(activity: DataFrame, key: str, seconds: float = TTL_MINUTES * 60, order: str = "event_id", ranges: int | None = None) -> DataFrame:
+def sessionize(activity: DataFrame, key: str, seconds: float | None = None, order: str = "event_id", ranges: int | None = None) -> DataFrame:
     """What `sessions.sessionize` gives, for keys of any number of rows: activity with session_no (from 1) by key."""
-    limit = int(seconds * 1e6)
+    limit = gap_of(activity, seconds)
     taken = F.struct(*(c for c in activity.columns if c.lower() != "session_no"))
     rows = ranged(activity.select(taken.alias("row"), F.col(key).alias("of"), F.unix_micros("ts").alias("us"), F.col(order).alias("at")), "of", "us", "at", ranges=ranges)
     inside = W.partitionBy("part", "of").orderBy("us", "at")

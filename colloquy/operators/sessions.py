@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from colloquy.functions.text import preview, strip
 from colloquy.settings import Settings, settings
 
-TTL_MINUTES, CAPACITY = Settings.session_ttl_minutes, Settings.max_sessions
+TTL_MINUTES = Settings.session_ttl_minutes
 
 
 def summaries(messages: DataFrame) -> DataFrame:
@@ -49,12 +49,17 @@ def is_expired(updated_at: Column, now: Column, minutes: int = TTL_MINUTES) -> C
     return updated_at < now - F.make_interval(mins=F.lit(minutes))
 
 
-def sessionize(activity: DataFrame, key: str, seconds: float = TTL_MINUTES * 60, order: str = "event_id") -> DataFrame:
-    """activity with session_no (from 1) by key: a new one after a gap of more than `seconds`."""
+def gap_of(activity: DataFrame, seconds: float | None) -> int:
+    """Microseconds of a gap; the settings' time to live where none is given."""
+    return int((settings(activity.sparkSession).session_ttl_minutes * 60 if seconds is None else seconds) * 1e6)
+
+
+def sessionize(activity: DataFrame, key: str, seconds: float | None = None, order: str = "event_id") -> DataFrame:
+    """activity with session_no (from 1) by key: a new one after a gap of more than `seconds`. `segments.sessionize` spreads a key of very many rows over tasks."""
     rows = activity.select(F.struct(*(c for c in activity.columns if c.lower() != "session_no")).alias("row"), F.col(key).alias("of"), "ts", F.col(order).alias("at"))
     of = W.partitionBy("of").orderBy("ts", "at")
     gap = F.unix_micros("ts") - F.lag(F.unix_micros("ts")).over(of)
-    new = F.coalesce((gap > int(seconds * 1e6)).cast("int"), F.lit(1))
+    new = F.coalesce((gap > gap_of(activity, seconds)).cast("int"), F.lit(1))
     return rows.withColumn("new", new).withColumn("session_no", F.sum("new").over(of)).select("row.*", "session_no")
 
 

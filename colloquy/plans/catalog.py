@@ -439,13 +439,12 @@ def model_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH names AS (SELECT list(DISTINCT p_brand || ':' || p_size) AS n FROM part WHERE p_size <= 25)
 SELECT p_partkey, list_contains(n, p_brand || ':' || p_size) AS by_name, list_contains(list_transform(n, lambda x: split_part(x, ':', 1)), p_brand) AS by_family FROM part, names""")
 def model_availability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each part's full name and brand, sought in the catalog of the smaller ones: joins on what a model may be called by."""
+    """Each part's full name and brand, sought in the catalog of the smaller ones."""
     part = spark.read.parquet(f"{sf_dir}/part.parquet").withColumn("name", F.concat_ws(":", "p_brand", F.col("p_size").cast("string")))
-    known = part.filter("p_size <= 25").select("name", F.split("name", ":")[0].alias("family"))
-    names = known.select("name").distinct().withColumn("named", F.lit(True))
-    families = known.select(F.col("family").alias("p_brand")).distinct().withColumn("related", F.lit(True))
-    found = part.join(names, "name", "left").join(families, "p_brand", "left")
-    return found.select("p_partkey", F.coalesce("named", F.lit(False)).alias("by_name"), F.coalesce("related", F.lit(False)).alias("by_family"))
+    known = part.filter("p_size <= 25").select("name")
+    named = frames.availability(part.select("p_partkey", "p_brand", F.col("name").alias("model")), known)
+    found = frames.availability(named.select("p_partkey", F.col("p_brand").alias("model"), F.col("by_name").alias("full")), known)
+    return found.select("p_partkey", F.col("full").alias("by_name"), "by_family")
 
 
 @query("""SELECT p_partkey, CASE WHEN p_size % 3 > 0 AND p_size % 2 = 0 THEN 'ok' ELSE 'degraded' END AS status, CASE WHEN p_size % 3 = 0 THEN trim(p_name || ' ' || CASE WHEN p_size % 2 = 0 THEN p_type ELSE '' END) END AS error,

@@ -11,6 +11,7 @@ from pyspark.sql.types import ArrayType, DataType, StructField, StructType
 from colloquy.functions.replies import is_json, usage
 from colloquy.functions.requests import DEFAULT_MODEL
 from colloquy.functions.text import joined, not_blank, strip
+from colloquy.tables import fresh
 
 CHUNK = "model string, message struct<role:string,content:string>, done boolean, eval_count long, eval_duration long, prompt_eval_count long, total_duration long, load_duration long"
 EVENT = "type string, session_id string, model string, content string, reply string, detail string, hint string"
@@ -105,6 +106,18 @@ def catalog(bodies: DataFrame) -> DataFrame:
     return rows.select("m.name", F.col("m.size").alias("size_bytes"), "m.details.parameter_size", F.col("m.details.quantization_level").alias("quantization"), "m.details.family", "m.modified_at")
 
 
+def availability(asked: DataFrame, models: DataFrame, model: str = "model") -> DataFrame:
+    """asked with by_name and by_family: whether a catalog (name) has the model, by its full name or by what stands before a name's colon.
+
+    What `replies.is_available` says of a catalog in one array, for catalogs of any size. A null model is in none.
+    """
+    name, by_name, by_family = fresh(asked, "catalog_name", "by_name", "by_family")
+    full = models.select(F.col("name").alias(name)).distinct().withColumn(by_name, F.lit(True))
+    family = models.select(F.split("name", ":")[0].alias(name)).distinct().withColumn(by_family, F.lit(True))
+    found = asked.join(full, F.col(model) == F.col(name), "left").drop(name).join(family, F.col(model) == F.col(name), "left").drop(name)
+    return found.withColumns({c: F.coalesce(c, F.lit(False)) for c in (by_name, by_family)})
+
+
 def framed(rows: DataFrame) -> DataFrame:
     """rows (..., FRAME) with `frame`, the text that is sent of each."""
     c = F.col

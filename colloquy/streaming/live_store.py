@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from colloquy.operators.sessions import TTL_MINUTES
+from colloquy.settings import settings
 from colloquy.streaming.ordered import names
 
 ANSWER = "command_id long, kind string, session_id string, created boolean, profile string, message_count long, created_us long, updated_us long, access_us long"
@@ -30,7 +30,7 @@ class LiveStore(StatefulProcessor):
     An answer without session_id found none. A session that ends by time gives a row of kind `expired`, without command.
     """
 
-    def __init__(self, minutes: int = TTL_MINUTES):
+    def __init__(self, minutes: int):
         self.limit = minutes * 60_000_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -110,8 +110,9 @@ class LiveStore(StatefulProcessor):
         pass
 
 
-def answers(commands: DataFrame, minutes: int = TTL_MINUTES, late: str = "10 minutes") -> DataFrame:
-    """(client, ANSWER) of a stream of commands (client, command_id, kind, session_id, profile, ts)."""
+def answers(commands: DataFrame, minutes: int | None = None, late: str = "10 minutes") -> DataFrame:
+    """(client, ANSWER) of a stream of commands (client, command_id, kind, session_id, profile, ts). minutes: the settings' where not given."""
+    minutes = settings(commands.sparkSession).session_ttl_minutes if minutes is None else minutes
     rows = commands.select("client", "command_id", "kind", "session_id", "profile", "ts", F.unix_micros("ts").alias("us")).withWatermark("ts", late)
     out = f"client {commands.schema['client'].dataType.simpleString()}, {ANSWER}"
     return rows.groupBy("client").transformWithState(LiveStore(minutes), out, "Append", "EventTime")

@@ -11,7 +11,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from colloquy.functions import requests
+from colloquy.functions import replies, requests
 from colloquy.operators import completion, sessions, store
 from colloquy.plans import catalog
 from colloquy.sources import frames
@@ -120,6 +120,15 @@ def test_frames(spark):
     assert len(models) == 1 and models[0].name == "m" and models[0].family is None
 
 
+def test_availability_is_the_column_s(spark):
+    names = ["m:1b", "m:2b", "n", "o:x:y", ""]
+    asked = [(k, m) for k, m in enumerate(["m", "m:1b", "m:3b", "n", "o", "o:x", "o:x:y", "", None, "1b"])]
+    df = spark.createDataFrame(asked, "k int, model string").withColumn("by_name", F.lit("mine"))
+    found = {r.k: r.by_name_ or r.by_family for r in frames.availability(df, spark.createDataFrame([(n,) for n in names], "name string")).collect()}
+    want = df.select("k", F.coalesce(replies.is_available(F.array(*map(F.lit, names)), F.col("model")), F.lit(False)).alias("there")).collect()
+    assert found == {r.k: r.there for r in want} and sum(found.values()) == 6
+
+
 def cut(df, name):
     return df.cache()
 
