@@ -16,7 +16,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from colloquy.tables import shared_dir
 
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+PARTITIONS, PROVIDER = "spark.sql.shuffle.partitions", "spark.sql.streaming.stateStore.providerClass"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -55,19 +55,10 @@ class OrderedFold(StatefulProcessor):
         self.handle = handle
         self.memory = handle.getValueState("memory", self.STATE)
         self.place = handle.getValueState("place", "due long, waiting long, ended boolean, timer long")
-        self.early = handle.getMapState("early", "seq long", self.ROW)
-        self.columns = names(self.ROW)
+        self.early = handle.getListState("early", f"seq long, {self.ROW}")
+        self.columns = ["seq", *names(self.ROW)]
         self.made = Row(*self.keys, *names(self.OUT))
 
-    def _next(self, due: int, here: dict, waiting: int) -> tuple[Any, int]:
-        if due in here:
-            return here.pop(due), waiting
-        if waiting and self.early.containsKey((due,)):
-            held = self.early.getValue((due,))
-            self.early.removeKey((due,))
-            return Row("seq", *self.columns)(due, *held), waiting - 1
-        return None, waiting
-
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         due, waiting, ended, timer = self.place.get() if self.place.exists() else (self.first, 0, False, 0)
         here, latest = {}, 0
@@ -76,22 +67,23 @@ class OrderedFold(StatefulProcessor):
             latest = max(latest, int(row.ts.timestamp() * 1000))
         if not ended:
             state = tuple(self.memory.get()) if self.memory.exists() else self.begin()
-            row, waiting = self._next(due, here, waiting)
-            while row is not None and state is not None:
-                state, given = self.step(state, row)
+            if waiting:  # all at once: each access to the store is a call
+                as_row = Row(*self.columns)
+                here = {held[0]: as_row(*held) for held in self.early.get()} | here
+            while due in here and state is not None:
+                state, given = self.step(state, here.pop(due))
                 yield from (self.made(*key, *g) for g in given)
                 due += 1
-                row, waiting = self._next(due, here, waiting) if state is not None else (None, 0)
-            if state is None:
-                ended = True
-                self.memory.clear()
+            left = [] if state is None else [tuple(row[c] for c in self.columns) for seq, row in here.items() if seq > due]
+            if left:
+                self.early.put(left)
+            elif waiting:
                 self.early.clear()
+            waiting, ended = len(left), state is None
+            if ended:
+                self.memory.clear()
             else:
                 self.memory.update(state)
-                for seq, row in here.items():
-                    if seq > due and not (waiting and self.early.containsKey((seq,))):
-                        self.early.updateValue((seq,), tuple(row[c] for c in self.columns))
-                        waiting += 1
         at = max(latest, timerValues.getCurrentWatermarkInMs()) + self.timeout
         if at > timer:
             if timer:
@@ -122,14 +114,21 @@ def folded(rows: DataFrame, key: str, fold: OrderedFold, late: str = "10 minutes
 
 
 def run(stream: DataFrame, path: str, checkpoint: str) -> None:
-    """All input that is there through a stream to Parquet at path; it goes on from the checkpoint."""
-    conf = stream.sparkSession.conf
-    before = conf.get(PROVIDER)
-    conf.set(PROVIDER, ROCKS)  # Keyed state of several variables is kept by this store only.
+    """All input that is there through a stream to Parquet at path; it goes on from the checkpoint.
+
+    A state partition is a store that each micro-batch opens and commits, so that there are no more of them than cores when a query is first started.
+    """
+    spark = stream.sparkSession
+    few = min(int(spark.conf.get(PARTITIONS)), spark.sparkContext.defaultParallelism)
+    wanted = {PROVIDER: ROCKS, PARTITIONS: str(few)}  # Keyed state of several variables is kept by this store only.
+    before = {k: spark.conf.get(k) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
     try:
         started = stream.writeStream.outputMode("append").format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path)
     finally:
-        conf.set(PROVIDER, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     started.awaitTermination()
 
 
