@@ -285,13 +285,24 @@ def turn_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segments.turn_markers(frames.events(spark, sf_dir), "user_id", "event_id", F.expr(MARKER))
 
 
-@query()
+EVICTION = """WITH RECURSIVE c AS MATERIALIZED (SELECT event_id, epoch_us(ts) AS us, user_id::VARCHAR AS sid, row_number() OVER (ORDER BY ts, event_id) AS k,
+CASE event_type WHEN 'view' THEN 'get' WHEN 'click' THEN 'ask' WHEN 'purchase' THEN 'add' WHEN 'signup' THEN 'create' ELSE 'delete' END AS kind FROM events),
+s AS (SELECT 0::BIGINT AS k, []::STRUCT(id VARCHAR, last BIGINT)[] AS held, NULL::BIGINT AS event_id, NULL::VARCHAR AS sid, false AS found, false AS created, []::VARCHAR[] AS evicted
+UNION ALL SELECT k, after[greatest(1, len(after) - 24) : len(after)], event_id, sid, found, created, list_transform(after[1 : greatest(0, len(after) - 25)], lambda x: x.id) FROM (
+SELECT *, NOT found AND kind IN ('create', 'ask') AS created, CASE WHEN kind = 'add' AND found THEN list_transform(live, lambda x: CASE WHEN x.id = sid THEN {'id': x.id, 'last': us} ELSE x END)
+WHEN kind IN ('get', 'ask') AND found THEN list_concat(rest, list_filter(live, lambda x: x.id = sid)) WHEN kind IN ('create', 'ask') THEN list_concat(rest, [{'id': sid, 'last': us}]) WHEN kind = 'delete' THEN rest ELSE live END AS after FROM (
+SELECT *, kind <> 'create' AND len(rest) < len(live) AS found FROM (SELECT *, list_filter(live, lambda x: x.id <> sid) AS rest FROM (
+SELECT c.*, list_filter(held, lambda x: c.us - x.last <= 10800000000) AS live FROM s JOIN c ON c.k = s.k + 1)))))
+SELECT event_id AS command_id, CASE WHEN found OR created THEN sid END AS session_id, found, created, array_to_string(evicted, ',') AS evicted, len(held) AS live FROM s WHERE k > 0"""
+
+
+@query(EVICTION)
 def exact_evictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events as commands to a store of 25 sessions, one a user: what each finds, makes and puts out."""
     kind = F.when(F.col("event_type") == "view", "get").when(F.col("event_type") == "click", "ask").when(F.col("event_type") == "purchase", "add").when(F.col("event_type") == "signup", "create")
     user = F.col("user_id").cast("string")
     commands = frames.events(spark, sf_dir).select(F.col("event_id").alias("command_id"), "ts", kind.otherwise("delete").alias("kind"), user.alias("session_id"), user.alias("new_id"))
-    return eviction.replay(commands, 25)[0]
+    return eviction.replay(commands, 25)[0].withColumn("evicted", F.array_join("evicted", ","))
 
 
 # --- text ---------------------------------------------------------------------------------------
@@ -865,7 +876,8 @@ def streamed_upserts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds.upserted(spark, path, "user_id", "event_id", "event_type")
 
 
-@query()
+@query(SESSIONIZED.format(gap="180 MINUTE") + """SELECT user_id, epoch_us(min(ts)) AS start_us, epoch_us(max(ts)) AS last_us, count(*) AS n FROM numbered GROUP BY user_id, session_no HAVING max(ts) <= (SELECT max(ts) FROM events) - INTERVAL 190 MINUTE""")
 def streamed_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events through Structured Streaming: sessions that the watermark has closed."""
-    return folds.written(folds.closed_sessions(folds.event_stream(spark, sf_dir), "user_id"), "closed-sessions")
+    """The events through Structured Streaming: sessions that the watermark has closed, which is ten minutes behind the newest event at last."""
+    found = folds.written(folds.closed_sessions(folds.event_stream(spark, sf_dir), "user_id"), "closed-sessions")
+    return found.select("user_id", F.unix_micros("start").alias("start_us"), F.unix_micros("last").alias("last_us"), "n")
