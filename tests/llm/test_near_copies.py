@@ -43,12 +43,29 @@ def test_near_copies_leave_one_of_each_class(spark):
     assert cp.near_duplicates(spark, docs.limit(0), "").collect() == []
 
 
-def test_prefixes_lose_no_similar_pair_across_classes(spark):
-    """All pairs of similarity 0.8 or more and different roots are candidates, and few others are, with one passage in most of the texts."""
+def test_bitmaps_lose_no_similar_pair(spark):
+    """Sets of many sizes and overlaps: none of similarity 0.8 or more is refused, and most of the others are."""
+    rng = np.random.default_rng(4)
+    rows, similar = [], []
+    for k in range(1500):
+        n = int(rng.choice([1, 4, 9, 30, 200, 1500]))
+        a = rng.integers(0, 2**63, n, dtype=np.uint64)
+        b = np.concatenate([a[rng.random(n) < rng.choice([0.5, 0.8, 0.9, 0.95, 1.0])], rng.integers(0, 2**63, rng.integers(0, 1 + n // 6), dtype=np.uint64)])
+        both = len(np.intersect1d(a, b))
+        similar.append(5 * both >= 4 * (n + len(b) - both))
+        rows.append((k, nc.bitmap_of(a).tolist(), nc.bitmap_of(b).tolist(), n, len(b)))
+    df = spark.createDataFrame(rows, "k int, x array<long>, y array<long>, n long, m long").orderBy("k")
+    passed = [r[0] for r in df.select(nc.may_be_similar(F.col("x"), F.col("y"), F.col("n"), F.col("m"))).collect()]
+    assert all(p for p, s in zip(passed, similar, strict=True) if s) and sum(similar) > 300
+    assert sum(p for p, s in zip(passed, similar, strict=True) if not s) < 0.3 * (len(rows) - sum(similar))
+
+
+def test_texts_that_can_have_partners(spark):
+    """All texts that have a similar one of another root are kept; of many around one passage none, unless it is nearly all of them."""
     rng = np.random.default_rng(4)
     passage, rows = rng.integers(0, 2**62, 60), []
     for g in range(60):
-        base = rng.integers(0, 2**62, int(rng.choice([1, 5, 25, 90, 300])))
+        base = rng.integers(0, 2**62, int(rng.choice([1, 5, 10, 90, 300])))
         if g % 3:
             base = np.concatenate([base, passage])
         for k in range(4):
@@ -56,24 +73,13 @@ def test_prefixes_lose_no_similar_pair_across_classes(spark):
             new = rng.integers(0, 2**62, rng.integers(0, 1 + len(base) // 8))
             rows.append((len(rows), sorted({int(x) for x in np.concatenate([some, new])}), g if k < 2 else 1000 + len(rows)))
     rows = [r for r in rows if r[1]]
-    sets = {i: set(t) for i, t, _ in rows}
-    root = {i: r for i, _, r in rows}
-    similar = {(i, j) for i in sets for j in sets if i < j and root[i] != root[j] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])}
+    sets, root = {i: set(t) for i, t, _ in rows}, {i: r for i, _, r in rows}
+    similar = {i for i in sets for j in sets if root[i] != root[j] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])}
     df = spark.createDataFrame(rows, "fp long, shingles array<long>, root long")
-    mixed = df.select("fp", F.size("shingles").cast("long").alias("n"), "root")
-    found = {tuple(sorted((r.fp, r.other))) for r in nc.candidates_across(mixed, df.select("fp", "shingles")).collect()}
-    assert similar <= found and len(similar) > 50 and len(found) < 4 * len(similar)
-    assert all(root[i] != root[j] for i, j in found)
-
-
-def test_texts_around_one_passage_make_few_pairs(spark):
-    """A bucket's texts share 60 of 100 shingles, all of them the same: no candidates, however many there are."""
-    rng = np.random.default_rng(5)
-    passage = rng.integers(0, 2**62, 60).tolist()
-    rows = [(k, sorted(passage + rng.integers(0, 2**62, 40).tolist())) for k in range(400)]
-    df = spark.createDataFrame(rows, "fp long, shingles array<long>")
-    mixed = df.select("fp", F.lit(100).cast("long").alias("n"), F.col("fp").alias("root"))
-    assert nc.candidates_across(mixed, df).count() == 0
+    found = {r.fp for r in nc.with_partners(df.select("fp", F.size("shingles").cast("long").alias("n"), "root"), df.select("fp", "shingles")).collect()}
+    assert similar <= found and 50 < len(similar) < len(rows)
+    around = spark.createDataFrame([(k, sorted(passage.tolist() + rng.integers(0, 2**62, 40).tolist())) for k in range(300)], "fp long, shingles array<long>")
+    assert nc.with_partners(around.select("fp", F.lit(100).cast("long").alias("n"), F.col("fp").alias("root")), around).count() == 0
 
 
 def test_sets_of_one_hash_are_told_apart(spark):
