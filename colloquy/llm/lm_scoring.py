@@ -1,9 +1,9 @@
 """Language-model scoring of whole texts.
 
 A causal self-attention model (attention_model.py) reads a text's words, spelt in subword ids of a public
-tokenizer, in overlapping windows that score each word, and the text's end, once. What the corpus says twice or more is
-remembered (passage_memory.py), so that the score is the model's wherever a text is new, and more where it recurs.
-Beside it stands a smoothed unigram base of whole words. A word is a run of anything but ASCII
+tokenizer, in overlapping windows that score each word, and the text's end, once: that is the score. What the corpus says twice or more is
+remembered (passage_memory.py) and mixed into a score of its own, recalled_score, which is the model's wherever a text is new, and more where it recurs.
+Beside them stands a smoothed unigram base of whole words. A word is a run of anything but ASCII
 blanks, A-Z lowered; ids are those of a blank and the word.
 
 All of it is learnt from the whole training fold. Counts of all words give those of all ids, which set the
@@ -310,7 +310,7 @@ def score_batches(batches: Iterator[pd.Series], sent) -> Iterator[pd.DataFrame]:
 
 
 def score_texts(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER) -> DataFrame:
-    """Rows of docs' id with n_tokens, n_known, train_tokens, base_score, score. train: rows with `text`."""
+    """Rows of docs' id with n_tokens, n_known, train_tokens, base_score, score, recalled_score. train: rows with `text`."""
     spark = docs.sparkSession
     context = spark.sparkContext
     ranks = load_ranks(tokenizer)
@@ -352,11 +352,12 @@ def score_texts(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_
         (F.col("n_known") + F.coalesce("more", F.lit(0)) + (1 if texts else 0)).alias("n_known"),
         F.lit(tokens).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("gain", F.lit(0.0))).alias("base_score"),
-        ((F.col("score") + F.coalesce("memory", F.lit(0.0))) / math.log(10)).alias("score"),
+        (F.col("score") / math.log(10)).alias("score"),
+        ((F.col("score") + F.coalesce("memory", F.lit(0.0))) / math.log(10)).alias("recalled_score"),
     )
 
 
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     fold = held_out(F.col("doc_id"), 10)
-    return score_texts(docs, docs.filter(~fold)).select("doc_id", fold.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return score_texts(docs, docs.filter(~fold)).select("doc_id", fold.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "recalled_score")
