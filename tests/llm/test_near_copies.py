@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
@@ -106,3 +107,78 @@ def test_null_and_repeated_ids_leave_one_row_of_a_class(spark):
     prints = spark.createDataFrame([(0, True, 1, None, 8), (0, True, 2, None, 9)], "id long, no_id boolean, text_hash long, doc_id long, fp long")
     found = sh.classes(prints).collect()
     assert {r.root for r in found} == {8} and {r.component_id for r in found} == {None}
+
+
+def brute_simhash(found):
+    """The SimHash of a set of hashes, bit by bit, and the bits that are tied."""
+    bits, tied = [], []
+    for factor, shift in zip(nc.FACTORS.tolist(), nc.SHIFTS.tolist(), strict=True):
+        mixed = []
+        for h in found.tolist():
+            x = (h * factor + shift) % 2**64
+            x = (x ^ x >> 32) * 0x9E3779B97F4A7C15 % 2**64
+            mixed.append(x ^ x >> 29)
+        for b in range(64):
+            of = sum(x >> b & 1 for x in mixed)
+            bits.append(2 * of > len(mixed))
+            tied.append(2 * of == len(mixed))
+    return np.array(bits), np.array(tied)
+
+
+def similar_pair(rng, n):
+    """Two sets of similarity 0.8 or a little more, the smaller one of n shingles."""
+    more = rng.integers(0, n // 4 + 1)
+    changed = (n - 4 * more) // 9 if more < n // 4 else 0
+    drawn = rng.integers(0, 2**63, n + more + changed, dtype=np.uint64)
+    return np.sort(drawn[:n]), np.sort(drawn[changed:])
+
+
+def test_simhash_bit_by_bit():
+    rng = np.random.default_rng(6)
+    for n in (1, 2, 9, 10, 254, 255, 256, 700):
+        found = np.sort(rng.integers(0, 2**63, n, dtype=np.uint64))
+        bits, tied = brute_simhash(found)
+        mine = np.unpackbits(nc.simhash(found), bitorder="little").astype(bool)
+        assert len(mine) == nc.WORDS * 64 and (mine == bits)[~tied].all()
+        assert not tied.any() or 0.3 < mine[tied].mean() < 0.7
+
+
+def test_similar_texts_meet_by_simhash_alone(spark):
+    """Candidates come from SimHash: similar sets of ten shingles or more share a bucket, unrelated ones don't."""
+    rng = np.random.default_rng(8)
+    pairs = [similar_pair(rng, int(rng.choice([10, 13, 40, 200, 600]))) for _ in range(600)]
+    assert all(5 * len(np.intersect1d(a, b)) >= 4 * len(np.union1d(a, b)) for a, b in pairs)
+    rows = [(2 * k + j, bytearray(nc.simhash(s).tobytes())) for k, p in enumerate(pairs) for j, s in enumerate(p)]
+    prints = spark.createDataFrame(rows, "fp long, simhash binary")
+    for texts in (len(rows), 200_000):
+        dealt = nc.dealt_to_bands(prints, nc.band_places(texts)).repartition("bucket").sortWithinPartitions("bucket")
+        met = {}
+        for r in dealt.mapInPandas(nc.close_sorted, "bucket long, fp long").collect():
+            met.setdefault(r.bucket, []).append(r.fp)
+        found = {(a, b) for fps in met.values() for a in fps for b in fps if a < b}
+        assert sum((2 * k, 2 * k + 1) in found for k in range(len(pairs))) >= len(pairs) - 3
+        assert len(found) < 1.2 * len(pairs)
+
+
+def test_few_shingles_meet_less_one(spark):
+    rows = [(n, list(range(n))) for n in range(1, 10)] + [(20, [*range(7), 99]), (21, [*range(3), 99])]
+    df = spark.createDataFrame(rows, "fp long, shingles array<long>")
+    met = {}
+    for r in nc.few_sums(df).collect():
+        met.setdefault(r.bucket, set()).add(r.fp)
+    found = {(a, b) for fps in met.values() for a in fps for b in fps if a < b}
+    sets = dict(rows)
+    want = {(a, b) for a in sets for b in sets if a < b and 5 * len(set(sets[a]) & set(sets[b])) >= 4 * len(set(sets[a]) | set(sets[b]))}
+    assert {p for p in want if len(set(sets[p[0]]) | set(sets[p[1]])) <= nc.FEW} <= found and len(want) > 4
+
+
+def test_long_runs_stay_whole_over_batches():
+    rng = np.random.default_rng(5)
+    bucket = np.sort(np.concatenate([np.full(2000, 7), np.repeat([3, 9], nc.LONG_RUN + 1), rng.integers(20, 40, 300)]))
+    rows = pd.DataFrame({"bucket": bucket, "fp": np.arange(len(bucket)), "x": rng.integers(0, 2**62, len(bucket)), "y": rng.integers(0, 2**62, len(bucket))})
+    rows.loc[rows.index[-1], ["bucket", "x", "y"]] = rows.loc[rows.index[-2], ["bucket", "x", "y"]] = [50, -1, -1]
+    for size in (1, 64, 900, len(rows)):
+        found = pd.concat(list(nc.close_sorted(rows[k : k + size] for k in range(0, len(rows), size))))
+        of = found.groupby("fp")["bucket"].first()
+        assert len(of) == len(found) and (of[rows["fp"][rows["bucket"] < 20]].to_numpy() == rows["bucket"][rows["bucket"] < 20].to_numpy()).all()
+        assert len(found) == (rows["bucket"] < 20).sum() + 2 and found["bucket"].nunique() == 4
