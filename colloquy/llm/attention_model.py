@@ -79,6 +79,12 @@ class Texts:
         self.units, self.sizes = units, sizes
         self.starts = np.cumsum(sizes) - sizes
         self.texts = np.concatenate([[0], np.cumsum(words)])
+        #: The rows of embeddings that a word is read by.
+        self.read = np.full((len(sizes), PLACES), NO_ID)
+        self.read[:, 0] = units[self.starts]
+        two, three = np.flatnonzero(sizes > 1), np.flatnonzero(sizes > 2)
+        self.read[two, 1] = units[self.starts[two] + 1] + UNITS
+        self.read[three, 2] = units[self.starts[three] + sizes[three] - 1] + 2 * UNITS
 
     def windows(self) -> tuple[np.ndarray, np.ndarray]:
         """The text's first word and the window's first target, by window; every word is a target once."""
@@ -135,13 +141,8 @@ class Batch:
         self.none = (at < windows[:, :1] - 1) | (at >= windows[:, 2:3] - 1)
         before = at == windows[:, :1] - 1  # the word before a text is an end
         word = np.clip(at, 0, len(texts.sizes) - 1)
-        start, size = texts.starts[word], texts.sizes[word]
-        self.spelt = np.full((*at.shape, PLACES), NO_ID)
-        self.spelt[..., 0] = np.where(before, end_unit, texts.units[start])
-        some = (size > 1) & ~before
-        self.spelt[some, 1] = texts.units[start[some] + 1] + UNITS
-        some &= size > 2
-        self.spelt[some, 2] = texts.units[start[some] + size[some] - 1] + 2 * UNITS
+        self.spelt = np.take(texts.read, word, axis=0)
+        self.spelt[before] = end_unit, NO_ID, NO_ID
         # Targets by falling size, so that those that have an id at a place are the first ones.
         count = windows[:, 2] - windows[:, 1]
         target, row = runs(windows[:, 1], count)[0], runs(np.arange(len(windows)) * STRIDE, count)[0]
@@ -172,6 +173,13 @@ class Batch:
         return out
 
 
+def turned(x: np.ndarray, room: Scratch) -> np.ndarray:
+    """Each window's matrix transposed, as a copy: products of many small matrices take twice as long on a view."""
+    out = room("turned", len(x), x.shape[2], x.shape[1])
+    out[:] = x.transpose(0, 2, 1)
+    return out
+
+
 def attend(w: dict, b: Batch, room: Scratch) -> dict:
     """States before the activation, (windows * STRIDE, WIDTH), and what the gradients need."""
     n = len(b.spelt)
@@ -185,7 +193,7 @@ def attend(w: dict, b: Batch, room: Scratch) -> dict:
     q = np.matmul(rows(last), w["q"] * np.float32(WIDTH**-0.5), out=room("q", n * STRIDE, WIDTH)).reshape(last.shape)
     kv = np.matmul(rows(x), w["kv"], out=room("kv", n * WINDOW, 2 * WIDTH)).reshape(n, WINDOW, 2 * WIDTH)
     k, v = kv[..., :WIDTH], kv[..., WIDTH:]
-    share = np.matmul(q, k.transpose(0, 2, 1), out=room("share", n, STRIDE, WINDOW))
+    share = np.matmul(q, turned(k, room), out=room("share", n, STRIDE, WINDOW))
     np.minimum(share, MOST, out=share)
     np.exp(share, out=share)
     share *= CAUSAL
@@ -200,40 +208,56 @@ def attend(w: dict, b: Batch, room: Scratch) -> dict:
     return {"x": x, "last": last, "q": q, "k": k, "v": v, "share": share, "total": total, "read": read, "state": state}
 
 
-def choice(hidden: np.ndarray, weight: np.ndarray, picked: np.ndarray, grad: np.ndarray | None, room: Scratch, back: np.ndarray | None) -> np.ndarray:
-    """Log probabilities of picked rows of a softmax; with grad their sum's gradients are added to it, and those of hidden written to back."""
-    n = len(hidden)
-    logit = np.matmul(hidden, weight.T, out=room("logit", n, len(weight)))
-    at = np.arange(n) * len(weight)
+def picked_logs(logit: np.ndarray, picked: np.ndarray, learning: bool) -> np.ndarray:
+    """Log probabilities of the picked one of each row of logits, in whose place stand the logs' gradients if learning."""
+    n, width = logit.shape
+    at = np.arange(0, n * width, width)
     at += picked
-    own = logit.ravel()[at]
+    flat = logit.reshape(-1)
+    own = flat[at]
     np.exp(logit, out=logit)
-    total = logit @ np.ones(len(weight), logit.dtype)
-    if grad is not None:
+    total = logit @ np.ones(width, logit.dtype)
+    if learning:
         logit *= (-1 / total)[:, None]
-        logit.ravel()[at] += 1
+        flat[at] += 1
+    return own - np.log(total)
+
+
+def choice(hidden: np.ndarray, weight: np.ndarray, picked: np.ndarray, grad: np.ndarray | None, room: Scratch, back: np.ndarray | None) -> np.ndarray:
+    """Log probabilities of picked rows of a softmax; with grad their sum's gradients are added to it, and those of hidden written to back."""
+    logit = np.matmul(hidden, weight.T, out=room("logit", len(hidden), len(weight)))
+    logs = picked_logs(logit, picked, grad is not None)
+    if grad is not None:
         grad += logit.T @ hidden
         np.matmul(logit, weight, out=back)
-    return own - np.log(total)
+    return logs
 
 
 def unit_logs(w: dict, hidden: np.ndarray, units: np.ndarray, grad: dict | None, room: Scratch) -> tuple[np.ndarray, np.ndarray | None]:
     """Log probabilities of units after rows of hidden, as of their clusters and within these; and the gradients of hidden."""
     cluster = units // IN_CLUSTER
-    back = None if grad is None else room("back-cluster", *hidden.shape)
-    logs = choice(hidden, w["cluster"], cluster, None if grad is None else grad["cluster"], room, back)
     order = np.argsort(cluster.astype(np.uint8), kind="stable")
-    ends = np.cumsum(np.bincount(cluster, minlength=CLUSTERS))
-    dealt, inner = np.take(hidden, order, axis=0, out=room("dealt", *hidden.shape), mode="clip"), units[order] % IN_CLUSTER
-    own, more = np.empty(len(order), logs.dtype), room("back-unit", *hidden.shape)
-    for c in range(CLUSTERS):
-        some = slice(ends[c - 1] if c else 0, ends[c])
-        if some.start < some.stop:
-            own[some] = choice(dealt[some], w["unit"][c], inner[some], None if grad is None else grad["unit"][c], room, more[some])
-    logs[order] += own
-    if grad is not None:
-        back[order] += more
-    return logs, back
+    to = np.empty(len(order), np.int64)
+    to[order] = np.arange(len(order))
+    units = units[order]
+    dealt = np.take(hidden, order, axis=0, out=room("dealt", *hidden.shape), mode="clip")
+    back = None if grad is None else room("back-cluster", *hidden.shape)
+    logs = choice(dealt, w["cluster"], units // IN_CLUSTER, None if grad is None else grad["cluster"], room, back)
+    # All clusters' rows are worked on together but for the products.
+    ends = np.cumsum(np.bincount(cluster, minlength=CLUSTERS)).tolist()
+    runs_of = [(c, slice(a, b)) for c, (a, b) in enumerate(zip([0, *ends], ends, strict=False)) if a < b]
+    logit = room("inner", len(order), IN_CLUSTER)
+    for c, some in runs_of:
+        np.matmul(dealt[some], w["unit"][c].T, out=logit[some])
+    logs += picked_logs(logit, units % IN_CLUSTER, grad is not None)
+    if grad is None:
+        return logs[to], None
+    more = room("back-unit", *hidden.shape)
+    for c, some in runs_of:
+        grad["unit"][c] += logit[some].T @ dealt[some]
+        np.matmul(logit[some], w["unit"][c], out=more[some])
+    back += more
+    return logs[to], np.take(back, to, axis=0, out=more, mode="clip")
 
 
 def spell(w: dict, b: Batch, state: np.ndarray, grad: dict | None, room: Scratch) -> tuple[np.ndarray, np.ndarray | None]:
@@ -261,10 +285,13 @@ def spell(w: dict, b: Batch, state: np.ndarray, grad: dict | None, room: Scratch
     return words, back_size
 
 
-def add_rows(to: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
-    """to[at] += rows, with repeated places summed."""
-    cells = (at[:, None] * WIDTH + np.arange(WIDTH)).ravel()
-    to += np.bincount(cells, weights=rows.ravel(), minlength=to.size).reshape(to.shape).astype(to.dtype)
+def add_rows(to: np.ndarray, at: np.ndarray, rows: np.ndarray, of: np.ndarray | None = None) -> None:
+    """to[at] += rows (or rows[of]), with repeated places, which are below 65,536, summed."""
+    if len(at):
+        order = np.argsort(at.astype(np.uint16), kind="stable")
+        at = at[order]
+        first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+        to[at[first]] += np.add.reduceat(np.take(rows, order if of is None else of[order], axis=0), first, axis=0)
 
 
 def gradients(w: dict, b: Batch, room: Scratch) -> tuple[float, dict[str, np.ndarray]]:
@@ -286,7 +313,7 @@ def gradients(w: dict, b: Batch, room: Scratch) -> tuple[float, dict[str, np.nda
     d_last = np.matmul(flat, w["stay"].T, out=room("d_last", n * STRIDE, WIDTH))
     d_kv = room("d_kv", n, WINDOW, 2 * WIDTH)
     d_kv[..., WIDTH:] = np.matmul(share.transpose(0, 2, 1), d_read, out=room("d_v", n, WINDOW, WIDTH))
-    d_share = np.matmul(d_read, a["v"].transpose(0, 2, 1), out=room("d_share", n, STRIDE, WINDOW))
+    d_share = np.matmul(d_read, turned(a["v"], room), out=room("d_share", n, STRIDE, WINDOW))
     # The mean of d_share by share is that of d_read by what was read.
     d_read *= a["read"]
     d_share -= d_read.sum(axis=2, keepdims=True)
@@ -301,9 +328,9 @@ def gradients(w: dict, b: Batch, room: Scratch) -> tuple[float, dict[str, np.nda
     d_x[:, CONTEXT:] += d_last.reshape(n, STRIDE, WIDTH)
     d_x[b.none] = 0
     grad["place"] += d_x.sum(axis=0)
-    for place in range(PLACES):
-        add_rows(grad["embed"], b.spelt[..., place].ravel(), rows(d_x))
-    grad["embed"][NO_ID] = 0
+    spelt = b.spelt.ravel()
+    some = np.flatnonzero(spelt != NO_ID)
+    add_rows(grad["embed"], spelt[some], rows(d_x), some // PLACES)
     m = np.float32(max(1, len(logs)))
     for g in grad.values():
         g /= m

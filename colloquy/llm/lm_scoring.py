@@ -29,11 +29,13 @@ import base64
 import math
 import re
 from array import array
-from collections import Counter
 from collections.abc import Iterable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import tiktoken
 import xxhash
 from pyspark import TaskContext
@@ -64,6 +66,11 @@ MISSING = 0.1
 _OTHER_BLANK = re.compile(r"[^\S ]")
 
 
+def is_plain(words: list[bytes]) -> bool:
+    """Whether words can be encoded as one text: none is long or holds white space."""
+    return max(map(len, words), default=0) <= LONG_PIECE and not _OTHER_BLANK.search(b" ".join(words).decode("utf-8", "replace"))
+
+
 class Words:
     """Words to numbers, and numbers to ids, of one task."""
 
@@ -84,9 +91,8 @@ class Words:
         Common words are encoded as one text: each starts with its blank, and no other id does. Words that
         hold other white space, or are so long that a tokenizer's time isn't linear in them, go by themselves.
         """
-        whole = " " + b" ".join(words).decode("utf-8", "replace") if words else ""
-        if not _OTHER_BLANK.search(whole) and max(map(len, words), default=0) <= LONG_PIECE:
-            ids = np.array(self.encoding.encode_ordinary(whole), np.int32)
+        if is_plain(words):
+            ids = np.array(self.encoding.encode_ordinary(" " + b" ".join(words).decode("utf-8", "replace") if words else ""), np.int32)
             first = np.flatnonzero(self.blank_first[ids])
             return ids, np.diff(first, append=len(ids))
         parts = []
@@ -98,16 +104,23 @@ class Words:
     def numbers(self, words: list[bytes]) -> np.ndarray:
         """Call clear() between batches, if at all: numbers hold until then."""
         known = self.number
-        new = list(set(words).difference(known))
-        odd = [w for w in new if len(w) > LONG_PIECE or not w.isascii() and _OTHER_BLANK.search(w.decode("utf-8", "replace"))]
-        for some in (list(set(new).difference(odd)) if odd else new, odd):
-            if some:
-                known.update(zip(some, range(len(known), len(known) + len(some)), strict=True))
-                self.spelt += some
-                ids, size = self.encode(some)
-                self.ids.frombytes(ids.tobytes())
-                self.starts.frombytes((self.starts[-1] + np.cumsum(size)).astype(np.int64).tobytes())
-        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+        at = np.fromiter(map(known.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(at < 0)
+        if len(missing):
+            found = [words[k] for k in missing.tolist()]
+            new, odd = list(dict.fromkeys(found)), []
+            if not is_plain(new):
+                odd = [w for w in new if not is_plain([w])]
+                new = list(set(new).difference(odd))
+            for some in (new, odd):
+                if some:
+                    known.update(zip(some, range(len(known), len(known) + len(some)), strict=True))
+                    self.spelt += some
+                    ids, size = self.encode(some)
+                    self.ids.frombytes(ids.tobytes())
+                    self.starts.frombytes((self.starts[-1] + np.cumsum(size)).astype(np.int64).tobytes())
+            at[missing] = np.fromiter(map(known.__getitem__, found), np.int64, len(found))
+        return at
 
     def id_runs(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of words one after another, and how many each has."""
@@ -117,8 +130,24 @@ class Words:
         return ids[at], size
 
 
-def words_of(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "replace").lower().split()
+def words_in(texts: Iterable[str | None]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Different words of texts, the place of each word among them, and words a text. Arrow splits at the six ASCII blanks."""
+    lowered = pc.ascii_lower(pa.array(texts, pa.string(), from_pandas=True).fill_null(""))
+    lists = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(lowered))
+    found = lists.flatten().dictionary_encode()
+    kinds, at, count = found.dictionary, found.indices.to_numpy(), lists.value_lengths().to_numpy().astype(np.int64)
+    empty = pc.index(kinds, "").as_py()
+    if empty >= 0:  # an empty text has one empty word by Arrow
+        some = at != empty
+        count = np.bincount(np.repeat(np.arange(len(count)), count)[some], minlength=len(count))
+        at = at[some]
+        at = at - (at > empty)
+        kinds = pa.concat_arrays([kinds[:empty], kinds[empty + 1 :]])
+    return kinds, at, count
+
+
+def as_bytes(words: pa.Array) -> list[bytes]:
+    return words.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
 
 
 def texts_in_parts(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -137,15 +166,12 @@ def load_ranks(path: str) -> dict[bytes, int]:
 def count_words(train: DataFrame) -> DataFrame:
     """Rows (word, n) over the texts of train; the ends are not among them."""
 
-    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in texts_in_parts(batches):
-            times: Counter = Counter()
-            for t in part["text"]:
-                times.update(words_of(t))
-            if times:
-                yield pd.DataFrame({"word": [w.decode("utf-8", "replace") for w in times], "n": list(times.values())})
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in texts_in_parts(b.to_pandas() for b in batches):
+            kinds, at, _ = words_in(part["text"])
+            yield pa.RecordBatch.from_arrays([kinds, pa.array(np.bincount(at, minlength=len(kinds)))], ["word", "n"])
 
-    return train.select("text").mapInPandas(counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return train.select("text").mapInArrow(counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def is_common(words: DataFrame, most: int) -> Column:
@@ -188,9 +214,8 @@ def count_ids(words: DataFrame, ranks, ends: int) -> tuple[np.ndarray, np.ndarra
 
 def spelt(own: Words, texts: Iterable[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Texts as (numbers of their words, words a text, ids with ends, ids a word with ends)."""
-    words = [words_of(t) for t in texts]
-    count = np.array([len(w) for w in words], np.int64)
-    numbers = own.numbers([w for ws in words for w in ws])
+    kinds, at, count = words_in(texts)
+    numbers = own.numbers(as_bytes(kinds))[at]
     ids, size = own.id_runs(numbers)
     ends = np.cumsum(count)
     places = np.append(0, np.cumsum(size))[ends]
@@ -250,18 +275,11 @@ def count_segments(train: DataFrame) -> DataFrame:
     """Rows (context, segment) of all segments of the texts of train."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[bytes, int] = {}
         for part in texts_in_parts(batches):
-            words = [words_of(t) for t in part["text"]]
-            count = np.array([len(w) for w in words], np.int64)
-            every = [w for ws in words for w in ws]
-            new = list(set(every).difference(known))
-            known.update(zip(new, word_hashes(new).tolist(), strict=True))
-            hashes = with_ends(np.fromiter(map(known.__getitem__, every), np.uint64, len(every)), count)
+            kinds, at, count = words_in(part["text"])
+            hashes = with_ends(word_hashes(as_bytes(kinds))[at], count)
             _, _, context, segment = pm.segments(hashes, count + 1)
             yield pd.DataFrame({"context": context.view(np.int64), "segment": segment.view(np.int64)})
-            if len(known) > CACHED_WORDS:
-                known.clear()
 
     return train.select("text").mapInPandas(cut, "context long, segment long")
 
@@ -309,8 +327,11 @@ def score_batches(batches: Iterator[pd.Series], sent) -> Iterator[pd.DataFrame]:
         yield pd.concat(parts, ignore_index=True)
 
 
-def score_texts(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER) -> DataFrame:
-    """Rows of docs' id with n_tokens, n_known, train_tokens, base_score, score, recalled_score. train: rows with `text`."""
+def score_texts(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER, learnt: Column | None = None) -> DataFrame:
+    """Rows of docs' id with n_tokens, n_known, train_tokens, base_score, score, recalled_score. train: rows with `text`.
+
+    learnt: where train is a part of docs, which rows of docs it is. Their segments are then those that scoring cut, and no text is cut twice.
+    """
     spark = docs.sparkSession
     context = spark.sparkContext
     ranks = load_ranks(tokenizer)
@@ -334,8 +355,8 @@ def score_texts(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_
         return score_batches(batches, sent)
 
     # Rows are numbered as they are written, so that a task that runs again later can't number them otherwise.
-    rows = docs.select(F.col(id_col).alias("doc_id"), scored(F.coalesce(F.col(text_col), F.lit(""))).alias("s"))
-    main = staged(rows.select("doc_id", "s.*", F.monotonically_increasing_id().alias("n")), "lm-scores")
+    rows = docs.select(F.col(id_col).alias("doc_id"), (F.lit(False) if learnt is None else learnt).alias("learnt"), scored(F.coalesce(F.col(text_col), F.lit(""))).alias("s"))
+    main = staged(rows.select("doc_id", "learnt", "s.*", F.monotonically_increasing_id().alias("n")), "lm-scores")
     long = F.octet_length("word") > LONG_WORD
     rest = main.select("n", F.explode(F.arrays_zip("words", "times")).alias("r")).select("n", F.col("r.words").alias("word"), "r.times")
     rest = rest.withColumn("salt", F.when(long, F.pmod(F.xxhash64("n"), F.lit(SALTS))).otherwise(F.lit(0).cast("long")))
@@ -343,7 +364,8 @@ def score_texts(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_
     rarer = rarer.withColumn("salt", F.explode(F.when(long, F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))))
     gain = F.col("times") * (F.log10(F.col("count") + MISSING) - F.log10(F.lit(MISSING)))
     met = rest.join(rarer, ["word", "salt"]).groupBy("n").agg(F.sum("times").alias("more"), F.sum(gain).alias("gain"))
-    kept, contexts = pm.learn(count_segments(train))
+    again = main.filter("learnt").select(F.explode(F.arrays_zip("contexts", "segments")).alias("r")).select(F.col("r.contexts").alias("context"), F.col("r.segments").alias("segment"))
+    kept, contexts = pm.learn(count_segments(train) if learnt is None else again)
     runs = main.select("n", F.explode(F.arrays_zip("contexts", "segments", "logs")).alias("r")).select("n", F.col("r.contexts").alias("context"), F.col("r.segments").alias("segment"), F.col("r.logs").alias("log"))
     memory = pm.gains(runs.filter("context <> 0"), kept, contexts).withColumnRenamed("gain", "memory")
     return main.select("n", "doc_id", "n_tokens", "n_known", "base", "score").join(met, "n", "left").join(memory, "n", "left").select(
@@ -360,4 +382,4 @@ def score_texts(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     fold = held_out(F.col("doc_id"), 10)
-    return score_texts(docs, docs.filter(~fold)).select("doc_id", fold.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "recalled_score")
+    return score_texts(docs, docs.filter(~fold), learnt=~fold).select("doc_id", fold.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "recalled_score")

@@ -237,3 +237,25 @@ def test_words_are_encoded_alike_together_and_alone():
     for w, run in zip(words, np.split(ids, np.cumsum(size)[:-1]), strict=True):
         alone = lm.Words(ranks)
         assert alone.id_runs(alone.numbers([w]))[0].tolist() == run.tolist()
+
+
+def test_words_are_split_as_python_splits_bytes():
+    texts = ["", None, " \t", "A b\x0bÄ\x0c c\rd\ne", "x\x1cy   Z  end ", "A", "ÀÉ İ \U0001f600B a"]
+    want = [bytes(t or "", "utf-8").lower().split() for t in texts]
+    kinds, at, count = lm.words_in(texts)
+    kinds = lm.as_bytes(kinds)
+    assert len(set(kinds)) == len(kinds) and count.tolist() == [len(w) for w in want]
+    assert [kinds[k] for k in at] == [w for ws in want for w in ws]
+    assert [x.tolist() for x in lm.words_in([])[1:]] == [[], []]
+
+
+def test_segments_of_scored_texts_are_not_cut_again(spark, sf_dir, monkeypatch):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").limit(60).coalesce(2).cache()
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0
+    both = docs.union(docs.limit(5).select(F.col("doc_id") + 100_000, "text"))
+    want = {r.doc_id: r.recalled_score for r in lm.score_texts(both, both.filter(~fold)).collect()}
+    monkeypatch.setattr(lm, "count_segments", None)
+    got = lm.score_texts(both, both.filter(~fold), learnt=~fold).collect()
+    assert {r.doc_id for r in got} == set(want) and any(r.recalled_score > r.score + 1 for r in got)
+    assert all(math.isclose(r.recalled_score, want[r.doc_id], rel_tol=1e-3) for r in got)
+    assert len(lm.op2_lm_scoring(spark, sf_dir).collect()) == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
