@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -59,9 +61,12 @@ def token_budget(max_tokens: Column, questions: Column) -> Column:
     return F.coalesce(F.nullif(max_tokens, F.lit(0)), F.least(F.lit(4096), 200 + 160 * questions))
 
 
-def answer_index(answer: Column, options: Column) -> Column:
-    """Place from 0 of the stated answer: equal but for case and blanks, else the first that contains it or is contained, else 0."""
-    target = F.lower(strip(answer))
+def answer_index(answer: Column, options: Column, trimmed: Callable[[Column], Column] = strip) -> Column:
+    """Place from 0 of the stated answer: equal but for case and blanks, else the first that contains it or is contained, else 0.
+
+    trimmed: what the answer is rid of at its ends.
+    """
+    target = F.lower(trimmed(answer))
     plain = F.transform(options, lambda o: F.lower(strip(o)))
     near = F.filter(
         F.transform(plain, lambda o, i: F.when((o != "") & (F.contains(target, o) | F.contains(o, target)), i)),

@@ -18,6 +18,11 @@ def strip(x: Column) -> Column:
     return F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
 
 
+def trim_blanks(x: Column) -> Column:
+    """Without blanks at either end; tabs and line ends stay."""
+    return F.regexp_replace(x, r"^\p{Zs}+|\p{Zs}+\z", "")
+
+
 def collapse(x: Column) -> Column:
     return strip(F.regexp_replace(x, r"(?U)\s+", " "))
 

@@ -252,6 +252,19 @@ def test_query(spark, sf_dir, db, name):
     assert sorted((tuple(r[c] for c in names) for r in rows), key=str) == want
 
 
+def test_quiz_answers_with_line_ends_at_their_edges(spark, tmp_path):
+    """An answer that is cut out right at a line end, texts that hold it without the line end before, and keys of all kinds."""
+    said = ["permission was given here. Ab\npermission was given now. ", "over and done there. Xyover and done theres\n\nx. ", "Ab\n\n\n\n\n\n\n\n\n\n\n\n\n\n\n\n\n\n\n\n\n\ny. ", "One is a first line. Two\u00a0 is another one. ", "no sentence", "", None]
+    rows = [(k, t) for n, t in enumerate(said) for k in (*range(4 * n - 40, 4 * n - 36), *range(4 * n, 4 * n + 4))] + [(None, said[0])]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    found = catalog.quiz_answers(spark, str(tmp_path))
+    connection = duckdb.connect()
+    connection.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    cursor = connection.execute(catalog.ORACLE_SQL["quiz_answers"])
+    want = sorted((tuple(r) for r in cursor.fetchall()), key=str)
+    assert sorted((tuple(r[c[0]] for c in cursor.description) for r in found.collect()), key=str) == want
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
