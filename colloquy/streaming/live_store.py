@@ -8,17 +8,74 @@ comes after, and a timer by event time takes it out of the state.
 from __future__ import annotations
 
 import hashlib
+import heapq
 from collections.abc import Iterator
+from operator import itemgetter
 
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from colloquy.settings import settings
-from colloquy.streaming.ordered import names
+from colloquy.streaming.ordered import names, picked
 
 ANSWER = "command_id long, kind string, session_id string, created boolean, profile string, message_count long, created_us long, updated_us long, access_us long"
 MADE = Row("client", *names(ANSWER))
+COMMAND = ["us", "command_id", "kind", "session_id", "profile"]
+
+
+class Held:
+    """A client's sessions while its commands are gone through: read from the store once, and what has changed written once.
+
+    Each access to the store is a call to another process, so that none is made for a command. Only the times of messages
+    that were there before stay in the store until one is asked for.
+    """
+
+    def __init__(self, sessions, times, known: bool):
+        self.sessions, self.times = sessions, times
+        self.stored = {sid: tuple(s) for (sid,), s in sessions.iterator()} if known else {}
+        self.now = dict(self.stored)
+        #: The times of new messages by session and number. A number that a session has and that isn't here is in the store.
+        self.added: dict[str, dict[int, int]] = {}
+        #: Times of activity, old ones too: a session is as its last one says.
+        self.active = [(s[2], sid) for sid, s in self.now.items()]
+        heapq.heapify(self.active)
+
+    def put(self, sid: str, session: tuple) -> None:
+        before = self.now.get(sid)
+        if before is None or before[2] != session[2]:
+            heapq.heappush(self.active, (session[2], sid))
+        self.now[sid] = session
+
+    def drop(self, sid: str) -> None:
+        del self.now[sid]
+        self.added.pop(sid, None)
+
+    def time(self, sid: str, number: int) -> int:
+        us = self.added.get(sid, {}).get(number)
+        return self.times.getValue((sid, number))[0] if us is None else us
+
+    def expired(self, since: int) -> Iterator[tuple[str, tuple]]:
+        """(id, session) of those that were active last before a time; they are dropped."""
+        while self.active and self.active[0][0] < since:
+            us, sid = heapq.heappop(self.active)
+            session = self.now.get(sid)
+            if session is not None and session[2] == us:
+                self.drop(sid)
+                yield sid, session
+
+    def write(self) -> None:
+        for sid, session in self.stored.items():
+            left = self.now[sid][4] if sid in self.now else 0
+            for number in range(left + 1, session[4] + 1):
+                self.times.removeKey((sid, number))
+            if sid not in self.now:
+                self.sessions.removeKey((sid,))
+        for sid, session in self.now.items():
+            if session != self.stored.get(sid):
+                self.sessions.updateValue((sid,), session)
+            for number, us in self.added.get(sid, {}).items():
+                self.times.updateValue((sid, number), (us,))
 
 
 class LiveStore(StatefulProcessor):
@@ -40,71 +97,74 @@ class LiveStore(StatefulProcessor):
         #: When a session's messages were added, by number: what is left counts when one is taken back.
         self.times = handle.getMapState("times", "session_id string, number long", "us long")
 
-    def _drop(self, session_id: str, messages: int) -> None:
-        self.sessions.removeKey((session_id,))
-        for k in range(1, messages + 1):
-            self.times.removeKey((session_id, k))
-
-    def _expired(self, key, now: int) -> Iterator[Row]:
-        gone = [(sid, *s) for (sid,), s in self.sessions.iterator() if now - s[2] > self.limit]
-        for sid, profile, created, updated, access, messages in gone:
-            self._drop(sid, messages)
+    def _expired(self, key, held: Held, now: int) -> Iterator[Row]:
+        for sid, (profile, created, updated, access, messages) in held.expired(now - self.limit):
             yield MADE(*key, None, "expired", sid, False, profile, messages, created, updated, access)
 
-    def _one(self, row, latest: str | None) -> tuple[tuple | None, str | None, bool]:
+    def _one(self, command: tuple, latest: str | None, held: Held) -> tuple[tuple | None, str | None, bool]:
         """(session, its id, whether it is new) after a command; the session is None if there is none."""
-        sid = row.session_id or latest
-        found = self.sessions.getValue((sid,)) if sid and row.kind != "create" and self.sessions.containsKey((sid,)) else None
-        made = found is None and row.kind in ("create", "ask")
+        us, number, kind, sid, given = command
+        sid = sid or latest
+        found = held.now.get(sid) if kind != "create" else None
+        made = found is None and kind in ("create", "ask")
         if made:
-            sid = hashlib.md5(str(row.command_id).encode()).hexdigest()
-            found = (row.profile, row.us, row.us, row.us, 0)
+            sid = hashlib.md5(str(number).encode()).hexdigest()
+            found = (given, us, us, us, 0)
+            held.added[sid] = {}
         if found is None:
             return None, None, False
         profile, created, updated, access, messages = found
-        if row.kind in ("create", "ask", "get"):
-            access = row.us
-        if row.kind in ("ask", "reply"):
-            profile = row.profile if row.kind == "ask" and row.profile is not None else profile
-            messages, updated = messages + 1, row.us
-            self.times.updateValue((sid, messages), (row.us,))
-        elif row.kind == "fail" and messages:
-            self.times.removeKey((sid, messages))
+        if kind in ("create", "ask", "get"):
+            access = us
+        if kind in ("ask", "reply"):
+            profile = given if kind == "ask" and given is not None else profile
+            messages, updated = messages + 1, us
+            held.added.setdefault(sid, {})[messages] = us
+        elif kind == "fail" and messages:
+            held.added.setdefault(sid, {}).pop(messages, None)
             messages -= 1
-            updated = self.times.getValue((sid, messages))[0] if messages else created
+            updated = held.time(sid, messages) if messages else created
         session = (profile, created, updated, access, messages)
-        if row.kind == "delete":
-            self._drop(sid, messages)
+        if kind == "delete":
+            held.drop(sid)
         else:
-            self.sessions.updateValue((sid,), session)
+            held.put(sid, session)
         return session, sid, made
 
-    def _set_timer(self, latest: str | None, timer: int) -> None:
-        ends = [(s[2] + self.limit) // 1000 + 1 for s in self.sessions.values()]
-        if ends and not timer:
-            timer = min(ends)
+    def _set_timer(self, held: Held, latest: str | None, timer: int, before: tuple | None) -> None:
+        """The timer of the session that ends first, if none is set; before: what the store has of the latest session and the timer."""
+        if held.now and not timer:
+            timer = (min(s[2] for s in held.now.values()) + self.limit) // 1000 + 1
             self.handle.registerTimer(timer)
-        self.latest.update((latest, timer))
+        if held.now or timer:
+            if (latest, timer) != before:
+                self.latest.update((latest, timer))
+        elif before:  # an id of a session that is gone finds nothing, as none does
+            self.latest.clear()
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        latest, timer = self.latest.get() if self.latest.exists() else (None, 0)
-        for row in sorted(rows, key=lambda r: (r.us, r.command_id)):
-            yield from self._expired(key, row.us)
-            session, sid, made = self._one(row, latest)
+        before = self.latest.get()
+        latest, timer = before or (None, 0)
+        held = Held(self.sessions, self.times, bool(before))
+        for command in sorted(picked(rows, COMMAND), key=itemgetter(0, 1)):
+            us, number, kind, _, _ = command
+            yield from self._expired(key, held, us)
+            session, sid, made = self._one(command, latest, held)
             if session is None:
-                yield MADE(*key, row.command_id, row.kind, None, False, None, None, None, None, None)
+                yield MADE(*key, number, kind, None, False, None, None, None, None, None)
                 continue
             profile, created, updated, access, messages = session
             latest = sid if made else latest
-            yield MADE(*key, row.command_id, row.kind, sid, made, profile, messages, created, updated, access)
-        self._set_timer(latest, timer)
+            yield MADE(*key, number, kind, sid, made, profile, messages, created, updated, access)
+        held.write()
+        self._set_timer(held, latest, timer, before)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        latest, _ = self.latest.get() if self.latest.exists() else (None, 0)
-        yield from self._expired(key, timerValues.getCurrentWatermarkInMs() * 1000)
-        self._set_timer(latest, 0)
-        if not any(True for _ in self.sessions.keys()):
-            self.latest.clear()
+        before = self.latest.get()
+        held = Held(self.sessions, self.times, bool(before))
+        yield from self._expired(key, held, timerValues.getCurrentWatermarkInMs() * 1000)
+        held.write()
+        self._set_timer(held, before[0] if before else None, 0, before)
 
     def close(self) -> None:
         pass

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from operator import itemgetter
 from typing import Any
 
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -24,6 +25,15 @@ def names(schema: str) -> list[str]:
     return [c.strip().split(" ")[0] for c in schema.split(",")]
 
 
+def picked(rows: Iterator[Row], columns: list[str]) -> Iterator[tuple]:
+    """The columns (two at least) of rows that are alike, as tuples: a row's names are looked up once, and not at each access."""
+    rows = iter(rows)
+    for first in rows:
+        of = itemgetter(*(first.__fields__.index(c) for c in columns))
+        yield of(first)
+        yield from map(of, rows)
+
+
 class OrderedFold(StatefulProcessor):
     """A fold over each key's rows by `seq`, from `first` on without gaps, whatever micro-batches they come in.
 

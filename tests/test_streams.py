@@ -8,6 +8,7 @@ import re
 from types import SimpleNamespace as Row
 
 import pytest
+from pyspark.sql import Row as SparkRow
 from pyspark.sql import functions as F
 
 from colloquy.functions import text
@@ -248,6 +249,62 @@ def test_live_store_against_ordered_dictionaries(spark, tmp_path):
     assert len(expired) == len(set(expired)) and set(expired) == made - deleted
 
 
+class Store:
+    """A key's state variables as dictionaries, and how often they are called."""
+
+    def __init__(self):
+        self.calls, self.kept, self.timers = 0, collections.defaultdict(dict), set()
+
+    def _called(self, given=None):
+        self.calls += 1
+        return given
+
+    def getValueState(self, name, schema):
+        of = self.kept[name]
+        return Row(exists=lambda: self._called(0 in of), get=lambda: self._called(of.get(0)), update=lambda v: self._called(of.update({0: v})), clear=lambda: self._called(of.clear()))
+
+    def getMapState(self, name, key, value):
+        of = self.kept[name]
+        seen = {"keys": lambda: self._called(iter(list(of))), "values": lambda: self._called(iter(list(of.values()))), "iterator": lambda: self._called(iter(list(of.items())))}
+        return Row(containsKey=lambda k: self._called(k in of), getValue=lambda k: self._called(of.get(k)), updateValue=lambda k, v: self._called(of.update({k: v})), removeKey=lambda k: self._called(of.pop(k, None)), **seen)
+
+    def getListState(self, name, schema):
+        of = self.kept[name]
+        return Row(get=lambda: self._called(iter(list(of.get(0, [])))), put=lambda v: self._called(of.update({0: v})), clear=lambda: self._called(of.clear()))
+
+    def registerTimer(self, at):
+        self._called(self.timers.add(at))
+
+    def deleteTimer(self, at):
+        self._called(self.timers.discard(at))
+
+
+NO_CLOCK = Row(getCurrentWatermarkInMs=lambda: 0)
+
+
+def test_live_store_calls_its_state_by_batch_and_not_by_command():
+    rng, store_, loop, now, number = random.Random(8), Store(), Sessions(180 * 60_000_000), 10**15, 0
+    fold, made = live_store.LiveStore(180), SparkRow("client", "command_id", "kind", "session_id", "profile", "ts", "us")
+    fold.init(store_)
+    for k in range(40):
+        rows, want = [], []
+        for _ in range(rng.choice([1, 5, 200])):
+            now, number = now + rng.choice([0, 1, 600, 1800]) * 1_000_000, number + 1
+            kind = rng.choice(["ask", "ask", "get", "reply", "fail", "fail", "create", "delete"])
+            rows.append(made(7, number, kind, rng.choice([None, None, *loop.kept, "unknown"]), rng.choice([None, f"p{number}"]), None, now))
+            want.append(loop.answer(number, *rows[-1][2:5], now))
+        rng.shuffle(rows)
+        before, held = store_.calls, sum(len(v["times"]) + 1 for v in loop.kept.values()) + len(store_.kept["times"]) + len(store_.kept["sessions"])
+        got = [tuple(r)[1:] for r in fold.handleInputRows((7,), iter(rows), NO_CLOCK)]
+        assert [r for r in got if r[0] is not None] == want
+        assert store_.calls - before <= 10 + held + sum(r.kind == "fail" for r in rows)
+        assert {s: (v["profile"], v["created"], v["updated"], v["access"], len(v["times"])) for s, v in loop.kept.items()} == {s: tuple(v) for (s,), v in store_.kept["sessions"].items()}
+        assert {(s, n): (us,) for s, v in loop.kept.items() for n, us in enumerate(v["times"], 1)} == store_.kept["times"]
+    before = store_.calls
+    list(fold.handleInputRows((8,), iter([made(8, 10**6 + n, "get", None, None, None, now) for n in range(500)]), NO_CLOCK))
+    assert store_.calls - before < 10
+
+
 def test_live_store_resolves_as_the_table_form(spark, tmp_path):
     at = lambda m: NOON + dt.timedelta(minutes=m)
     made = [(k, 100 + k, "create", None, f"p{k}", at(0)) for k in range(4)] + [(1, 200, "ask", None, None, at(100)), (2, 201, "get", None, None, at(100))]
