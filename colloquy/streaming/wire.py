@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,10 @@ from colloquy.sources.frames import AFTER, FRAME, data_events, framed
 from colloquy.streaming.ordered import OrderedFold, folded, names
 
 
+COUNTS = ["eval_count", "eval_duration", "prompt_eval_count", "total_duration", "load_duration"]
+REQUEST_ROW = "session_id string, model string, token string, done boolean, detail string, hint string, " + ", ".join(f"{c} long" for c in COUNTS)
+
+
 class SseParser(OrderedFold):
     """The first data line of each finished frame of a body that comes in chunks, which may be cut anywhere, within a character too.
 
@@ -43,27 +49,29 @@ class ReplyFrames(OrderedFold):
     """
 
     STATE = "started boolean, session_id string, reply string"
-    ROW = "session_id string, model string, token string, done boolean, detail string, hint string, eval_count long, eval_duration long, prompt_eval_count long, total_duration long, load_duration long"
-    OUT = FRAME
+    #: A row is turned into Python's values cell by cell: what only few rows have goes in one cell, as JSON, which is null for the others.
+    ROW = "token string, more string"
+    OUT = "at long, type string, content string, more string"
     first = -1
 
     def begin(self):
         return False, None, ""
 
-    def _given(self, at: int, kind: str, session_id=None, model=None, content=None, reply=None, detail=None, hint=None, counts=(None,) * 5) -> tuple:
-        return at, kind, session_id, model, content, reply, *counts, detail, hint
+    def _given(self, at: int, kind: str, content: str | None = None, **more) -> tuple:
+        return at, kind, content, json.dumps(more) if more else None
 
     def step(self, state, row):
         started, session_id, reply = state
+        more = json.loads(row.more) if row.more else {}
         if not started:
-            return (True, row.session_id, ""), [self._given(-1, "start", row.session_id, row.model)]
-        if row.detail is not None:
-            return None, [self._given(AFTER - 1, "error", detail=row.detail, hint=row.hint), self._given(AFTER, "end")]
-        given = [self._given(row.seq, "token", content=row.token)] if row.token else []
+            return (True, more.get("session_id"), ""), [self._given(-1, "start", session_id=more.get("session_id"), model=more.get("model"))]
+        if "detail" in more:
+            return None, [self._given(AFTER - 1, "error", detail=more["detail"], hint=more.get("hint")), self._given(AFTER, "end")]
+        given = [self._given(row.seq, "token", row.token)] if row.token else []
         reply += row.token or ""
-        if row.done:
-            counts = (row.eval_count, row.eval_duration, row.prompt_eval_count, row.total_duration, row.load_duration)
-            return None, [*given, self._given(AFTER - 2, "done", session_id, reply=reply, counts=counts), self._given(AFTER, "end")]
+        if "done" in more:
+            counts = {c: more.get(c) for c in COUNTS}
+            return None, [*given, self._given(AFTER - 2, "done", session_id=session_id, reply=reply, **counts), self._given(AFTER, "end")]
         return (True, session_id, reply), given
 
     def abandoned(self, state):
@@ -72,8 +80,8 @@ class ReplyFrames(OrderedFold):
 
 def request_rows(requests: DataFrame, chunks: DataFrame, ts: Column) -> DataFrame:
     """Rows of ReplyFrames' stream: requests (request_id, session_id, model) and chunks (request_id, seq, token, done, detail, hint, counts)."""
-    columns = ["request_id", "seq", "ts", *names(ReplyFrames.ROW)]
-    types = dict(c.strip().split(" ") for c in ReplyFrames.ROW.split(","))
+    columns = ["request_id", "seq", "ts", *names(REQUEST_ROW)]
+    types = dict(c.strip().split(" ") for c in REQUEST_ROW.split(","))
     whole = lambda df: df.select(*(F.col(c) if c in df.columns else F.lit(None).cast(types[c]).alias(c) for c in columns))
     asked = requests.withColumn("seq", F.lit(-1).cast("long"))
     return whole(asked.withColumn("ts", ts)).unionByName(whole(chunks.withColumn("seq", F.col("seq").cast("long")).withColumn("ts", ts)))
@@ -81,7 +89,10 @@ def request_rows(requests: DataFrame, chunks: DataFrame, ts: Column) -> DataFram
 
 def frame_stream(rows: DataFrame, timeout: int = 3_600_000) -> DataFrame:
     """(request_id, at, type, frame) of a stream of request_rows: what `stream_frames` gives of all of them."""
-    return framed(folded(rows, "request_id", ReplyFrames(timeout))).select("request_id", "at", "type", "frame")
+    few = [F.when(F.col("done"), True).alias("done") if c == "done" else F.col(c) for c in names(REQUEST_ROW) if c != "token"]
+    found = folded(rows.select("request_id", "seq", "ts", "token", F.nullif(F.to_json(F.struct(*few)), F.lit("{}")).alias("more")), "request_id", ReplyFrames(timeout))
+    of = found.withColumn("more", F.from_json("more", ", ".join(c.strip() for c in FRAME.split(",") if c.split()[0] not in ("at", "type", "content"))))
+    return framed(of.select("request_id", "at", "type", "content", "more.*")).select("request_id", "at", "type", "frame")
 
 
 def outcomes(frames: DataFrame) -> DataFrame:

@@ -316,3 +316,31 @@ def test_live_store_resolves_as_the_table_form(spark, tmp_path):
     want = sorted(tuple(r) for r in store.resolve(requests, stored, F.lit(at(200))).collect())
     assert sorted(tuple(r) for r in found.select("command_id", "session_id", "profile", "created").collect()) == want
     assert [created for *_, created in want] == [True, False, True, True, True]
+
+
+def test_rows_reach_a_fold_packed_by_key(spark, monkeypatch):
+    rng = random.Random(9)
+    rows = [(rng.choice(["a", "b", "é", None]), n, NOON + dt.timedelta(seconds=n % 7), rng.choice([None, b"", b"x", bytes(9)]), rng.choice([None, True, False])) for n in range(400)]
+    table = spark.createDataFrame(rows, "k string, seq long, ts timestamp, chunk binary, last boolean")
+    found = ordered.packed(table, "k", ["seq", "chunk", "last"])
+    back = [(r.k, n, c if c is None else bytes(c), x) for r in found.collect() for n, c, x in zip(r.seq, r.chunk, r.last, strict=True)]
+    assert found.count() == 4 and sorted(map(str, back)) == sorted(str((k, n, c, x)) for k, n, _, c, x in rows)
+    assert {r.k: r.ts for r in found.collect()} == {k: max(t for j, _, t, _, _ in rows if j == k) for k in ("a", "b", "é", None)}
+    monkeypatch.setattr(ordered, "PACKED", 1)
+    assert sum(len(r.seq) for r in ordered.packed(table, "k", ["seq"]).collect()) == 400
+
+
+def test_a_fold_calls_its_state_by_batch_and_not_by_row():
+    rng, store_, fold, given = random.Random(10), Store(), wire.ReplyFrames(), []
+    fold.keys = ("request_id",)
+    fold.init(store_)
+    made = SparkRow("request_id", "ts", "seq", "token", "more")
+    rows = [(-1, None, '{"session_id": "s"}'), *((n, f"t{n} ", None) for n in range(500)), (500, "", '{"done": true, "eval_count": 3}')]
+    rng.shuffle(rows)
+    for part in (rows[:200], rows[200:400] + rows[:50], rows[400:], rows[:10]):
+        before = store_.calls
+        packs = [made(7, NOON, *map(list, zip(*part[k::2], strict=True))) for k in range(2)]
+        given += [x for r in fold.handleInputRows((7,), iter(packs), NO_CLOCK) for x in zip(r.at, r.type, r.content, strict=True)]
+        assert store_.calls - before <= 4
+    assert given == [(-1, "start", None), *((n, "token", f"t{n} ") for n in range(500)), (frames.AFTER - 2, "done", None), (frames.AFTER, "end", None)]
+    assert list(fold.handleExpiredTimer((7,), NO_CLOCK, None)) == [] and not store_.kept["kept"]
